@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the base58 alphabet.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -34,35 +35,35 @@ def to_base58(raw: bytes) -> str:
     return "1" * zeros + "".join(reversed(letters))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def base58_decode(text: pd.Series) -> pd.Series:
     return text.map(from_base58)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base58_encode(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else to_base58(bytes(b)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def valid_key(text: pd.Series) -> pd.Series:
     """True for a base58 text of exactly 32 bytes."""
     return text.map(lambda t: (lambda raw: raw is not None and len(raw) == 32)(from_base58(t, 256)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def transfer_payload(amount: pd.Series) -> pd.Series:
     """Opcode 2 (u32) and amount (u64), both little-endian."""
     return amount.map(lambda a: (2).to_bytes(4, "little") + int(a).to_bytes(8, "little"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def checked_transfer_payload(amount: pd.Series, decimals: pd.Series) -> pd.Series:
     """Tag 12, amount (u64, little-endian), decimals (u8)."""
     return pd.Series([bytes([12]) + int(a).to_bytes(8, "little") + bytes([int(d)]) for a, d in zip(amount, decimals)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def le_unsigned(raw: pd.Series) -> pd.Series:
     """Little-endian unsigned integer of any width as text."""
     return raw.map(lambda b: None if b is None else str(int.from_bytes(bytes(b), "little")))

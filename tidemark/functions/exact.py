@@ -14,6 +14,7 @@ from math import isqrt
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64_MAX = 2**64 - 1
 WIDE = "decimal(38,0)"
@@ -83,7 +84,10 @@ def nearest_rank(n, p: int) -> Column:
     return F.least(n, F.call_function("div", n * F.lit(p) + F.lit(99), F.lit(100)))
 
 
-@F.pandas_udf("struct<numerator:string,denominator:string>")
+RATIO = T.StructType([T.StructField("numerator", T.StringType()), T.StructField("denominator", T.StringType())])
+
+
+@F.pandas_udf(RATIO)
 def ratio_exact(num: pd.Series, den: pd.Series) -> pd.DataFrame:
     """Reduced fraction of two integer texts of any size; null on missing or zero denominator."""
     out = []
@@ -96,7 +100,7 @@ def ratio_exact(num: pd.Series, den: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["numerator", "denominator"])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def bps_exact(q: pd.Series, b: pd.Series, q0: pd.Series, b0: pd.Series) -> pd.Series:
     """``return_bps`` without a size limit; arguments are integer texts."""
     out = []
@@ -108,7 +112,7 @@ def bps_exact(q: pd.Series, b: pd.Series, q0: pd.Series, b0: pd.Series) -> pd.Se
     return pd.Series(out, dtype="Int64")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def rms_return_bps(quotes: pd.Series, bases: pd.Series) -> pd.Series:
     """Floor of the root mean square of successive price returns in basis points, exact.
 

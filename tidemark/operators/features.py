@@ -14,17 +14,21 @@ from ..functions.exact import change_bps, div_floor, div_trunc, nearest_rank, pr
 from .ordered import Ordered, Split
 
 ORDER = ("availability_ns", "seq")
-IS_SWAP = F.expr("kind = 'swap'")
+
+
+def is_swap() -> Column:
+    return F.col("kind") == "swap"
+
 SECOND = 1_000_000_000
 
 
 def normalize_swap(events: DataFrame, base: str = "base_raw", quote: str = "quote_raw") -> DataFrame:
     """Side, price and a reject reason per swap; zero amounts are refused, other kinds pass through."""
-    bad = IS_SWAP & ~F.coalesce((F.col(base) > 0) & (F.col(quote) > 0), F.lit(False))
+    bad = is_swap() & ~F.coalesce((F.col(base) > 0) & (F.col(quote) > 0), F.lit(False))
     return events.withColumns(
         {
-            "side": F.when(IS_SWAP, F.when(F.col("instruction") == "sell", "sell").otherwise("buy")),
-            "price": F.when(IS_SWAP & ~bad, price(quote, base)),
+            "side": F.when(is_swap(), F.when(F.col("instruction") == "sell", "sell").otherwise("buy")),
+            "price": F.when(is_swap() & ~bad, price(quote, base)),
             "reject": F.when(bad, "zero_swap_amount"),
         }
     )
@@ -80,7 +84,7 @@ def pool_state(events: DataFrame, identity=("base_mint", "quote_mint")) -> DataF
 
 
 def _swaps(events: DataFrame) -> DataFrame:
-    return events.where(IS_SWAP & (F.col("base_raw") > 0) & (F.col("quote_raw") > 0))
+    return events.where(is_swap() & (F.col("base_raw") > 0) & (F.col("quote_raw") > 0))
 
 
 def anchor_price(events: DataFrame, split: Split = Split()) -> DataFrame:
@@ -110,7 +114,7 @@ def drawdown(events: DataFrame, split: Split = Split()) -> DataFrame:
 def horizon_outcomes(events: DataFrame, horizons=(60, 300, 1800, 3600, 86400), split: Split = Split()) -> DataFrame:
     """Per pool and horizon the first swap at or after first swap + horizon; null when none was seen."""
     swaps = drawdown(anchor_price(events, split), split)
-    hs = F.array(*[F.lit(int(h)) for h in sorted(horizons)])
+    hs = F.array(*[F.lit(int(h)).cast("bigint") for h in sorted(horizons)])
     marks = (
         swaps.select("pool", *ORDER, "anchor_ns", "anchor_seq", "anchor_quote", "anchor_base", "quote_raw", "base_raw",
                      "drawdown_bps", F.explode(hs).alias("horizon_seconds"))
@@ -148,7 +152,7 @@ def decision_outcomes(decisions: DataFrame, marks: DataFrame, horizons=(5, 15, 3
     Due points and marks are merged into one ordered stream per pool and scanned backward,
     so the work is linear in (decisions x horizons + marks) and no pairs are formed.
     """
-    hs = F.array(*[F.lit(int(h)) for h in horizons])
+    hs = F.array(*[F.lit(int(h)).cast("bigint") for h in horizons])
     due = decisions.select(
         "pool", "decision_id", F.explode(hs).alias("horizon_seconds"), F.col("decision_ns"),
         F.col("quote_raw").alias("aq"), F.col("base_raw").alias("ab"),
@@ -165,7 +169,7 @@ def decision_outcomes(decisions: DataFrame, marks: DataFrame, horizons=(5, 15, 3
         F.col("availability_ns").alias("t"),
         F.lit(1).alias("rank"),
         F.col("mark_id").alias("tie"),
-        F.lit(None).cast("int").alias("horizon_seconds"),
+        F.lit(None).cast("bigint").alias("horizon_seconds"),
         F.lit(None).cast("bigint").alias("decision_id"),
         F.lit(None).cast("bigint").alias("aq"),
         F.lit(None).cast("bigint").alias("ab"),
@@ -223,24 +227,24 @@ def market_features(events: DataFrame, n: int = 64, split: Split = Split()) -> D
     samples only. Missing inputs give null, never zero.
     """
     o = Ordered(events, ["pool"], ORDER, split, lookback=n - 1)
-    o.last_seen("prev", F.struct("quote_raw", "base_raw"), IS_SWAP)
-    o.add(chg=F.when(IS_SWAP, return_bps("quote_raw", "base_raw", "prev.quote_raw", "prev.base_raw")))
-    o.last_seen("prev_chg", F.col("chg"), IS_SWAP)
+    o.last_seen("prev", F.struct("quote_raw", "base_raw"), is_swap())
+    o.add(chg=F.when(is_swap(), return_bps("quote_raw", "base_raw", "prev.quote_raw", "prev.base_raw")))
+    o.last_seen("prev_chg", F.col("chg"), is_swap())
     w = o.frame(n)
-    sample = F.when(IS_SWAP, F.struct("availability_ns", "quote_raw", "base_raw", "chg", "prev_chg"))
-    buy, sell = IS_SWAP & (F.col("instruction") != "sell"), IS_SWAP & (F.col("instruction") == "sell")
+    sample = F.when(is_swap(), F.struct("availability_ns", "quote_raw", "base_raw", "chg", "prev_chg"))
+    buy, sell = is_swap() & (F.col("instruction") != "sell"), is_swap() & (F.col("instruction") == "sell")
     zero = F.lit(0).cast("bigint")
     o.add(
-        swaps=F.count_if(IS_SWAP).over(w),
+        swaps=F.count_if(is_swap()).over(w),
         buy_flow=F.sum(F.when(buy, F.col("quote_raw")).otherwise(zero)).over(w),
         sell_flow=F.sum(F.when(sell, F.col("quote_raw")).otherwise(zero)).over(w),
         abs_changes=F.sum(F.abs("chg")).over(w),
         head=F.first(sample, ignorenulls=True).over(w),
         tail=F.last(sample, ignorenulls=True).over(w),
-        __samples=F.collect_list(F.when(IS_SWAP, F.struct(F.col("availability_ns").alias("t"), F.col("quote_raw").alias("q")))).over(w),
+        __samples=F.collect_list(F.when(is_swap(), F.struct(F.col("availability_ns").alias("t"), F.col("quote_raw").alias("q")))).over(w),
         __created=F.collect_list(F.when(F.col("kind") == "pool_created", F.col("event_time"))).over(w),
     )
-    df = o.result().where(IS_SWAP)
+    df = o.result().where(is_swap())
     df = df.withColumn("volume", F.col("buy_flow") + F.col("sell_flow")).withColumn(
         "span_ns", F.when(F.col("swaps") >= 2, F.col("tail.availability_ns") - F.col("head.availability_ns"))
     )
@@ -279,13 +283,13 @@ def context_window(events: DataFrame, window_ns: int = 60 * SECOND, max_samples:
     Each sample holds its gap, bps change and return against the sample before it.
     """
     o = Ordered(events, ["pool"], ORDER, split, lookback=max_samples - 1)
-    o.last_seen("prev", F.struct("quote_raw", "base_raw", "availability_ns"), IS_SWAP)
+    o.last_seen("prev", F.struct("quote_raw", "base_raw", "availability_ns"), is_swap())
     o.last_seen("prev_slot", F.col("slot"))
     o.add(
         __item=F.struct(
             F.col("availability_ns").alias("t"),
             F.col("seq"),
-            IS_SWAP.alias("swap"),
+            is_swap().alias("swap"),
             F.col("quote_raw").alias("q"),
             F.col("base_raw").alias("b"),
             (F.col("availability_ns") - F.col("prev.availability_ns")).alias("gap"),
@@ -297,7 +301,7 @@ def context_window(events: DataFrame, window_ns: int = 60 * SECOND, max_samples:
         )
     )
     o.add(__list=F.collect_list("__item").over(o.frame(max_samples)))
-    df = o.result().where(IS_SWAP)
+    df = o.result().where(is_swap())
     inside = F.expr(f"filter(__list, x -> x.t >= availability_ns - {int(window_ns)}L)")
     return (
         df.withColumn("__in", inside)
@@ -414,7 +418,7 @@ def candidate_extrema(marks: DataFrame, entries: DataFrame) -> DataFrame:
     interval is per entry; entries of a pool do not overlap, so each mark falls in at most one
     of them and the owner is found by one backward as-of scan.
     """
-    points = marks.where(IS_SWAP).select(
+    points = marks.where(is_swap()).select(
         "pool", F.col("availability_ns").alias("t"), F.lit(0).alias("rank"), "seq", "quote_raw", "base_raw",
         F.lit(None).cast("struct<entry_id:bigint,until_ns:bigint>").alias("entry"),
     ).unionByName(
