@@ -69,7 +69,7 @@ def u64(text) -> Column:
     """Digits-only unsigned 64-bit amount carried as text, else null."""
     text = _col(text)
     value = F.when(text.rlike("^[0-9]{1,38}$"), text.cast(WIDE))
-    return F.when(value <= F.lit(U64_MAX).cast(WIDE), value.cast("decimal(20,0)"))
+    return F.when(value <= F.lit(str(U64_MAX)).cast(WIDE), value.cast("decimal(20,0)"))
 
 
 def haircut_output(minimum_output, output, adverse_bps) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonio import event_id, sha256_hex
 from ..operators import pit as I
-from ..operators.ordered import Split
+from ..operators.ordered import Ordered, Split
 from .features_q import WIN
 from .registry import query
 from .views import CAP, CAP_COLUMNS, CAP_ORDER, EV, captures, events, table
@@ -43,11 +43,8 @@ def semantic_redelivery(spark, sf):
 
 def revision_records(spark, sf):
     """Journal records per user: revision counts earlier events of the user, with faults on some ids."""
-    from pyspark.sql import Window
-
-    ev = events(spark, sf)
-    w = Window.partitionBy("pool").orderBy("seq")
-    return ev.withColumn("n", F.row_number().over(w) - 1).select(
+    ev = Ordered(events(spark, sf), ["pool"], ["seq"]).running(inclusive=False, n=("sum", F.lit(1))).result()
+    return ev.withColumn("n", F.coalesce("n", F.lit(0))).select(
         F.col("seq").alias("capture_id"),
         F.lit("s").alias("source"),
         F.concat_ws(":", "pool", "n").alias("source_id"),
@@ -132,21 +129,19 @@ def journal_health(spark, sf):
     return I.journal_health(raw, norm, norm.where("status = 'accepted' and d <> 0"))
 
 
-@query("hash_chain_breaks", f"""WITH {EV}, l AS (SELECT pool AS log_id, row_number() OVER w AS rn, quote_raw AS doc, availability_ns AS at, seq FROM ev WINDOW w AS ({WIN})),
+@query("hash_chain_breaks", f"""WITH {EV}, l AS (SELECT pool AS log_id, row_number() OVER w AS rn, quote_raw AS doc, availability_ns AS tm, seq FROM ev WINDOW w AS ({WIN})),
 g AS (SELECT *, rn + (seq % 401 = 9)::INT * 1000 AS s2 FROM l),
 h AS (SELECT *, sha256(s2 || '|' || doc) AS hash FROM g),
-p AS (SELECT *, CASE WHEN seq % 307 = 11 THEN 'tampered' ELSE coalesce(lag(hash) OVER w, repeat('0', 64)) END AS prev, lag(s2) OVER w AS bs, lag(hash) OVER w AS bh, lag(at) OVER w AS ba FROM h WINDOW w AS (PARTITION BY log_id ORDER BY s2)),
-f AS (SELECT *, CASE WHEN s2 <> coalesce(bs + 1, 1) THEN 'sequence' WHEN prev <> coalesce(bh, repeat('0', 64)) THEN 'previous_hash' WHEN seq % 509 = 4 THEN 'hash' WHEN at <= ba THEN 'clock' END AS fault FROM p)
+p AS (SELECT *, CASE WHEN seq % 307 = 11 THEN 'tampered' ELSE coalesce(lag(hash) OVER w, repeat('0', 64)) END AS prev, lag(s2) OVER w AS bs, lag(hash) OVER w AS bh, lag(tm) OVER w AS ba FROM h WINDOW w AS (PARTITION BY log_id ORDER BY s2)),
+f AS (SELECT *, CASE WHEN s2 <> coalesce(bs + 1, 1) THEN 'sequence' WHEN prev <> coalesce(bh, repeat('0', 64)) THEN 'previous_hash' WHEN seq % 509 = 4 THEN 'hash' WHEN tm <= ba THEN 'clock' END AS fault FROM p)
 SELECT log_id, count(*) AS rows, min(s2) FILTER (WHERE fault IS NOT NULL) AS first_break, arg_min(fault, s2) FILTER (WHERE fault IS NOT NULL) AS fault, count(fault) = 0 AS intact FROM f GROUP BY log_id""")
 def hash_chain_breaks(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("pool").orderBy("availability_ns", "seq")
-    good = events(spark, sf).withColumn("rn", F.row_number().over(w).cast("bigint")).select(
+    good = Ordered(events(spark, sf), ["pool"], ["availability_ns", "seq"]).running(rn=("sum", F.lit(1))).result().select(
         F.col("pool").alias("log_id"), (F.col("rn") + F.when(F.col("seq") % 401 == 9, 1000).otherwise(0)).alias("s2"),
         F.col("quote_raw").alias("doc"), F.col("availability_ns").alias("at"), F.col("seq").alias("ev"))
     good = good.withColumn("good", F.sha2(F.concat_ws("|", "s2", "doc"), 256))
-    link = F.coalesce(F.lag("good").over(Window.partitionBy("log_id").orderBy("s2")), F.lit(I.ZERO_HASH))
+    good = Ordered(good, ["log_id"], ["s2"]).last_seen("before", F.col("good")).result()
+    link = F.coalesce("before", F.lit(I.ZERO_HASH))
     log = good.withColumn("prev", F.when(F.col("ev") % 307 == 11, "tampered").otherwise(link))
     # a changed document shows as a hash that does not recompute
     return I.hash_chain_verify(log.withColumnRenamed("good", "hash"),

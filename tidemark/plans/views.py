@@ -97,3 +97,44 @@ FILLS = """fl AS (
          CAST(round(l_discount * 100) AS BIGINT) AS d, CAST(round(l_tax * 100) AS BIGINT) AS a, l_linestatus AS f
   FROM lineitem)"""
 FILL_ORDER_SQL = ", ".join(FILL_ORDER)
+
+
+def blocks(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Range tables over order keys: an attempt per distinct (order, line), archived on even lines of F orders."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("slot"), F.col("l_linenumber").cast("bigint").alias("n")).distinct()
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("slot"), F.col("o_orderstatus").alias("st"), F.col("o_custkey").alias("c"))
+    a = li.join(orders, "slot").withColumn("id", F.col("slot") * 10 + F.col("n"))
+    status = F.expr("case when st = 'F' and n % 2 = 0 then 'archived' when st = 'F' then 'error' when st = 'P' then 'unavailable' when n % 2 = 1 then 'error' else 'unavailable' end")
+    reason = F.expr("case when st = 'F' and n % 2 = 0 then 'ok' when st = 'F' then 'rpc_-32603' when st = 'P' then 'null_result' when n % 2 = 1 then 'rpc_-32015' else 'timeout' end")
+    attempts = a.select("id", "slot", (F.col("slot") % 3).alias("session_id"), F.concat(F.lit("raw"), F.col("id")).alias("raw"),
+                        F.concat(F.lit("h"), F.col("id")).alias("raw_hash"), (F.col("slot") % 2).cast("int").alias("request_version"))
+    outcomes = a.where("id % 23 <> 4").select(F.col("id").alias("attempt_id"), status.alias("status"), reason.alias("reason"),
+                                              F.concat(F.lit("d"), F.col("slot"), F.when(F.col("id") % 31 == 2, "x").otherwise("")).alias("document_hash"))
+    done = attempts.select("id", "slot").join(outcomes.withColumnRenamed("attempt_id", "id"), "id")
+    first = done.where("status = 'archived'").groupBy("slot").agg(F.min_by(F.struct("id", "document_hash"), "id").alias("f"))
+    from ..operators.ordered import Ordered
+
+    o = Ordered(first.withColumn("k", F.lit(0)), ["k"], ["slot"]).last_seen("prev", F.col("slot"))
+    parent = F.when(F.col("slot") % 101 == 7, F.greatest(F.col("slot") - 40, F.lit(0))).otherwise(F.coalesce("prev", F.lit(-1)))
+    pubs = o.result().select(
+        "slot", F.col("f.id").alias("attempt_id"), F.concat(F.lit("b"), F.col("slot")).alias("blockhash"),
+        F.when(F.col("slot") % 97 == 5, "wrong").otherwise(F.concat(F.lit("b"), parent)).alias("previous_blockhash"),
+        parent.alias("parent_slot"), F.col("f.document_hash").alias("document_hash"))
+    return {"attempts": attempts, "outcomes": outcomes, "publications": pubs}
+
+
+BLOCKS = """li AS (SELECT DISTINCT l_orderkey AS slot, CAST(l_linenumber AS BIGINT) AS n FROM lineitem),
+al AS (SELECT slot, n, slot * 10 + n AS id, o_orderstatus AS st FROM li JOIN orders ON o_orderkey = slot),
+oc AS (SELECT id, slot, CASE WHEN st = 'F' AND n % 2 = 0 THEN 'archived' WHEN st = 'F' THEN 'error' WHEN st = 'P' THEN 'unavailable' WHEN n % 2 = 1 THEN 'error' ELSE 'unavailable' END AS status,
+ CASE WHEN st = 'F' AND n % 2 = 0 THEN 'ok' WHEN st = 'F' THEN 'rpc_-32603' WHEN st = 'P' THEN 'null_result' WHEN n % 2 = 1 THEN 'rpc_-32015' ELSE 'timeout' END AS reason,
+ 'd' || slot || CASE WHEN id % 31 = 2 THEN 'x' ELSE '' END AS document_hash FROM al WHERE id % 23 <> 4),
+fp AS (SELECT slot, min(id) AS attempt_id, arg_min(document_hash, id) AS document_hash FROM oc WHERE status = 'archived' GROUP BY slot),
+fq AS (SELECT *, CASE WHEN slot % 101 = 7 THEN greatest(slot - 40, 0) ELSE coalesce(lag(slot) OVER (ORDER BY slot), -1) END AS parent_slot FROM fp),
+pb AS (SELECT slot, attempt_id, document_hash, 'b' || slot AS blockhash, parent_slot, CASE WHEN slot % 97 = 5 THEN 'wrong' ELSE 'b' || parent_slot END AS previous_blockhash FROM fq),
+sp AS (SELECT max(o_orderkey) AS hi FROM orders),
+pf AS (SELECT s AS slot, min(c.slot) AS proof_slot FROM pb c JOIN pb p ON p.slot = c.parent_slot AND c.previous_blockhash = p.blockhash, LATERAL (SELECT unnest(range(c.parent_slot + 1, c.slot)) AS s) GROUP BY s),
+pr AS (SELECT * FROM pf WHERE slot NOT IN (SELECT slot FROM pb)),
+ls AS (SELECT slot, arg_max(status, id) AS status, arg_max(reason, id) AS reason, max(id) AS attempt_id FROM oc GROUP BY slot),
+st AS (SELECT o_orderkey AS slot, CASE WHEN pb.slot IS NOT NULL THEN 'archived' WHEN pr.slot IS NOT NULL THEN 'skipped' ELSE coalesce(ls.status, 'unavailable') END AS status,
+ CASE WHEN pb.slot IS NOT NULL THEN 'ok' WHEN pr.slot IS NOT NULL THEN 'verified_parent_gap' ELSE coalesce(ls.reason, 'not_attempted') END AS reason,
+ coalesce(pb.attempt_id, ls.attempt_id) AS attempt_id, pr.proof_slot FROM orders LEFT JOIN pb ON pb.slot = o_orderkey LEFT JOIN pr ON pr.slot = o_orderkey LEFT JOIN ls ON ls.slot = o_orderkey)"""
