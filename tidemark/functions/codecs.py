@@ -67,3 +67,31 @@ def checked_transfer_payload(amount: pd.Series, decimals: pd.Series) -> pd.Serie
 def le_unsigned(raw: pd.Series) -> pd.Series:
     """Little-endian unsigned integer of any width as text."""
     return raw.map(lambda b: None if b is None else str(int.from_bytes(bytes(b), "little")))
+
+
+@F.pandas_udf(T.IntegerType())
+def base58_length(text: pd.Series) -> pd.Series:
+    """Number of bytes of a base58 text of at most 256 letters, null when it is not one."""
+    return text.map(lambda t: None if (raw := from_base58(t, 256)) is None else len(raw)).astype("Int32")
+
+
+@F.pandas_udf(T.BooleanType())
+def keys_valid(keys: pd.Series) -> pd.Series:
+    """True when every text of the list is a 32-byte base58 key."""
+
+    def ok(k):
+        raw = from_base58(k, 256)
+        return raw is not None and len(raw) == 32
+
+    return keys.map(lambda ks: ks is not None and all(ok(k) for k in ks))
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def base58_decode_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: None if ts is None else [from_base58(t) for t in ts])
+
+
+def le_u64(raw, pos: int):
+    """Unsigned little-endian 64-bit integer at a 1-based byte position, inside the JVM."""
+    pairs = F.regexp_extract_all(F.hex(F.substring(raw, pos, 8)), F.lit("(..)"), 1)
+    return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).cast("decimal(20,0)")
