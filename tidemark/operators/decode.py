@@ -39,6 +39,15 @@ _RAW_BLOCK = (
 )
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator, so that later references read the value.
+
+    The optimizer merges adjacent projections and would otherwise copy these large expressions
+    into every column that uses them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def parse_blocks(documents: DataFrame, document: str = "document") -> DataFrame:
     """Published block documents (JSON) -> slot, blockhash, previous_blockhash, parent_slot, transactions."""
     d = documents.withColumn("__d", F.from_json(document, _RAW_BLOCK)).withColumns({
@@ -102,7 +111,7 @@ def explode_transactions(blocks: DataFrame) -> DataFrame:
         (F.col("instructions").isNull(), "error:invalid_instructions"),
         (F.col("inner").isNotNull() & ~parents, "error:invalid_inner_parent"),
     ], "processed:ok")
-    t = t.withColumn("__s", F.split(dead, ":"))
+    t = settle(t, __s=F.split(dead, ":"))
     return t.withColumns({
         "status": F.col("__s")[0],
         "reason": F.col("__s")[1],
@@ -152,7 +161,7 @@ def decode_native_transfer(instructions: DataFrame) -> DataFrame:
         (size != 12, "error:invalid_transfer_size"),
         ((F.size("ix.accounts") != 2) | ~_accounts_fit(), "error:invalid_transfer_accounts"),
     ], "decoded:system_transfer")
-    df = df.withColumn("__s", F.split(dead, ":"))
+    df = settle(df, __s=F.split(dead, ":"))
     done = F.col("__s")[0] == "decoded"
     return df.withColumns({
         "status": F.col("__s")[0],
@@ -177,7 +186,7 @@ def decode_token_transfer(instructions: DataFrame) -> DataFrame:
         .when((F.octet_length("__b") != 10) | (F.size("ix.accounts") < 4) | ~_accounts_fit(), "error")
         .otherwise("decoded")
     )
-    df = df.withColumn("status", state)
+    df = settle(df, status=state)
     done = F.col("status") == "decoded"
     return df.withColumns({
         "source_account": F.when(done, _account(0)), "mint": F.when(done, _account(1)),
@@ -263,15 +272,14 @@ def decode_protocol_event(calls: DataFrame) -> DataFrame:
     name = None
     for k, tag in protocol.INSTRUCTION_TAGS.items():
         name = F.when(F.col("__tag") == tag, k) if name is None else name.when(F.col("__tag") == tag, k)
-    df = df.withColumn("instruction", name)
-    df = df.withColumn("accounts", named_accounts(F.col("instruction"), F.col("ix.accounts"), F.col("keys")))
+    df = settle(df, instruction=name)
+    df = settle(df, accounts=named_accounts(F.col("instruction"), F.col("ix.accounts"), F.col("keys")))
     event_name = None
     for k, e in protocol.EVENT_OF.items():
         hit = F.when(F.col("instruction") == k, protocol.EVENT_TAGS[e]) if event_name is None else event_name.when(F.col("instruction") == k, protocol.EVENT_TAGS[e])
         event_name = hit
-    df = df.withColumn("__want", event_name)
     # what the program emitted below the call, with its position
-    df = df.withColumn("__own", F.expr(f"filter(transform(inners, (x, i) -> struct(i as pos, x as x)), y -> get(keys, y.x.programIdIndex) = '{protocol.PROGRAM}')"))
+    df = settle(df, __want=event_name, __own=F.expr(f"filter(transform(inners, (x, i) -> struct(i as pos, x as x)), y -> get(keys, y.x.programIdIndex) = '{protocol.PROGRAM}')"))
     df = df.withColumn("__raw", base58_decode_all(F.expr("transform(__own, y -> y.x.data)")))
     df = df.withColumn("__fields", unpack(F.expr("transform(__raw, r -> substring(r, 9))")))
     agree = " and ".join(f"(not map_contains_key(f, '{k}') or not map_contains_key(accounts, '{k}') or f['{k}'] = accounts['{k}'])" for k in AGREE)
@@ -289,12 +297,13 @@ def decode_protocol_event(calls: DataFrame) -> DataFrame:
     )
     bad_program = F.expr("exists(inners, x -> get(keys, x.programIdIndex) is null)")
     usable = F.col("instruction").isNotNull() & F.col("accounts").isNotNull()
-    df = df.withColumn("__v", F.when(usable, F.expr(verdict)))
-    df = df.withColumns({
-        "__stop": F.expr("get(filter(__v, x -> x.v in ('error', 'unresolved')), 0).v"),
-        "__found": F.expr("filter(__v, x -> x.v = 'found')"),
-        "unsupported_inner": F.expr("size(filter(__v, x -> x.v = 'unsupported'))"),
-    })
+    df = settle(df, __v=F.when(usable, F.expr(verdict)))
+    df = settle(
+        df,
+        __stop=F.expr("get(filter(__v, x -> x.v in ('error', 'unresolved')), 0).v"),
+        __found=F.expr("filter(__v, x -> x.v = 'found')"),
+        unsupported_inner=F.expr("size(filter(__v, x -> x.v = 'unsupported'))"),
+    )
     dead = first_reason([
         (F.col("__tag").isNull(), "error:invalid_protocol_evidence"),
         (F.col("instruction").isNull(), "unsupported:instruction_not_supported"),
@@ -306,12 +315,12 @@ def decode_protocol_event(calls: DataFrame) -> DataFrame:
         (F.coalesce(F.size("__found"), F.lit(0)) < 1, "unresolved:matching_event_missing"),
         (F.size("__found") > 1, "error:invalid_protocol_evidence"),
     ], "decoded:ok")
-    df = df.withColumn("__s", F.split(dead, ":"))
+    df = settle(df, __s=F.split(dead, ":"))
     done = F.col("__s")[0] == "decoded"
     one = F.get("__found", F.lit(0))
-    df = df.withColumns({
-        "status": F.col("__s")[0], "reason": F.col("__s")[1],
-        "fields": F.when(done, one["f"]), "inner_instruction_index": F.when(done, one["pos"]), "event_data_sha256": F.when(done, one["sha"])})
+    df = settle(df, status=F.col("__s")[0], reason=F.col("__s")[1], fields=F.when(done, one["f"]),
+                inner_instruction_index=F.when(done, one["pos"]), event_data_sha256=F.when(done, one["sha"]))
+    done = F.col("status") == "decoded"
     f, a = F.col("fields"), F.col("accounts")
     swap = F.col("instruction").isin("buy", "buy_exact_quote_in", "sell")
     buy = F.col("instruction") != "sell"
