@@ -156,12 +156,11 @@ def position_health(analyses: DataFrame, marks: DataFrame, entries: DataFrame, t
         "pool", F.col("as_of").alias("t"), F.lit(2).alias("rank"), F.col("analysis_id").alias("id"), F.lit(None).cast("bigint").alias("quote_raw"),
         F.lit(None).cast("bigint").alias("base_raw"), F.lit(None).cast(none).alias("entry"), F.col("analysis_id").cast("bigint").alias("analysis_id")))
     o = Ordered(stream, ["pool"], ["t", "rank", "id"], split).last_seen("open", F.col("entry"), F.col("rank") == 1)
-    owned = o.result().where((F.col("rank") != 1) & F.col("open").isNotNull()).withColumn("entry_id", F.col("open.entry_id"))
+    o = o.add(entry_id=F.col("open.entry_id")).refine("entry_id")
     mark = F.when(F.col("rank") == 0, F.struct(price("quote_raw", "base_raw").alias("p"), "quote_raw", "base_raw"))
-    o = Ordered(owned, ["pool", "entry_id"], ["t", "rank", "id"], split)
     o.running(hi=("max", mark), lo=("min", mark), samples=("sum", F.when(F.col("rank") == 0, 1).otherwise(0)))
     o.last_seen("last", F.struct("quote_raw", "base_raw"), F.col("rank") == 0)
-    path = o.result().where(F.col("rank") == 2)
+    path = o.result().where((F.col("rank") == 2) & F.col("open").isNotNull())
 
     def vs_entry(c):
         return return_bps(f"{c}.quote_raw", f"{c}.base_raw", "open.eq", "open.units")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import change_bps, div_floor, div_trunc, nearest_rank, price, return_bps, rms_return_bps
-from .ordered import Ordered, Split
+from .ordered import Ordered, Split, measured
 
 ORDER = ("availability_ns", "seq")
 
@@ -113,6 +113,7 @@ def drawdown(events: DataFrame, split: Split = Split()) -> DataFrame:
 
 def horizon_outcomes(events: DataFrame, horizons=(60, 300, 1800, 3600, 86400), split: Split = Split()) -> DataFrame:
     """Per pool and horizon the first swap at or after first swap + horizon; null when none was seen."""
+    split = measured(events, ["pool"], "availability_ns", split)
     swaps = drawdown(anchor_price(events, split), split)
     hs = F.array(*[F.lit(int(h)).cast("bigint") for h in sorted(horizons)])
     marks = (

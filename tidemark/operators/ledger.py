@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import price
 from .features import flags
-from .ordered import Ordered, Split
+from .ordered import Ordered, Split, measured
 
 # Cost categories in reporting order.
 COST_CATEGORIES = ("network", "priority", "DEX", "LP", "creator", "ATA-create", "ATA-close-or-refund", "other", "price-impact", "adverse-movement", "paper-slippage")
@@ -27,6 +27,7 @@ def ledger_rows(ledger: DataFrame, initial: int, account: str = "account", split
     ledger: account, seq, id, kind (intent / reject / settlement / cancel), intent_id, side, mint, base_units, quote_spent, quote_received.
     """
     ledger, account = _one_key(ledger, account)
+    split = measured(ledger, [account], "seq", split)
     rows = ledger.where(F.col("kind").isin("intent", "settlement", "cancel")).withColumn("__i", F.coalesce("intent_id", "id"))
     o = Ordered(rows, [account, "__i"], ["seq"], split).last_seen("__last", F.struct("kind", "side", "mint"))
     fills = o.result().where(F.col("kind") == "settlement").withColumns({

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Ordered, Split
+from .ordered import Ordered, Split, measured
 
 # Alert codes.
 ALERT_CODES = ("quota_exhausted", "slots_unresolved", "decoder_errors", "token_deltas_unknown", "token_balances_not_recorded",
@@ -68,6 +68,7 @@ def alert_lifecycle(observations: DataFrame, codes=ALERT_CODES, split: Split = S
     observations: source, id (order), codes, complete. Whether a code is active depends only on the newest
     row that says something about it, so a transition is a change against the previous such row.
     """
+    split = measured(observations, ["source"], "id", split)
     o = Ordered(alert_marks(observations, codes), ["source", "code"], ["id"], split).last_seen("before", F.col("set"))
     t = o.result().where(F.col("set") != F.coalesce("before", F.lit(False)))
     return t.select("source", "code", "id", F.when(F.col("set"), "OPEN").otherwise("RESOLVED").alias("state"))

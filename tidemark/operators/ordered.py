@@ -1,8 +1,10 @@
 """Ordered per-key computation that survives a hot key.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a key with
-more than ``Split.rows`` rows is cut along its order axis into segments of about that many
-rows; windows run per (key, segment) and what earlier segments know is carried over:
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. So the row counts
+per key are measured first (a map-side combined count over the key columns). Where no key has
+more than ``Split.rows`` rows, that plain window is the plan. Otherwise each hot key is cut
+along its order axis into segments of about that many rows; windows run per (key, segment)
+and what earlier segments know is carried over:
 
 * ``running`` keeps prefix max / min / sum. Each segment is aggregated once (map-side
   combined), the per-segment results are scanned per key, and the prefix is joined back.
@@ -17,17 +19,37 @@ hot key. With the default of four million, 10^12 rows give at most 250,000 hot k
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEG, HOME, HOT = "__seg", "__home", "__hot"
 
 
 @dataclass(frozen=True)
 class Split:
+    """Rows a key may have before it is cut; ``measured`` fills in which keys those are."""
+
     rows: int = 4_000_000
+    keys: tuple[str, ...] | None = None
+    hot: tuple[Row, ...] | None = None
+
+
+def measured(df: DataFrame, keys, axis: str, split: Split = Split()) -> Split:
+    """The split with its hot keys found, to be shared by several scans over the same keys.
+
+    It may be used for any rows whose key includes ``keys`` and whose axis stays in about the
+    same range; counting a superset of the rows is fine.
+    """
+    if split.hot is not None:
+        return split
+    n, lo, hi = F.col("__n"), F.col("__lo"), F.col("__hi")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(axis).alias("__lo"), F.max(axis).alias("__hi"))
+    width = F.greatest(F.lit(1.0), F.ceil((hi - lo + 1) / F.ceil(n / F.lit(split.rows))))
+    hot = sizes.where(n > split.rows).select(*keys, lo.cast("double").alias("__lo"), width.cast("double").alias("__width"))
+    return replace(split, keys=tuple(keys), hot=tuple(hot.collect()))
 
 
 def _attach(left: DataFrame, right: DataFrame, cols) -> DataFrame:
@@ -45,20 +67,17 @@ class Ordered:
     def __init__(self, df: DataFrame, keys, order, split: Split = Split(), lookback: int = 0, lookback_range: int = 0):
         self.keys, self.order = list(keys), list(order)
         axis = self.order[0]
-        hot = (
-            df.groupBy(*self.keys)
-            .agg(F.count(F.lit(1)).alias("__n"), F.min(axis).alias("__lo"), F.max(axis).alias("__hi"))
-            .where(F.col("__n") > split.rows)
-            .select(
-                *self.keys,
-                F.col("__lo"),
-                F.greatest(
-                    F.lit(1.0 + lookback_range),
-                    F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.ceil(F.col("__n") / F.lit(split.rows))),
-                ).alias("__width"),
-            )
-        )
-        rows = _attach(df, hot, self.keys)
+        split = measured(df, self.keys, axis, split)
+        self.cut = bool(split.hot)
+        if not self.cut:
+            self.df = df
+            return
+        fields = [df.schema[k] for k in split.keys]
+        schema = T.StructType([*fields, T.StructField("__lo", T.DoubleType()), T.StructField("__width", T.DoubleType())])
+        hot = df.sparkSession.createDataFrame(list(split.hot), T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
+        if lookback_range:
+            hot = hot.withColumn("__width", F.greatest("__width", F.lit(1.0 + lookback_range)))
+        rows = _attach(df, hot, list(split.keys))
         rows = (
             rows.withColumn(HOT, F.col("__lo").isNotNull())
             .withColumn(
@@ -83,6 +102,12 @@ class Ordered:
             rows = rows.unionByName(self._tails(rows, lookback))
         self.df = rows
 
+    def refine(self, *keys: str) -> "Ordered":
+        """The same rows under a longer key: same segments, and no new shuffle."""
+        out = object.__new__(Ordered)
+        out.keys, out.order, out.cut, out.df = [*self.keys, *keys], self.order, self.cut, self.df
+        return out
+
     def _tails(self, rows: DataFrame, n: int) -> DataFrame:
         """The last ``n`` rows before each later segment of a hot key, marked as copies."""
         data = [c for c in rows.columns if c not in (SEG, HOME, HOT)]
@@ -107,7 +132,7 @@ class Ordered:
 
     def window(self, descending: bool = False):
         by = [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
-        return Window.partitionBy(*self.keys, SEG).orderBy(*by)
+        return Window.partitionBy(*self.keys, *([SEG] if self.cut else [])).orderBy(*by)
 
     def frame(self, n: int):
         """The current row and up to ``n - 1`` before it."""
@@ -116,6 +141,10 @@ class Ordered:
     def running(self, descending: bool = False, inclusive: bool = True, **specs) -> "Ordered":
         """Add prefix aggregates; ``specs`` maps a name to ("max" | "min" | "sum", column)."""
         funcs = {"max": F.max, "min": F.min, "sum": F.sum}
+        w = self.window(descending).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        if not self.cut:
+            self.df = self.df.select("*", *[funcs[fn](c).over(w).alias(name) for name, (fn, c) in specs.items()])
+            return self
         df = self.df
         for name, (fn, c) in specs.items():
             # copies in front of a segment are already part of the carried sum
@@ -131,7 +160,6 @@ class Ordered:
             SEG,
             *[funcs[fn](f"__s_{name}").over(earlier).alias(f"__p_{name}") for name, (fn, _) in specs.items()],
         )
-        w = self.window(descending).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         for name, (fn, _) in specs.items():
             df = df.withColumn(f"__l_{name}", funcs[fn](f"__v_{name}").over(w))
         df = _attach(df, prior, [*self.keys, SEG])
@@ -159,4 +187,4 @@ class Ordered:
         return self
 
     def result(self) -> DataFrame:
-        return self.df.where(HOME).drop(SEG, HOME, HOT)
+        return self.df.where(HOME).drop(SEG, HOME, HOT) if self.cut else self.df

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import WIDE
 from ..functions.jsonio import sha256_hex
 from ..session import cut_lineage
-from .ordered import Ordered, Split
+from .ordered import Ordered, Split, measured
 
 
 def classify_duplicates(captures: DataFrame, keys, order, document: str = "document",
@@ -73,6 +73,7 @@ def validate_revisions(records: DataFrame, split: Split = Split()) -> DataFrame:
     """
     chain = ["source", "logical_id"]
     rows = records.withColumns({"capture_id": F.col("capture_id").cast("bigint"), "revision": F.col("revision").cast("bigint")})
+    by_chain, by_id = measured(rows, chain, "capture_id", split), measured(rows, ["source", "source_id"], "capture_id", split)
     blocked = None
     while True:
         pool = rows if blocked is None else rows.join(blocked, "capture_id", "left_anti")
@@ -80,7 +81,7 @@ def validate_revisions(records: DataFrame, split: Split = Split()) -> DataFrame:
                                 "capture_id", F.lit(0).alias("child"))
         as_child = pool.where(F.col("supersedes").isNotNull()).select(
             *chain, F.col("revision").alias("rev"), F.col("supersedes").alias("sup"), "kind", "capture_id", F.lit(1).alias("child"))
-        o = Ordered(as_parent.unionByName(as_child), [*chain, "rev", "sup", "kind"], ["capture_id", "child"], split)
+        o = Ordered(as_parent.unionByName(as_child), [*chain, "rev", "sup", "kind"], ["capture_id", "child"], by_chain)
         o.last_seen("next", F.col("capture_id"), F.col("child") == 1, descending=True)
         edges = o.result().where("child = 0 and next is not null").select(F.col("capture_id").alias("node"), "next")
         roots = (
@@ -90,16 +91,16 @@ def validate_revisions(records: DataFrame, split: Split = Split()) -> DataFrame:
         reached = cut_lineage(_follow(edges, roots).select(F.col("node").alias("capture_id"), F.lit(True).alias("__ok")))
         accepted = rows.join(reached, "capture_id").select("source", "source_id", "capture_id")
         # an id already accepted elsewhere in the source refuses its later holders
-        again = Ordered(accepted, ["source", "source_id"], ["capture_id"], split).last_seen("held", F.col("capture_id"))
+        again = Ordered(accepted, ["source", "source_id"], ["capture_id"], by_id).last_seen("held", F.col("capture_id"))
         clash = again.result().where(F.col("held").isNotNull()).groupBy("source").agg(F.min("capture_id").alias("capture_id"))
         clash = cut_lineage(clash.select("capture_id"))
         if clash.isEmpty():
             break
         blocked = clash if blocked is None else cut_lineage(blocked.unionByName(clash))
     marked = rows.join(reached, "capture_id", "left").withColumn("__ok", F.coalesce("__ok", F.lit(False)))
-    o = Ordered(marked, ["source", "source_id"], ["capture_id"], split)
+    o = Ordered(marked, ["source", "source_id"], ["capture_id"], by_id)
     o.last_seen("same_id", F.struct("document"), F.col("__ok"))
-    o = Ordered(o.result(), chain, ["capture_id"], split)
+    o = Ordered(o.result(), chain, ["capture_id"], by_chain)
     o.last_seen("parent", F.struct("revision", "source_id", "kind"), F.col("__ok"))
     is_copy = F.col("same_id").isNotNull() & (F.col("same_id.document") == F.col("document"))
     reason = (
