@@ -1 +1,128 @@
-"""Queries."""
+"""Source and streaming queries: tables are landed as files and read back, streams run until the input is used up."""
+
+from pyspark.sql import functions as F
+
+from ..operators import validate as P
+from ..sources import files as S
+from ..streaming import pools as X
+from .features_q import DRAWDOWN, WIN, bps
+from .ops_q import ALERTS, observations
+from .registry import query
+from .views import BLOCKS, EV, events, micros, table
+from .views import blocks as range_tables
+
+
+@query("record_lines", f"""WITH {EV} SELECT seq, true AS valid_utf8, 'ok' AS reason FROM ev""")
+def record_lines(spark, sf):
+    ev = events(spark, sf)
+    path = f"{S.scratch(spark)}/records"
+    rec = ev.select(F.lit(1).alias("schema_version"), F.lit("feed").alias("source"), F.col("seq").cast("string").alias("source_id"), F.col("pool").cast("string").alias("logical_id"), F.lit("swap").alias("kind"), "event_time",
+                    F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("string").alias("blockhash"), F.lit("offchain").alias("commitment"), F.lit(0).alias("revision"), F.lit(None).cast("string").alias("supersedes"),
+                    F.lit(False).alias("retracted"), F.struct("quote_raw").alias("payload"))
+    S.export_jsonl(rec, path)
+    lines = S.read_records(spark, path)
+    out = P.parse_records(P.validate_record(lines))
+    return out.select(F.col("source_id").cast("bigint").alias("seq"), "valid_utf8", "reason")
+
+
+@query("request_provenance", """SELECT o_orderkey AS capture_id, CASE WHEN o_custkey % 5 <> 0 THEN 'https://h' || (o_custkey % 3) || '.example:8899' END AS origin, CASE WHEN o_custkey % 5 <> 0 THEN '[{"a":1,"b":2}]' END AS request_params FROM orders""")
+def request_provenance(spark, sf):
+    o = table(spark, sf, "orders")
+    req = o.where("o_custkey % 5 <> 0").select(F.col("o_orderkey").alias("capture_id"), F.concat(F.lit("https://user:key@h"), F.col("o_custkey") % 3, F.lit(".example:8899/path?token=abcd")).alias("endpoint"),
+                                               F.lit('[{"b":2, "a":1}]').alias("request_params"))
+    return S.attach_provenance(o.select(F.col("o_orderkey").alias("capture_id")), req).select("capture_id", F.col("endpoint").alias("origin"), "request_params")
+
+
+@query("archive_tables", f"WITH {BLOCKS} SELECT 'attempts' AS name, count(*) AS rows, CAST(sum(length('raw' || id)) AS BIGINT) AS bytes FROM al UNION ALL SELECT 'outcomes', count(*), NULL FROM oc UNION ALL SELECT 'publications', count(*), NULL FROM pb")
+def archive_tables(spark, sf):
+    b = range_tables(spark, sf)
+    none = F.lit(None).cast("string")
+    tables = {
+        "block_meta": spark.range(1).select("id", F.lit(1).alias("version"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("next_slot")),
+        "sessions": spark.range(3).select("id", F.lit("c").alias("context"), F.lit("h").alias("hash")),
+        "attempts": b["attempts"].withColumns({"raw": F.col("raw").cast("binary"), "transport_error": none, "observed_at": F.lit(0), "evidence_hash": none}),
+        "outcomes": b["outcomes"].withColumn("document", none),
+        "slots": b["outcomes"].limit(0).select(F.col("attempt_id").alias("slot"), "status", "reason", "attempt_id", F.col("attempt_id").alias("proof_slot")),
+        "publications": b["publications"].withColumns({"document": none, "published_at": F.lit(0)}),
+    }
+    path = f"{S.scratch(spark)}/archive"
+    back = S.read_archive_tables(spark, path, S.write_archive_tables(tables, path))
+    out = back["attempts"].agg(F.lit("attempts").alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("raw")).alias("bytes"))
+    for name in ("outcomes", "publications"):
+        out = out.unionByName(back[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.lit(None).cast("bigint").alias("bytes")))
+    return out
+
+
+@query("frames_by_kind", f"WITH {EV} SELECT seq, quote_raw AS amount FROM sw WHERE seq < 7000")
+def frames_by_kind(spark, sf):
+    ev = events(spark, sf)
+    path = f"{S.scratch(spark)}/frames"
+    S.write_frames(ev.select("seq", "kind", F.to_json(F.struct(F.col("quote_raw").alias("amount"))).alias("metadata"), F.lit(None).cast("binary").alias("raw"), F.col("availability_ns").alias("observed_ns"),
+                             F.lit("").alias("prev"), F.lit("").alias("hash")), path)
+    return S.read_frames(spark, path, "swap", 7000, "amount bigint").select("seq", "metadata.amount")
+
+
+@query("content_addressed_dataset", "SELECT o_orderkey, o_orderstatus FROM orders")
+def content_addressed_dataset(spark, sf):
+    root = f"{S.scratch(spark)}/datasets"
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    first = S.write_content_addressed(df, root)
+    if S.write_content_addressed(df.repartition(3), root) != first:
+        raise AssertionError("the same rows must get the same name")
+    return S.read_dataset(spark, root, first)
+
+
+def stream_events(spark, sf):
+    """The events table as a stream of swaps."""
+    schema = table(spark, sf, "events").schema
+    e = S.stream_frames(spark, sf, schema, glob="events.parquet")
+    return e.select(
+        F.col("user_id").alias("pool"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("slot"), (micros(e, "ts") * 1000).alias("availability_ns"),
+        F.pmod("event_id", F.lit(7)).cast("string").alias("wallet"), F.expr("case event_type when 'signup' then 'pool_created' when 'error' then 'failed' else 'swap' end").alias("kind"),
+        F.expr("case when event_type in ('purchase', 'view') then 'buy' else 'sell' end").alias("instruction"), F.round(F.col("value") * 100).cast("bigint").alias("quote_raw"),
+        (F.regexp_extract("props", "([0-9]+)", 1).cast("bigint") + 1).alias("base_raw"))
+
+
+STREAM = DRAWDOWN + f""", x AS (SELECT *, count(*) OVER w AS n, CAST(sum(quote_raw) OVER w AS BIGINT) AS vol, first_value(quote_raw) OVER w AS fq, first_value(base_raw) OVER w AS fb FROM sw WINDOW w AS ({WIN} ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)),
+d AS (SELECT pool, seq, min(fall) OVER ({WIN} ROWS UNBOUNDED PRECEDING) AS dd FROM f), nw AS (SELECT seq, row_number() OVER (PARTITION BY pool, wallet ORDER BY seq) = 1 AS new_wallet FROM sw)
+SELECT x.pool, x.seq, n AS swaps_observed, vol AS volume_quote_raw, {bps("quote_raw", "base_raw", "fq", "fb")} AS price_change_bps, dd AS drawdown_bps, new_wallet FROM x JOIN d USING (pool, seq) JOIN nw ON nw.seq = x.seq"""
+
+
+@query("stream_pool_features", STREAM)
+def stream_pool_features(spark, sf):
+    with_rocksdb(spark)
+    out = X.run_available(X.stream_pool_features(stream_events(spark, sf), 16, (3600, 86400)), S.scratch(spark))
+    return out.where("entry = 'feature'").select("pool", "seq", "swaps_observed", "volume_quote_raw", "price_change_bps", "drawdown_bps", "new_wallet")
+
+
+@query("stream_alert_transitions", ALERTS + " SELECT source, code, id, CASE WHEN st THEN 'OPEN' ELSE 'RESOLVED' END AS state FROM tr WHERE st <> pv")
+def stream_alert_transitions(spark, sf):
+    with_rocksdb(spark)
+    path = S.scratch(spark)
+    obs = observations(spark, sf)
+    obs.write.parquet(f"{path}/landing")
+    return X.run_available(X.stream_alerts(S.stream_frames(spark, f"{path}/landing", obs.schema)), path)
+
+
+@query("stream_published", "WITH r AS (SELECT l_orderkey AS id, l_returnflag || l_linestatus AS hash, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 1000 + CAST(l_quantity AS BIGINT) AS ord FROM lineitem) SELECT id, arg_min(hash, {o: ord, h: hash}) AS hash FROM r GROUP BY id")
+def stream_published(spark, sf):
+    path = S.scratch(spark)
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("hash"),
+                                             (F.col("l_linenumber").cast("bigint") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("bigint")).alias("ord"))
+    # arrivals that share an order are settled by content before they land
+    li = li.groupBy("id", "ord").agg(F.min("hash").alias("hash"))
+    li.write.parquet(f"{path}/landing")
+    q = X.stream_publish(S.stream_frames(spark, f"{path}/landing", li.schema), f"{path}/table", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/table/published").select("id", "hash")
+
+
+@query("stream_feed_coverage", f"""WITH {EV} SELECT pool AS window_id, min(availability_ns) AS first_ns, max(availability_ns) AS last_ns, count(*) AS messages, bool_or(kind = 'pool_created') AS opened, bool_or(kind = 'failed') AS closed, 'PARTIAL' AS coverage FROM ev GROUP BY pool""")
+def stream_feed_coverage(spark, sf):
+    m = stream_events(spark, sf).select(F.col("pool").alias("window_id"), "seq", F.col("availability_ns").alias("observed_ns"), F.expr("case kind when 'pool_created' then 'open' when 'failed' then 'close' end").alias("marker"))
+    return X.run_available(X.stream_coverage(m), S.scratch(spark), "complete")
+
+
+def with_rocksdb(spark):
+    """Keyed state with lists and maps needs the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
