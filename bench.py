@@ -36,10 +36,15 @@ def main() -> None:
     times, rates = {}, {}
     for name in names:
         took = []
-        for _ in range(runs):
-            t0 = time.perf_counter()
-            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-            took.append(time.perf_counter() - t0)
+        try:
+            for _ in range(runs):
+                t0 = time.perf_counter()
+                QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+                took.append(time.perf_counter() - t0)
+        except Exception as exc:  # noqa: BLE001 - one broken query must not hide the others
+            print(f"{name}: {str(exc)[:300]}", file=sys.stderr)
+            continue
+        print(f"{name} {took}", file=sys.stderr)
         times[name] = round(statistics.median(took) if runs > 2 else min(took), 3)
         if name in EVENT_QUERIES:
             rates[name] = round(events / times[name])

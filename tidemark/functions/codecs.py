@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,7 @@ def from_base58(text, limit: int = 16384):
     return bytes(zeros) + number.to_bytes((number.bit_length() + 7) // 8, "big")
 
 
+@lru_cache(1 << 16)
 def to_base58(raw: bytes) -> str:
     number = int.from_bytes(raw, "big")
     letters = []
@@ -35,20 +39,85 @@ def to_base58(raw: bytes) -> str:
     return "1" * zeros + "".join(reversed(letters))
 
 
+_LUT = np.full(256, 255, dtype=np.uint8)
+_LUT[[ord(ch) for ch in BASE58]] = np.arange(58, dtype=np.uint8)
+_LETTERS = np.frombuffer(BASE58.encode(), dtype=np.uint8)
+_STEP, _BIG = 5, np.uint64(58**5)
+_MASK, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(32)
+_POWERS = np.array([58**k for k in range(_STEP - 1, -1, -1)], dtype=np.uint64)
+
+
+def _digits(texts, width: int):
+    """Letters of texts as base-58 digits, left-filled with zeros; 255 marks a foreign letter."""
+    block = np.frombuffer(b"".join(t.encode("latin-1", "replace").rjust(width, b"1") for t in texts), dtype=np.uint8)
+    return _LUT[block.reshape(len(texts), width)]
+
+
+def decode_batch(texts) -> list:
+    """Bytes of many base58 texts. Texts of up to 95 letters are worked on together, five digits a
+    step over 32-bit limbs; each distinct text is decoded once."""
+    found: dict = {}
+    short = {t for t in texts if isinstance(t, str) and 0 < len(t) <= 95}
+    for lo, width in ((0, 45), (45, 95)):
+        group = [t for t in short if lo < len(t) <= width]
+        if not group:
+            continue
+        d = _digits(group, width)
+        good = (d != 255).all(axis=1)
+        limbs = np.zeros((len(group), (width * 6 + 31) // 32 + 1), dtype=np.uint64)
+        for at in range(0, width, _STEP):
+            carry = d[:, at:at + _STEP].astype(np.uint64) @ _POWERS
+            for k in range(limbs.shape[1]):
+                t = limbs[:, k] * _BIG + carry
+                limbs[:, k], carry = t & _MASK, t >> _SHIFT
+        raw = limbs[:, ::-1].astype(">u4").tobytes()
+        size = limbs.shape[1] * 4
+        for n, t in enumerate(group):
+            found[t] = bytes(len(t) - len(t.lstrip("1"))) + raw[n * size:(n + 1) * size].lstrip(b"\0") if good[n] else None
+    return [found[t] if isinstance(t, str) and t in found else from_base58(t) for t in texts]
+
+
+def encode_batch(raws) -> list:
+    """Base58 texts of many byte strings; those of one length up to 64 bytes are divided together."""
+    found: dict = {}
+    sizes: dict = {}
+    for r in raws:
+        if r is not None and 0 < len(r) <= 64:
+            sizes.setdefault(len(r), set()).add(bytes(r))
+    for size, group in sizes.items():
+        group = list(group)
+        words = (size + 3) // 4
+        limbs = np.frombuffer(b"".join(r.rjust(words * 4, b"\0") for r in group), dtype=">u4").reshape(len(group), words).astype(np.uint64)
+        steps = (size * 138 // 100 + 1 + _STEP - 1) // _STEP
+        out = np.zeros((len(group), steps * _STEP), dtype=np.uint8)
+        for step in range(steps - 1, -1, -1):
+            rest = np.zeros(len(group), dtype=np.uint64)
+            for k in range(words):
+                t = (rest << _SHIFT) | limbs[:, k]
+                limbs[:, k], rest = t // _BIG, t % _BIG
+            for place in range(_STEP - 1, -1, -1):
+                out[:, step * _STEP + place] = _LETTERS[(rest % np.uint64(58)).astype(np.intp)]
+                rest //= np.uint64(58)
+        text = out.tobytes().decode()
+        for n, r in enumerate(group):
+            found[r] = "1" * (size - len(r.lstrip(b"\0"))) + text[n * steps * _STEP:(n + 1) * steps * _STEP].lstrip("1")
+    return [None if r is None else found[bytes(r)] if bytes(r) in found else to_base58(bytes(r)) for r in raws]
+
+
 @F.pandas_udf(T.BinaryType())
 def base58_decode(text: pd.Series) -> pd.Series:
-    return text.map(from_base58)
+    return pd.Series(decode_batch(list(text)), dtype=object)
 
 
 @F.pandas_udf(T.StringType())
 def base58_encode(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else to_base58(bytes(b)))
+    return pd.Series(encode_batch(list(raw)), dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
 def valid_key(text: pd.Series) -> pd.Series:
     """True for a base58 text of exactly 32 bytes."""
-    return text.map(lambda t: (lambda raw: raw is not None and len(raw) == 32)(from_base58(t, 256)))
+    return pd.Series([raw is not None and len(raw) == 32 for raw in decode_batch(list(text))])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -72,23 +141,26 @@ def le_unsigned(raw: pd.Series) -> pd.Series:
 @F.pandas_udf(T.IntegerType())
 def base58_length(text: pd.Series) -> pd.Series:
     """Number of bytes of a base58 text of at most 256 letters, null when it is not one."""
-    return text.map(lambda t: None if (raw := from_base58(t, 256)) is None else len(raw)).astype("Int32")
+    raws = decode_batch([t if isinstance(t, str) and len(t) <= 256 else None for t in text])
+    return pd.Series([None if raw is None else len(raw) for raw in raws], dtype="Int32")
+
+
+def _decode_lists(lists) -> list:
+    """Decode the texts of all rows of a batch in one go."""
+    flat = [t for ts in lists if ts is not None for t in ts]
+    decoded = iter(decode_batch(flat))
+    return [None if ts is None else [next(decoded) for _ in ts] for ts in lists]
 
 
 @F.pandas_udf(T.BooleanType())
 def keys_valid(keys: pd.Series) -> pd.Series:
     """True when every text of the list is a 32-byte base58 key."""
-
-    def ok(k):
-        raw = from_base58(k, 256)
-        return raw is not None and len(raw) == 32
-
-    return keys.map(lambda ks: ks is not None and all(ok(k) for k in ks))
+    return pd.Series([rows is not None and all(raw is not None and len(raw) == 32 for raw in rows) for rows in _decode_lists(list(keys))])
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
 def base58_decode_all(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda ts: None if ts is None else [from_base58(t) for t in ts])
+    return pd.Series(_decode_lists(list(texts)), dtype=object)
 
 
 def le_u64(raw, pos: int):

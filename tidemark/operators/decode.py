@@ -261,14 +261,16 @@ def named_accounts(instruction: Column, accounts: Column, keys: Column) -> Colum
 AGREE = ("pool", "user", "creator", "base_mint", "quote_mint", "user_base_token_account", "user_quote_token_account", "lp_mint")
 
 
-def decode_protocol_event(calls: DataFrame) -> DataFrame:
+def decode_protocol_event(calls: DataFrame, only: Column | None = None) -> DataFrame:
     """Instruction calls of the exchange program -> the one authenticated event each of them emitted.
 
     calls: keys, ix (the call), inners (array of the instructions it may have emitted, in order).
     Adds status decoded / unsupported / unresolved / error, reason, instruction, accounts (name -> key),
-    fields (name -> text), inner_instruction_index and the typed swap columns.
+    fields (name -> text), inner_instruction_index and the typed swap columns. Rows where ``only``
+    does not hold pass by with nulls instead of their bytes.
     """
-    df = calls.withColumn("__tag", F.lower(F.hex(F.substring(base58_decode("ix.data"), 1, 8))))
+    here = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    df = calls.withColumn("__tag", F.lower(F.hex(F.substring(base58_decode(F.when(here, F.col("ix.data"))), 1, 8))))
     name = None
     for k, tag in protocol.INSTRUCTION_TAGS.items():
         name = F.when(F.col("__tag") == tag, k) if name is None else name.when(F.col("__tag") == tag, k)
@@ -279,7 +281,8 @@ def decode_protocol_event(calls: DataFrame) -> DataFrame:
         hit = F.when(F.col("instruction") == k, protocol.EVENT_TAGS[e]) if event_name is None else event_name.when(F.col("instruction") == k, protocol.EVENT_TAGS[e])
         event_name = hit
     # what the program emitted below the call, with its position
-    df = settle(df, __want=event_name, __own=F.expr(f"filter(transform(inners, (x, i) -> struct(i as pos, x as x)), y -> get(keys, y.x.programIdIndex) = '{protocol.PROGRAM}')"))
+    df = settle(df, __want=event_name, __own=F.when(here, F.expr(
+        f"filter(transform(inners, (x, i) -> struct(i as pos, x as x)), y -> get(keys, y.x.programIdIndex) = '{protocol.PROGRAM}')")))
     df = df.withColumn("__raw", base58_decode_all(F.expr("transform(__own, y -> y.x.data)")))
     df = df.withColumn("__fields", unpack(F.expr("transform(__raw, r -> substring(r, 9))")))
     agree = " and ".join(f"(not map_contains_key(f, '{k}') or not map_contains_key(accounts, '{k}') or f['{k}'] = accounts['{k}'])" for k in AGREE)
@@ -356,11 +359,12 @@ def dex_events(transactions: DataFrame) -> DataFrame:
     """State of every outer instruction; decoded ones carry the event. Other programs never reach the byte codecs."""
     calls = top_level_calls(transactions)
     routed = F.coalesce(F.expr(f"exists(inners, x -> get(keys, x.programIdIndex) = '{protocol.PROGRAM}')"), F.lit(False))
-    own = decode_protocol_event(calls.where(F.col("program") == protocol.PROGRAM))
-    other = calls.where(~F.col("program").eqNullSafe(protocol.PROGRAM)).withColumns({
-        "status": F.when(F.col("program").isNull(), "error").otherwise("unsupported"),
-        "reason": F.when(F.col("program").isNull(), "invalid_program_index").when(routed, "routed_protocol_not_supported").otherwise("protocol_not_supported")})
-    out = own.unionByName(other, allowMissingColumns=True)
+    own = F.col("program") == protocol.PROGRAM
+    out = decode_protocol_event(calls, own)
+    out = out.withColumns({
+        "status": F.when(F.col("program").isNull(), "error").when(own, F.col("status")).otherwise("unsupported"),
+        "reason": F.when(F.col("program").isNull(), "invalid_program_index").when(own, F.col("reason"))
+        .when(routed, "routed_protocol_not_supported").otherwise("protocol_not_supported")})
     return out.withColumn("event_id", F.when(F.col("status") == "decoded", event_id(
         F.lit(DEX_VERSION), "slot", "blockhash", "signature", "instruction_index", "inner_instruction_index")))
 

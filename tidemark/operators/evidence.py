@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import WIDE, change_bps, haircut_output, price, return_bps, u64
-from .features import flags, is_swap
+from .features import flags, is_sample
 from .ordered import Ordered, Split
 from .rules import RiskPolicy, Thresholds, invalidation, risk_veto
 from .validate import TOKEN, TOKEN_2022, direct_route, first_reason, quote_valid
@@ -144,7 +144,7 @@ def position_health(analyses: DataFrame, marks: DataFrame, entries: DataFrame, t
     Marks are assigned to the entry open at their time and then scanned once per position.
     """
     none = "struct<entry_id:bigint,eq:bigint,units:bigint,reserve:bigint>"
-    stream = marks.where(is_swap()).select(
+    stream = marks.where(is_sample()).select(
         "pool", F.col("availability_ns").alias("t"), F.lit(0).alias("rank"), F.col("seq").alias("id"), "quote_raw", "base_raw",
         F.lit(None).cast(none).alias("entry"), F.lit(None).cast("bigint").alias("analysis_id"),
     ).unionByName(entries.select(

@@ -19,6 +19,11 @@ ORDER = ("availability_ns", "seq")
 def is_swap() -> Column:
     return F.col("kind") == "swap"
 
+
+def is_sample() -> Column:
+    """A swap whose amounts give a price; ``normalize_swap`` reports the others."""
+    return is_swap() & (F.col("base_raw") > 0) & (F.col("quote_raw") > 0)
+
 SECOND = 1_000_000_000
 
 
@@ -84,7 +89,7 @@ def pool_state(events: DataFrame, identity=("base_mint", "quote_mint")) -> DataF
 
 
 def _swaps(events: DataFrame) -> DataFrame:
-    return events.where(is_swap() & (F.col("base_raw") > 0) & (F.col("quote_raw") > 0))
+    return events.where(is_sample())
 
 
 def anchor_price(events: DataFrame, split: Split = Split()) -> DataFrame:
@@ -228,24 +233,24 @@ def market_features(events: DataFrame, n: int = 64, split: Split = Split()) -> D
     samples only. Missing inputs give null, never zero.
     """
     o = Ordered(events, ["pool"], ORDER, split, lookback=n - 1)
-    o.last_seen("prev", F.struct("quote_raw", "base_raw"), is_swap())
-    o.add(chg=F.when(is_swap(), return_bps("quote_raw", "base_raw", "prev.quote_raw", "prev.base_raw")))
-    o.last_seen("prev_chg", F.col("chg"), is_swap())
+    o.last_seen("prev", F.struct("quote_raw", "base_raw"), is_sample())
+    o.add(chg=F.when(is_sample(), return_bps("quote_raw", "base_raw", "prev.quote_raw", "prev.base_raw")))
+    o.last_seen("prev_chg", F.col("chg"), is_sample())
     w = o.frame(n)
-    sample = F.when(is_swap(), F.struct("availability_ns", "quote_raw", "base_raw", "chg", "prev_chg"))
-    buy, sell = is_swap() & (F.col("instruction") != "sell"), is_swap() & (F.col("instruction") == "sell")
+    sample = F.when(is_sample(), F.struct("availability_ns", "quote_raw", "base_raw", "chg", "prev_chg"))
+    buy, sell = is_sample() & (F.col("instruction") != "sell"), is_sample() & (F.col("instruction") == "sell")
     zero = F.lit(0).cast("bigint")
     o.add(
-        swaps=F.count_if(is_swap()).over(w),
+        swaps=F.count_if(is_sample()).over(w),
         buy_flow=F.sum(F.when(buy, F.col("quote_raw")).otherwise(zero)).over(w),
         sell_flow=F.sum(F.when(sell, F.col("quote_raw")).otherwise(zero)).over(w),
         abs_changes=F.sum(F.abs("chg")).over(w),
         head=F.first(sample, ignorenulls=True).over(w),
         tail=F.last(sample, ignorenulls=True).over(w),
-        __samples=F.collect_list(F.when(is_swap(), F.struct(F.col("availability_ns").alias("t"), F.col("quote_raw").alias("q")))).over(w),
+        __samples=F.collect_list(F.when(is_sample(), F.struct(F.col("availability_ns").alias("t"), F.col("quote_raw").alias("q")))).over(w),
         __created=F.collect_list(F.when(F.col("kind") == "pool_created", F.col("event_time"))).over(w),
     )
-    df = o.result().where(is_swap())
+    df = o.result().where(is_sample())
     df = df.withColumn("volume", F.col("buy_flow") + F.col("sell_flow")).withColumn(
         "span_ns", F.when(F.col("swaps") >= 2, F.col("tail.availability_ns") - F.col("head.availability_ns"))
     )
@@ -284,13 +289,13 @@ def context_window(events: DataFrame, window_ns: int = 60 * SECOND, max_samples:
     Each sample holds its gap, bps change and return against the sample before it.
     """
     o = Ordered(events, ["pool"], ORDER, split, lookback=max_samples - 1)
-    o.last_seen("prev", F.struct("quote_raw", "base_raw", "availability_ns"), is_swap())
+    o.last_seen("prev", F.struct("quote_raw", "base_raw", "availability_ns"), is_sample())
     o.last_seen("prev_slot", F.col("slot"))
     o.add(
         __item=F.struct(
             F.col("availability_ns").alias("t"),
             F.col("seq"),
-            is_swap().alias("swap"),
+            is_sample().alias("swap"),
             F.col("quote_raw").alias("q"),
             F.col("base_raw").alias("b"),
             (F.col("availability_ns") - F.col("prev.availability_ns")).alias("gap"),
@@ -302,7 +307,7 @@ def context_window(events: DataFrame, window_ns: int = 60 * SECOND, max_samples:
         )
     )
     o.add(__list=F.collect_list("__item").over(o.frame(max_samples)))
-    df = o.result().where(is_swap())
+    df = o.result().where(is_sample())
     inside = F.expr(f"filter(__list, x -> x.t >= availability_ns - {int(window_ns)}L)")
     return (
         df.withColumn("__in", inside)
@@ -419,7 +424,7 @@ def candidate_extrema(marks: DataFrame, entries: DataFrame) -> DataFrame:
     interval is per entry; entries of a pool do not overlap, so each mark falls in at most one
     of them and the owner is found by one backward as-of scan.
     """
-    points = marks.where(is_swap()).select(
+    points = marks.where(is_sample()).select(
         "pool", F.col("availability_ns").alias("t"), F.lit(0).alias("rank"), "seq", "quote_raw", "base_raw",
         F.lit(None).cast("struct<entry_id:bigint,until_ns:bigint>").alias("entry"),
     ).unionByName(

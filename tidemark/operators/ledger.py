@@ -52,16 +52,20 @@ def ledger_state(ledger: DataFrame, initial: int, account: str = "account", spli
     """Per account: cash, open positions, realised result, losses, pending intents and the first impossible row (null = clean)."""
     ledger, account = _one_key(ledger, account)
     fills = ledger_rows(ledger, initial, account, split)
-    bad = F.min(F.when(F.col("violation").isNotNull(), F.struct("seq", "violation")))
-    sums = fills.groupBy(account).agg(
-        F.sum(F.coalesce("quote_received", F.lit(0)) - F.coalesce("quote_spent", F.lit(0))).alias("flow"), F.sum("realized").alias("pnl"),
-        F.sum(F.greatest(F.lit(0), -F.col("realized"))).alias("loss"), bad.alias("bad"))
-    last = fills.groupBy(account, "mint").agg(F.max_by(F.struct("side", "quote_spent"), "seq").alias("l")).where(F.col("l.side") == "BUY")
-    open_ = last.groupBy(account).agg(F.count(F.lit(1)).alias("positions"), F.sum("l.quote_spent").alias("exposure"))
-    done = ledger.where(F.col("kind").isin("settlement", "cancel")).select(account, F.col("intent_id").alias("id")).distinct()
-    pending = ledger.where(F.col("kind") == "intent").join(done, [account, "id"], "left_anti").groupBy(account).agg(F.count(F.lit(1)).alias("pending"))
-    base = ledger.groupBy(account).agg(F.max("seq").alias("sequence"))
-    out = base.join(sums, account, "left").join(open_, account, "left").join(pending, account, "left")
+    flow = F.coalesce("quote_received", F.lit(0)) - F.coalesce("quote_spent", F.lit(0))
+    assets = fills.groupBy(account, "mint").agg(
+        F.sum(flow).alias("flow"), F.sum("realized").alias("pnl"), F.sum(F.greatest(F.lit(0), -F.col("realized"))).alias("loss"),
+        F.min(F.when(F.col("violation").isNotNull(), F.struct("seq", "violation"))).alias("bad"), F.max_by(F.struct("side", "quote_spent"), "seq").alias("l"))
+    held = F.col("l.side") == "BUY"
+    sums = assets.groupBy(account).agg(
+        F.sum("flow").alias("flow"), F.sum("pnl").alias("pnl"), F.sum("loss").alias("loss"), F.min("bad").alias("bad"),
+        F.count_if(held).alias("positions"), F.sum(F.when(held, F.col("l.quote_spent"))).alias("exposure"))
+    # an intent is pending when nothing settled or cancelled it
+    is_intent = F.col("kind") == "intent"
+    one = ledger.groupBy(account, F.when(is_intent, F.col("id")).otherwise(F.col("intent_id")).alias("i")).agg(
+        F.max("seq").alias("seq"), F.max(is_intent).alias("intent"), F.max(F.col("kind").isin("settlement", "cancel")).alias("done"))
+    base = one.groupBy(account).agg(F.max("seq").alias("sequence"), F.count_if(F.col("intent") & ~F.col("done")).alias("pending"))
+    out = base.join(sums, account, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("pnl", "loss", "positions", "exposure", "pending")}
     return out.withColumns({**zero, "cash": F.lit(initial) + F.coalesce("flow", F.lit(0)), "first_violation": F.col("bad.seq"), "violation": F.col("bad.violation")}).select(
         account, "sequence", "cash", "positions", "exposure", F.col("pnl").alias("realized_pnl"), "loss", "pending", "first_violation", "violation")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import features as W
 from ..operators.ordered import Split
 from .registry import query
-from .views import EV, events
+from .views import SWAP, EV, events
 
 WIN = "PARTITION BY pool ORDER BY availability_ns, seq"
 BPS = "CAST(({q} * {b0} - {q0} * {b}) * 10000 // ({q0} * {b}) AS BIGINT)"
@@ -117,7 +117,7 @@ m AS (SELECT h.*, e.seq AS mark_id, e.availability_ns AS observed_ns, e.quote_ra
 SELECT pool, decision_id, horizon_seconds, due_ns, mark_id, observed_ns, {bps("q", "b", "aq", "ab")} AS return_bps,
  CASE WHEN mark_id IS NULL THEN 'UNKNOWN' ELSE 'DERIVED' END AS status FROM m""")
 def decision_outcomes(spark, sf):
-    sw = events(spark, sf).where("kind = 'swap'")
+    sw = events(spark, sf).where(SWAP)
     d = sw.select("pool", F.col("seq").alias("decision_id"), F.col("availability_ns").alias("decision_ns"), "quote_raw", "base_raw")
     m = sw.select("pool", F.col("seq").alias("mark_id"), "availability_ns", "quote_raw", "base_raw")
     out = W.decision_outcomes(d, m, (3600, 86400, 864000))
@@ -144,7 +144,7 @@ c AS (SELECT pool, seq, {bps("quote_raw", "base_raw", "lag(quote_raw) OVER w", "
 e AS (SELECT ev.*, c.chg FROM ev LEFT JOIN c USING (pool, seq)),
 x AS (SELECT *, list({{t: availability_ns, q: quote_raw, b: base_raw, c: chg, buy: instruction <> 'sell', k: kind, et: event_time}}) OVER
  ({WIN} ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS l FROM e),
-y AS (SELECT *, list_filter(l, lambda s: s.k = 'swap') AS s, list_filter(l, lambda s: s.k = 'pool_created' AND s.et <= event_time) AS cr FROM x WHERE kind = 'swap'),
+y AS (SELECT *, list_filter(l, lambda s: s.k = 'swap' AND s.q > 0) AS s, list_filter(l, lambda s: s.k = 'pool_created' AND s.et <= event_time) AS cr FROM x WHERE kind = 'swap' AND quote_raw > 0),
 z AS (SELECT *, len(s) AS n, CAST(coalesce(list_sum([i.q FOR i IN s IF i.buy]), 0) AS BIGINT) AS bf, CAST(coalesce(list_sum([i.q FOR i IN s IF NOT i.buy]), 0) AS BIGINT) AS sf,
  s[len(s)].t - s[1].t AS span FROM y),
 v AS (SELECT *, bf + sf AS vol, coalesce(list_sum([i.q FOR i IN s IF i.t <= s[1].t + span // 2]), 0) AS older FROM z)
@@ -178,8 +178,8 @@ e AS (SELECT ev.*, ev.seq % 97 AS sl, c.chg, c.ret, c.gap FROM ev LEFT JOIN c US
 g AS (SELECT *, coalesce(sl < lag(sl) OVER ({WIN}), false) AS dr FROM e),
 x AS (SELECT *, list({{t: availability_ns, q: quote_raw, b: base_raw, c: chg, r: ret, g: gap, k: kind, d: dr}}) OVER
  ({WIN} ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS l FROM g),
-y AS (SELECT *, list_filter(l, lambda s: s.t >= availability_ns - {FIVE_DAYS}) AS li FROM x WHERE kind = 'swap'),
-z AS (SELECT *, list_filter(li, lambda s: s.k = 'swap') AS s FROM y),
+y AS (SELECT *, list_filter(l, lambda s: s.t >= availability_ns - {FIVE_DAYS}) AS li FROM x WHERE kind = 'swap' AND quote_raw > 0),
+z AS (SELECT *, list_filter(li, lambda s: s.k = 'swap' AND s.q > 0) AS s FROM y),
 v AS (SELECT *, len(s) AS n, s[len(s)].t - s[1].t AS span FROM z),
 q AS (SELECT pool, seq, n, CASE WHEN n >= 2 THEN span END AS span_ns, list_max([i.g FOR i IN s[2:n]]) AS maximum_gap_ns,
  len([i FOR i IN li[2:len(li)] IF i.d]) > 0 AS slot_disorder,
@@ -237,7 +237,7 @@ def account_history(spark, sf):
     ev = events(spark, sf)
     obs = ev.where("kind <> 'failed'").select("pool", F.expr("seq div 3").alias("frame"), F.col("availability_ns").alias("observed_ns"),
                                               F.col("quote_raw").alias("quote_reserve"))
-    dec = ev.where("kind = 'swap'").select("pool", F.col("seq").alias("decision_id"), F.col("availability_ns").alias("decision_ns"))
+    dec = ev.where(SWAP).select("pool", F.col("seq").alias("decision_id"), F.col("availability_ns").alias("decision_ns"))
     return W.account_history(dec, obs, FIVE_DAYS, Split(60))
 
 

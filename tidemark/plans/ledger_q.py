@@ -6,7 +6,7 @@ from ..operators import ledger as L
 from ..operators.ordered import Ordered, Split
 from .registry import query
 from .rules_q import HEALTH, positions
-from .views import EV, FILL_ORDER, FILL_ORDER_SQL, FILLS, events, fills
+from .views import SWAP, EV, FILL_ORDER, FILL_ORDER_SQL, FILLS, events, fills
 
 INITIAL = 1_000_000_000
 
@@ -20,13 +20,17 @@ def numbered(spark, sf):
 def ledger(spark, sf):
     """An intent and a settlement (or cancel) per fill; some settlements have lost their intent, some intents stay open."""
     f = numbered(spark, sf).withColumns({"account": F.col("s") % 7, "iid": F.concat(F.lit("i"), F.col("seq"))})
-    intents = f.where("seq % 53 <> 0").select(
-        "account", (F.col("seq") * 2).alias("seq"), F.col("iid").alias("id"), F.lit("intent").alias("kind"), F.lit(None).cast("string").alias("intent_id"), "side", "mint", F.lit(None).cast("bigint").alias("base_units"),
-        F.lit(None).cast("bigint").alias("quote_spent"), F.lit(None).cast("bigint").alias("quote_received"), F.col("o").alias("decision_slot"), F.lit(None).cast("bigint").alias("quote_slot"))
-    second = f.where("seq % 211 <> 5").select(
-        "account", (F.col("seq") * 2 + 1).alias("seq"), F.concat(F.lit("x"), F.col("seq")).alias("id"), F.when(F.col("side") == "CANCEL", "cancel").otherwise("settlement").alias("kind"), F.col("iid").alias("intent_id"), "side", "mint", "base_units",
-        F.when(F.col("side") == "BUY", F.col("quote_raw")).alias("quote_spent"), F.when(F.col("side") == "SELL", F.col("quote_raw")).alias("quote_received"), F.lit(None).cast("bigint").alias("decision_slot"), F.col("o").alias("quote_slot"))
-    return intents.unionByName(second)
+    nothing, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    def row(keep, seq, id_, kind, intent, units, spent, received, decided, quoted):
+        return F.when(keep, F.struct(seq.alias("seq"), id_.alias("id"), kind.alias("kind"), intent.alias("intent_id"), units.alias("base_units"), spent.alias("quote_spent"),
+                                     received.alias("quote_received"), decided.alias("decision_slot"), quoted.alias("quote_slot")))
+
+    q = F.col("quote_raw")
+    first = row(F.col("seq") % 53 != 0, F.col("seq") * 2, F.col("iid"), F.lit("intent"), no_text, nothing, nothing, nothing, F.col("o"), nothing)
+    second = row(F.col("seq") % 211 != 5, F.col("seq") * 2 + 1, F.concat(F.lit("x"), F.col("seq")), F.when(F.col("side") == "CANCEL", "cancel").otherwise("settlement"), F.col("iid"), F.col("base_units"),
+                 F.when(F.col("side") == "BUY", q), F.when(F.col("side") == "SELL", q), nothing, F.col("o"))
+    return f.select("account", "side", "mint", F.inline(F.array_compact(F.array(first, second))))
 
 
 LEDGER = f"""WITH {FILLS}, fs AS (SELECT *, row_number() OVER (ORDER BY {FILL_ORDER_SQL}) AS seq, s % 7 AS account FROM fl),
@@ -85,7 +89,7 @@ def cycle_reports(spark, sf):
 @query("decision_lookahead", f"""WITH {EV} SELECT 'i' || seq AS id, 'measurement_lookahead' AS violation FROM sw WHERE seq % 31 = 2 UNION ALL
 SELECT 'i' || seq, 'measurement_future_or_slot_violation' FROM sw WHERE seq % 37 = 3 OR seq % 41 = 4""")
 def decision_lookahead(spark, sf):
-    ev = events(spark, sf).where("kind = 'swap'")
+    ev = events(spark, sf).where(SWAP)
     intents = ev.select(F.concat(F.lit("i"), F.col("seq")).alias("id"), F.col("availability_ns").alias("decision_ns"), F.col("slot").alias("decision_slot"), (F.col("seq") * 2).alias("quote_frame"))
     settled = ev.select(F.concat(F.lit("i"), F.col("seq")).alias("intent_id"), (F.col("seq") * 2 + 1).alias("quote_frame"))
     quotes = ev.select((F.col("seq") * 2).alias("frame"), (F.col("availability_ns") + F.when(F.col("seq") % 31 == 2, 1).otherwise(-1)).alias("observed_ns"), F.col("slot").alias("slot")).unionByName(
@@ -138,18 +142,18 @@ def rejection_counts(spark, sf):
 
 @query("decision_census", f"WITH {EV} SELECT seq AS plan_id, pool, CASE WHEN seq % 9 = 4 THEN 'pending' ELSE instruction END AS result_kind FROM sw")
 def decision_census(spark, sf):
-    ev = events(spark, sf).where("kind = 'swap'")
+    ev = events(spark, sf).where(SWAP)
     return L.decision_census(ev.select(F.col("seq").alias("plan_id"), "pool"), ev.where("seq % 9 <> 4").select(F.col("seq").alias("plan_id"), F.col("instruction").alias("kind")))
 
 
 @query("missing_census", f"WITH {EV} SELECT seq AS plan_id FROM sw WHERE seq % 9 = 4")
 def missing_census(spark, sf):
-    ev = events(spark, sf).where("kind = 'swap'").select(F.col("seq").alias("plan_id"))
+    ev = events(spark, sf).where(SWAP).select(F.col("seq").alias("plan_id"))
     return L.missing_census(ev, ev.where("plan_id % 9 <> 4"))
 
 
 def decisions(spark, sf):
-    return events(spark, sf).where("kind = 'swap'").select(
+    return events(spark, sf).where(SWAP).select(
         F.col("seq").alias("id"), F.expr("if(seq % 5 = 0, 'native', concat('t', pool))").alias("token"), F.expr("if(seq % 5 in (1, 2), 'native', concat('q', wallet))").alias("quote"), F.expr("if(seq % 3 = 0, 'unsupported_quote_currency', null)").alias("result_code"),
         F.col("instruction").alias("result_kind"), F.expr("if(seq % 4 = 0, 'PROVEN', 'MISSING')").alias("evidence_status"), F.expr("if(seq % 8 <> 0, quote_raw, null)").alias("score"),
         F.expr("if(seq % 8 = 0, array('momentum_bps'), cast(array() as array<string>))").alias("missing"), F.lit("NO_TRADE").alias("action"))

@@ -17,7 +17,7 @@ from ..functions import protocol
 from ..functions.codecs import base58_encode, checked_transfer_payload, from_base58, to_base58, transfer_payload
 from ..operators import decode as D
 from ..operators.validate import TOKEN
-from .views import events, micros, table
+from .views import SWAP, events, micros, table
 
 
 def key_of(text):
@@ -30,7 +30,8 @@ def fixed_key(text: str) -> str:
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     """A block per order, a transaction per lineitem row (sorted by all its columns)."""
-    li = table(spark, sf, "lineitem")
+    # partitioned by block before the encoding, so the grouping below needs no second shuffle
+    li = table(spark, sf, "lineitem").repartition("l_orderkey")
     r = li.select(
         F.col("l_orderkey").alias("slot"), F.col("l_linenumber").cast("bigint").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("x"), F.col("l_quantity").cast("bigint").alias("q"),
@@ -113,7 +114,7 @@ def packed_event(instruction: pd.Series, base: pd.Series, quote: pd.Series, pool
 
 def exchange_transactions(spark: SparkSession, sf: str, routed: bool = False) -> DataFrame:
     """A processed transaction per swap with the call and the event it emitted; ``seq % 11`` picks a fault."""
-    ev = events(spark, sf).where("kind = 'swap'")
+    ev = events(spark, sf).where(SWAP).repartition("seq")
     ev = ev.withColumns({"pk": key_of(F.concat(F.lit("pool"), F.col("pool").cast("string"))), "uk": key_of(F.concat(F.lit("user"), F.col("wallet").cast("string")))})
     ev = ev.withColumn("ek", F.when(F.col("seq") % 11 == 4, fixed_key("elsewhere")).otherwise(F.col("pk")))
     ev = ev.withColumn("payload", packed_event("instruction", "base_raw", "quote_raw", "ek", "uk", "event_time"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import ops as O
 from ..operators.ordered import Ordered, Split
 from .registry import query
-from .views import EV, events, table
+from .views import SWAP, EV, events, table
 
 
 def quotas(spark, sf):
@@ -121,7 +121,7 @@ def candidate_drop_counts(spark, sf):
 def hydration_eligible(spark, sf):
     ev = events(spark, sf)
     now = ev.agg(F.max("availability_ns")).first()[0]
-    d = ev.where("kind = 'swap'").select(
+    d = ev.where(SWAP).select(
         "pool", "seq", F.col("seq").alias("id"), F.col("availability_ns").alias("decision_ns"), F.lit("NO_TRADE").alias("action"), F.expr("if(quote_raw % 3 <> 0, 'PROVEN', 'MISSING')").alias("evidence_status"), F.expr("seq % 5 <> 0").alias("risk_allowed"),
         F.expr("base_raw > 10").alias("flow_ok"), F.expr("if(seq % 4 = 0, array('quote_reserve'), array('history.minimum_span', 'momentum_bps'))").alias("missing"))
     return O.hydration_eligible(d, ev.where("pool % 6 = 1").select("pool"), now, 1_000_000_000_000_000).drop("decision_ns")
@@ -143,11 +143,11 @@ def active_windows(spark, sf):
 @query("window_membership", WINDOWS + """, d AS (SELECT pool, seq AS decision_id, availability_ns AS t FROM sw), j AS (SELECT d.pool, d.decision_id, max({e: w.expires_ns, i: w.window_id}) AS b FROM d LEFT JOIN w ON w.pool = d.pool AND w.started_ns <= d.t AND w.expires_ns > d.t GROUP BY ALL)
 SELECT pool, decision_id, b.i AS window_id, b IS NOT NULL AND b.i IS NOT NULL AS within FROM j""")
 def window_membership(spark, sf):
-    d = events(spark, sf).where("kind = 'swap'").select("pool", F.col("seq").alias("decision_id"), F.col("availability_ns").alias("decision_ns"))
+    d = events(spark, sf).where(SWAP).select("pool", F.col("seq").alias("decision_id"), F.col("availability_ns").alias("decision_ns"))
     return O.window_membership(d, windows(spark, sf), Split(45))
 
 
 @query("poll_budgets", f"""WITH {EV}, p AS (SELECT pool AS window_id, count(*) FILTER (WHERE kind = 'swap') AS polls, count(*) FILTER (WHERE kind = 'failed') AS receipts FROM ev GROUP BY pool) SELECT window_id, polls, receipts, polls >= 40 OR receipts >= 15 AS exhausted FROM p""")
 def poll_budgets(spark, sf):
     ev = events(spark, sf).withColumn("window_id", F.col("pool"))
-    return O.poll_budget(ev.select("window_id").distinct(), ev.where("kind = 'swap'"), ev.where("kind = 'failed'"), 40, 15)
+    return O.poll_budget(ev.select("window_id").distinct(), ev.where(SWAP), ev.where("kind = 'failed'"), 40, 15)

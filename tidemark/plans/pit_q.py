@@ -7,7 +7,7 @@ from ..operators import pit as I
 from ..operators.ordered import Ordered, Split
 from .features_q import WIN
 from .registry import query
-from .views import CAP, CAP_COLUMNS, CAP_ORDER, EV, captures, events, table
+from .views import SWAP, CAP, CAP_COLUMNS, CAP_ORDER, EV, captures, events, table
 
 FIRST = f"PARTITION BY source, source_id ORDER BY {CAP_ORDER}"
 CUT = 876614400000000  # 1997-10-12 in microseconds
@@ -185,4 +185,4 @@ SELECT s.pool, s.seq, s.wallet, coalesce(c.flag, false) AS flag FROM sw s ASOF L
 def control_as_of(spark, sf):
     ev = events(spark, sf)
     controls = ev.where("kind = 'failed'").select("pool", "seq", (F.col("quote_raw") % 2 == 0).alias("flag"))
-    return I.control_as_of(ev.where("kind = 'swap'").select("pool", "seq", "wallet"), controls, ["pool"], split=Split(20))
+    return I.control_as_of(ev.where(SWAP).select("pool", "seq", "wallet"), controls, ["pool"], split=Split(20))

@@ -8,7 +8,7 @@ from ..operators import rules as R
 from ..operators.ordered import Ordered
 from ..operators.validate import TOKEN
 from .registry import query
-from .views import EV, events, fills, FILLS
+from .views import SWAP, EV, events, fills, FILLS
 
 FEATURES = {
     "swaps": ("seq % 20", 23), "momentum_bps": ("quote_raw % 1500 - 700", 17), "imbalance_bps": ("(base_raw * 211) % 20001 - 9000", 19),
@@ -149,7 +149,7 @@ NATIVE, PROGRAM = "native", "pool-program"
 
 def evidence_tables(spark, sf):
     """A plan per swap with its own three evidence frames; ``seq % 23`` picks the fault."""
-    ev = events(spark, sf).where("kind = 'swap'").withColumns({"fault": F.col("seq") % 23, "token": F.concat(F.lit("t"), F.col("pool")), "name": F.concat(F.lit("p"), F.col("pool"))})
+    ev = events(spark, sf).where(SWAP).withColumns({"fault": F.col("seq") % 23, "token": F.concat(F.lit("t"), F.col("pool")), "name": F.concat(F.lit("p"), F.col("pool"))})
     amount = F.col("quote_raw") * 100
     out = F.col("base_raw") * 1000
     cut = F.floor(out * 9975 / 10000).cast("bigint")

@@ -53,7 +53,7 @@ def archive_tables(spark, sf):
     return out
 
 
-@query("frames_by_kind", f"WITH {EV} SELECT seq, quote_raw AS amount FROM sw WHERE seq < 7000")
+@query("frames_by_kind", f"WITH {EV} SELECT seq, quote_raw AS amount FROM ev WHERE kind = 'swap' AND seq < 7000")
 def frames_by_kind(spark, sf):
     ev = events(spark, sf)
     path = f"{S.scratch(spark)}/frames"

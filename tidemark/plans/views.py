@@ -46,7 +46,8 @@ EV = """ev AS (
          CAST(round(value * 100) AS BIGINT) AS quote_raw,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) + 1 AS base_raw
   FROM events),
-sw AS (SELECT * FROM ev WHERE kind = 'swap')"""
+sw AS (SELECT * FROM ev WHERE kind = 'swap' AND quote_raw > 0 AND base_raw > 0)"""
+SWAP = "kind = 'swap' and quote_raw > 0 and base_raw > 0"
 
 
 def captures(spark: SparkSession, sf: str) -> DataFrame:
