@@ -284,18 +284,19 @@ def decode_protocol_event(calls: DataFrame, only: Column | None = None) -> DataF
     df = settle(df, __want=event_name, __own=F.when(here, F.expr(
         f"filter(transform(inners, (x, i) -> struct(i as pos, x as x)), y -> get(keys, y.x.programIdIndex) = '{protocol.PROGRAM}')")))
     df = df.withColumn("__raw", base58_decode_all(F.expr("transform(__own, y -> y.x.data)")))
-    df = df.withColumn("__fields", unpack(F.expr("transform(__raw, r -> substring(r, 9))")))
+    df = df.withColumn("__fields", protocol.unpack_events(F.expr("transform(__raw, r -> substring(r, 9))")))
+    df = settle(df, __maps=F.expr("transform(__fields, t -> from_json(t, 'map<string,string>'))"))
     agree = " and ".join(f"(not map_contains_key(f, '{k}') or not map_contains_key(accounts, '{k}') or f['{k}'] = accounts['{k}'])" for k in AGREE)
     verdict = (
-        "transform(arrays_zip(__own, __raw, __fields), z -> named_struct('pos', z.__own.pos, 'f', z.__fields, 'sha', sha2(z.__raw, 256), 'v', case"
+        "transform(arrays_zip(__own, __raw, __maps), z -> named_struct('pos', z.__own.pos, 'f', z.__maps, 'sha', sha2(z.__raw, 256), 'v', case"
         " when z.__raw is null then 'error'"
         f" when lower(hex(substring(z.__raw, 1, 8))) <> '{protocol.EVENT_TAG}' then 'unsupported'"
         " when not (z.__own.x.stackHeight <=> 2) then 'unresolved'"
         " when lower(hex(substring(z.__raw, 9, 8))) <> __want then 'unsupported'"
         " when not coalesce(size(z.__own.x.accounts) > 0 and forall(z.__own.x.accounts, i -> get(keys, i) is not null), false) then 'error'"
         " when not (get(keys, z.__own.x.accounts[0]) <=> accounts['event_authority']) then 'error'"
-        " when z.__fields is null then 'error'"
-        f" when not exists(array(z.__fields), f -> {agree} and (not map_contains_key(f, 'ix_name') or f['ix_name'] = instruction)) then 'error'"
+        " when z.__maps is null then 'error'"
+        f" when not exists(array(z.__maps), f -> {agree} and (not map_contains_key(f, 'ix_name') or f['ix_name'] = instruction)) then 'error'"
         " else 'found' end))"
     )
     bad_program = F.expr("exists(inners, x -> get(keys, x.programIdIndex) is null)")
@@ -336,11 +337,7 @@ def decode_protocol_event(calls: DataFrame, only: Column | None = None) -> DataF
         "output_mint": F.when(done & swap, F.when(buy, a["base_mint"]).otherwise(a["quote_mint"])),
         "input_amount_raw": F.when(done & swap, u64(F.when(buy, F.try_element_at(f, F.lit("user_quote_amount_in"))).otherwise(F.try_element_at(f, F.lit("base_amount_in"))))),
         "output_amount_raw": F.when(done & swap, u64(F.when(buy, F.try_element_at(f, F.lit("base_amount_out"))).otherwise(F.try_element_at(f, F.lit("user_quote_amount_out"))))),
-    }).drop("__tag", "__want", "__own", "__raw", "__fields", "__v", "__stop", "__found", "__s")
-
-
-def unpack(payloads: Column) -> Column:
-    return protocol.unpack_events(payloads)
+    }).drop("__tag", "__want", "__own", "__raw", "__fields", "__maps", "__v", "__stop", "__found", "__s")
 
 
 def top_level_calls(transactions: DataFrame) -> DataFrame:
