@@ -6,7 +6,7 @@ from ..operators import ledger as L
 from ..operators.ordered import Ordered, Split
 from .registry import query
 from .rules_q import HEALTH, positions
-from .views import SWAP, EV, FILL_ORDER, FILL_ORDER_SQL, FILLS, events, fills
+from .views import SWAP, EV, FILL_ORDER, landed, FILL_ORDER_SQL, FILLS, events, fills
 
 INITIAL = 1_000_000_000
 
@@ -18,6 +18,10 @@ def numbered(spark, sf):
 
 
 def ledger(spark, sf):
+    return landed(spark, sf, "ledger", lambda: _ledger(spark, sf))
+
+
+def _ledger(spark, sf):
     """An intent and a settlement (or cancel) per fill; some settlements have lost their intent, some intents stay open."""
     f = numbered(spark, sf).withColumns({"account": F.col("s") % 7, "iid": F.concat(F.lit("i"), F.col("seq"))})
     nothing, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")

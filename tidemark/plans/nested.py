@@ -17,7 +17,7 @@ from ..functions import protocol
 from ..functions.codecs import base58_encode, checked_transfer_payload, from_base58, to_base58, transfer_payload
 from ..operators import decode as D
 from ..operators.validate import TOKEN
-from .views import SWAP, events, micros, table
+from .views import SWAP, events, landed, micros, table
 
 
 def key_of(text):
@@ -29,6 +29,10 @@ def fixed_key(text: str) -> str:
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return landed(spark, sf, "blocks", lambda: _blocks(spark, sf))
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     """A block per order, a transaction per lineitem row (sorted by all its columns)."""
     # partitioned by block before the encoding, so the grouping below needs no second shuffle
     li = table(spark, sf, "lineitem").repartition("l_orderkey")
@@ -113,6 +117,10 @@ def packed_event(instruction: pd.Series, base: pd.Series, quote: pd.Series, pool
 
 
 def exchange_transactions(spark: SparkSession, sf: str, routed: bool = False) -> DataFrame:
+    return landed(spark, sf, "routed" if routed else "exchange", lambda: _exchange_transactions(spark, sf, routed))
+
+
+def _exchange_transactions(spark: SparkSession, sf: str, routed: bool = False) -> DataFrame:
     """A processed transaction per swap with the call and the event it emitted; ``seq % 11`` picks a fault."""
     ev = events(spark, sf).where(SWAP).repartition("seq")
     ev = ev.withColumns({"pk": key_of(F.concat(F.lit("pool"), F.col("pool").cast("string"))), "uk": key_of(F.concat(F.lit("user"), F.col("wallet").cast("string")))})
