@@ -20,6 +20,11 @@ from ..operators.validate import TOKEN
 from .views import SWAP, events, landed, micros, table
 
 
+def wide(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per byte; a number, as AQE would merge them by size."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def key_of(text):
     return base58_encode(F.unhex(F.sha2(text, 256)))
 
@@ -35,7 +40,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     """A block per order, a transaction per lineitem row (sorted by all its columns)."""
     # partitioned by block before the encoding, so the grouping below needs no second shuffle
-    li = table(spark, sf, "lineitem").repartition("l_orderkey")
+    li = table(spark, sf, "lineitem").repartition(wide(spark), "l_orderkey")
     r = li.select(
         F.col("l_orderkey").alias("slot"), F.col("l_linenumber").cast("bigint").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("x"), F.col("l_quantity").cast("bigint").alias("q"),
@@ -122,7 +127,7 @@ def exchange_transactions(spark: SparkSession, sf: str, routed: bool = False) ->
 
 def _exchange_transactions(spark: SparkSession, sf: str, routed: bool = False) -> DataFrame:
     """A processed transaction per swap with the call and the event it emitted; ``seq % 11`` picks a fault."""
-    ev = events(spark, sf).where(SWAP).repartition("seq")
+    ev = events(spark, sf).where(SWAP).repartition(wide(spark), "seq")
     ev = ev.withColumns({"pk": key_of(F.concat(F.lit("pool"), F.col("pool").cast("string"))), "uk": key_of(F.concat(F.lit("user"), F.col("wallet").cast("string")))})
     ev = ev.withColumn("ek", F.when(F.col("seq") % 11 == 4, fixed_key("elsewhere")).otherwise(F.col("pk")))
     ev = ev.withColumn("payload", packed_event("instruction", "base_raw", "quote_raw", "ek", "uk", "event_time"))
