@@ -35,6 +35,13 @@ def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness to each other and to the next text."""
+    from .fingerprints import next_text_fingerprints
+
+    return next_text_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, toward capped source targets."""
     from .mixing import mix_sources
@@ -53,6 +60,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op8_mix_sources, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op7_phrase_fingerprints, op8_mix_sources, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
