@@ -35,6 +35,22 @@ def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and all spans with those of the field."""
+    from .pii import KINDS, find_personal_data, train_field
+
+    docs = _table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, train_field(docs))
+
+    def joined(name: str):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op7_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness to each other and to the next text."""
     from .fingerprints import next_text_fingerprints
@@ -60,6 +76,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op7_phrase_fingerprints, op8_mix_sources, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op6_personal_data, op7_phrase_fingerprints, op8_mix_sources, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
