@@ -51,6 +51,13 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors nearest each query by integer inner product."""
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and all spans with those of the field."""
     from .pii import KINDS, find_personal_data, train_field
@@ -92,7 +99,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op3_chat_formatting, op6_personal_data, op7_phrase_fingerprints, op8_mix_sources, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op3_chat_formatting, op4_exact_top_k, op6_personal_data, op7_phrase_fingerprints, op8_mix_sources, op10_best_fit_packing)}
 
 #: A text with the control strings of the chat template escaped, as in ``chat.escaped``.
 _ESCAPED = r"regexp_replace(text, '([<\[])(\\*)(/?(?:INST|SYS|TURN)|/?s>)', '\1\\\2\3', 'g')"
@@ -109,6 +116,15 @@ ORACLES = {
             CAST(3 + sum(length({_ESCAPED}) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 5
                 ELSE 17 + length(role) END) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op4_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, row_number() OVER () AS r, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)
+        ), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 20""",
     "op8_mix_sources": None,
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
