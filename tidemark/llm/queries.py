@@ -88,6 +88,13 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document: shingles of five words, similarity 0.8."""
+    from .jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, packed into sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -99,7 +106,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op3_chat_formatting, op4_exact_top_k, op6_personal_data, op7_phrase_fingerprints, op8_mix_sources, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op3_chat_formatting, op4_exact_top_k, op6_personal_data, op7_phrase_fingerprints, op8_mix_sources, op9_jaccard_join, op10_best_fit_packing)}
 
 #: A text with the control strings of the chat template escaped, as in ``chat.escaped``.
 _ESCAPED = r"regexp_replace(text, '([<\[])(\\*)(/?(?:INST|SYS|TURN)|/?s>)', '\1\\\2\3', 'g')"
