@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,9 +67,13 @@ def texts(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def spaced_words(data: bytes) -> list[bytes]:
-    """Runs of bytes other than space and \\x09 to \\x0D, which is what ``bytes.split`` takes for white space."""
-    return data.split()
+#: ASCII letters and digits stay (lower case), other ASCII becomes a space; bytes of non-ASCII characters stay.
+_PLAIN = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    """Lower-case (A-Z only) words of ASCII letters and digits and of non-ASCII characters."""
+    return text.translate(_PLAIN).split()
 
 
 _MASK = (1 << 64) - 1
@@ -100,9 +103,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_WORD = re.compile(rb"[^ \t-\r]+")
-
-
 class WordHashes:
     """64-bit hashes of words, remembered up to a bounded number of distinct words."""
 
@@ -158,7 +158,3 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def unit(*columns: Column) -> Column:
     """A number inside (0, 1) that depends on the columns alone."""
     return ((F.xxhash64(*columns).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") + 0.5) / float(1 << 52)
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()

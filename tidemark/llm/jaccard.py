@@ -11,7 +11,8 @@ nodes is counted only in the first of them, which each node can tell from the se
 emitted: a node gives link counts by set and one edge a set to the smallest set it is linked with. Nodes beyond ``CHUNK`` sets
 are compared in blocks, in separate tasks. Texts with equal shingle sets are joined as one set with a number of copies.
 
-Words are runs of characters other than ASCII white space, unchanged; texts of fewer than n words have one shingle of all of them.
+Words are lower-case runs of ASCII letters and digits and non-ASCII characters, so case and punctuation do not tell texts
+apart; texts of fewer than n words have one shingle of all of them, texts of marks alone are one word.
 
 Null and edge cases
 * null text: empty. Empty texts have no shingles; they are copies of each other and linked to nothing else.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, WordHashes, gram_hashes, map_batches, mix, raw, written
+from .common import ODD, WordHashes, gram_hashes, map_batches, mix, plain_words, raw, written
 
 LEVELS = 3
 #: Sets up to which a node is compared by brute force before the last level, and sets in a block of a large last node.
@@ -46,8 +47,8 @@ def _hashes() -> WordHashes:
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
-    """Distinct hashes of the runs of ``n`` words; of all words if there are fewer."""
-    words = _hashes().of(text.split())
+    """Distinct hashes of the runs of ``n`` words; of all words if there are fewer, of the text if it has none."""
+    words = _hashes().of(plain_words(text) or [text] * bool(text))
     return np.unique(gram_hashes(words, n if len(words) >= n else len(words))) if len(words) else np.empty(0, dtype=np.uint64)
 
 

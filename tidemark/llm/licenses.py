@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .common import map_batches, raw
+from .common import map_batches, plain_words, raw
 
 
 @dataclass(frozen=True)
@@ -49,16 +49,6 @@ NOTICES = (
     Notice("proprietary", "all rights reserved", 2),
 )
 
-#: ASCII: letters and digits stay (lower case), everything else is a space; bytes of non-ASCII characters stay.
-_TABLE = bytes(
-    ord(chr(b).lower()) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
-)
-
-
-def license_words(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
-
-
 def _places(text: bytes, piece: bytes) -> Iterator[int]:
     at = text.find(piece)
     while at >= 0:
@@ -135,7 +125,7 @@ def find_notices(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col:
             held.append(Matcher(notices))
         counts, hits = [], []
         for data in raw(cols[text]):
-            words = license_words(data)
+            words = plain_words(data)
             line = b" " + b" ".join(words) + b" "
             counts.append(len(words))
             found = held[0].hits(line)
