@@ -125,16 +125,16 @@ def _signatures(docs: DataFrame, id_col: str, text: str, n: int, threshold: floa
     return map_batches(rows, sign, f"`{id_col}` {kind}, tie long, set binary, size int, sketch binary, " + ", ".join(f"l{i + 1} {level}" for i in range(LEVELS)))
 
 
-def _final_nodes(sets: DataFrame) -> DataFrame:
-    """path, set and members of the nodes to be compared, each with two sets at least."""
+def _final_nodes(signed: DataFrame) -> DataFrame:
+    """path, set and members of the nodes to be compared, each with two sets at least; copies count once."""
     final, big = None, None
     for i in range(LEVELS):
-        rows = sets.select("set", F.explode(f"l{i + 1}").alias("n")).select("set", F.col("n.up").alias("up"), F.col("n.path").alias("path"))
+        rows = signed.select("set", F.explode(f"l{i + 1}").alias("n")).select("set", F.col("n.up").alias("up"), F.col("n.path").alias("path"))
         if big is not None:
             rows = rows.join(big, "up", "left_semi")
+        rows = rows.select("set", "path").distinct()
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= 2)
-        nodes = rows.select("set", "path").join(counts, "path")
-        nodes = written(nodes, "join-nodes")
+        nodes = written(rows.join(counts, "path"), "join-nodes")
         last = i == LEVELS - 1
         done = nodes if last else nodes.where(F.col("members") <= SMALL)
         final = done if final is None else final.unionByName(done)
@@ -278,9 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     signed = written(_signatures(docs, id_col, text, n, threshold, runs), "signatures")
     who = F.struct(F.col(id_col), F.col("tie"))
     sets = written(signed.groupBy("set").agg(F.min(who).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size")), "sets")
-    levels = [f"l{i + 1}" for i in range(LEVELS)]
-    shapes = signed.where(F.col("size") > 0).select("set", *levels).dropDuplicates(["set"])
-    nodes = _final_nodes(written(shapes, "set-paths"))
+    nodes = _final_nodes(signed)
     keys = nodes.groupBy("set").agg(F.sort_array(F.collect_list("path")).alias("keys"))
     shown = signed.select("set", "sketch").dropDuplicates(["set"])
     blocks: Column = F.ceil(F.col("members") / CHUNK).cast("int")
@@ -299,13 +297,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rep = f"rep struct<`{id_col}`:{kind},tie:bigint>"
     found = written(_groups(row.select(*fields, "rep"), close, f"{schema}, {rep}"), "join-candidates")
     said = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__tie"), F.col(text).cast("binary").alias("text"))
-    # only the texts of sets that have a candidate travel on
-    wanted = found.select("rep").distinct().select(F.col(f"rep.{id_col}").alias("__i"), F.col("rep.tie").alias("__t"))
-    said = said.join(wanted, F.col("__id").eqNullSafe(F.col("__i")) & F.col("__tie").eqNullSafe(F.col("__t")), "left_semi")
-    full = found.join(said, F.col(f"rep.{id_col}").eqNullSafe(F.col("__id")) & (F.col("rep.tie") == F.col("__tie"))).select(*fields, "text")
+    # the candidates grow with the input, so they are never broadcast to the texts
+    full = found.hint("shuffle_merge").join(said, F.col(f"rep.{id_col}").eqNullSafe(F.col("__id")) & F.col("rep.tie").eqNullSafe(F.col("__tie"))).select(*fields, "text")
     linked = written(_groups(full, lambda rows: _linked(rows, n, threshold) if len(rows) > 1 else [], "set binary, hub binary, links long"), "links")
     label = components(linked)
-    of = sets.join(label, "set", "left").withColumn("label", F.coalesce("label", "set")).withColumn("label", F.col("label"))
+    of = sets.join(label, "set", "left").withColumn("label", F.coalesce("label", "set"))
     smallest = of.groupBy("label").agg(F.min("rep").alias("first"))
     links = linked.groupBy("set").agg(F.sum("links").alias("links"))
     known = of.join(smallest, "label").join(links, "set", "left").select(
