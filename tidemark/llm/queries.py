@@ -58,6 +58,13 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of 35 words that start anywhere else too."""
+    from .passages import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and all spans with those of the field."""
     from .pii import KINDS, find_personal_data, train_field
@@ -106,7 +113,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op3_chat_formatting, op4_exact_top_k, op6_personal_data, op7_phrase_fingerprints, op8_mix_sources, op9_jaccard_join, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_scores, op3_chat_formatting, op4_exact_top_k, op5_substring_dedup, op6_personal_data, op7_phrase_fingerprints, op8_mix_sources, op9_jaccard_join, op10_best_fit_packing)}
 
 #: A text with the control strings of the chat template escaped, as in ``chat.escaped``.
 _ESCAPED = r"regexp_replace(text, '([<\[])(\\*)(/?(?:INST|SYS|TURN)|/?s>)', '\1\\\2\3', 'g')"
