@@ -272,8 +272,8 @@ def components(edges: DataFrame, node: str = "set", hub: str = "hub") -> DataFra
             return label.select(F.col("x").alias(node), "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """id, class_id (smallest id of its group of linked texts), n_links (other rows within the threshold, copies too), copies."""
+def _joined(docs: DataFrame, id_col: str, text: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with their set, sets with first: smallest (id, text hash) of the group, n_links and copies)."""
     runs = needed_runs(threshold, recall)
     signed = written(_signatures(docs, id_col, text, n, threshold, runs), "signatures")
     who = F.struct(F.col(id_col), F.col("tie"))
@@ -305,6 +305,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     smallest = of.groupBy("label").agg(F.min("rep").alias("first"))
     links = linked.groupBy("set").agg(F.sum("links").alias("links"))
     known = of.join(smallest, "label").join(links, "set", "left").select(
-        "set", F.col(f"first.{id_col}").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "copies"
+        "set", "first", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "copies"
     )
-    return signed.select(id_col, "set").join(known, "set").select(id_col, "class_id", "n_links", "copies")
+    return signed, known
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """id, class_id (smallest id of its group of linked texts), n_links (other rows within the threshold, copies too), copies."""
+    signed, known = _joined(docs, id_col, text, n, threshold, recall)
+    return signed.select(id_col, "set").join(known, "set").select(id_col, F.col(f"first.{id_col}").alias("class_id"), "n_links", "copies")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """rep_id and rep_tie (xxhash64 of the text) of one row of each group of linked texts: the smallest (id, text hash)."""
+    _, known = _joined(docs, id_col, text, n, threshold, recall)
+    return known.where(F.col("rep").eqNullSafe(F.col("first"))).select(F.col(f"rep.{id_col}").alias("rep_id"), F.col("rep.tie").alias("rep_tie"))
