@@ -228,7 +228,9 @@ def train_field(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max
     seen = map_batches(
         rows.select("__h", text), lambda c: _flat(c["__h"].to_pylist(), [_training_rows(t) for t in texts(c[text])]), "h long, i int, f array<int>, y int, n array<int>"
     ).orderBy(F.xxhash64("h", "i"), "h", "i").limit(max_tokens).collect()
-    f = np.array([r["f"] for r in seen], dtype=np.int64).reshape(len(seen), -1)
+    if not seen:
+        return Field()
+    f = np.array([r["f"] for r in seen], dtype=np.int64)
     sides = np.array([r["n"] for r in seen], dtype=np.int64).reshape(len(seen), 4)
     return fit_field(f, np.array([r["y"] for r in seen], dtype=np.int64), *sides.T)
 

@@ -11,7 +11,7 @@ Null and edge cases
 * vectors that are null or empty, or hold null or non-finite components, and null ids take no part.
 * vectors of different length are not compared. Repeated ids are rows of their own: a query skips its own row only.
 * ties go to the smaller id; fewer candidates than k give all of them; an empty table gives an empty result.
-* scores beyond 64 bits saturate; blocks whose sums could leave 53 bits are multiplied in integers, beyond 63 bits in Python's.
+* scores beyond 64 bits saturate, before ranking; blocks whose sums could leave 53 bits are multiplied in integers, beyond 63 bits in Python's.
 * other columns are not read.
 """
 
@@ -90,8 +90,9 @@ def best_in_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray
     if not exact:
         whole = np.array([[int(x) for x in r] for r in q.T.tolist()], dtype=object).dot(np.array([[int(x) for x in r] for r in c.tolist()], dtype=object))
         for i in range(q.shape[1]):
-            order = sorted((j for j in range(n) if j != own[i]), key=lambda j: (-whole[i, j], ids[j]))[:k]
-            yield i, np.array(order, dtype=np.int64), np.array([max(-_LONG - 1, min(_LONG, whole[i, j])) for j in order], dtype=np.int64)
+            scores = np.array([max(-_LONG - 1, min(_LONG, x)) for x in whole[i].tolist()], dtype=np.int64)
+            order = sorted((j for j in range(n) if j != own[i]), key=lambda j: (-int(scores[j]), ids[j]))[:k]
+            yield i, np.array(order, dtype=np.int64), scores[order]
         return
     edges = [*range(0, dims, STEP), dims]
     # what the dimensions from each edge on can still add: squared norms, summed from the back
