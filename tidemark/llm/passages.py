@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, gram_hashes, map_batches, raw, signed, written
 
-ANCHOR = 8
+ANCHOR = 12
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 2_000_000
 
@@ -43,8 +43,8 @@ def _hashes() -> WordHashes:
 
 def anchors(words: np.ndarray, window: int) -> np.ndarray:
     """For each window the position of its anchor; empty if the text has no window."""
-    span = window - ANCHOR + 1
-    grams = gram_hashes(words, ANCHOR)
+    span = window - min(ANCHOR, window) + 1
+    grams = gram_hashes(words, min(ANCHOR, window))
     if len(grams) < span:
         return np.empty(0, dtype=np.int64)
     out = np.empty(len(grams) - span + 1, dtype=np.int64)
@@ -54,9 +54,11 @@ def anchors(words: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _anchored(docs: DataFrame, id_col: str, text: str, window: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def _text_key(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
+
+def _anchored(docs: DataFrame, text: str, window: int) -> DataFrame:
     def scan(cols: dict) -> dict:
         out: dict[str, list] = {n: [] for n in ("n_words", "whole", "anchors", "places")}
         for data in raw(cols[text]):
@@ -65,16 +67,15 @@ def _anchored(docs: DataFrame, id_col: str, text: str, window: int) -> DataFrame
             at = np.unique(anchors(h, window))
             out["n_words"].append(len(words))
             out["whole"].append(hashlib.sha256(b" ".join(words)).digest())
-            out["anchors"].append(signed(gram_hashes(h, ANCHOR)[at]) if len(at) else [])
+            out["anchors"].append(signed(gram_hashes(h, min(ANCHOR, window))[at]) if len(at) else [])
             out["places"].append(at)
-        return {id_col: cols[id_col], "key": cols["key"]} | out
+        return {"key": cols["key"]} | out
 
-    rows = docs.select(id_col, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), text)
-    return map_batches(rows, scan, f"`{id_col}` {kind}, key binary, n_words long, whole binary, anchors array<long>, places array<int>")
+    return map_batches(docs.select(_text_key(text).alias("key"), text), scan, "key binary, n_words long, whole binary, anchors array<long>, places array<int>")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """key, starts and their hashes: windows whose anchor is one of ``places``."""
+    """tid, copies, starts and their hashes: windows whose anchor is one of ``places``."""
 
     def scan(cols: dict) -> dict:
         starts, hashes = [], []
@@ -83,9 +84,9 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
             at = np.nonzero(np.isin(anchors(h, window), np.array(places)))[0]
             starts.append(at)
             hashes.append(signed(gram_hashes(h, window)[at]))
-        return {"key": cols["key"], "shard": cols["shard"], "copies": cols["copies"], "starts": starts, "hashes": hashes}
+        return {"tid": cols["tid"], "copies": cols["copies"], "starts": starts, "hashes": hashes}
 
-    return map_batches(rows, scan, "key binary, shard int, copies long, starts array<int>, hashes array<long>")
+    return map_batches(rows, scan, "tid long, copies long, starts array<int>, hashes array<long>")
 
 
 def _covered(texts: list[np.ndarray], places: list[np.ndarray], window: int) -> list[np.ndarray]:
@@ -141,11 +142,19 @@ def _shard_results(rows: list[dict], window: int) -> list[dict]:
     number: dict[bytes, int] = {}
     split = [(r["text"] or b"").split() for r in rows]
     texts = [np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in split]
-    places = [np.unique(np.array(r["starts"] or [], dtype=np.int64)) for r in rows]
+    places = []
+    known = np.empty(0, dtype=np.uint64)
+    for r, words in zip(rows, split, strict=True):
+        starts = np.unique(np.array(r["starts"] or [], dtype=np.int64))
+        if len(starts):  # one place of every recurring window of the shard
+            grams, first = np.unique(gram_hashes(_hashes().of(words), window)[starts], return_index=True)
+            starts = np.sort(starts[first[~np.isin(grams, known)]])
+            known = np.union1d(known, grams)
+        places.append(starts)
     out = []
     for r, words, hit in zip(rows, split, _covered(texts, places, window), strict=True):
         kept = b" ".join(w for w, h in zip(words, hit.tolist(), strict=True) if not h)
-        out.append({"key": r["key"], "removed": int(hit.sum()), "kept": hashlib.sha256(kept).digest(), "text": kept.decode(errors="replace")})
+        out.append({"tid": r["tid"], "removed": int(hit.sum()), "kept": hashlib.sha256(kept).digest(), "text": kept.decode(errors="replace")})
     return out
 
 
@@ -154,50 +163,56 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    seen = written(_anchored(docs, id_col, text, window), "anchors")
-    once = seen.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors"), F.first("places").alias("places"))
-    flat = written(once.select("key", "copies", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("key", "copies", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place")), "anchor-places")
+    # every text once, under a short number; equal texts have equal words, so any of their rows will do
+    body = [F.first(c).alias(c) for c in ("n_words", "whole", "anchors", "places")]
+    once = _anchored(docs, text, window).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), *body)
+    once = written(once.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    flat = once.select("tid", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("tid", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
     again = flat.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2).select("anchor")
-    candidates = flat.join(again, "anchor").groupBy("key").agg(F.collect_list("place").alias("places"), F.first("copies").alias("copies"))
-    said = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).cast("binary").alias("text"))
+    candidates = flat.join(again, "anchor").groupBy("tid").agg(F.collect_list("place").alias("places"))
+    candidates = candidates.join(once.select("tid", "key", "copies"), "tid")
+    said = docs.select(_text_key(text).alias("key"), F.col(text).cast("binary").alias("text"))
     # candidates grow with the input, so they are never broadcast to the texts; a text that has copies is carried on by one of them
     picked = candidates.hint("shuffle_merge").join(said, "key").dropDuplicates(["key"])
-    size = F.length("text").cast("long")
-    held = written(picked.select("key", "copies", "places", "text", size.alias("bytes")), "passage-texts")
+    held = written(picked.select("tid", "copies", "places", "text", F.length("text").cast("long").alias("bytes")), "passage-texts")
     total = held.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    held = held.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    windows = written(_windows(held, window), "windows").select("key", "shard", "copies", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
-        "key", "shard", "copies", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash")
+    shard = F.pmod(F.xxhash64("tid"), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int").alias("shard")
+    windows = written(_windows(held, window), "windows").select("tid", "copies", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
+        "tid", "copies", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash")
     )
     recurring = windows.groupBy("hash").agg(F.sum("copies").alias("n")).where(F.col("n") >= 2).select("hash")
-    # one place of every recurring window in every shard that has it
-    patterns = windows.groupBy("hash", "shard").agg(F.min(F.struct("key", "start")).alias("p")).join(recurring, "hash")
-    places = patterns.select(F.col("p.key").alias("key"), F.col("p.start").alias("start")).groupBy("key").agg(F.collect_list("start").alias("starts"))
-    dealt = held.join(places.hint("shuffle_merge"), "key", "left").select("shard", "key", "starts", "text")
-    target = to_arrow_schema(docs.sparkSession.createDataFrame([], "key binary, removed long, kept binary, text string").schema)
+    places = windows.select("tid", "start", "hash").join(recurring, "hash").groupBy("tid").agg(F.collect_list("start").alias("starts"))
+    # texts and places meet in their shard: one shuffle of either
+    dealt = held.select(shard, "tid", F.lit(None).cast("array<int>").alias("starts"), "text").unionByName(
+        places.select(shard, "tid", "starts", F.lit(None).cast("binary").alias("text"))
+    )
+    target = to_arrow_schema(docs.sparkSession.createDataFrame([], "tid long, removed long, kept binary, text string").schema)
 
     def locate(batches):
         rows: list[dict] = []
+        number = None
         for batch in batches:
             for row in batch.to_pylist():
-                if rows and rows[0]["shard"] != row["shard"]:
+                if rows and number != row["shard"]:
                     yield pa.RecordBatch.from_pylist(_shard_results(rows, window), schema=target)
                     rows = []
-                rows.append(row)
+                number = row["shard"]
+                if rows and rows[-1]["tid"] == row["tid"]:
+                    rows[-1] = {k: rows[-1][k] if row[k] is None else row[k] for k in row}
+                else:
+                    rows.append(row)
         if rows:
             yield pa.RecordBatch.from_pylist(_shard_results(rows, window), schema=target)
 
-    cut = dealt.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(locate, "key binary, removed long, kept binary, text string")
+    cut = dealt.repartition("shard").sortWithinPartitions("shard", "tid").mapInArrow(locate, "tid long, removed long, kept binary, text string")
     if not with_text:
         cut = cut.drop("text")
     cut = written(cut, "cut")
-    copies = seen.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     whole = (F.col("copies") >= 2) & (F.col("n_words") >= window)
-    result = seen.select(id_col, "key", "n_words", "whole").join(copies, "key").join(cut, "key", "left")
-    return result.select(
-        id_col, "n_words",
+    result = once.select("key", "tid", "copies", "n_words", "whole").join(cut, "tid", "left").select(
+        "key", "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "whole")))).alias("kept_sha256"),
         *([F.when(whole, F.lit("")).otherwise(F.col("text")).alias("kept_text")] if with_text else []),
     )
+    return docs.select(id_col, _text_key(text).alias("key")).join(result, "key").drop("key")
