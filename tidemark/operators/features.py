@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import change_bps, div_floor, div_trunc, nearest_rank, price, return_bps, rms_return_bps
+from ..functions.exact import WIDE, change_bps, div_floor, div_trunc, nearest_rank, price, return_bps, rms_return_bps, wide
 from .ordered import Ordered, Split, measured
 
 ORDER = ("availability_ns", "seq")
 
 
+def change_bps_of_flow(buy, sell, volume) -> Column:
+    """trunc((buy - sell) * 10000 / volume) in 38 digits, which any sums of 64-bit amounts fit."""
+    net = (wide(buy) - wide(sell)).cast(WIDE)
+    return div_trunc(F.try_multiply(net, F.lit(10000).cast(WIDE)).cast(WIDE), wide(volume))
+
+
 def is_swap() -> Column:
     return F.col("kind") == "swap"
 
@@ -268,7 +274,7 @@ def market_features(events: DataFrame, n: int = 64, split: Split = Split()) -> D
         "buy_flow",
         "sell_flow",
         "volume",
-        div_trunc((F.col("buy_flow") - F.col("sell_flow")) * 10000, F.col("volume")).alias("imbalance_bps"),
+        change_bps_of_flow(F.col("buy_flow"), F.col("sell_flow"), F.col("volume")).alias("imbalance_bps"),
         F.when(two, return_bps("tail.quote_raw", "tail.base_raw", "head.quote_raw", "head.base_raw")).alias("momentum_bps"),
         F.when(
             two,

@@ -15,15 +15,19 @@ ALERT_CODES = ("quota_exhausted", "slots_unresolved", "decoder_errors", "token_d
 def quota_usage(policy: DataFrame, reservations: DataFrame, settlements: DataFrame) -> DataFrame:
     """Per quota: requests, charged units (settled, else reserved), unsettled, faults and health.
 
-    policy: quota, requests, units. reservations: quota, key, units. settlements: key, actual.
+    policy: quota, requests, units. reservations: quota, key, units. settlements: key, actual; repeated settlements of a key
+    count once, with the largest amount. A settlement without a reservation belongs to no quota, so it is a fault of all.
     """
-    r = reservations.join(settlements.select("key", "actual"), "key", "left")
+    s = settlements.groupBy("key").agg(F.max("actual").alias("actual"))
+    unreserved = s.join(reservations.select("key"), "key", "left_anti").agg(F.count(F.lit(1)).alias("__unreserved"))
+    r = reservations.join(s, "key", "left")
     g = r.groupBy("quota").agg(
         F.count(F.lit(1)).alias("requests_used"), F.sum(F.coalesce("actual", "units")).alias("charged_units"),
         F.count_if(F.col("actual").isNull()).alias("unsettled"), F.count_if(F.col("actual") > F.col("units")).alias("errors"))
     out = policy.join(g, "quota", "left")
     for c in ("requests_used", "charged_units", "unsettled", "errors"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))
+    out = out.crossJoin(unreserved).withColumn("errors", F.col("errors") + F.col("__unreserved")).drop("__unreserved")  # one row
     return out.withColumn("healthy", F.expr("errors = 0 and requests_used <= requests and charged_units <= units"))
 
 
@@ -55,9 +59,10 @@ def settlement_check(reservations: DataFrame, settlements: DataFrame) -> DataFra
 
 def alert_marks(observations: DataFrame, codes=ALERT_CODES) -> DataFrame:
     """One row per (observation, code) it says something about: set when it lists the code, cleared when a
-    complete snapshot does not. An incomplete report says nothing about codes it does not list."""
+    complete snapshot does not. An incomplete report says nothing about codes it does not list; codes outside the fixed
+    list are ignored, as in the stream."""
     all_codes = F.array(*[F.lit(c) for c in codes])
-    said = F.when(F.col("complete"), F.array_union("codes", all_codes)).otherwise(F.array_distinct("codes"))
+    said = F.when(F.col("complete"), all_codes).otherwise(F.array_intersect("codes", all_codes))
     return observations.select("source", "id", F.explode(said).alias("code"), "codes").select(
         "source", "id", "code", F.array_contains("codes", F.col("code")).alias("set"))
 

@@ -223,16 +223,13 @@ def secret_echo(text, secrets: Sequence[str]) -> Column:
     """True when the whole text, or its canonical JSON, holds a secret of four or more characters, plain or URL-quoted."""
     from urllib.parse import quote
 
-    known = [s for s in secrets if s and len(s) >= 4]
-    if len(known) > 1000:
-        raise ValueError("the secret list is a short list of credentials")
+    forms = sorted({form for s in secrets if s and len(s) >= 4 for form in (s, quote(s, safe=""))})
+    if not forms:
+        return F.lit(False)
     t = _col(text)
     canon = F.coalesce(F.to_json(F.try_parse_json(t)), F.lit(""))
-    hit = F.lit(False)
-    for s in known:
-        for form in {s, quote(s, safe="")}:
-            hit = hit | t.contains(form) | canon.contains(form)
-    return F.coalesce(hit, F.lit(False))
+    # one array literal, however many secrets there are
+    return F.coalesce(F.exists(F.lit(forms), lambda s: t.contains(s) | canon.contains(s)), F.lit(False))
 
 
 def quote_valid(df: DataFrame) -> DataFrame:
