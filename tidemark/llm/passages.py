@@ -142,15 +142,12 @@ def _shard_results(rows: list[dict], window: int) -> list[dict]:
     number: dict[bytes, int] = {}
     split = [(r["text"] or b"").split() for r in rows]
     texts = [np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in split]
-    places = []
-    known = np.empty(0, dtype=np.uint64)
-    for r, words in zip(rows, split, strict=True):
-        starts = np.unique(np.array(r["starts"] or [], dtype=np.int64))
-        if len(starts):  # one place of every recurring window of the shard
-            grams, first = np.unique(gram_hashes(_hashes().of(words), window)[starts], return_index=True)
-            starts = np.sort(starts[first[~np.isin(grams, known)]])
-            known = np.union1d(known, grams)
-        places.append(starts)
+    given = [np.unique(np.array(r["starts"] or [], dtype=np.int64)) for r in rows]
+    grams = [gram_hashes(_hashes().of(words), window)[at] if len(at) else np.empty(0, dtype=np.uint64) for words, at in zip(split, given, strict=True)]
+    # one place of every recurring window of the shard: the first
+    first = np.zeros(sum(map(len, given)), dtype=bool)
+    first[np.unique(np.concatenate(grams), return_index=True)[1]] = True
+    places = [at[f] for at, f in zip(given, np.split(first, np.cumsum([len(x) for x in given])[:-1]), strict=True)]
     out = []
     for r, words, hit in zip(rows, split, _covered(texts, places, window), strict=True):
         kept = b" ".join(w for w, h in zip(words, hit.tolist(), strict=True) if not h)
