@@ -191,7 +191,7 @@ def test_skip_chain_carries_a_label():
     assert g.labels == [4, 0, 0] and g.skip == [(0, 1)]
     k = len(pii._LABELS)
     agree = pii.Field(np.zeros((pii._N_FEATURES, k)), np.zeros((k, k)), 4 * np.eye(k))
-    assert pii.field_spans(text, base, agree) == [(46, 60, "phone")]
+    assert pii.field_spans(text, base, agree) == [(47, 61, "phone")]
     assert pii.field_spans(text, base, pii.Field(np.zeros((pii._N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k)))) == []
 
 

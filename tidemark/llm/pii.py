@@ -134,7 +134,7 @@ class _Graph:
                 self.chain.append((n - 1, n))
             key = _key(token)
             if len(key) >= 4:
-                if key in seen and seen[key] != n - 1:
+                if key in seen and (seen[key], n) not in self.chain[-1:]:  # neighbours have their chain edge
                     self.skip.append((seen[key], n))  # a chain through all equal tokens: no pairs
                 seen[key] = n
             last = i
