@@ -1,7 +1,12 @@
 """Cases in which unknown, unreserved or unlisted inputs once gave a healthy result."""
 
-from tidemark.operators import features, ops, validate
+import os
+
+import pytest
 from pyspark.sql import functions as F
+from tidemark.operators import features, ops, pit, validate
+from tidemark.operators.ordered import Ordered, Split
+from tidemark.sources import files
 
 
 def test_large_flows_do_not_overflow(spark):
@@ -31,3 +36,35 @@ def test_many_secrets(spark):
     secrets = [f"secret-{i}/x" for i in range(3000)]
     df = spark.createDataFrame([("has secret-2999%2Fx in it",), ("none",), (None,)], "t string")
     assert [r[0] for r in df.select(validate.secret_echo(F.col("t"), secrets)).collect()] == [True, False, False]
+
+
+def test_fingerprint_tells_fields_apart(spark):
+    def of(*row):
+        return pit.fingerprint(spark.createDataFrame([row], "a string, b string")).first()["dataset_sha256"]
+
+    assert len({of("a|b", "c"), of("a", "b|c"), of(None, "c"), of("~", "c"), of("", "c"), of("1:a", ""), of("", "1:a")}) == 7
+    with pytest.raises(TypeError):
+        pit.fingerprint(spark.sql("select map('a', 1) as m"))
+
+
+def test_content_address_of_what_was_written(spark, tmp_path):
+    root = str(tmp_path / "sets")
+    other = F.udf(lambda: os.urandom(8).hex()).asNondeterministic()
+    df = spark.range(200).withColumn("u", other())  # other values each time it runs
+    first = files.write_content_addressed(df, root)
+    assert files.read_dataset(spark, root, first).count() == 200
+    assert files.write_content_addressed(df, root) != first
+    assert not [p for p in (tmp_path / "sets").iterdir() if p.name.startswith("_staging")]
+
+
+def test_amounts_as_text(spark, tmp_path):
+    files.export_jsonl(spark.sql("select 7L as id, 9007199254740993L as raw"), str(tmp_path / "l"), amounts=("raw",))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "l")).collect()] == ['{"id":7,"raw":"9007199254740993"}']
+
+
+def test_lookback_over_uneven_segments(spark):
+    df = spark.range(400).selectExpr("'k' as k", "if(id < 380, id div 8, id * 50) as t", "id as s")
+    want = {s: list(range(max(0, s - 6), s + 1)) for s in range(400)}
+    o = Ordered(df, ["k"], ["t", "s"], Split(20), lookback=6)
+    got = o.add(last=F.collect_list("s").over(o.frame(7))).result()
+    assert {r["s"]: r["last"] for r in got.collect()} == want

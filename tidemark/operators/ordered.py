@@ -116,7 +116,10 @@ class Ordered:
         per_seg = last.groupBy(*self.keys, SEG).agg(
             F.array_sort(F.collect_list(F.struct(*self.order, *[c for c in data if c not in self.order]))).alias("__tail")
         )
-        before = Window.partitionBy(*self.keys).orderBy(SEG).rowsBetween(-n, -1)
+        # only the segments whose tails reach into the last n rows in front, so at most 3 n rows meet
+        ahead = F.sum(F.size("__tail").cast("bigint")).over(Window.partitionBy(*self.keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1))
+        per_seg = per_seg.withColumn("__ahead", F.coalesce(ahead, F.lit(0).cast("bigint")))
+        before = Window.partitionBy(*self.keys).orderBy("__ahead").rangeBetween(-2 * n, -1)
         prior = per_seg.withColumn("__prior", F.flatten(F.collect_list("__tail").over(before)))
         prior = prior.select(
             *[F.col(k).alias(f"__k_{k}") for k in self.keys],

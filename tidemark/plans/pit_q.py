@@ -99,18 +99,23 @@ def latest_state_as_of(spark, sf):
     return I.latest_state(c, CUT, ["source"], tie).select("source", "revision", "document")
 
 
+def fields(*columns):
+    """Every column with its length in front, as one text."""
+    return " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '~')" for c in columns)
+
+
 FINGER = """h AS (SELECT sha256(t) AS h FROM t),
 g AS (SELECT count(*) AS n, {sums} FROM h)
 SELECT n AS rows, sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) AS dataset_sha256""".format(
     sums=", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS s{i}" for i in range(4)))
 
 
-@query("dataset_fingerprint", f"WITH t AS (SELECT o_custkey || '|' || o_orderkey || '|' || o_orderstatus AS t FROM orders), {FINGER} FROM g")
+@query("dataset_fingerprint", f"WITH t AS (SELECT {fields('o_custkey', 'o_orderkey', 'o_orderstatus')} AS t FROM orders), {FINGER} FROM g")
 def dataset_fingerprint(spark, sf):
     return I.fingerprint(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
-@query("snapshot_hash", f"WITH {CAP}, t AS (SELECT document || '|' || source || '|' || source_id || '|' || x AS t FROM cap WHERE available_at <= {CUT}), {FINGER}, {CUT} AS cutoff FROM g")
+@query("snapshot_hash", f"WITH {CAP}, t AS (SELECT {fields('document', 'source', 'source_id', 'x')} AS t FROM cap WHERE available_at <= {CUT}), {FINGER}, {CUT} AS cutoff FROM g")
 def snapshot_hash(spark, sf):
     return I.snapshot(captures(spark, sf), CUT, ["source", "source_id", "document", "x"])
 

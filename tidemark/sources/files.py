@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.jsonio import canonical_json
 from ..operators.pit import fingerprint
+from ..session import shared_folder
 
 # Fixed column lists of the six archive tables.
 ARCHIVE_TABLES = {
@@ -23,13 +24,8 @@ ARCHIVE_TABLES = {
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint location; a local temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder under the shared checkpoint location."""
+    return f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -87,29 +83,43 @@ def read_frames(spark: SparkSession, path: str, kind: str, below: int | None = N
     return df if metadata is None else df.withColumn("metadata", F.from_json("metadata", metadata))
 
 
-def export_jsonl(df: DataFrame, path: str) -> None:
-    """One JSON object per line; decimals and big integers of amounts go out as text."""
-    cols = [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in df.schema]
+def export_jsonl(df: DataFrame, path: str, amounts=()) -> None:
+    """One JSON object per line; decimals and the columns named in ``amounts`` go out as text."""
+    cols = [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) or f.name in amounts else F.col(f.name) for f in df.schema]
     df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+def _folders(spark: SparkSession, *paths: str):
+    """The file system of the paths, and the paths in its own type."""
+    p = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in paths]
+    return p[0].getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), *p
 
 
 def write_content_addressed(df: DataFrame, root: str) -> str:
-    """Write under the content hash of the rows. The same content again is a no-op; other content there is an error."""
+    """Write under the content hash of the rows. The same content again is a no-op; other content there is an error.
+
+    The rows are written once, to a folder of their own; what was written is hashed and then moved to its name, so a
+    reader never sees half of it and two writers of the same content do not disturb each other.
+    """
     spark = df.sparkSession
-    rows, digest = fingerprint(df).first()
+    staged = f"{root}/_staging-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    rows, digest = fingerprint(spark.read.schema(df.schema).parquet(staged)).first()
     path = f"{root}/{digest}"
-    if _exists(spark, f"{path}/_SUCCESS"):
+    fs, src, dst, done = _folders(spark, staged, path, f"{path}/_SUCCESS")
+    try:
+        if not fs.exists(done):
+            if fs.exists(dst):  # what a lost move left behind
+                fs.delete(dst, True)
+            if fs.rename(src, dst) and not fs.exists(_folders(spark, f"{path}/{src.getName()}")[1]):
+                return digest
+            # another writer was first, and the move may have gone into its folder
+            fs.delete(_folders(spark, f"{path}/{src.getName()}")[1], True)
         if tuple(fingerprint(spark.read.schema(df.schema).parquet(path)).first()) != (rows, digest):
             raise ValueError("existing dataset does not match its name")
         return digest
-    # a folder without _SUCCESS is what a lost writer left behind
-    df.write.mode("overwrite").parquet(path)
-    return digest
+    finally:
+        fs.delete(src, True)
 
 
 def read_dataset(spark: SparkSession, root: str, digest: str, schema=None) -> DataFrame:
