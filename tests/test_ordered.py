@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import Ordered, Split
+from tidemark.operators.ordered import HOME, SEG, Ordered, Split, measured
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +50,36 @@ def test_row_frames_see_across_segments(skewed, rows):
     o = Ordered(skewed, ["k"], ["t", "seq"], Split(rows), lookback=15)
     got = o.add(s=F.sum("v").over(o.frame(16)), n=F.count("v").over(o.frame(16))).result().select("seq", "s", "n")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bursty_axis_is_cut_evenly(spark):
+    # nearly all rows in one second, ten late ones: equal widths would leave one segment with almost everything
+    df = spark.range(5000).select(F.lit(1).alias("k"), F.when(F.col("id") < 4990, F.col("id")).otherwise(F.col("id") * 10**9).alias("t"), F.col("id").alias("seq"))
+    o = Ordered(df, ["k"], ["t", "seq"], Split(250))
+    assert o.df.where(HOME).groupBy(SEG).count().agg(F.max("count")).first()[0] <= 500
+    o.running(total=("sum", F.lit(1)))
+    assert o.result().where(F.col("total") != F.col("seq") + 1).isEmpty()
+
+
+def test_one_instant(spark):
+    df = spark.range(300).select(F.lit(1).alias("k"), F.lit(7).alias("t"), F.col("id").alias("seq"))
+    out = Ordered(df, ["k"], ["t", "seq"], Split(50)).running(total=("sum", F.lit(1))).result()
+    assert out.where(F.col("total") == F.col("seq") + 1).count() == 300
+
+
+def test_range_frames_on_a_bursty_axis(spark):
+    df = spark.range(900).select((F.col("id") % 2).alias("k"), F.floor(F.pow(F.col("id") / 30, F.lit(3))).cast("bigint").alias("t"), F.col("id").alias("seq"))
+    w = Window.partitionBy("k").orderBy("t").rangeBetween(-40, 0)
+    want = df.select("seq", F.count("seq").over(w).alias("n"))
+    o = Ordered(df, ["k"], ["t"], Split(30), lookback_range=40)
+    got = o.add(n=F.count("seq").over(o.window().rangeBetween(-40, 0))).result().select("seq", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_key_longer_than_the_measured_key(spark):
+    df = spark.range(800).select(F.lit(1).alias("k"), (F.col("id") % 37).alias("sub"), F.col("id").alias("t"))
+    split = measured(df, ["k"], "t", Split(60))
+    out = Ordered(df, ["k", "sub"], ["t"], split).running(total=("sum", F.col("t"))).result()
+    w = Window.partitionBy("k", "sub").orderBy("t")
+    want = df.select("t", F.sum("t").over(w).alias("total"))
+    assert sorted(map(tuple, out.select("t", "total").collect())) == sorted(map(tuple, want.collect()))

@@ -3,8 +3,9 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. So the row counts
 per key are measured first (a map-side combined count over the key columns). Where no key has
 more than ``Split.rows`` rows, that plain window is the plan. Otherwise each hot key is cut
-along its order axis into segments of about that many rows; windows run per (key, segment)
-and what earlier segments know is carried over:
+along its order axis at quantiles, into segments of about that many rows however bursty the
+axis is (rows of one instant stay together); windows run per (key, segment) and what earlier
+segments know is carried over:
 
 * ``running`` keeps prefix max / min / sum. Each segment is aggregated once (map-side
   combined), the per-segment results are scanned per key, and the prefix is joined back.
@@ -12,16 +13,19 @@ and what earlier segments know is carried over:
   row frames of bounded length see the same rows as without the cut; ``lookback_range``
   does the same for frames bounded on the order axis.
 
-Two tables are broadcast. Hot keys: each has more than ``Split.rows`` rows, so there are
-fewer than total / rows of them. Segment prefixes: at most two per ``Split.rows`` rows of a
-hot key. With the default of four million, 10^12 rows give at most 250,000 hot keys.
+Two tables are broadcast. Hot keys with their segment starts: each key has more than
+``Split.rows`` rows, so there are fewer than total / rows keys and twice as many starts. Segment
+prefixes: one a segment of a hot key; under a longer key than the measured one their number has
+no such bound, and the join is left to Spark. With the default of four million, 10^12 rows give
+at most 250,000 hot keys.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from math import ceil, isqrt
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +34,11 @@ SEG, HOME, HOT = "__seg", "__home", "__hot"
 
 @dataclass(frozen=True)
 class Split:
-    """Rows a key may have before it is cut; ``measured`` fills in which keys those are."""
+    """Rows a key may have before it is cut; ``measured`` fills in which keys those are and where their later segments start."""
 
     rows: int = 4_000_000
     keys: tuple[str, ...] | None = None
-    hot: tuple[Row, ...] | None = None
+    hot: tuple[tuple, ...] | None = None
 
 
 def measured(df: DataFrame, keys, axis: str, split: Split = Split()) -> Split:
@@ -45,20 +49,52 @@ def measured(df: DataFrame, keys, axis: str, split: Split = Split()) -> Split:
     """
     if split.hot is not None:
         return split
-    n, lo, hi = F.col("__n"), F.col("__lo"), F.col("__hi")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(axis).alias("__lo"), F.max(axis).alias("__hi"))
-    width = F.greatest(F.lit(1.0), F.ceil((hi - lo + 1) / F.ceil(n / F.lit(split.rows))))
-    hot = sizes.where(n > split.rows).select(*keys, lo.cast("double").alias("__lo"), width.cast("double").alias("__width"))
-    return replace(split, keys=tuple(keys), hot=tuple(hot.collect()))
-
-
-def _attach(left: DataFrame, right: DataFrame, cols) -> DataFrame:
-    """Left join on null-safe keys against a broadcast table of proven size."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > split.rows)
+    hot = [tuple(r) for r in sizes.collect()]
+    if not hot:
+        return replace(split, keys=tuple(keys), hot=())
+    most = ceil(max(n for *_, n in hot) / split.rows)
+    fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
+    table = df.sparkSession.createDataFrame(hot, T.StructType([*fields, T.StructField("__n", T.LongType())]))
+    at = F.percentile_approx(F.col(axis).cast("double"), [k / most for k in range(1, most)], max(1000, 8 * most))
+    starts = _attach(df.select(*keys, axis), table, keys).where(F.col("__n").isNotNull()).groupBy(*keys).agg(F.first("__n").alias("__n"), at.alias("__at"))
+    out = []
+    for *key, n, cuts in starts.collect():
+        own = ceil(n / split.rows)
+        out.append((*key, tuple(sorted({cuts[round(most * k / own) - 1] for k in range(1, own)}))))
+    return replace(split, keys=tuple(keys), hot=tuple(out))
+
+
+def _apart(starts, least: float) -> list[float]:
+    """The starts without those closer than ``least`` to the one kept before."""
+    kept: list[float] = []
+    for x in starts:
+        if not kept or x - kept[-1] >= least:
+            kept.append(x)
+    return kept
+
+
+def _in_rows(starts: list[float]) -> list[list[float]]:
+    """The starts in rows of equal length, so that a segment is found by its row and then within it."""
+    step = isqrt(len(starts)) + 1
+    return [starts[i : i + step] for i in range(0, len(starts), step)]
+
+
+def _segment(x: Column) -> Column:
+    """Number of starts in ``__starts`` that are not above x."""
+    rows = F.col("__starts")
+    row = F.size(F.filter(rows, lambda r: F.get(r, F.lit(0)) <= x)) - 1
+    within = F.size(F.filter(F.get(rows, row), lambda b: b <= x))
+    return F.when(row >= 0, row * F.size(F.get(rows, F.lit(0))) + within).otherwise(F.lit(0)).cast("bigint")
+
+
+def _attach(left: DataFrame, right: DataFrame, cols, small: bool = True) -> DataFrame:
+    """Left join on null-safe keys; ``small``: against a broadcast table of proven size."""
     renamed = right.select(*[F.col(c).alias(f"__k_{c}") if c in cols else F.col(c) for c in right.columns])
     cond = F.lit(True)
     for c in cols:
         cond = cond & left[c].eqNullSafe(renamed[f"__k_{c}"])
-    return left.join(F.broadcast(renamed), cond, "left").drop(*[f"__k_{c}" for c in cols])
+    return left.join(F.broadcast(renamed) if small else renamed, cond, "left").drop(*[f"__k_{c}" for c in cols])
 
 
 class Ordered:
@@ -72,32 +108,28 @@ class Ordered:
         if not self.cut:
             self.df = df
             return
-        fields = [df.schema[k] for k in split.keys]
-        schema = T.StructType([*fields, T.StructField("__lo", T.DoubleType()), T.StructField("__width", T.DoubleType())])
-        hot = df.sparkSession.createDataFrame(list(split.hot), T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
-        if lookback_range:
-            hot = hot.withColumn("__width", F.greatest("__width", F.lit(1.0 + lookback_range)))
-        rows = _attach(df, hot, list(split.keys))
+        self.measured = set(split.keys)
+        fields = [T.StructField(k, df.schema[k].dataType) for k in split.keys]
+        starts = T.StructField("__starts", T.ArrayType(T.ArrayType(T.DoubleType())))
+        # with a range in view segments are wider than it, so a row is needed by at most one later segment
+        least = 1.0 + lookback_range if lookback_range else 0.0
+        table = [(*key, _in_rows(_apart(cuts, least))) for *key, cuts in split.hot]
+        rows = _attach(df, df.sparkSession.createDataFrame(table, T.StructType([*fields, starts])), list(split.keys))
+        at = F.col(axis).cast("double")
         rows = (
-            rows.withColumn(HOT, F.col("__lo").isNotNull())
-            .withColumn(
-                SEG,
-                F.when(F.col(HOT), F.floor((F.col(axis) - F.col("__lo")) / F.col("__width")).cast("bigint")).otherwise(
-                    F.lit(0).cast("bigint")
-                ),
-            )
+            rows.withColumn(HOT, F.col("__starts").isNotNull())
+            .withColumn(SEG, F.when(F.col(HOT), _segment(at)).otherwise(F.lit(0).cast("bigint")))
             .withColumn(HOME, F.lit(True))
         )
         if lookback_range:
-            # segments are wider than the range, so a row is needed by at most one later segment
-            reach = F.floor((F.col(axis) + lookback_range - F.col("__lo")) / F.col("__width")).cast("bigint")
+            reach = _segment((F.col(axis) + lookback_range).cast("double"))
             rows = (
                 rows.withColumn("__own", F.col(SEG))
                 .withColumn(SEG, F.explode(F.sequence(F.col(SEG), F.when(F.col(HOT), reach).otherwise(F.col(SEG)))))
                 .withColumn(HOME, F.col(SEG) == F.col("__own"))
                 .drop("__own")
             )
-        rows = rows.drop("__lo", "__width")
+        rows = rows.drop("__starts")
         if lookback:
             rows = rows.unionByName(self._tails(rows, lookback))
         self.df = rows
@@ -106,6 +138,7 @@ class Ordered:
         """The same rows under a longer key: same segments, and no new shuffle."""
         out = object.__new__(Ordered)
         out.keys, out.order, out.cut, out.df = [*self.keys, *keys], self.order, self.cut, self.df
+        out.measured = self.measured if self.cut else set()
         return out
 
     def _tails(self, rows: DataFrame, n: int) -> DataFrame:
@@ -165,7 +198,7 @@ class Ordered:
         )
         for name, (fn, _) in specs.items():
             df = df.withColumn(f"__l_{name}", funcs[fn](f"__v_{name}").over(w))
-        df = _attach(df, prior, [*self.keys, SEG])
+        df = _attach(df, prior, [*self.keys, SEG], small=set(self.keys) == self.measured)
         for name, (fn, _) in specs.items():
             local, carried = F.col(f"__l_{name}"), F.when(F.col(HOME), F.col(f"__p_{name}"))
             if fn == "sum":
