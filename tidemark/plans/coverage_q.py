@@ -100,15 +100,20 @@ def attempt_diagnostics(spark, sf):
     return d.select("attempt_id", "slot", "status", "reason", "request_version", "category", "rpc_code", F.col("reported_transaction_version").alias("version"))
 
 
-SELECTED = f"""WITH {BLOCKS}, x AS (SELECT *, slot % 19 = 3 AS x FROM st WHERE slot BETWEEN 100 AND 9000),
+SELECTED = f"""WITH {BLOCKS}, x AS (SELECT *, slot % 19 = 3 AS x FROM st WHERE slot BETWEEN 100 AND (SELECT max(slot) * 9 // 10 FROM st)),
 se AS (SELECT slot, CASE WHEN x AND status = 'archived' THEN 'excluded' WHEN status = 'unavailable' THEN 'unresolved' ELSE status END AS status,
  CASE WHEN x AND status = 'archived' THEN 'explicit_slot_exclusion' ELSE reason END AS reason, CASE WHEN x AND status <> 'archived' THEN 'cannot_exclude_unresolved_or_skipped_slot' END AS reject FROM x)
 """
 
 
+def last_selected(spark, sf):
+    """The end of the selected range: nine tenths of the slots."""
+    return states(spark, sf)[0].agg(F.max("slot")).first()[0] * 9 // 10
+
+
 def selected(spark, sf):
     st, _ = states(spark, sf)
-    return C.select_range(st, 100, 9000, table(spark, sf, "orders").where("o_orderkey % 19 = 3").select(F.col("o_orderkey").alias("slot")))
+    return C.select_range(st, 100, last_selected(spark, sf), table(spark, sf, "orders").where("o_orderkey % 19 = 3").select(F.col("o_orderkey").alias("slot")))
 
 
 @query("selected_range", SELECTED + "SELECT slot, status, reason, reject FROM se")
@@ -117,9 +122,9 @@ def selected_range(spark, sf):
 
 
 @query("selected_range_flags", SELECTED + """SELECT count(*) FILTER (WHERE status = 'archived') AS archived, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'unresolved') AS unresolved,
- count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'excluded') AS excluded, count(*) = 8901 AS accounting_ok, count(*) FILTER (WHERE status IN ('unresolved', 'error')) = 0 AS source_complete FROM se""")
+ count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'excluded') AS excluded, count(*) = (SELECT max(slot) * 9 // 10 FROM st) - 99 AS accounting_ok, count(*) FILTER (WHERE status IN ('unresolved', 'error')) = 0 AS source_complete FROM se""")
 def selected_range_flags(spark, sf):
-    return C.range_flags(selected(spark, sf), 100, 9000).select("archived", "skipped", "unresolved", "error", "excluded", "accounting_ok", "source_complete")
+    return C.range_flags(selected(spark, sf), 100, last_selected(spark, sf)).select("archived", "skipped", "unresolved", "error", "excluded", "accounting_ok", "source_complete")
 
 
 @query("slot_histories", f"WITH {BLOCKS} SELECT slot, id, status, reason, row_number() OVER (PARTITION BY slot ORDER BY id) AS ordinal FROM oc")
@@ -144,10 +149,10 @@ def receipt_contiguity(spark, sf):
     return C.receipt_contiguity(r, 0, Split(100))
 
 
-@query("nearest_witness", """SELECT l_orderkey AS slot, count(*) AS events, count(*) FILTER (WHERE l_returnflag = 'R') AS decode_errors FROM lineitem WHERE l_orderkey < 5000 GROUP BY 1 HAVING decode_errors = 0 ORDER BY slot DESC LIMIT 1""")
+@query("nearest_witness", """SELECT l_orderkey AS slot, count(*) AS events, count(*) FILTER (WHERE l_returnflag = 'R') AS decode_errors FROM lineitem WHERE l_orderkey < (SELECT max(l_orderkey) * 9 // 10 FROM lineitem) GROUP BY 1 HAVING decode_errors = 0 ORDER BY slot DESC LIMIT 1""")
 def nearest_witness(spark, sf):
     b = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("slot")).agg(F.count(F.lit(1)).alias("events"), F.expr("count_if(l_returnflag = 'R')").alias("decode_errors"))
-    return C.find_witness(b, 5000)
+    return C.find_witness(b, table(spark, sf, "lineitem").agg(F.max("l_orderkey")).first()[0] * 9 // 10)
 
 
 @query("captured_documents", """SELECT doc_id, CASE WHEN strlen(text) <= 20000 THEN sha256(text) END AS raw_sha256, CASE WHEN strlen(text) > 20000 THEN 'response_too_large' ELSE 'ok' END AS reason FROM documents""")

@@ -19,11 +19,9 @@ def transactions_q(spark, sf):
     return transactions(spark, sf).select("slot", "transaction_index", "status", "reason", "inner_coverage")
 
 
-@query("resolved_keys", f"WITH {NESTED} SELECT slot, ti AS transaction_index, sha256('p' || p) AS first_key, 5 AS n_keys FROM tx WHERE q <> 50")
+@query("resolved_keys", f"WITH {NESTED} SELECT slot, ti AS transaction_index, sha256('p' || p) AS first_key, 5 AS n_keys FROM tx")
 def resolved_keys(spark, sf):
-    t = transactions(spark, sf).where("reason <> 'execution_status_missing'")
-    t = t.where(F.expr("fee is not null"))
-    return t.select("slot", "transaction_index", F.lower(F.hex(base58_decode(F.get("keys", F.lit(0))))).alias("first_key"), F.size("keys").alias("n_keys"))
+    return transactions(spark, sf).select("slot", "transaction_index", F.lower(F.hex(base58_decode(F.get("keys", F.lit(0))))).alias("first_key"), F.size("keys").alias("n_keys"))
 
 
 @query("instructions", f"WITH {NESTED} SELECT slot, ti AS transaction_index, 0 AS instruction_index, CASE WHEN deep THEN 0 END AS inner_instruction_index FROM ix")
@@ -63,12 +61,12 @@ def nested_balance_changes(spark, sf):
                     F.get("changes", F.lit(0))["delta_raw"].cast("bigint").alias("delta"))
 
 
-@query("token_balance_delta", """WITH b AS (SELECT user_id AS tx, event_type AS k, ts < TIMESTAMP '2024-01-16' AS early, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount, min(user_id % 5) AS m FROM events WHERE event_id % 3 <> 1 GROUP BY ALL),
+@query("token_balance_delta", """WITH b AS (SELECT user_id AS tx, event_type AS k, ts < TIMESTAMP '2024-01-16' AS early, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount, min(user_id % 5) AS m FROM events GROUP BY ALL),
 p AS (SELECT * FROM b WHERE early), q AS (SELECT tx, k, amount, CASE WHEN k = 'view' THEN m + 1 ELSE m END AS m FROM b WHERE NOT early),
 j AS (SELECT coalesce(p.tx, q.tx) AS tx, coalesce(p.k, q.k) AS account_index, p.amount AS before, q.amount AS after, coalesce(p.m = q.m, false) AS delta_known FROM p FULL JOIN q ON p.tx = q.tx AND p.k = q.k)
 SELECT *, CASE WHEN delta_known THEN after - before END AS delta_raw FROM j WHERE NOT delta_known OR after <> before""")
 def token_balance_delta(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 3 <> 1")
+    e = table(spark, sf, "events")
     b = e.groupBy(F.col("user_id").alias("tx"), F.col("event_type").alias("account_index"), (F.col("ts") < F.lit("2024-01-16 00:00:00").cast(e.schema["ts"].dataType)).alias("early")).agg(
         F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("amount"), F.min(F.col("user_id") % 5).alias("mint"))
     b = b.withColumns({"decimals": F.lit(6), "program": F.lit(None).cast("string")})
@@ -160,3 +158,10 @@ def imported_blocks(spark, sf):
     b = range_tables(spark, sf)
     sessions = spark.range(3).withColumn("context", F.concat(F.lit("c"), F.col("id")))
     return D.import_blocks(b["publications"], b["attempts"], sessions, "testnet", 500).select("block_key", "slot", "raw", "context")
+
+
+@query("imported_blocks_all", f"WITH {BLOCKS} SELECT 'testnet:' || slot || ':' || blockhash AS block_key, slot, 'raw' || attempt_id AS raw, 'c' || (slot % 3) AS context FROM pb")
+def imported_blocks_all(spark, sf):
+    b = range_tables(spark, sf)
+    sessions = spark.range(3).withColumn("context", F.concat(F.lit("c"), F.col("id")))
+    return D.import_blocks(b["publications"], b["attempts"], sessions, "testnet").select("block_key", "slot", "raw", "context")

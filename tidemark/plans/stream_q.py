@@ -33,7 +33,7 @@ def request_provenance(spark, sf):
     return S.attach_provenance(o.select(F.col("o_orderkey").alias("capture_id")), req).select("capture_id", F.col("endpoint").alias("origin"), "request_params")
 
 
-@query("archive_tables", f"WITH {BLOCKS} SELECT 'attempts' AS name, count(*) AS rows, CAST(sum(length('raw' || id)) AS BIGINT) AS bytes FROM al UNION ALL SELECT 'outcomes', count(*), NULL FROM oc UNION ALL SELECT 'publications', count(*), NULL FROM pb")
+@query("archive_tables", f"WITH {BLOCKS} SELECT 'attempts' AS name, count(*) AS rows, CAST(sum(length('raw' || id)) AS BIGINT) AS bytes FROM al UNION ALL SELECT 'outcomes', count(*), NULL FROM oc UNION ALL SELECT 'publications', count(*), NULL FROM pb UNION ALL SELECT 'slots', count(*), NULL FROM oc")
 def archive_tables(spark, sf):
     b = range_tables(spark, sf)
     none = F.lit(None).cast("string")
@@ -42,24 +42,24 @@ def archive_tables(spark, sf):
         "sessions": spark.range(3).select("id", F.lit("c").alias("context"), F.lit("h").alias("hash")),
         "attempts": b["attempts"].withColumns({"raw": F.col("raw").cast("binary"), "transport_error": none, "observed_at": F.lit(0), "evidence_hash": none}),
         "outcomes": b["outcomes"].withColumn("document", none),
-        "slots": b["outcomes"].limit(0).select(F.col("attempt_id").alias("slot"), "status", "reason", "attempt_id", F.col("attempt_id").alias("proof_slot")),
+        "slots": b["outcomes"].select(F.col("attempt_id").alias("slot"), "status", "reason", "attempt_id", F.col("attempt_id").alias("proof_slot")),
         "publications": b["publications"].withColumns({"document": none, "published_at": F.lit(0)}),
     }
     path = f"{S.scratch(spark)}/archive"
     back = S.read_archive_tables(spark, path, S.write_archive_tables(tables, path))
     out = back["attempts"].agg(F.lit("attempts").alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("raw")).alias("bytes"))
-    for name in ("outcomes", "publications"):
+    for name in ("outcomes", "publications", "slots"):
         out = out.unionByName(back[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.lit(None).cast("bigint").alias("bytes")))
     return out
 
 
-@query("frames_by_kind", f"WITH {EV} SELECT seq, quote_raw AS amount FROM ev WHERE kind = 'swap' AND seq < 7000")
+@query("frames_by_kind", f"WITH {EV} SELECT seq, quote_raw AS amount FROM ev WHERE kind = 'swap' AND seq < (SELECT count(*) * 9 // 10 FROM ev)")
 def frames_by_kind(spark, sf):
     ev = events(spark, sf)
     path = f"{S.scratch(spark)}/frames"
     S.write_frames(ev.select("seq", "kind", F.to_json(F.struct(F.col("quote_raw").alias("amount"))).alias("metadata"), F.lit(None).cast("binary").alias("raw"), F.col("availability_ns").alias("observed_ns"),
                              F.lit("").alias("prev"), F.lit("").alias("hash")), path)
-    return S.read_frames(spark, path, "swap", 7000, "amount bigint").select("seq", "metadata.amount")
+    return S.read_frames(spark, path, "swap", ev.count() * 9 // 10, "amount bigint").select("seq", "metadata.amount")
 
 
 @query("content_addressed_dataset", "SELECT o_orderkey, o_orderstatus FROM orders")

@@ -62,8 +62,8 @@ def future_clocks(spark, sf):
 
 
 def responses(spark, sf):
-    ok = F.concat(F.lit('{"jsonrpc":"2.0","id":1,"result":{"parentSlot":'), F.col("seq") - 1, F.lit(',"previousBlockhash":"h'), F.col("seq") - 1,
-                  F.lit('","blockhash":"h'), F.col("seq"), F.lit('","transactions":[]}}'))
+    ok = F.concat(F.lit('{"jsonrpc":"2.0","id":1,"result":{"parentSlot":'), F.col("seq"), F.lit(',"previousBlockhash":"h'), F.col("seq"),
+                  F.lit('","blockhash":"h'), F.col("seq") + 1, F.lit('","transactions":[]}}'))
     raw = when_each(13, {
         1: '{"jsonrpc":"2.0","id":1,"error":{"code":-32603,"message":"internal"}}',
         2: '{"jsonrpc":"2.0","id":1,"error":{"code":-32015,"message":"Transaction version (3) is not supported"}}',
@@ -71,8 +71,8 @@ def responses(spark, sf):
         6: '{"jsonrpc":"2.0","id":1,"result":{"parentSlot":99999999,"previousBlockhash":"a","blockhash":"b","transactions":[]}}',
         7: '{"jsonrpc":"2.0","id":1,"result":{"parentSlot":0,"previousBlockhash":"a","blockhash":"b","transactions":{}}}',
         8: '{"jsonrpc":"2.0","id":1,"error":{"code":-32009}}', 9: '{"jsonrpc":"2.0","id":1,"error":{"code":"x"}}'}, ok)
-    return events(spark, sf).where("seq > 0").select(
-        F.col("seq").alias("slot"), raw.alias("raw"),
+    return events(spark, sf).select(
+        (F.col("seq") + 1).alias("slot"), raw.alias("raw"),
         F.expr("case seq % 13 when 10 then 'timeout' when 11 then 'http_500' end").alias("transport_error"),
         F.lit(1 << 40).alias("tip"), "seq")
 
@@ -81,15 +81,15 @@ RESP = """CASE event_id % 13 WHEN 1 THEN 'rpc_-32603' WHEN 2 THEN 'rpc_-32015' W
  WHEN 6 THEN 'invalid_rpc_response' WHEN 7 THEN 'invalid_rpc_response' WHEN 8 THEN 'rpc_-32009' WHEN 9 THEN 'invalid_rpc_response' WHEN 10 THEN 'timeout' WHEN 11 THEN 'http_500' ELSE 'ok' END"""
 
 
-@query("rpc_responses", f"""SELECT event_id AS slot, {RESP} AS reason,
+@query("rpc_responses", f"""SELECT event_id + 1 AS slot, {RESP} AS reason,
  CASE event_id % 13 WHEN 0 THEN 'archived' WHEN 12 THEN 'archived' WHEN 3 THEN 'unavailable' WHEN 8 THEN 'unavailable' WHEN 10 THEN 'unavailable' ELSE 'error' END AS status,
- CASE WHEN event_id % 13 IN (0, 12) THEN '{{"block":{{"blockhash":"h' || event_id || '","parentSlot":' || (event_id - 1) || ',"previousBlockhash":"h' || (event_id - 1) ||
- '","transactions":[]}},"commitment":"finalized","network":"testnet","schema_version":1,"slot":' || event_id || '}}' END AS document FROM events WHERE event_id > 0""")
+ CASE WHEN event_id % 13 IN (0, 12) THEN '{{"block":{{"blockhash":"h' || (event_id + 1) || '","parentSlot":' || event_id || ',"previousBlockhash":"h' || event_id ||
+ '","transactions":[]}},"commitment":"finalized","network":"testnet","schema_version":1,"slot":' || (event_id + 1) || '}}' END AS document FROM events""")
 def rpc_responses(spark, sf):
     return P.classify_rpc_response(responses(spark, sf)).select("slot", "status", "reason", "document")
 
 
-@query("retry_policies", f"""WITH r AS (SELECT event_id AS slot, {RESP} AS reason FROM events WHERE event_id > 0)
+@query("retry_policies", f"""WITH r AS (SELECT event_id + 1 AS slot, {RESP} AS reason FROM events)
 SELECT slot, reason, CASE reason WHEN 'rpc_-32015' THEN 'unsupported_transaction_version' WHEN 'rpc_-32603' THEN 'internal_rpc_error' ELSE 'other_unresolved' END AS category,
  CASE reason WHEN 'rpc_-32015' THEN 'only_after_request_version_increase' ELSE 'bounded_backoff' END AS retry,
  CASE reason WHEN 'rpc_-32603' THEN -32603 WHEN 'rpc_-32015' THEN -32015 WHEN 'rpc_-32009' THEN -32009 END AS rpc_code, CASE reason WHEN 'rpc_-32015' THEN 3 END AS version FROM r""")
