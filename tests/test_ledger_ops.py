@@ -64,7 +64,7 @@ def test_quota_breach_and_unreserved_usage(spark):
     assert (b["ord"], b["used"]) == (3, 120)
     s = spark.createDataFrame([("k0", 10), ("k1", 40), ("zz", 1)], "key string, actual bigint")
     u = rows_of(O.quota_usage(policy, res, s))[0]
-    assert (u["charged_units"], u["unsettled"], u["errors"], u["healthy"]) == (10 + 40 + 90, 3, 1, False)
+    assert (u["charged_units"], u["unsettled"], u["errors"], u["healthy"]) == (10 + 40 + 90, 3, 2, False)  # k1 above its reservation, zz without one
     assert {r["key"] for r in rows_of(O.settlement_check(res, s))} == {"k1", "zz"}
 
 

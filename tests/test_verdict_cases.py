@@ -68,3 +68,18 @@ def test_lookback_over_uneven_segments(spark):
     o = Ordered(df, ["k"], ["t", "s"], Split(20), lookback=6)
     got = o.add(last=F.collect_list("s").over(o.frame(7))).result()
     assert {r["s"]: r["last"] for r in got.collect()} == want
+
+
+def test_quota_without_policy_is_reported(spark):
+    res = spark.createDataFrame([("a", 1, "x", 5), ("a", 2, "y", 5), ("b", 7, "z", 1)], "quota string, ord int, key string, units long")
+    policy = spark.createDataFrame([("a", 9, 8)], "quota string, requests long, units long")
+    got = {r.quota: (r.key, r.reason) for r in ops.quota_breaches(res, policy).collect()}
+    assert got == {"a": ("y", "over_limit"), "b": ("z", "no_policy")}
+
+
+def test_listed_pool_without_cursor_keeps_its_rows(spark):
+    listing = spark.createDataFrame([("p", "s1", 9, False), ("q", "s2", 9, False)], "pool string, signature string, slot long, failed boolean")
+    tries = spark.createDataFrame([], "signature string, complete boolean")
+    cursors = spark.createDataFrame([("p", 1, 1)], "pool string, cursor_slot long, after_slot long")
+    got = {r.pool: r.drop_reason for r in ops.candidate_states(listing, tries, cursors).collect()}
+    assert got == {"p": None, "q": "no_cursor"}

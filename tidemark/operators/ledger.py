@@ -118,6 +118,8 @@ def decision_lookahead(intents: DataFrame, fills: DataFrame, quotes: DataFrame,
 def cost_rows(fills: DataFrame) -> DataFrame:
     """Eleven cost rows per fill: known ones with amount and keys, the rest UNKNOWN with a null amount.
 
+    A row whose amount turns out null is UNKNOWN too; it keeps its treatment and keys, so a total over it stays unknown.
+
     fills: fill_id, side, available_at, fee, output_raw (quoted), base_units, quote_received, output_mint, impact, quote_ns.
     """
     got = F.when(F.col("side") == "BUY", F.col("base_units")).otherwise(F.col("quote_received") + F.col("fee"))
@@ -128,7 +130,7 @@ def cost_rows(fills: DataFrame) -> DataFrame:
         null = F.lit(None)
         return F.struct(
             F.lit(category).alias("category"), (null if amount is None else amount).cast("string").alias("amount"), (F.lit("lamports") if unit is None else unit).alias("unit"),
-            F.lit(mode).alias("mode"), F.lit(treatment).alias("treatment"), (null if at is None else at).cast("bigint").alias("available_at"),
+            (F.lit(mode) if amount is None else F.when(amount.isNull(), "UNKNOWN").otherwise(mode)).alias("mode"), F.lit(treatment).alias("treatment"), (null if at is None else at).cast("bigint").alias("available_at"),
             (null if key is None else F.concat_ws(":", F.col("fill_id").cast("string"), F.lit(key))).cast("string").alias("accounting_key"), (empty if parts is None else parts).alias("component_keys"))
 
     known = {

@@ -32,14 +32,15 @@ def quota_usage(policy: DataFrame, reservations: DataFrame, settlements: DataFra
 
 
 def quota_breaches(reservations: DataFrame, policy: DataFrame, split: Split = Split()) -> DataFrame:
-    """Per quota the first reservation (by order) that goes over the request or unit limit.
+    """Per quota the first reservation (by order) that goes over the request or unit limit, or ``no_policy`` with the very first.
 
     reservations: quota, ord, key, units. Only the crossing row matters, so limits are joined after the scan.
     """
     o = Ordered(reservations, ["quota"], ["ord"], split).running(used=("sum", F.col("units")), count=("sum", F.lit(1)))
-    j = o.result().join(policy.select("quota", "requests", F.col("units").alias("unit_limit")), "quota")
-    over = j.where((F.col("count") > F.col("requests")) | (F.col("used") > F.col("unit_limit")))
-    return over.groupBy("quota").agg(F.min(F.struct("ord", "key", "used", "count")).alias("b")).select("quota", "b.ord", "b.key", "b.used", "b.count")
+    j = o.result().join(policy.select("quota", "requests", F.col("units").alias("unit_limit"), F.lit(True).alias("known")), "quota", "left")
+    over = j.where(F.col("known").isNull() | (F.col("count") > F.col("requests")) | (F.col("used") > F.col("unit_limit")))
+    return over.groupBy("quota").agg(F.min(F.struct("ord", "key", "used", "count", "known")).alias("b")).select(
+        "quota", "b.ord", "b.key", "b.used", "b.count", F.when(F.col("b.known"), "over_limit").otherwise("no_policy").alias("reason"))
 
 
 def reservation_conflicts(reservations: DataFrame) -> DataFrame:
@@ -102,12 +103,13 @@ def candidate_states(listing: DataFrame, attempts: DataFrame, cursors: DataFrame
     listing: pool, signature, slot, failed. attempts: signature, complete (one row per try). cursors: pool, cursor_slot, after_slot.
     """
     tries = attempts.groupBy("signature").agg(F.count(F.lit(1)).alias("tries"), F.max("complete").alias("complete"))
-    j = listing.join(tries, "signature", "left").join(cursors, "pool")
+    j = listing.join(tries, "signature", "left").join(cursors.withColumn("__known", F.lit(True)), "pool", "left")
     drop = (
         F.when(F.col("failed"), "failed").when(F.coalesce("complete", F.lit(False)), "already_processed")
+        .when(F.col("__known").isNull(), "no_cursor")
         .when((F.col("slot") < F.col("cursor_slot")) | (F.col("slot") <= F.col("after_slot")), "below_cursor")
         .when(F.col("tries") >= max_tries, "retry_exhausted"))
-    return j.withColumn("drop_reason", drop)
+    return j.withColumn("drop_reason", drop).drop("__known")
 
 
 def candidate_queue(states: DataFrame, k: int = 1) -> DataFrame:

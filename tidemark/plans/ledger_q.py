@@ -111,12 +111,13 @@ COSTS = f"""WITH {FILLS}, fs AS (SELECT *, row_number() OVER (ORDER BY {FILL_ORD
 """
 
 
-@query("cost_rows", COSTS + """SELECT fill_id, c AS category, CASE c WHEN 'other' THEN CAST(fee AS VARCHAR) WHEN 'paper-slippage' THEN CASE side WHEN 'BUY' THEN '3' ELSE '50' END WHEN 'price-impact' THEN '0.001' END AS amount,
- CASE c WHEN 'other' THEN 'SIMULATED' WHEN 'paper-slippage' THEN 'SIMULATED' WHEN 'price-impact' THEN 'PROVEN' ELSE 'UNKNOWN' END AS mode, CASE c WHEN 'other' THEN 'separate' WHEN 'paper-slippage' THEN 'descriptive_only' WHEN 'price-impact' THEN 'descriptive_only' ELSE 'unknown' END AS treatment,
+@query("cost_rows", COSTS + """, af AS (SELECT seq AS fill_id, side, CASE WHEN seq % 97 <> 5 THEN a * 100 END AS fee FROM fs WHERE side <> 'CANCEL')
+SELECT fill_id, c AS category, CASE c WHEN 'other' THEN CAST(fee AS VARCHAR) WHEN 'paper-slippage' THEN CASE WHEN side = 'BUY' THEN '3' WHEN fee IS NOT NULL THEN '50' END WHEN 'price-impact' THEN '0.001' END AS amount,
+ CASE WHEN c = 'price-impact' THEN 'PROVEN' WHEN fee IS NOT NULL AND c IN ('other', 'paper-slippage') OR side = 'BUY' AND c = 'paper-slippage' THEN 'SIMULATED' ELSE 'UNKNOWN' END AS mode, CASE c WHEN 'other' THEN 'separate' WHEN 'paper-slippage' THEN 'descriptive_only' WHEN 'price-impact' THEN 'descriptive_only' ELSE 'unknown' END AS treatment,
  CASE c WHEN 'other' THEN fill_id || ':legacy_fixed_fee' WHEN 'paper-slippage' THEN fill_id || ':haircut' END AS accounting_key, CASE c WHEN 'other' THEN 8 ELSE 0 END AS parts
-FROM cf, (SELECT unnest(['network', 'priority', 'DEX', 'LP', 'creator', 'ATA-create', 'ATA-close-or-refund', 'other', 'price-impact', 'adverse-movement', 'paper-slippage']) AS c)""")
+FROM af, (SELECT unnest(['network', 'priority', 'DEX', 'LP', 'creator', 'ATA-create', 'ATA-close-or-refund', 'other', 'price-impact', 'adverse-movement', 'paper-slippage']) AS c)""")
 def cost_rows(spark, sf):
-    c = L.cost_rows(cost_fills(spark, sf).where("fee is not null"))
+    c = L.cost_rows(cost_fills(spark, sf))
     return c.select("fill_id", "category", "amount", "mode", "treatment", "accounting_key", F.size("component_keys").alias("parts"))
 
 

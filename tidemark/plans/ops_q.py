@@ -28,7 +28,7 @@ def quota_usage(spark, sf):
 
 
 BREACH = Q + """, u AS (SELECT r.*, CAST(sum(units) OVER w AS BIGINT) AS used, count(*) OVER w AS count FROM r WINDOW w AS (PARTITION BY quota ORDER BY ord)), v AS (SELECT u.*, c.requests, c.units AS lim FROM u JOIN c USING (quota) WHERE count > requests OR used > c.units)
-SELECT quota, min(ord) AS ord, arg_min(key, ord) AS key, arg_min(used, ord) AS used, arg_min(count, ord) AS count FROM v GROUP BY quota"""
+SELECT quota, min(ord) AS ord, arg_min(key, ord) AS key, arg_min(used, ord) AS used, arg_min(count, ord) AS count, 'over_limit' AS reason FROM v GROUP BY quota"""
 
 
 @query("quota_breaches", BREACH)
