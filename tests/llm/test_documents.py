@@ -195,6 +195,25 @@ def test_skip_chain_carries_a_label():
     assert pii.field_spans(text, base, pii.Field(np.zeros((pii._N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k)))) == []
 
 
+def test_labels_reach_every_repeat():
+    import numpy as np
+
+    k = len(pii._LABELS)
+    none = np.zeros((pii._N_FEATURES, k))
+    text = "call +1-555-123-4567 " + "now or later 1-555-123-4567 " * 300
+    for at in (text, " ".join(reversed(text.split()))):
+        assert len(pii.field_spans(at, pii.base_spans(at), pii.Field(none, np.zeros((k, k)), 6 * np.eye(k)))) == 300
+        against = pii.Field(none.copy(), np.zeros((k, k)), 6 * np.eye(k))
+        against.node[:, 0] = 0.3  # 300 repeats that lean to none do not overrule the evidence
+        assert len(pii.field_spans(at, pii.base_spans(at), against)) == 300
+    n = 60
+    fixed = np.zeros(n, dtype=int)
+    fixed[0] = 4
+    got = pii.Field(none, 8 * np.eye(k), np.zeros((k, k))).beliefs(np.zeros((n, 1), dtype=int), fixed, np.array([(i, i + 1) for i in range(n - 1)]), np.empty((0, 2), dtype=int))
+    walk = np.exp(8 * np.eye(k)) / np.exp(8 * np.eye(k)).sum(0)
+    assert np.allclose(got, [np.linalg.matrix_power(walk, i)[4] for i in range(n)], atol=1e-5)
+
+
 def test_messages_are_exact_on_a_chain():
     import itertools
 

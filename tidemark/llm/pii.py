@@ -2,8 +2,9 @@
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers. The field labels every token that holds a digit or
 an at sign: neighbours share transition potentials (the chain), and distant tokens with the same characters, or the same digits,
-share skip potentials. Loopy message passing makes their labels agree across the document, so that a number recognised once
-is found again where it is written otherwise. Tokens inside base spans are evidence and keep their label.
+share skip potentials. Loopy message passing, until no message changes any more, makes their labels agree across the document, so
+that a number recognised once is found again where it is written otherwise. Tokens inside base spans are evidence and keep their
+label; every other token is linked with the evidence of its group itself, so that distance and number of repeats do not matter.
 
 Weights are learned by pseudo-likelihood from the base spans of at most ``max_docs`` documents and ``max_tokens`` tokens, chosen by
 hash; these bounds are the only ones. Finding runs over every whole text.
@@ -117,7 +118,7 @@ class _Graph:
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        seen: dict[str, int] = {}
+        groups: dict[str, list[int]] = {}
         at, last = 0, None
         for i, (a, b) in enumerate(found):
             token = text[a:b]
@@ -134,10 +135,11 @@ class _Graph:
                 self.chain.append((n - 1, n))
             key = _key(token)
             if len(key) >= 4:
-                if key in seen and (seen[key], n) not in self.chain[-1:]:  # neighbours have their chain edge
-                    self.skip.append((seen[key], n))  # a chain through all equal tokens: no pairs
-                seen[key] = n
+                groups.setdefault(key, []).append(n)
             last = i
+        for members in groups.values():  # stars, not pairs: around the first evidence of each label, else around the first token
+            hubs = {self.labels[n]: n for n in reversed(members) if self.labels[n]}.values() or members[:1]
+            self.skip += [(min(hub, n), max(hub, n)) for hub in hubs for n in members if n != hub and not self.labels[n]]
 
 
 class Field:
@@ -150,32 +152,42 @@ class Field:
         self.chain = np.zeros((k, k)) if chain is None else chain
         self.skip = np.zeros((k, k)) if skip is None else skip
 
-    def beliefs(self, features: np.ndarray, fixed: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """Label probabilities of each token by damped sum-product messages over both kinds of edges."""
+    def beliefs(self, features: np.ndarray, fixed: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int | None = None, tolerance: float = 1e-7) -> np.ndarray:
+        """Label probabilities of each token by damped sum-product messages over both kinds of edges.
+
+        Only messages whose inputs changed are sent again, until no change exceeds ``tolerance``. After ``rounds`` rounds, by default
+        more than any message needs to cross the text, the steps shrink, so that it also ends where loops make messages swing.
+        """
         k, n = len(_LABELS), len(features)
         own = self.node[features].sum(1)
         own[fixed > 0] = -30.0
         own[fixed > 0, fixed[fixed > 0]] = 30.0
         own -= own.max(1, keepdims=True)
         edges = np.concatenate([chain, skip]).astype(np.int64).reshape(-1, 2)
-        if not len(edges):
-            p = np.exp(own)
-            return p / p.sum(1, keepdims=True)
+        m = len(edges)
         table = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         table = np.exp(np.concatenate([table, table.transpose(0, 2, 1)]))
-        m = len(edges)
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        message = np.zeros((2 * m, k))
-        for _ in range(rounds):
-            total = own.copy()
-            np.add.at(total, target, message)
-            out = total[source] - message[back]
+        free = fixed[target] == 0  # evidence hears nothing, however many tokens are linked with it
+        message, total = np.zeros((2 * m, k)), own.copy()
+        active, step, done = np.nonzero(free)[0], 0.5, 0
+        rounds = 3 * n + 100 if rounds is None else rounds
+        while len(active):
+            out = total[source[active]] - message[back[active]]
             out = np.exp(out - out.max(1, keepdims=True))
-            new = np.log(np.einsum("es,est->et", out, table) + 1e-300)
-            message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
-        total = own.copy()
-        np.add.at(total, target, message)
+            new = np.log(np.einsum("es,est->et", out, table[active]) + 1e-300)
+            change = step * (new - new.max(1, keepdims=True) - message[active])
+            message[active] += change
+            np.add.at(total, target[active], change)
+            moved = active[np.abs(change).max(1) > tolerance]
+            heard = np.zeros(n, dtype=bool)
+            heard[target[moved]] = True
+            again = heard[source]
+            again[moved] = True
+            active = np.nonzero(again & free)[0]
+            done += 1
+            step *= 0.9 if done > rounds else 1
         p = np.exp(total - total.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
