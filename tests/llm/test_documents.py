@@ -195,6 +195,34 @@ def test_skip_chain_carries_a_label():
     assert pii.field_spans(text, base, pii.Field(np.zeros((pii._N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k)))) == []
 
 
+def test_trained_field_finds_a_planted_repeat(spark):
+    r = random.Random(8)
+
+    def some():
+        return [f"item {r.randint(1, 9999)} sold", f"in {r.randint(1900, 2030)}", f"no {r.randint(10**9, 10**10)}", f"v{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}", "and so on"]
+
+    texts, want = [], {}
+    for i in range(240):
+        words = r.choices(some(), k=6)
+        digits = f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}"
+        if i % 3:
+            words.insert(1, f"tel +1-{digits} or")
+            again = f"1-{digits}" if i % 2 else f"1.{digits.replace('-', '.', 1)}"
+            words += ["call", again, "later"] if i % 3 == 1 else []
+            want[i] = again if i % 3 == 1 else None
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    field = pii.train_field(docs)
+    added = {}
+    for i, t in texts:
+        base, every = pii.find_spans(t, field)
+        added[i] = [t[a:b] for a, b, k in every if (a, b, k) not in base and k == "phone"]
+        assert len(every) == len(base) + len(added[i])
+    assert {i: x for i, x in added.items() if x} == {i: [x] for i, x in want.items() if x}
+    alone = "item 1-555-123-4567 sold, 4567 of them in 2019; +1-555-123-9999"
+    assert pii.field_spans(alone, pii.base_spans(alone), field) == []
+
+
 def test_labels_reach_every_repeat():
     import numpy as np
 

@@ -7,7 +7,10 @@ that a number recognised once is found again where it is written otherwise. Toke
 label; every other token is linked with the evidence of its group itself, so that distance and number of repeats do not matter.
 
 Weights are learned by pseudo-likelihood from the base spans of at most ``max_docs`` documents and ``max_tokens`` tokens, chosen by
-hash; these bounds are the only ones. Finding runs over every whole text.
+hash; these bounds are the only ones. For each token that is a base span by itself a second occurrence is learned whose label is
+hidden: written otherwise, elsewhere in its text, linked with the first; the same form without a link is no personal data. These rows
+together weigh as much as the tokens of the texts, if those are more. An unlabelled token that is linked with evidence is unknown: neither
+a target nor a neighbour. Finding runs over every whole text.
 
 Null and edge cases
 * null or empty text: no spans. * repeated rows are scanned each; an empty table gives an empty result.
@@ -103,8 +106,11 @@ def _features(token: str, before: str, after: str) -> list[int]:
 
 
 def _key(token: str) -> str:
-    """Equal for tokens that say the same: their digits if there are four or more, else their letters, digits and at signs."""
-    digits = re.sub("[^0-9]", "", token)
+    """Equal for tokens that say the same: four groups of an address, their digits if there are four or more, else their letters, digits and at signs."""
+    groups = re.findall("[0-9]+", token)
+    if len(groups) == 4 and "@" not in token and all(len(d) <= 3 and int(d) <= 255 for d in groups):
+        return ".".join(groups)  # an address is not the number of the same digits
+    digits = "".join(groups)
     return digits if len(digits) >= 4 and "@" not in token else re.sub(r"[^a-z0-9@.]", "", token.lower()).strip(".")
 
 
@@ -119,6 +125,7 @@ class _Graph:
         self.skip: list[tuple[int, int]] = []
         found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
         groups: dict[str, list[int]] = {}
+        self.keys: list[str] = []
         at, last = 0, None
         for i, (a, b) in enumerate(found):
             token = text[a:b]
@@ -126,14 +133,17 @@ class _Graph:
                 continue
             while at < len(base) and base[at][1] <= a:
                 at += 1
-            label = next((_LABELS.index(k) for s, e, k in base[at : at + 8] if s < b and e > a), 0)
+            span = next((x for x in base[at : at + 8] if x[0] < b and x[1] > a), None)
+            label = _LABELS.index(span[2]) if span else 0
             n = len(self.tokens)
             self.tokens.append((a, b))
             self.features.append(_features(token, text[slice(*found[i - 1])] if i else "", text[slice(*found[i + 1])] if i + 1 < len(found) else ""))
             self.labels.append(label)
             if last == i - 1 and n:
                 self.chain.append((n - 1, n))
-            key = _key(token)
+            whole = not span or not _SOME.search(text[span[0] : a] + text[b : span[1]])
+            key = _key(token) if whole else ""  # a piece of a span says nothing about its equals
+            self.keys.append(key if len(key) >= 4 else "")
             if len(key) >= 4:
                 groups.setdefault(key, []).append(n)
             last = i
@@ -192,8 +202,9 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_field(features: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray, far: np.ndarray, steps: int = 150, l2: float = 1e-3) -> Field:
-    """Pseudo-likelihood: each token's label given its features and its neighbours' labels (-1: no such neighbour)."""
+def fit_field(features: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray, weight: np.ndarray, steps: int = 150, l2: float = 1e-3) -> Field:
+    """Pseudo-likelihood: each token's label given its features, its neighbours' labels (-1: no such neighbour) and the number of
+    tokens of each label it shares a skip edge with; each token counts by its weight."""
     k, n = len(_LABELS), len(labels)
     if not n:
         return Field()
@@ -202,35 +213,61 @@ def fit_field(features: np.ndarray, labels: np.ndarray, left: np.ndarray, right:
     speed = [np.zeros_like(w) + 1e-8 for w in (node, chain, skip)]
     for _ in range(steps):
         z = node[features].sum(1)
-        for side, w in ((left, chain), (right, chain.T), (near, skip), (far, skip)):
+        for side, w in ((left, chain), (right, chain.T)):
             has = side >= 0
             z[has] += w[side[has]]
+        z += linked @ skip
         p = np.exp(z - z.max(1, keepdims=True))
-        d = hot - p / p.sum(1, keepdims=True)
-        gn, gc, gs = np.zeros_like(node), np.zeros_like(chain), np.zeros_like(skip)
+        d = (hot - p / p.sum(1, keepdims=True)) * weight[:, None]
+        gn, gc, gs = np.zeros_like(node), np.zeros_like(chain), linked.T @ d
         for j in range(features.shape[1]):
             np.add.at(gn, features[:, j], d)
-        for side, g, turned in ((left, gc, False), (right, gc, True), (near, gs, False), (far, gs, False)):
+        for side, turned in ((left, False), (right, True)):
             has = side >= 0
             add = np.zeros((k, k))
             np.add.at(add, side[has], d[has])
-            g += add.T if turned else add
+            gc += add.T if turned else add
         gs = (gs + gs.T) / 2
         for w, g, v in zip((node, chain, skip), (gn, gc, gs), speed, strict=True):
-            g = g / n - l2 * w
+            g = g / weight.sum() - l2 * w
             v += g**2
             w += 0.3 * g / np.sqrt(v)
     return Field(node, chain, skip)
 
 
+def _rewritten(token: str) -> list[str]:
+    """A number in other forms, without its outer marks; other tokens stay as they are."""
+    if "@" in token:
+        return [token]
+    inner = token.strip("+()[]{}<>.,;:!?\"'")
+    forms = [inner, *(re.sub("[^0-9A-Za-z]+", sep, inner) for sep in ("", "-", ".", "/"))]
+    return list(dict.fromkeys(f for f in forms if f != token)) or [token]
+
+
 def _training_rows(text: str) -> list[dict]:
-    g = _Graph(text, base_spans(text))
+    """Target (y), features (f), neighbours' labels (n), linked labels (s) of the tokens to learn from, and whether they are made."""
+    base = base_spans(text)
+    g = _Graph(text, base)
     n = len(g.tokens)
-    sides = [[-1] * n for _ in range(4)]
-    for pairs, back, ahead in ((g.chain, 0, 1), (g.skip, 2, 3)):
-        for a, b in pairs:
-            sides[back][b], sides[ahead][a] = g.labels[a], g.labels[b]
-    return [{"f": f, "y": y, "n": [s[i] for s in sides]} for i, (f, y) in enumerate(zip(g.features, g.labels, strict=True))]
+    sides, linked = [[-1] * n for _ in range(2)], [[0] * len(_LABELS) for _ in range(n)]
+    for a, b in g.skip:
+        linked[a][g.labels[b]] += 1
+        linked[b][g.labels[a]] += 1
+    unknown = [not y and any(s[1:]) for y, s in zip(g.labels, linked, strict=True)]
+    for a, b in g.chain:
+        sides[0][b], sides[1][a] = -1 if unknown[a] else g.labels[a], -1 if unknown[b] else g.labels[b]
+    rows = [{"f": g.features[i], "y": y, "n": [s[i] for s in sides], "s": linked[i] if not y else [0] * len(_LABELS), "made": False} for i, y in enumerate(g.labels) if not unknown[i]]
+    words = [m.group() for m in _TOKEN.finditer(text)]
+    for i, y in enumerate(g.labels):
+        if y and g.keys[i]:
+            token = text[slice(*g.tokens[i])]
+            for other in _rewritten(token):
+                at = _stable(f"{i} {other}") % len(words)
+                row = {"f": _features(other, words[at - 1] if at else "", words[at]), "n": [-1, -1], "made": True}
+                rows.append(row | {"y": y, "s": [int(k == y) for k in range(len(_LABELS))]})
+                if not base_spans(other):
+                    rows.append(row | {"y": 0, "s": [0] * len(_LABELS)})
+    return rows
 
 
 def train_field(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_docs: int = 4000, max_tokens: int = 20_000) -> Field:
@@ -238,17 +275,19 @@ def train_field(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max
     some = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(id_col, text).alias("__h")).distinct().orderBy("__h").limit(max_docs)
     rows = docs.select(F.col(text), F.xxhash64(id_col, text).alias("__h")).join(F.broadcast(some), "__h").dropDuplicates(["__h"])
     seen = map_batches(
-        rows.select("__h", text), lambda c: _flat(c["__h"].to_pylist(), [_training_rows(t) for t in texts(c[text])]), "h long, i int, f array<int>, y int, n array<int>"
+        rows.select("__h", text), lambda c: _flat(c["__h"].to_pylist(), [_training_rows(t) for t in texts(c[text])]), "h long, i int, f array<int>, y int, n array<int>, s array<int>, made boolean"
     ).orderBy(F.xxhash64("h", "i"), "h", "i").limit(max_tokens).collect()
     if not seen:
         return Field()
     f = np.array([r["f"] for r in seen], dtype=np.int64)
-    sides = np.array([r["n"] for r in seen], dtype=np.int64).reshape(len(seen), 4)
-    return fit_field(f, np.array([r["y"] for r in seen], dtype=np.int64), *sides.T)
+    sides = np.array([r["n"] for r in seen], dtype=np.int64).reshape(len(seen), 2)
+    made = np.array([r["made"] for r in seen])
+    weight = np.where(made, max(1.0, (~made).sum() / max(made.sum(), 1)), 1.0)
+    return fit_field(f, np.array([r["y"] for r in seen], dtype=np.int64), *sides.T, np.array([r["s"] for r in seen], dtype=float), weight)
 
 
 def _flat(ids: list, rows: list[list[dict]]) -> dict:
-    out: dict[str, list] = {"h": [], "i": [], "f": [], "y": [], "n": []}
+    out: dict[str, list] = {"h": [], "i": [], "f": [], "y": [], "n": [], "s": [], "made": []}
     for h, found in zip(ids, rows, strict=True):
         for i, r in enumerate(found):
             for name, v in (("h", h), ("i", i), *r.items()):
