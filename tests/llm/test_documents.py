@@ -396,6 +396,20 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_ids_of_letters_that_compose_in_one_case():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(TOKENIZER)
+    plain_tokenizer, spaced_tokenizer = Tokenizer.from_file(path), packing.SpacedTokenizer(path)
+    texts = ["Al-H\u0331aram", "J\u030ca", "T\u0308 W\u030a, Y\u030aA.", "THE Al-H\u0331aram. Stop. \u00c9TE\u0301, I\u0307 \u0130 end.", "Plain Text. Of ASCII, Only."]
+    r = random.Random(6)
+    letters = [*"aAhHjJtTwWyYiIsS.,- \t\x1c1", "\u0331", "\u030c", "\u0308", "\u030a", "\u0307", "\u03a3", "\u0130", "\u212b"]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(2000)]
+    for t in texts:
+        assert spaced_tokenizer.ids(t.encode()).tolist() == plain_tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_best_two_fit():
     # greedy takes 6 and 3, which leaves a gap of 1; the two pieces of 2 fill it
     plan = packing.plan_packing({6: 1, 3: 1, 2: 2}, 10)
