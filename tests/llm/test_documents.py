@@ -223,6 +223,20 @@ def test_trained_field_finds_a_planted_repeat(spark):
     assert pii.field_spans(alone, pii.base_spans(alone), field) == []
 
 
+def test_numbers_written_otherwise_share_an_edge():
+    import numpy as np
+
+    k = len(pii._LABELS)
+    field = pii.Field(np.zeros((pii._N_FEATURES, k)), np.zeros((k, k)), 6 * np.eye(k))
+    for first, again, kind in (
+        ("+1-555-123-4567", "555-123-4567", "phone"), ("+1 555 123 4567", "555 123 4567", "phone"), ("+1-555-123-4567", "(555) 123 4567", "phone"),
+        ("+1 555 123 4567", "0015551234567", "phone"), ("+1 (555) 123-4567", "123-4567", "phone"), ("4111 1111 1111 1111", "4111.1111.1111.1111", "card"),
+    ):
+        for text, at in ((f"call {first} now or {again} later; 4567 of 1111 in 2019", len(f"call {first} now or ")), (f"call {again} now or {first} later; 4567 of 1111", 5)):
+            found = pii.field_spans(text, pii.base_spans(text), field)
+            assert [(text[a:b], y) for a, b, y in found] == [(again, kind)] and found[0][0] == at, text
+
+
 def test_labels_reach_every_repeat():
     import numpy as np
 

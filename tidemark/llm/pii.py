@@ -5,9 +5,10 @@ an at sign: neighbours share transition potentials (the chain), and distant toke
 share skip potentials. Loopy message passing, until no message changes any more, makes their labels agree across the document, so
 that a number recognised once is found again where it is written otherwise. Tokens inside base spans are evidence and keep their
 label; every other token is linked with the evidence of its group itself, so that distance and number of repeats do not matter.
+A run of adjacent tokens whose digits end as those of a recognised card or phone number, seven digits or more, is linked with it too.
 
 Weights are learned by pseudo-likelihood from the base spans of at most ``max_docs`` documents and ``max_tokens`` tokens, chosen by
-hash; these bounds are the only ones. For each token that is a base span by itself a second occurrence is learned whose label is
+hash; these bounds are the only ones. For each token of a base span a second occurrence is learned whose label is
 hidden: written otherwise, elsewhere in its text, linked with the first; the same form without a link is no personal data. These rows
 together weigh as much as the tokens of the texts, if those are more. An unlabelled token that is linked with evidence is unknown: neither
 a target nor a neighbour. Finding runs over every whole text.
@@ -82,6 +83,8 @@ def digest(spans: list[Span]) -> str:
 
 _LABELS = ("none", *KINDS)
 _N_FEATURES = 256
+#: Digits at the end that make two numbers the same, and the most digits of a number.
+_SUFFIX, _MOST = 7, 19
 
 
 def _shape(token: str) -> str:
@@ -125,7 +128,7 @@ class _Graph:
         self.skip: list[tuple[int, int]] = []
         found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
         groups: dict[str, list[int]] = {}
-        self.keys: list[str] = []
+        anchors: dict[Span, int] = {}
         at, last = 0, None
         for i, (a, b) in enumerate(found):
             token = text[a:b]
@@ -143,13 +146,54 @@ class _Graph:
                 self.chain.append((n - 1, n))
             whole = not span or not _SOME.search(text[span[0] : a] + text[b : span[1]])
             key = _key(token) if whole else ""  # a piece of a span says nothing about its equals
-            self.keys.append(key if len(key) >= 4 else "")
+            if span:
+                anchors.setdefault(span, n)
             if len(key) >= 4:
                 groups.setdefault(key, []).append(n)
             last = i
-        for members in groups.values():  # stars, not pairs: around the first evidence of each label, else around the first token
+        done, pieces = self._link_runs(text, anchors)
+        for members in ([n for n in g if n not in pieces] for g in groups.values()):  # stars, not pairs: around the first evidence of each label, else around the first token
             hubs = {self.labels[n]: n for n in reversed(members) if self.labels[n]}.values() or members[:1]
-            self.skip += [(min(hub, n), max(hub, n)) for hub in hubs for n in members if n != hub and not self.labels[n]]
+            self.skip += [(min(hub, n), max(hub, n)) for hub in hubs for n in members if n != hub and not self.labels[n] and (n, self.labels[hub]) not in done]
+
+    def _link_runs(self, text: str, anchors: dict[Span, int]) -> tuple[set[tuple[int, int]], set[int]]:
+        """Skip edges from recognised numbers to the runs of unlabelled tokens that end in the same digits.
+
+        Gives the linked (token, label), and the tokens that are only pieces of such runs.
+        """
+        done: set[tuple[int, int]] = set()
+        pieces: set[int] = set()
+        ends: dict[str, dict[int, int]] = {}
+        for (a, b, kind), n in anchors.items():
+            if kind in ("card", "phone"):
+                digits = re.sub("[^0-9]", "", text[a:b])
+                for size in range(_SUFFIX, len(digits) + 1):
+                    ends.setdefault(digits[-size:], {}).setdefault(_LABELS.index(kind), n)
+        if not ends:
+            return done, pieces
+        follows = {b for _, b in self.chain}
+        run: list[tuple[int, str]] = []
+        for n, (a, b) in enumerate(self.tokens):
+            token = text[a:b]
+            if self.labels[n] or "@" in token:
+                run = []
+                continue
+            if n not in follows or any(c.isalpha() for c in token):
+                run = []
+            run.append((n, re.sub("[^0-9]", "", token)))
+            run = run[-_MOST:]  # each has a digit, and no number has more
+            digits = "".join(d for _, d in run)[-_MOST:]
+            size = next((k for k in range(len(digits), _SUFFIX - 1, -1) if digits[-k:] in ends), 0)
+            for label, hub in ends[digits[-size:]].items() if size else ():
+                left = size
+                for m, d in reversed(run):
+                    if left > 0 and (m, label) not in done:
+                        done.add((m, label))
+                        self.skip.append((min(hub, m), max(hub, m)))
+                    if left > 0 and len(d) < size:
+                        pieces.add(m)
+                    left -= len(d)
+        return done, pieces
 
 
 class Field:
@@ -259,7 +303,7 @@ def _training_rows(text: str) -> list[dict]:
     rows = [{"f": g.features[i], "y": y, "n": [s[i] for s in sides], "s": linked[i] if not y else [0] * len(_LABELS), "made": False} for i, y in enumerate(g.labels) if not unknown[i]]
     words = [m.group() for m in _TOKEN.finditer(text)]
     for i, y in enumerate(g.labels):
-        if y and g.keys[i]:
+        if y:
             token = text[slice(*g.tokens[i])]
             for other in _rewritten(token):
                 at = _stable(f"{i} {other}") % len(words)
