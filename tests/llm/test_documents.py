@@ -360,6 +360,26 @@ def test_similarity_join(docs, rows, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_runs_suffice_for_contained_texts():
+    import math
+
+    import numpy as np
+
+    runs = jaccard.needed_runs(0.8, 0.9999)
+    for ratio in (0.8, 0.9, 1.0):  # smaller over larger size of a pair at the threshold
+        meet = 1.0
+        for _ in range(jaccard.LEVELS):
+            meet = 1 - math.exp(-(1 + ratio) / 1.8 * meet)
+        assert (1 - meet) ** runs <= 1.0001e-4
+    r = np.random.default_rng(3)
+    met = 0
+    for _ in range(150):
+        whole = r.integers(0, 2**63, 250, dtype=np.uint64)
+        (_, a), (_, b) = (jaccard.paths(x, 4, 0.8)[-1] for x in (whole, whole[:200]))
+        met += bool(np.intersect1d(a, b).size)
+    assert met / 150 > 1 - (1 - 0.374) ** 4 - 0.1  # draws agree with the formula
+
+
 def test_similarity_join_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 4)
     monkeypatch.setattr(jaccard, "CHUNK", 6)
