@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,19 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder as shared_dir
+
 #: Words of the contracts that split at ASCII white space only.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidemark-llm-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
     spark = df.sparkSession
@@ -32,6 +24,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
+    """The rows with the columns of a table of one row a key, nulls being equal; ``count`` says how many rows a key has.
+
+    Keys with more than a thousandth of all rows are at most a thousand: they are broadcast, so that no key meets in one task. All
+    others are joined by shuffle. ``table`` is read twice and should be written.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(200, total // 1000)
+    own = table.withColumnRenamed(key, "__key").drop(*[c for c in rows.columns if c != key])
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    often = F.broadcast(own.where(hot))
+    rest = rows.join(F.broadcast(own.where(hot).select("__key")), same, "left_anti").join(own.where(~hot).hint("shuffle_merge"), same, how)
+    return rows.join(often, same, "inner").unionByName(rest).drop("__key", count)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """``mapInArrow`` with a function from columns (name to Arrow array) to columns (name to list or array).
 
