@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import WIDE, change_bps, haircut_output, price, return_bps, u64
+from ..functions.exact import WIDE, change_bps, haircut_output, price_key, return_bps, u64, wide
 from .features import flags, is_sample
+from .intervals import interval_extrema
 from .ordered import Ordered, Split
 from .rules import RiskPolicy, Thresholds, invalidation, risk_veto
 from .validate import TOKEN, TOKEN_2022, direct_route, first_reason, quote_valid
@@ -135,53 +136,53 @@ def reassess(decisions: DataFrame, quotes: DataFrame, accounts: DataFrame, store
 
 
 def position_health(analyses: DataFrame, marks: DataFrame, entries: DataFrame, t: Thresholds = Thresholds(), persist_ns: int = 15_000_000_000,
-                    split: Split = Split()) -> DataFrame:
-    """State of open positions at each analysis.
+                    split: Split = Split(), quotes: DataFrame | None = None, ttl_ns: int = 5_000_000_000, adverse_bps: int = 25, fee: int = 0) -> DataFrame:
+    """State of open positions at each analysis; any number of positions may be open in a pool.
 
-    entries: pool, entry_id, entry_ns, entry_quote_raw, units, entry_reserve (one open position per pool at a time).
+    entries: pool, entry_id, entry_ns, entry_quote_raw, units, entry_reserve; where present also cost, token, quote_mint and ``thesis`` (carried along).
     analyses: analysis_id, entry_id, pool, as_of, momentum_bps, imbalance_bps, acceleration_bps, quote_reserve, quote_impact_bps,
-    risk_allowed, evidence_proven, history_missing (count). marks: swap events of the pools.
-    Marks are assigned to the entry open at their time and then scanned once per position.
+    risk_allowed, evidence_proven, required_missing (names; or history_missing, a count), where present risk_reasons and exit_frame.
+    marks: swap events of the pools. quotes (frame, input_mint, output_mint, input_raw, output_raw, minimum_raw, observed_ns): an analysis' exit
+    quote counts if it sells the whole position and is fresh, and gives the indicative result after costs.
+    Extrema of every analysis come from ``interval_extrema``. The analysis before is the last one with a smaller as_of.
     """
-    none = "struct<entry_id:bigint,eq:bigint,units:bigint,reserve:bigint>"
-    stream = marks.where(is_sample()).select(
-        "pool", F.col("availability_ns").alias("t"), F.lit(0).alias("rank"), F.col("seq").alias("id"), "quote_raw", "base_raw",
-        F.lit(None).cast(none).alias("entry"), F.lit(None).cast("bigint").alias("analysis_id"),
-    ).unionByName(entries.select(
-        "pool", F.col("entry_ns").alias("t"), F.lit(1).alias("rank"), F.col("entry_id").alias("id"), F.lit(None).cast("bigint").alias("quote_raw"),
-        F.lit(None).cast("bigint").alias("base_raw"),
-        F.struct(F.col("entry_id").cast("bigint").alias("entry_id"), F.col("entry_quote_raw").cast("bigint").alias("eq"), F.col("units").cast("bigint").alias("units"),
-                 F.col("entry_reserve").cast("bigint").alias("reserve")).alias("entry"), F.lit(None).cast("bigint").alias("analysis_id"),
-    )).unionByName(analyses.select(
-        "pool", F.col("as_of").alias("t"), F.lit(2).alias("rank"), F.col("analysis_id").alias("id"), F.lit(None).cast("bigint").alias("quote_raw"),
-        F.lit(None).cast("bigint").alias("base_raw"), F.lit(None).cast(none).alias("entry"), F.col("analysis_id").cast("bigint").alias("analysis_id")))
-    o = Ordered(stream, ["pool"], ["t", "rank", "id"], split).last_seen("open", F.col("entry"), F.col("rank") == 1)
-    o = o.add(entry_id=F.col("open.entry_id")).refine("entry_id")
-    mark = F.when(F.col("rank") == 0, F.struct(price("quote_raw", "base_raw").alias("p"), "quote_raw", "base_raw"))
-    o.running(hi=("max", mark), lo=("min", mark), samples=("sum", F.when(F.col("rank") == 0, 1).otherwise(0)))
-    o.last_seen("last", F.struct("quote_raw", "base_raw"), F.col("rank") == 0)
-    path = o.result().where((F.col("rank") == 2) & F.col("open").isNotNull())
+    carried = [c for c in ("cost", "token", "quote_mint", "thesis") if c in entries.columns]
+    opened = entries.select("pool", "entry_id", "entry_ns", F.col("entry_quote_raw").alias("__eq"), "units", "entry_reserve", *[F.col(c).alias(f"entry_{c}") for c in carried])
+    df = analyses.join(opened, ["pool", "entry_id"], "left")
+    spans = df.where(F.col("entry_ns").isNotNull() & (F.col("as_of") >= F.col("entry_ns"))).select(
+        "pool", F.col("analysis_id").alias("interval_id"), F.col("entry_ns").alias("from_ns"), F.col("as_of").alias("until_ns"))
+    path = interval_extrema(marks.where(is_sample()), spans, "pool", split).withColumnRenamed("interval_id", "analysis_id")
+    df = df.join(path, ["pool", "analysis_id"], "left")
 
     def vs_entry(c):
-        return return_bps(f"{c}.quote_raw", f"{c}.base_raw", "open.eq", "open.units")
-
-    entry_price = price("open.eq", "open.units")
-    above = F.col("hi.p") > entry_price
-    peak_q, peak_b = F.when(above, F.col("hi.quote_raw")).otherwise(F.col("open.eq")), F.when(above, F.col("hi.base_raw")).otherwise(F.col("open.units"))
-    path = path.select(
-        "analysis_id", F.col("samples").alias("observed_samples"), F.col("open.reserve").alias("entry_reserve"), vs_entry("last").alias("return_since_entry_bps"),
-        F.when(F.col("samples") > 0, F.least(F.lit(0), vs_entry("lo"))).alias("mae_observed_bps"), F.when(F.col("samples") > 0, F.greatest(F.lit(0), vs_entry("hi"))).alias("mfe_observed_bps"),
-        F.when(F.col("samples") > 0, return_bps("last.quote_raw", "last.base_raw", peak_q, peak_b)).alias("drawdown_from_peak_bps"))
-    df = analyses.join(path, "analysis_id", "left").withColumn("liquidity_change_bps", change_bps("quote_reserve", "entry_reserve"))
+        return return_bps(f"{c}.quote_raw", f"{c}.base_raw", "__eq", "units")
+
+    above = price_key("hi.quote_raw", "hi.base_raw") > price_key("__eq", "units")
+    peak_q, peak_b = (F.when(above, F.col(f"hi.{c}")).otherwise(F.col(e)) for c, e in (("quote_raw", "__eq"), ("base_raw", "units")))
+    seen = F.col("samples") > 0
+    if "required_missing" in analyses.columns:
+        history = F.transform(F.filter(F.coalesce("required_missing", F.array().cast("array<string>")), lambda k: k.startswith("history.")), lambda k: F.concat(F.lit("context:"), k))
+    else:
+        history = F.when(F.coalesce(F.col("history_missing") > 0, F.lit(False)), F.array(F.lit("context:history"))).otherwise(F.array().cast("array<string>"))
+    lacking_fields = flags([(F.col(k).isNull(), k) for k in ("momentum_bps", "imbalance_bps", "quote_reserve", "quote_impact_bps")])
     df = df.withColumns({
-        "signals": flags(invalidation(t)),
-        "missing": flags([(F.col(k).isNull(), k) for k in ("momentum_bps", "imbalance_bps", "quote_reserve", "quote_impact_bps")] + [(F.col("history_missing") > 0, "context:history")]),
+        "observed_samples": F.col("samples"), "return_since_entry_bps": F.when(seen, vs_entry("last")),
+        "mae_observed_bps": F.when(seen & vs_entry("lo").isNotNull(), F.least(F.lit(0).cast("bigint"), vs_entry("lo"))),
+        "mfe_observed_bps": F.when(seen & vs_entry("hi").isNotNull(), F.greatest(F.lit(0).cast("bigint"), vs_entry("hi"))),
+        "drawdown_from_peak_bps": F.when(seen, return_bps("last.quote_raw", "last.base_raw", peak_q, peak_b)),
+        "liquidity_change_bps": change_bps("quote_reserve", "entry_reserve"),
+        "position_age_ns": F.when(F.col("as_of") >= F.col("entry_ns"), F.col("as_of") - F.col("entry_ns")),
+        "missing": F.array_sort(F.array_distinct(F.concat(lacking_fields, history))),
     })
-    prior = F.struct(F.size("signals").alias("n"), F.size("missing").alias("miss"), F.col("as_of").alias("at"))
-    o = Ordered(df, ["pool", "entry_id"], ["as_of", "analysis_id"], split).last_seen("prior", prior)
-    df = o.result()
+    df = df.withColumn("signals", flags(invalidation(t))).drop("samples", "lo", "hi", "last")
+    # one row for each time of a position, so analyses of one instant are not before each other
+    key = ["pool", "entry_id"]
+    state_of = F.struct(F.size("signals").alias("n"), F.size("missing").alias("miss"), F.col("as_of").alias("at"), F.col("quote_impact_bps").alias("impact"))
+    times = df.groupBy(*key, "as_of").agg(F.max_by(state_of, "analysis_id").alias("state"))
+    before = Ordered(times, key, ["as_of"], split).last_seen("prior", F.col("state")).result().select(*key, "as_of", "prior")
+    df = df.join(before, [*key, "as_of"], "left")
     persistent = F.coalesce((F.col("prior.miss") == 0) & (F.col("as_of") - F.col("prior.at") <= persist_ns) & (F.col("prior.n") >= 2) & (F.size("signals") >= 2), F.lit(False))
-    df = df.withColumn("persistent", persistent)
+    df = df.withColumns({"persistent": persistent, "exit_impact_change_bps": F.col("quote_impact_bps") - F.col("prior.impact")})
     m, flow, lacking = F.col("momentum_bps"), F.col("imbalance_bps"), F.size("missing") > 0
     state = (
         F.when(lacking, "UNKNOWN").when(F.col("persistent"), "INVALIDATED")
@@ -189,4 +190,19 @@ def position_health(analyses: DataFrame, marks: DataFrame, entries: DataFrame, t
         .when((m > 0) & (flow >= 0) & (F.col("acceleration_bps") > 0), "STRENGTHENING").otherwise("INTACT"))
     hard, proven = ~F.coalesce("risk_allowed", F.lit(False)), F.coalesce("evidence_proven", F.lit(False))
     action = F.when(hard, "VETO").when(~proven | lacking, "HOLD").when(F.col("persistent"), "EXIT_CANDIDATE").otherwise("HOLD")
-    return df.withColumns({"thesis_state": state, "action": action}).drop("prior")
+    risk = F.coalesce(F.col("risk_reasons"), F.array().cast("array<string>")) if "risk_reasons" in analyses.columns else F.array().cast("array<string>")
+    reasons = F.when(hard, risk).when(~proven, F.array(F.lit("evidence_not_proven"))).when(
+        lacking, F.transform("missing", lambda k: F.concat(F.lit("missing:"), k))).when(
+        F.col("persistent"), F.col("signals")).otherwise(F.array(F.lit("joint_deterioration_not_persistent")))
+    df = df.withColumns({"thesis_state": state, "action": action, "reasons": reasons}).drop("prior", "__eq")
+    if quotes is None:
+        return df
+    q = quotes.select(F.col("frame").alias("exit_frame"), F.struct("input_mint", "output_mint", "input_raw", "output_raw", "minimum_raw", "observed_ns").alias("__q"))
+    df = df.join(q, "exit_frame", "left")
+    whole = (
+        proven & (wide("__q.input_raw") == wide("units")) & (F.col("__q.input_mint") == F.col("entry_token")) & (F.col("__q.output_mint") == F.col("entry_quote_mint"))
+        & (F.col("entry_ns") <= F.col("__q.observed_ns")) & (F.col("__q.observed_ns") <= F.col("as_of")) & (F.col("as_of") <= F.col("__q.observed_ns") + ttl_ns))
+    result = (haircut_output("__q.minimum_raw", "__q.output_raw", adverse_bps) - fee - wide("entry_cost")).cast(WIDE)
+    known = F.coalesce(whole, F.lit(False))
+    return df.withColumns({
+        "exit_quote_status": F.when(known, "PROVEN").otherwise("UNKNOWN"), "indicative_exit_result_raw": F.when(known, result)}).drop("__q")

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import WIDE, change_bps, div_floor, div_trunc, nearest_rank, price, return_bps, rms_return_bps, wide
+from ..functions.exact import (WIDE, change_bps, div_floor, div_trunc, fraction, nearest_rank, price, price_key, return_bps, returns_exact,
+                               rms_return_bps, wide)
+from .intervals import interval_extrema
 from .ordered import Ordered, Split, measured
 
 ORDER = ("availability_ns", "seq")
@@ -115,8 +117,8 @@ def anchor_price(events: DataFrame, split: Split = Split()) -> DataFrame:
 
 
 def drawdown(events: DataFrame, split: Split = Split()) -> DataFrame:
-    """Running worst price fall from the running peak, in basis points toward zero."""
-    entry = F.struct(price("quote_raw", "base_raw").alias("p"), "quote_raw", "base_raw")
+    """Running worst price fall from the running peak, in basis points toward zero; exact for all 64-bit amounts."""
+    entry = F.struct(price_key("quote_raw", "base_raw").alias("p"), "quote_raw", "base_raw")
     o = Ordered(_swaps(events), ["pool"], ORDER, split).running(peak=("max", entry))
     o.add(fall_bps=return_bps("quote_raw", "base_raw", "peak.quote_raw", "peak.base_raw"))
     return o.running(drawdown_bps=("min", F.col("fall_bps"))).result().drop("peak")
@@ -167,14 +169,14 @@ def decision_outcomes(decisions: DataFrame, marks: DataFrame, horizons=(5, 15, 3
     hs = F.array(*[F.lit(int(h)).cast("bigint") for h in horizons])
     due = decisions.select(
         "pool", "decision_id", F.explode(hs).alias("horizon_seconds"), F.col("decision_ns"),
-        F.col("quote_raw").alias("aq"), F.col("base_raw").alias("ab"),
+        F.col("quote_raw").cast("decimal(20,0)").alias("aq"), F.col("base_raw").cast("decimal(20,0)").alias("ab"),
     ).select(
         "pool",
         (F.col("decision_ns") + F.col("horizon_seconds") * F.lit(SECOND)).alias("t"),
         F.lit(0).alias("rank"),
         F.col("decision_id").alias("tie"),
         "horizon_seconds", "decision_id", "aq", "ab",
-        F.lit(None).cast("struct<mark_id:bigint,availability_ns:bigint,q:bigint,b:bigint>").alias("mark"),
+        F.lit(None).cast("struct<mark_id:bigint,availability_ns:bigint,q:decimal(20,0),b:decimal(20,0)>").alias("mark"),
     )
     seen = marks.where(F.col("quote_raw").isNotNull()).select(
         "pool",
@@ -183,11 +185,11 @@ def decision_outcomes(decisions: DataFrame, marks: DataFrame, horizons=(5, 15, 3
         F.col("mark_id").alias("tie"),
         F.lit(None).cast("bigint").alias("horizon_seconds"),
         F.lit(None).cast("bigint").alias("decision_id"),
-        F.lit(None).cast("bigint").alias("aq"),
-        F.lit(None).cast("bigint").alias("ab"),
+        F.lit(None).cast("decimal(20,0)").alias("aq"),
+        F.lit(None).cast("decimal(20,0)").alias("ab"),
         F.struct(
             F.col("mark_id").cast("bigint").alias("mark_id"), F.col("availability_ns").cast("bigint").alias("availability_ns"),
-            F.col("quote_raw").cast("bigint").alias("q"), F.col("base_raw").cast("bigint").alias("b"),
+            F.col("quote_raw").cast("decimal(20,0)").alias("q"), F.col("base_raw").cast("decimal(20,0)").alias("b"),
         ).alias("mark"),
     )
     o = Ordered(due.unionByName(seen), ["pool"], ["t", "rank", "tie"], split)
@@ -213,7 +215,7 @@ def opportunity_features(events: DataFrame, n: int = 64, split: Split = Split())
     amount = F.collect_list("quote_raw").over(w)
     o.add(
         swaps_observed=F.count(F.lit(1)).over(w),
-        volume_quote_raw=F.sum("quote_raw").over(w),
+        volume_quote_raw=F.sum(wide("quote_raw")).over(w).cast(WIDE),
         buy_count=F.count_if(F.col("instruction") != "sell").over(w),
         sell_count=F.count_if(F.col("instruction") == "sell").over(w),
         wallets_unique=F.size(F.collect_set("wallet").over(w)),
@@ -221,22 +223,24 @@ def opportunity_features(events: DataFrame, n: int = 64, split: Split = Split())
         fb=F.first("base_raw").over(w),
         __amounts=amount,
     )
-    half = F.expr("aggregate(slice(__amounts, 1, cast(swaps_observed div 2 as int)), 0L, (a, x) -> a + x)")
+    half = F.expr("aggregate(slice(__amounts, 1, cast(swaps_observed div 2 as int)), cast(0 as decimal(38,0)), (a, x) -> cast(a + x as decimal(38,0)))")
     return (
         o.add(
             price_change_bps=return_bps("quote_raw", "base_raw", "fq", "fb"),
-            half_window_volume_change_raw=F.col("volume_quote_raw") - 2 * half,
+            half_window_volume_change_raw=(F.col("volume_quote_raw") - 2 * half).cast(WIDE),
         )
         .result()
         .drop("fq", "fb", "__amounts")
     )
 
 
-def market_features(events: DataFrame, n: int = 64, split: Split = Split()) -> DataFrame:
+def market_features(events: DataFrame, n: int = 64, split: Split = Split(), exact: bool = False) -> DataFrame:
     """Momentum, volatility, flow, rates and acceleration over the last ``n`` events before each swap.
 
     One shuffle on (pool, segment) serves every frame below. Rates describe the observed
-    samples only. Missing inputs give null, never zero.
+    samples only. Missing inputs give null, never zero; a return beyond 64 bits is unknown, and so is
+    the volatility of a window that holds one. Flows are decimal(38,0), which 64-bit amounts cannot fill. ``exact``: price, velocities and volume acceleration are
+    reduced fractions (texts numerator and denominator) instead of doubles.
     """
     o = Ordered(events, ["pool"], ORDER, split, lookback=n - 1)
     o.last_seen("prev", F.struct("quote_raw", "base_raw"), is_sample())
@@ -245,29 +249,46 @@ def market_features(events: DataFrame, n: int = 64, split: Split = Split()) -> D
     w = o.frame(n)
     sample = F.when(is_sample(), F.struct("availability_ns", "quote_raw", "base_raw", "chg", "prev_chg"))
     buy, sell = is_sample() & (F.col("instruction") != "sell"), is_sample() & (F.col("instruction") == "sell")
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast(WIDE)
     o.add(
         swaps=F.count_if(is_sample()).over(w),
-        buy_flow=F.sum(F.when(buy, F.col("quote_raw")).otherwise(zero)).over(w),
-        sell_flow=F.sum(F.when(sell, F.col("quote_raw")).otherwise(zero)).over(w),
-        abs_changes=F.sum(F.abs("chg")).over(w),
+        buy_flow=F.sum(F.when(buy, wide("quote_raw")).otherwise(zero)).over(w).cast(WIDE),
+        sell_flow=F.sum(F.when(sell, wide("quote_raw")).otherwise(zero)).over(w).cast(WIDE),
+        abs_changes=F.sum(F.abs(wide("chg"))).over(w).cast(WIDE),
+        known_changes=F.count("chg").over(w),
         head=F.first(sample, ignorenulls=True).over(w),
         tail=F.last(sample, ignorenulls=True).over(w),
         __samples=F.collect_list(F.when(is_sample(), F.struct(F.col("availability_ns").alias("t"), F.col("quote_raw").alias("q")))).over(w),
         __created=F.collect_list(F.when(F.col("kind") == "pool_created", F.col("event_time"))).over(w),
     )
     df = o.result().where(is_sample())
-    df = df.withColumn("volume", F.col("buy_flow") + F.col("sell_flow")).withColumn(
+    df = df.withColumn("volume", (F.col("buy_flow") + F.col("sell_flow")).cast(WIDE)).withColumn(
         "span_ns", F.when(F.col("swaps") >= 2, F.col("tail.availability_ns") - F.col("head.availability_ns"))
     )
     two, three = F.col("swaps") >= 2, F.col("swaps") >= 3
     moving = two & (F.col("span_ns") > 0)
     # volume up to the middle of the observed span
     older = F.expr(
-        "aggregate(filter(__samples, x -> x.t <= head.availability_ns + span_ns div 2), 0L, (a, x) -> a + x.q)"
+        "aggregate(filter(__samples, x -> x.t <= head.availability_ns + span_ns div 2), cast(0 as decimal(38,0)), (a, x) -> cast(a + x.q as decimal(38,0)))"
     )
     span = F.col("span_ns").cast("double")
     age = F.expr("element_at(filter(__created, x -> x <= event_time), -1)")
+    moved = (F.col("volume") - 2 * older).cast(WIDE)
+    inside = F.col("known_changes") - F.when(F.col("head.chg").isNotNull(), 1).otherwise(0) == F.col("swaps") - 1
+    if exact:
+        # the factor 4 * 10^18 of the acceleration would leave 38 digits: its zeros are appended as text
+        rates = [
+            fraction("quote_raw", "base_raw").alias("price"),
+            F.when(moving, fraction("volume", "span_ns", 9)).alias("volume_velocity"),
+            F.when(moving, fraction("swaps", "span_ns", 9)).alias("transaction_velocity"),
+            F.when(moving & three, fraction(4 * moved, (wide("span_ns") * wide("span_ns")).cast(WIDE), 18)).alias("volume_acceleration"),
+        ]
+    else:
+        rates = [
+            F.when(moving, F.col("volume").cast("double") * 1e9 / span).alias("volume_velocity"),
+            F.when(moving, F.col("swaps") * 1e9 / span).alias("transaction_velocity"),
+            F.when(moving & three, moved.cast("double") * 4e18 / (span * span)).alias("volume_acceleration"),
+        ]
     return df.select(
         *[c for c in events.columns],
         "swaps",
@@ -277,12 +298,10 @@ def market_features(events: DataFrame, n: int = 64, split: Split = Split()) -> D
         change_bps_of_flow(F.col("buy_flow"), F.col("sell_flow"), F.col("volume")).alias("imbalance_bps"),
         F.when(two, return_bps("tail.quote_raw", "tail.base_raw", "head.quote_raw", "head.base_raw")).alias("momentum_bps"),
         F.when(
-            two,
-            div_floor(F.col("abs_changes") - F.coalesce(F.abs("head.chg"), zero), F.col("swaps") - 1),
+            two & inside,
+            div_floor(F.col("abs_changes") - F.coalesce(F.abs(wide("head.chg")), zero), wide(F.col("swaps") - 1)),
         ).alias("volatility_mean_abs_return_bps"),
-        F.when(moving, F.col("volume") * 1e9 / span).alias("volume_velocity"),
-        F.when(moving, F.col("swaps") * 1e9 / span).alias("transaction_velocity"),
-        F.when(moving & three, (F.col("volume") - 2 * older) * 4e18 / (span * span)).alias("volume_acceleration"),
+        *rates,
         F.when(three, F.col("tail.chg") - F.col("tail.prev_chg")).alias("momentum_acceleration_bps"),
         F.when(F.size(F.expr("filter(__created, x -> x <= event_time)")) > 0, F.col("event_time") - age).alias("pool_age_seconds"),
     )
@@ -324,7 +343,11 @@ def context_window(events: DataFrame, window_ns: int = 60 * SECOND, max_samples:
 
 
 def context_features(windows: DataFrame, exact: bool = False) -> DataFrame:
-    """Span, gaps, momenta, volatility, drawdown and activity acceleration of ``context_window`` rows."""
+    """Span, gaps, momenta, volatility, drawdown and activity acceleration of ``context_window`` rows.
+
+    ``exact``: the volatility comes from fractions, ``returns`` holds the successive returns and ``activity_acceleration`` the
+    rate, all as reduced fractions of any size (texts numerator and denominator).
+    """
     df = windows.withColumns(
         {
             "observations": F.size("samples"),
@@ -340,15 +363,25 @@ def context_features(windows: DataFrame, exact: bool = False) -> DataFrame:
         vol = rms_return_bps(F.expr("transform(samples, x -> cast(x.q as string))"), F.expr("transform(samples, x -> cast(x.b as string))"))
     else:
         vol = F.floor(F.sqrt(F.expr("aggregate(__later, 0D, (a, x) -> a + x.ret * x.ret)") / (n - 1) * 1e8)).cast("bigint")
-    fall = F.expr(
-        "aggregate(samples, named_struct('q', 0L, 'b', 1L, 'd', 0L), (a, x) -> "
-        "if(cast(x.q as decimal(38,0)) * a.b >= cast(a.q as decimal(38,0)) * x.b,"
-        " named_struct('q', x.q, 'b', x.b, 'd', a.d),"
-        " named_struct('q', a.q, 'b', a.b, 'd', least(a.d, (cast(x.q as decimal(38,0)) * a.b - cast(a.q as decimal(38,0)) * x.b)"
-        " * 10000 div (cast(a.q as decimal(38,0)) * x.b)))), a -> a.d)"
-    )
+    # falls are compared with the highest price before them; a window is bounded, so it is folded in its own row
+    start = F.struct(F.get("samples", F.lit(0))["q"].cast(WIDE).alias("q"), F.get("samples", F.lit(0))["b"].cast(WIDE).alias("b"), F.lit(0).cast("bigint").alias("d"))
+
+    def step(a: Column, x: Column) -> Column:
+        q, b = x["q"].cast(WIDE), x["b"].cast(WIDE)
+        change = return_bps(q, b, a["q"], a["b"])
+        higher = price_key(q, b) >= price_key(a["q"], a["b"])
+        worse = F.when(a["d"].isNotNull() & change.isNotNull(), F.least(a["d"], change))
+        return F.when(higher, F.struct(q.alias("q"), b.alias("b"), a["d"].alias("d"))).otherwise(F.struct(a["q"].alias("q"), a["b"].alias("b"), worse.alias("d")))
+
+    fall = F.aggregate("samples", start, step, lambda a: a["d"])
     older = F.expr("size(filter(samples, x -> x.t <= __first.t + span_ns div 2))")
     span = F.col("span_ns").cast("double")
+    if exact:
+        pace = fraction(4 * (n - 2 * older), (wide("span_ns") * wide("span_ns")).cast(WIDE), 18)
+        quotes, bases = F.transform("samples", lambda x: x["q"].cast("string")), F.transform("samples", lambda x: x["b"].cast("string"))
+        df = df.withColumn("returns", returns_exact(quotes, bases))
+    else:
+        pace = (n - 2 * older) * 4e18 / (span * span)
     return df.withColumns(
         {
             "maximum_gap_ns": F.expr("array_max(transform(__later, x -> x.gap))"),
@@ -357,7 +390,7 @@ def context_features(windows: DataFrame, exact: bool = False) -> DataFrame:
             "realized_volatility_bps": F.when(n >= 2, vol),
             "recent_drawdown_bps": F.when(n >= 2, fall),
             "last_return": F.when(n >= 2, F.col("__last.ret")),
-            "activity_acceleration": F.when((F.col("span_ns") > 0) & (n >= 3), (n - 2 * older) * 4e18 / (span * span)),
+            "activity_acceleration": F.when((F.col("span_ns") > 0) & (n >= 3), pace),
         }
     ).drop("__first", "__last", "__third", "__later")
 
@@ -423,34 +456,18 @@ def account_history(decisions: DataFrame, observations: DataFrame, window_ns: in
     )
 
 
-def candidate_extrema(marks: DataFrame, entries: DataFrame) -> DataFrame:
+def candidate_extrema(marks: DataFrame, entries: DataFrame, split: Split = Split()) -> DataFrame:
     """Lowest and highest price seen after the entry of each position (up to its close, when it has one).
 
-    entries: pool, entry_id, entry_ns, until_ns. Prefix scans would not help here because the
-    interval is per entry; entries of a pool do not overlap, so each mark falls in at most one
-    of them and the owner is found by one backward as-of scan.
+    entries: pool, entry_id, entry_ns, until_ns; any number of a pool's positions may be open at once.
+    Extrema come from ``interval_extrema``, so the work grows with marks plus positions.
     """
-    points = marks.where(is_sample()).select(
-        "pool", F.col("availability_ns").alias("t"), F.lit(0).alias("rank"), "seq", "quote_raw", "base_raw",
-        F.lit(None).cast("struct<entry_id:bigint,until_ns:bigint>").alias("entry"),
-    ).unionByName(
-        entries.select(
-            "pool", F.col("entry_ns").alias("t"), F.lit(1).alias("rank"), F.col("entry_id").alias("seq"),
-            F.lit(None).cast("bigint").alias("quote_raw"), F.lit(None).cast("bigint").alias("base_raw"),
-            F.struct(F.col("entry_id").cast("bigint").alias("entry_id"), F.col("until_ns").cast("bigint").alias("until_ns")).alias("entry"),
-        )
-    )
-    o = Ordered(points, ["pool"], ["t", "rank", "seq"]).last_seen("open", F.col("entry"), F.col("rank") == 1)
-    inside = o.result().where((F.col("rank") == 0) & F.col("open").isNotNull()
-                              & (F.col("open.until_ns").isNull() | (F.col("t") <= F.col("open.until_ns"))))
-    entry = F.struct(price("quote_raw", "base_raw").alias("p"), "quote_raw", "base_raw")
-    got = inside.groupBy("pool", F.col("open.entry_id").alias("entry_id")).agg(
-        F.count(F.lit(1)).alias("samples"), F.min(entry).alias("lo"), F.max(entry).alias("hi")
-    )
-    return entries.select("pool", "entry_id").join(got, ["pool", "entry_id"], "left").select(
-        "pool", "entry_id", F.coalesce("samples", F.lit(0)).alias("samples"),
-        F.col("lo.p").alias("minimum"), F.col("hi.p").alias("maximum"),
-        F.when(F.col("samples").isNull(), "UNKNOWN").otherwise("DERIVED").alias("classification"),
+    spans = entries.select("pool", F.col("entry_id").alias("interval_id"), F.col("entry_ns").alias("from_ns"), "until_ns")
+    got = interval_extrema(marks.where(is_sample()), spans, "pool", split)
+    return got.select(
+        "pool", F.col("interval_id").alias("entry_id"), "samples",
+        price("lo.quote_raw", "lo.base_raw").alias("minimum"), price("hi.quote_raw", "hi.base_raw").alias("maximum"),
+        F.when(F.col("samples") == 0, "UNKNOWN").otherwise("DERIVED").alias("classification"),
     )
 
 

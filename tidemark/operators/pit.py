@@ -6,6 +6,9 @@ the same id with other content a conflict that is reported and never merged.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,41 +66,73 @@ def _follow(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reached.distinct()
 
 
+def _reached(pool: DataFrame, chain: list[str], split: Split) -> DataFrame:
+    """capture_id of the rows that the first revision of their chain reaches, each revision going on to the first later one that continues it."""
+    as_parent = pool.select(*chain, (F.col("revision") + 1).alias("rev"), F.col("source_id").alias("sup"), "kind",
+                            "capture_id", F.lit(0).alias("child"))
+    as_child = pool.where(F.col("supersedes").isNotNull()).select(
+        *chain, F.col("revision").alias("rev"), F.col("supersedes").alias("sup"), "kind", "capture_id", F.lit(1).alias("child"))
+    o = Ordered(as_parent.unionByName(as_child), [*chain, "rev", "sup", "kind"], ["capture_id", "child"], split)
+    o.last_seen("next", F.col("capture_id"), F.col("child") == 1, descending=True)
+    edges = o.result().where("child = 0 and next is not null").select(F.col("capture_id").alias("node"), "next")
+    roots = (
+        pool.where("revision = 0 and supersedes is null and not retracted")
+        .groupBy(*chain).agg(F.min("capture_id").alias("node")).select("node")
+    )
+    return _follow(edges, roots).select(F.col("node").alias("capture_id"))
+
+
+def _among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose key occurs in ``keys``; nulls are equal."""
+    named = keys.select(*[F.col(c).alias(f"__{c}") for c in columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
+    return rows.join(named, functools.reduce(operator.and_, same), "left_semi")
+
+
+def settle_revisions(rows: DataFrame, split: Split = Split()) -> tuple[DataFrame, int]:
+    """capture_id of the accepted rows, and the waves it took.
+
+    Two rules meet: a chain goes from its first revision to the first later row that continues it, and an id accepted
+    once in a source refuses its later holders. Each wave follows all chains with the refusals known so far, then finds
+    all refusals that follow. Whether a row is accepted depends on earlier rows only, so every wave settles one more step of
+    each dependency at least, and there is one end to come to. Waves grow with the longest run of refusals that
+    depend on each other, not with their number, and from the second on they follow only chains whose refusals changed.
+    """
+    chain = ["source", "logical_id"]
+    by_chain, by_id = measured(rows, chain, "capture_id", split), measured(rows, ["source", "source_id"], "capture_id", split)
+    ids = rows.groupBy("source", "source_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    contested = cut_lineage(_among(rows, ids, ["source", "source_id"]).select(*chain, "source_id", "capture_id"))
+    accepted = cut_lineage(_reached(rows, chain, by_chain))
+    refused = cut_lineage(accepted.limit(0))
+    waves = 1
+    while True:
+        held = Ordered(contested.join(accepted.withColumn("__ok", F.lit(True)), "capture_id", "left"), ["source", "source_id"], ["capture_id"], by_id)
+        held = held.last_seen("held", F.col("capture_id"), F.col("__ok")).result()
+        now = cut_lineage(held.where(F.col("held").isNotNull()).select("capture_id"))
+        moved = now.join(refused, "capture_id", "left_anti").unionByName(refused.join(now, "capture_id", "left_anti"))
+        chains = cut_lineage(contested.join(moved, "capture_id", "left_semi").select(*chain).distinct())
+        if chains.isEmpty():
+            return accepted, waves
+        again = _among(rows, chains, chain)
+        fresh = _reached(again.join(now, "capture_id", "left_anti"), chain, by_chain)
+        accepted = cut_lineage(accepted.join(again.select("capture_id"), "capture_id", "left_anti").unionByName(fresh))
+        refused = now
+        waves += 1
+
+
 def validate_revisions(records: DataFrame, split: Split = Split()) -> DataFrame:
     """Accept, per (source, logical_id), revision 0 and then each next revision of its parent.
 
     records: capture_id (unique arrival order), source, source_id, logical_id, kind, revision,
     supersedes, retracted, document. A rejected row never becomes a parent and never reserves
     its id, so acceptance depends on earlier verdicts. Instead of folding a whole key in one
-    task, every row gets a pointer to the first later row that continues it, and the accepted
-    rows are those the first revision reaches. A key of any size is spread over the cluster.
+    task, ``settle_revisions`` follows pointers and settles clashes of ids in waves; a key of any size is spread over the cluster.
     """
     chain = ["source", "logical_id"]
     rows = records.withColumns({"capture_id": F.col("capture_id").cast("bigint"), "revision": F.col("revision").cast("bigint")})
     by_chain, by_id = measured(rows, chain, "capture_id", split), measured(rows, ["source", "source_id"], "capture_id", split)
-    blocked = None
-    while True:
-        pool = rows if blocked is None else rows.join(blocked, "capture_id", "left_anti")
-        as_parent = pool.select(*chain, (F.col("revision") + 1).alias("rev"), F.col("source_id").alias("sup"), "kind",
-                                "capture_id", F.lit(0).alias("child"))
-        as_child = pool.where(F.col("supersedes").isNotNull()).select(
-            *chain, F.col("revision").alias("rev"), F.col("supersedes").alias("sup"), "kind", "capture_id", F.lit(1).alias("child"))
-        o = Ordered(as_parent.unionByName(as_child), [*chain, "rev", "sup", "kind"], ["capture_id", "child"], by_chain)
-        o.last_seen("next", F.col("capture_id"), F.col("child") == 1, descending=True)
-        edges = o.result().where("child = 0 and next is not null").select(F.col("capture_id").alias("node"), "next")
-        roots = (
-            pool.where("revision = 0 and supersedes is null and not retracted")
-            .groupBy(*chain).agg(F.min("capture_id").alias("node")).select("node")
-        )
-        reached = cut_lineage(_follow(edges, roots).select(F.col("node").alias("capture_id"), F.lit(True).alias("__ok")))
-        accepted = rows.join(reached, "capture_id").select("source", "source_id", "capture_id")
-        # an id already accepted elsewhere in the source refuses its later holders
-        again = Ordered(accepted, ["source", "source_id"], ["capture_id"], by_id).last_seen("held", F.col("capture_id"))
-        clash = again.result().where(F.col("held").isNotNull()).groupBy("source").agg(F.min("capture_id").alias("capture_id"))
-        clash = cut_lineage(clash.select("capture_id"))
-        if clash.isEmpty():
-            break
-        blocked = clash if blocked is None else cut_lineage(blocked.unionByName(clash))
+    accepted, _ = settle_revisions(rows, split)
+    reached = accepted.withColumn("__ok", F.lit(True))
     marked = rows.join(reached, "capture_id", "left").withColumn("__ok", F.coalesce("__ok", F.lit(False)))
     o = Ordered(marked, ["source", "source_id"], ["capture_id"], by_id)
     o.last_seen("same_id", F.struct("document"), F.col("__ok"))

@@ -133,8 +133,9 @@ SELECT pool, seq, n AS swaps_observed, CAST(vol AS BIGINT) AS volume_quote_raw,
  CAST(vol - 2 * coalesce(list_sum(qs[1:n // 2]), 0) AS BIGINT) AS half_window_volume_change_raw FROM x""")
 def opportunity_features(spark, sf):
     df = W.opportunity_features(events(spark, sf), 16)
-    return df.select("pool", "seq", "swaps_observed", "volume_quote_raw", "buy_count", "sell_count",
-                     F.col("wallets_unique").cast("bigint").alias("wallets_unique"), "price_change_bps", "half_window_volume_change_raw")
+    return df.select("pool", "seq", "swaps_observed", F.col("volume_quote_raw").cast("bigint").alias("volume_quote_raw"), "buy_count", "sell_count",
+                     F.col("wallets_unique").cast("bigint").alias("wallets_unique"), "price_change_bps",
+                     F.col("half_window_volume_change_raw").cast("bigint").alias("half_window_volume_change_raw"))
 
 
 MARKET_COLS = ["pool", "seq", "swaps", "buy_flow", "sell_flow", "volume", "imbalance_bps", "momentum_bps",
@@ -157,7 +158,8 @@ v AS (SELECT *, bf + sf AS vol, coalesce(list_sum([i.q FOR i IN s IF i.t <= s[1]
  CASE WHEN n >= 3 THEN s[n].c - s[n - 1].c END AS momentum_acceleration_bps,
  CASE WHEN len(cr) > 0 THEN event_time - cr[len(cr)].et END AS pool_age_seconds FROM v""")
 def market_features(spark, sf):
-    return W.market_features(events(spark, sf)).select(*MARKET_COLS)
+    flows = ("buy_flow", "sell_flow", "volume")
+    return W.market_features(events(spark, sf)).select(*[F.col(c).cast("bigint").alias(c) if c in flows else c for c in MARKET_COLS])
 
 
 @query("market_features_hot_pools", MARKET_SQL + """SELECT pool, seq, n AS swaps,
@@ -265,3 +267,95 @@ SELECT stage, max(c) AS samples, max(ns) FILTER (WHERE rn = (50 * c + 99) // 100
 def latency_percentiles(spark, sf):
     s = events(spark, sf).select(F.concat_ws("/", "kind", "instruction").alias("stage"), F.col("quote_raw").alias("ns"))
     return W.latency_percentiles(s, Split(500))
+
+
+# Amounts near 2^64: both sides of every price grow by a constant, so returns are those of the small amounts.
+Q_TIMES, B_TIMES = 300_000_000_000_000, 150_000_000_000_000_000
+
+
+def wide_events(spark, sf):
+    return events(spark, sf).withColumns({
+        "quote_raw": (F.col("quote_raw").cast("decimal(20,0)") * F.lit(Q_TIMES).cast("decimal(18,0)")).cast("decimal(20,0)"),
+        "base_raw": (F.col("base_raw").cast("decimal(20,0)") * F.lit(B_TIMES).cast("decimal(18,0)")).cast("decimal(20,0)")})
+
+
+def ratio_sql(num, den):
+    """numerator/denominator in lowest terms, as one text."""
+    return f"CAST(({num}) // gcd(abs({num}), {den}) AS VARCHAR) || '/' || CAST(({den}) // gcd(abs({num}), {den}) AS VARCHAR)"
+
+
+def ratio_text(c):
+    return F.concat_ws("/", F.col(f"{c}.numerator"), F.col(f"{c}.denominator"))
+
+
+HUGE = "CAST({} AS HUGEINT)".format
+EXACT_MARKET = MARKET_SQL + f""", h AS (SELECT *, {HUGE('vol')} * {Q_TIMES} AS wv, {HUGE('span // 1000')} AS us, (vol - 2 * older) * {HUGE(4)} * {Q_TIMES} * 1000000000000 AS mv FROM v)
+SELECT pool, seq, n AS swaps, CAST({HUGE('bf')} * {Q_TIMES} AS VARCHAR) AS buy_flow, CAST({HUGE('sf')} * {Q_TIMES} AS VARCHAR) AS sell_flow, CAST(wv AS VARCHAR) AS volume,
+ (bf - sf) * 10000 // vol AS imbalance_bps,
+ CASE WHEN n >= 2 THEN {bps("s[n].q", "s[n].b", "s[1].q", "s[1].b")} END AS momentum_bps,
+ CASE WHEN n >= 2 THEN CAST(list_sum([abs(i.c) FOR i IN s[2:n]]) // (n - 1) AS BIGINT) END AS volatility_mean_abs_return_bps,
+ CASE WHEN n >= 3 THEN s[n].c - s[n - 1].c END AS momentum_acceleration_bps,
+ {ratio_sql(f"{HUGE('s[n].q')} * {Q_TIMES}", f"{HUGE('s[n].b')} * {B_TIMES}")} AS price,
+ CASE WHEN n >= 2 AND span > 0 THEN {ratio_sql("wv * 1000000", "us")} END AS volume_velocity,
+ CASE WHEN n >= 2 AND span > 0 THEN {ratio_sql(HUGE('n') + " * 1000000", "us")} END AS transaction_velocity,
+ CASE WHEN n >= 3 AND span > 0 THEN {ratio_sql("mv", "us * us")} END AS volume_acceleration FROM h"""
+
+
+@query("exact_market_features", EXACT_MARKET)
+def exact_market_features(spark, sf):
+    """Amounts near 2^64: flows of decimals, price and rates as fractions in lowest terms."""
+    df = W.market_features(wide_events(spark, sf), exact=True)
+    rates = ("price", "volume_velocity", "transaction_velocity", "volume_acceleration")
+    return df.select("pool", "seq", "swaps", *[F.col(c).cast("string").alias(c) for c in ("buy_flow", "sell_flow", "volume")],
+                     F.col("imbalance_bps").cast("bigint").alias("imbalance_bps"), "momentum_bps",
+                     F.col("volatility_mean_abs_return_bps").cast("bigint").alias("volatility_mean_abs_return_bps"), "momentum_acceleration_bps",
+                     *[F.when(F.col(f"{c}.numerator").isNotNull(), ratio_text(c)).alias(c) for c in rates])
+
+
+@query("exact_drawdowns", DRAWDOWN + f"""SELECT pool, seq, fall AS fall_bps, min(fall) OVER ({WIN} ROWS UNBOUNDED PRECEDING) AS drawdown_bps FROM f""")
+def exact_drawdowns(spark, sf):
+    """Running falls of prices whose products leave 38 digits."""
+    return W.drawdown(wide_events(spark, sf)).select("pool", "seq", "fall_bps", "drawdown_bps")
+
+
+@query("exact_context_features", CONTEXT_SQL + f"""SELECT pool, seq, n AS observations, momentum_short_bps, momentum_medium_bps,
+ CASE WHEN n >= 2 THEN array_to_string([{ratio_sql(HUGE('s[i].q') + " * s[i - 1].b - " + HUGE('s[i - 1].q') + " * s[i].b", HUGE('s[i].b') + " * s[i - 1].q")} FOR i IN range(2, n + 1)], ',') END AS returns,
+ CASE WHEN n >= 3 AND span_ns > 0 THEN {ratio_sql(f"(n - 2 * len([i FOR i IN s IF i.t <= s[1].t + span_ns // 2])) * {HUGE(4)} * 1000000000000", f"{HUGE('span_ns // 1000')} * (span_ns // 1000)")} END AS activity_acceleration FROM q""")
+def exact_context_features(spark, sf):
+    ev = wide_events(spark, sf).withColumn("slot", F.pmod("seq", F.lit(97)))
+    df = W.context_features(W.context_window(ev, FIVE_DAYS, 64), exact=True)
+    returns = F.array_join(F.transform("returns", lambda r: F.concat_ws("/", r["numerator"], r["denominator"])), ",")
+    return df.select("pool", "seq", F.col("observations").cast("bigint").alias("observations"), "momentum_short_bps", "momentum_medium_bps",
+                     returns.alias("returns"), F.when(F.col("activity_acceleration.numerator").isNotNull(), ratio_text("activity_acceleration")).alias("activity_acceleration"))
+
+
+SPANS = "e AS (SELECT pool, seq AS entry_id, availability_ns AS entry_ns, CASE WHEN seq % 2 = 0 THEN availability_ns + (seq % 31) * 86400000000000 END AS until_ns FROM ev WHERE kind <> 'swap')"
+
+
+def open_positions(ev):
+    """A position at every creation and failure, half of them never closed: many are open at once."""
+    until = F.when(F.col("seq") % 2 == 0, F.col("availability_ns") + (F.col("seq") % 31) * F.lit(86400 * 1_000_000_000))
+    return ev.where("kind <> 'swap'").select("pool", F.col("seq").alias("entry_id"), F.col("availability_ns").alias("entry_ns"), until.alias("until_ns"))
+
+
+OVERLAPPING = f"""WITH {EV}, {SPANS},
+j AS (SELECT e.pool, e.entry_id, count(s.seq) AS samples, min(s.quote_raw / s.base_raw) AS lo, max(s.quote_raw / s.base_raw) AS hi
+ FROM e LEFT JOIN sw s ON s.pool = e.pool AND s.availability_ns > e.entry_ns AND (e.until_ns IS NULL OR s.availability_ns <= e.until_ns) GROUP BY ALL)
+SELECT pool, entry_id, samples, round(lo, 6) AS minimum, round(hi, 6) AS maximum, CASE WHEN samples = 0 THEN 'UNKNOWN' ELSE 'DERIVED' END AS classification FROM j"""
+
+
+def overlapping(spark, sf, split=Split()):
+    ev = events(spark, sf)
+    out = W.candidate_extrema(ev, open_positions(ev), split)
+    return out.select("pool", "entry_id", "samples", F.round(F.col("minimum").cast("double"), 6).alias("minimum"),
+                      F.round(F.col("maximum").cast("double"), 6).alias("maximum"), "classification")
+
+
+@query("overlapping_extrema", OVERLAPPING)
+def overlapping_extrema(spark, sf):
+    return overlapping(spark, sf)
+
+
+@query("overlapping_extrema_hot_pools", OVERLAPPING)
+def overlapping_extrema_hot_pools(spark, sf):
+    return overlapping(spark, sf, Split(30))

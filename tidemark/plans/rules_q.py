@@ -261,3 +261,54 @@ def position_health(spark, sf):
     h = E.position_health(a, events(spark, sf), entries, persist_ns=86400 * 1_000_000_000)
     return h.select("analysis_id", "entry_id", F.coalesce("observed_samples", F.lit(0)).alias("observed_samples"), "return_since_entry_bps", F.col("mae_observed_bps").alias("mae"), F.col("mfe_observed_bps").alias("mfe"),
                     F.col("drawdown_from_peak_bps").alias("drawdown"), "liquidity_change_bps", join("signals"), "persistent", "thesis_state", "action")
+
+
+# two positions of a pool at every analysis: the newest and the oldest one, both open
+OPEN_HEALTH = f"""WITH {EV}, en AS (SELECT pool, seq AS entry_id, availability_ns AS t0, quote_raw AS eq, base_raw AS eb, seq % 5 AS thesis FROM ev WHERE kind = 'pool_created'),
+fe AS (SELECT pool, arg_min(entry_id, t0) AS entry_id FROM en GROUP BY pool),
+x AS (SELECT e.*, n.entry_id, 0 AS side FROM ev e ASOF JOIN en n ON e.pool = n.pool AND e.availability_ns > n.t0 WHERE e.kind = 'failed'
+ UNION ALL SELECT e.*, n.entry_id, 1 AS side FROM ev e JOIN fe ON fe.pool = e.pool JOIN en n ON n.entry_id = fe.entry_id AND e.availability_ns > n.t0 WHERE e.kind = 'failed'),
+an AS (SELECT x.seq * 2 + side AS analysis_id, x.*, t0, eq, eb, thesis, CASE WHEN seq % 19 <> 1 THEN quote_raw % 900 - 800 END AS m, base_raw * 100 - 8000 AS fl, seq % 5 - 2 AS acc,
+ (quote_raw * 100000 - eq * 200000) * 10000 // (eq * 200000) AS lc, base_raw + 40 AS imp FROM x JOIN en USING (pool, entry_id)),
+mk AS (SELECT a.analysis_id, count(s.seq) AS n, min({BPSX.format(q='s.quote_raw', b='s.base_raw', q0='a.eq', b0='a.eb')}) AS lo, max({BPSX.format(q='s.quote_raw', b='s.base_raw', q0='a.eq', b0='a.eb')}) AS hi,
+  arg_max({BPSX.format(q='s.quote_raw', b='s.base_raw', q0='a.eq', b0='a.eb')}, s.availability_ns) AS last, arg_max({{q: s.quote_raw, b: s.base_raw}}, s.availability_ns) AS lp,
+  arg_max({{q: s.quote_raw, b: s.base_raw}}, s.quote_raw / s.base_raw) AS pk, max(s.quote_raw / s.base_raw) AS pp
+  FROM an a JOIN sw s ON s.pool = a.pool AND s.availability_ns > a.t0 AND s.availability_ns <= a.availability_ns GROUP BY a.analysis_id),
+sg AS (SELECT a.*, mk.* EXCLUDE (analysis_id), list_filter([CASE WHEN m <= -200 AND fl < 0 THEN 'momentum_and_flow_deterioration' END, CASE WHEN lc <= -2000 THEN 'liquidity_deterioration' END, CASE WHEN imp >= 100 THEN 'execution_deterioration' END], lambda z: z IS NOT NULL) AS sig,
+  list_sort(list_filter([CASE WHEN m IS NULL THEN 'momentum_bps' END, CASE WHEN seq % 17 = 1 THEN 'context:history.continuity' END], lambda z: z IS NOT NULL)) AS miss FROM an a LEFT JOIN mk USING (analysis_id)),
+pr AS (SELECT *, lag(len(sig)) OVER w AS pn, lag(len(miss)) OVER w AS pl, lag(availability_ns) OVER w AS pa, lag(imp) OVER w AS pi FROM
+ (SELECT *, row_number() OVER (PARTITION BY entry_id, availability_ns ORDER BY analysis_id DESC) AS newest FROM sg) WHERE newest = 1 WINDOW w AS (PARTITION BY entry_id ORDER BY availability_ns)),
+fs AS (SELECT s.*, coalesce(p.pl = 0 AND s.availability_ns - p.pa <= 86400000000000 AND p.pn >= 2 AND len(s.sig) >= 2, false) AS persistent, s.imp - p.pi AS impact_change,
+  s.seq % 7 = 3 AND s.seq % 13 <> 1 AS quoted, (s.seq % 3) * 60 * 1000000000 AS quote_age
+  FROM sg s JOIN pr p ON s.entry_id = p.entry_id AND s.availability_ns = p.availability_ns)
+SELECT analysis_id, entry_id, coalesce(n, 0) AS observed_samples, last AS return_since_entry_bps, CASE WHEN n > 0 THEN least(0, lo) END AS mae, CASE WHEN n > 0 THEN greatest(0, hi) END AS mfe,
+ CASE WHEN n > 0 THEN CASE WHEN pp > eq / eb THEN {BPSX.format(q='lp.q', b='lp.b', q0='pk.q', b0='pk.b')} ELSE last END END AS drawdown, lc AS liquidity_change_bps, availability_ns - t0 AS position_age_ns, impact_change AS exit_impact_change_bps,
+ thesis AS entry_thesis, array_to_string(sig, ',') AS signals, array_to_string(miss, ',') AS missing, persistent,
+ CASE WHEN len(miss) > 0 THEN 'UNKNOWN' WHEN persistent THEN 'INVALIDATED' WHEN len(sig) > 0 OR m < 0 OR fl < 0 THEN 'WEAKENING' WHEN m > 0 AND fl >= 0 AND acc > 0 THEN 'STRENGTHENING' ELSE 'INTACT' END AS thesis_state,
+ CASE WHEN seq % 11 = 1 THEN 'VETO' WHEN seq % 13 = 1 OR len(miss) > 0 THEN 'HOLD' WHEN persistent THEN 'EXIT_CANDIDATE' ELSE 'HOLD' END AS action,
+ CASE WHEN seq % 11 = 1 THEN 'stale' WHEN seq % 13 = 1 THEN 'evidence_not_proven' WHEN len(miss) > 0 THEN array_to_string([('missing:' || k) FOR k IN miss], ',')
+  WHEN persistent THEN array_to_string(sig, ',') ELSE 'joint_deterioration_not_persistent' END AS reasons,
+ CASE WHEN quoted AND quote_age <= 60000000000 AND availability_ns - quote_age >= t0 AND seq % 2 = 0 THEN 'PROVEN' ELSE 'UNKNOWN' END AS exit_quote_status,
+ CASE WHEN quoted AND quote_age <= 60000000000 AND availability_ns - quote_age >= t0 AND seq % 2 = 0 THEN least(quote_raw, (quote_raw + 50) * 9975 // 10000) - 3 - eq END AS exit_result FROM fs"""
+
+
+@query("open_position_health", OPEN_HEALTH)
+def open_position_health(spark, sf):
+    """Overlapping positions, with reasons, age, change of the exit impact, the thesis carried along and the exit result at full size."""
+    ev = events(spark, sf)
+    entries, newest = positions(spark, sf)
+    entries = entries.withColumns({"cost": F.col("entry_quote_raw"), "token": F.lit("T"), "quote_mint": F.lit("N"), "thesis": F.pmod("entry_id", F.lit(5))})
+    oldest = entries.groupBy("pool").agg(F.min_by("entry_id", "entry_ns").alias("entry_id"))
+    first = ev.where("kind = 'failed'").withColumnRenamed("seq", "analysis_id").join(oldest, "pool").join(entries.select("entry_id", "entry_ns"), "entry_id").where(F.col("availability_ns") > F.col("entry_ns"))
+    rows = newest.select((F.col("analysis_id") * 2).alias("analysis_id"), "entry_id", F.col("analysis_id").alias("seq")).unionByName(
+        first.select((F.col("analysis_id") * 2 + 1).alias("analysis_id"), "entry_id", F.col("analysis_id").alias("seq")))
+    a = rows.join(newest.drop("entry_id").withColumnRenamed("analysis_id", "seq"), "seq")
+    a = a.withColumns({"required_missing": F.when(F.col("seq") % 17 == 1, F.array(F.lit("history.continuity"), F.lit("quote_reserve"))), "risk_reasons": F.array(F.lit("stale")), "exit_frame": F.col("analysis_id")}).drop("history_missing")
+    e = ev.select("seq", "quote_raw", "availability_ns")
+    q = rows.where("seq % 7 = 3").join(e, "seq").join(entries.select("entry_id", "units"), "entry_id").select(
+        F.col("analysis_id").alias("frame"), F.lit("T").alias("input_mint"), F.lit("N").alias("output_mint"), (F.col("units") + F.col("seq") % 2).alias("input_raw"),
+        (F.col("quote_raw") + 50).alias("output_raw"), F.col("quote_raw").alias("minimum_raw"), (F.col("availability_ns") - (F.col("seq") % 3) * F.lit(60_000_000_000)).alias("observed_ns"))
+    h = E.position_health(a, ev, entries, persist_ns=86400 * 1_000_000_000, quotes=q, ttl_ns=60_000_000_000, fee=3)
+    return h.select("analysis_id", "entry_id", F.coalesce("observed_samples", F.lit(0)).alias("observed_samples"), "return_since_entry_bps", F.col("mae_observed_bps").alias("mae"), F.col("mfe_observed_bps").alias("mfe"),
+                    F.col("drawdown_from_peak_bps").alias("drawdown"), "liquidity_change_bps", "position_age_ns", "exit_impact_change_bps", "entry_thesis", join("signals"), join("missing"), "persistent", "thesis_state", "action",
+                    join("reasons"), "exit_quote_status", F.col("indicative_exit_result_raw").cast("bigint").alias("exit_result"))
