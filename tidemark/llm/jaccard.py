@@ -109,36 +109,51 @@ def set_key(tokens: np.ndarray) -> bytes:
 def _signatures(docs: DataFrame, id_col: str, text: str, n: int, threshold: float, runs: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     level = "array<struct<up:long,path:long>>"
+    kinds = [pa.field("up", pa.int64()), pa.field("path", pa.int64())]
 
     def sign(cols: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("set", "size", "sketch", *(f"l{i + 1}" for i in range(LEVELS)))}
+        sets, sizes, sketches = [], [], []
+        drawn: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(LEVELS)]
         for data in raw(cols[text]):
             tokens = shingle_set(data, n)
-            out["set"].append(set_key(tokens))
-            out["size"].append(len(tokens))
-            out["sketch"].append(sketch(tokens))
-            for i, (up, path) in enumerate(paths(tokens, runs, threshold)):
-                out[f"l{i + 1}"].append([{"up": u, "path": p} for u, p in zip(up.view(np.int64).tolist(), path.view(np.int64).tolist(), strict=True)])
-        return {id_col: cols[id_col], "tie": cols["tie"]} | out
+            sets.append(set_key(tokens))
+            sizes.append(len(tokens))
+            sketches.append(sketch(tokens))
+            for at, found in zip(drawn, paths(tokens, runs, threshold), strict=True):
+                at.append(found)
+        levels = {}
+        for i, found in enumerate(drawn):
+            ends = np.cumsum([0] + [len(path) for _, path in found]).astype(np.int32)
+            up, path = (np.concatenate([f[k] for f in found] or [np.empty(0, np.uint64)]).view(np.int64) for k in (0, 1))
+            both = pa.StructArray.from_arrays([pa.array(up, pa.int64()), pa.array(path, pa.int64())], fields=kinds)
+            levels[f"l{i + 1}"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
+        return {id_col: cols[id_col], "tie": cols["tie"], "set": sets, "size": sizes, "sketch": sketches} | levels
 
     rows = docs.select(id_col, F.xxhash64(text).alias("tie"), text)
     return map_batches(rows, sign, f"`{id_col}` {kind}, tie long, set binary, size int, sketch binary, " + ", ".join(f"l{i + 1} {level}" for i in range(LEVELS)))
 
 
-def _final_nodes(signed: DataFrame) -> DataFrame:
-    """path, set and members of the nodes to be compared, each with two sets at least; copies count once."""
-    final, big = None, None
+def _final_nodes(signed: DataFrame, sets: DataFrame, id_col: str) -> DataFrame:
+    """path, set and members of the nodes to be compared, each with two sets at least; copies count once.
+
+    A set in a large node takes up its paths of the next level, which lie in the row of its representative. It is found by its own
+    (id, text hash), of which no two sets share one, so a large node never meets in one task.
+    """
+    final, rows = None, None
     for i in range(LEVELS):
-        rows = signed.select("set", F.explode(f"l{i + 1}").alias("n")).select("set", F.col("n.up").alias("up"), F.col("n.path").alias("path"))
-        if big is not None:
-            rows = rows.join(big, "up", "left_semi")
-        rows = rows.select("set", "path").distinct()
+        if rows is None:
+            rows = signed.select("set", F.explode("l1").alias("n")).select("set", F.col("n.path").alias("path")).distinct()
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= 2)
         nodes = written(rows.join(counts, "path"), "join-nodes")
         last = i == LEVELS - 1
         done = nodes if last else nodes.where(F.col("members") <= SMALL)
         final = done if final is None else final.unionByName(done)
-        big = nodes.where(F.col("members") > SMALL).select(F.col("path").alias("up")).distinct()
+        if not last:
+            large = nodes.where(F.col("members") > SMALL).groupBy("set").agg(F.collect_set("path").alias("ups")).join(sets.select("set", "rep"), "set")
+            large = large.select("ups", F.col(f"rep.{id_col}").alias("__id"), F.col("rep.tie").alias("__tie"))
+            held = signed.select(id_col, "tie", "set", f"l{i + 2}").join(large, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("tie").eqNullSafe(F.col("__tie")))
+            below = F.filter(f"l{i + 2}", lambda n: F.array_contains("ups", n["up"]))
+            rows = held.select("set", F.explode(F.array_distinct(F.transform(below, lambda n: n["path"]))).alias("path")).distinct()
     return final
 
 
@@ -278,7 +293,7 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, threshold: float, r
     signed = written(_signatures(docs, id_col, text, n, threshold, runs), "signatures")
     who = F.struct(F.col(id_col), F.col("tie"))
     sets = written(signed.groupBy("set").agg(F.min(who).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size")), "sets")
-    nodes = _final_nodes(signed)
+    nodes = _final_nodes(signed, sets, id_col)
     keys = nodes.groupBy("set").agg(F.sort_array(F.collect_list("path")).alias("keys"))
     shown = signed.select("set", "sketch").dropDuplicates(["set"])
     blocks: Column = F.ceil(F.col("members") / CHUNK).cast("int")
