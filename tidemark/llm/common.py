@@ -24,6 +24,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of measured size up to this many bytes may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def sized(table: DataFrame, size: int) -> DataFrame:
+    """The table with the hint that its measured size allows: broadcast, or a join by shuffle."""
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table.hint("shuffle_merge")
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
     """The rows with the columns of a table of one row a key, nulls being equal; ``count`` says how many rows a key has.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, WordHashes, gram_hashes, map_batches, mix, plain_words, raw, written
+from .common import BROADCAST_BYTES, ODD, WordHashes, gram_hashes, map_batches, mix, plain_words, raw, sized, written
 
 LEVELS = 3
 #: Sets up to which a node is compared by brute force before the last level, and sets in a block of a large last node.
@@ -150,7 +150,8 @@ def _final_nodes(signed: DataFrame, sets: DataFrame, id_col: str) -> DataFrame:
         final = done if final is None else final.unionByName(done)
         if not last:
             large = nodes.where(F.col("members") > SMALL).groupBy("set").agg(F.collect_set("path").alias("ups")).join(sets.select("set", "rep"), "set")
-            large = large.select("ups", F.col(f"rep.{id_col}").alias("__id"), F.col("rep.tie").alias("__tie"))
+            large = written(large.select("ups", F.col(f"rep.{id_col}").alias("__id"), F.col("rep.tie").alias("__tie")), "join-large")
+            large = sized(large, large.agg(F.sum(F.size("ups") * 8 + 40)).first()[0] or 0)
             held = signed.select(id_col, "tie", "set", f"l{i + 2}").join(large, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("tie").eqNullSafe(F.col("__tie")))
             below = F.filter(f"l{i + 2}", lambda n: F.array_contains("ups", n["up"]))
             rows = held.select("set", F.explode(F.array_distinct(F.transform(below, lambda n: n["path"]))).alias("path")).distinct()
@@ -312,7 +313,10 @@ def _joined(docs: DataFrame, id_col: str, text: str, n: int, threshold: float, r
     rep = f"rep struct<`{id_col}`:{kind},tie:bigint>"
     found = written(_groups(row.select(*fields, "rep"), close, f"{schema}, {rep}"), "join-candidates")
     said = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__tie"), F.col(text).cast("binary").alias("text"))
-    # the candidates grow with the input, so they are never broadcast to the texts
+    # only texts of candidates are shuffled, as long as a list of these may be broadcast
+    reps = written(found.select(F.col(f"rep.{id_col}").alias("__i"), F.col("rep.tie").alias("__t")).distinct(), "candidate-texts")
+    if (count := reps.count()) * 40 <= BROADCAST_BYTES:
+        said = said.join(sized(reps, count * 40), F.col("__id").eqNullSafe(F.col("__i")) & F.col("__tie").eqNullSafe(F.col("__t")), "left_semi")
     full = found.hint("shuffle_merge").join(said, F.col(f"rep.{id_col}").eqNullSafe(F.col("__id")) & F.col("rep.tie").eqNullSafe(F.col("__tie"))).select(*fields, "text")
     linked = written(_groups(full, lambda rows: _linked(rows, n, threshold) if len(rows) > 1 else [], "set binary, hub binary, links long"), "links")
     label = components(linked)

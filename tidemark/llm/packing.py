@@ -22,8 +22,11 @@ import functools
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,27 +34,50 @@ from .common import map_batches, raw, written
 
 #: Pieces of one length that one task ranks, about.
 RANK_ROWS = 50_000
+#: Bytes of texts that are encoded together, about.
+TEXT_BYTES = 16 << 20
+
+
+class Memory:
+    """A dict of bounded size that keeps what was used of late: two generations, of which the older one is dropped when the younger is full."""
+
+    def __init__(self, limit: int):
+        self.young, self._old, self._half = {}, {}, limit // 2
+
+    def recall(self, key):
+        """The value of a key that is not in ``young``, which it is put into again; None if it is unknown."""
+        found = self._old.get(key)
+        if found is not None:
+            self.young[key] = found
+        return found
+
+    def full(self) -> None:
+        """To be called now and then, while no key of ``young`` is relied on."""
+        if len(self.young) > self._half:
+            self.young, self._old = {}, self.young
 
 
 class SpacedTokenizer:
-    """Ids of a tokenizer whose words never span white space, chunk by chunk, with a bounded memory of chunks.
+    """Ids of a tokenizer whose words never span white space, chunk by chunk, with a bounded memory of chunks and of their pieces.
 
     It gives what ``encode`` gives for the whole text if the tokenizer drops ASCII white space and every rule stops there.
-    ``folds``: the tokenizer also lower-cases, and parts a letter from a full stop or comma behind it, so fewer chunks need
-    to be known. Texts that may hold special tokens are not folded, nor are capitals in front of a non-ASCII character: the
+    ``folds``: the tokenizer also lower-cases, takes a run of small ASCII letters as one word, and parts an ASCII letter or digit from the ASCII
+    marks behind it at the end of a chunk, so fewer pieces need to be known. Texts that may hold special tokens are not folded, nor are capitals in front of a non-ASCII character: the
     tokenizer composes letters and marks before it lower-cases, and some letters compose in one case only. The tests hold it against ``encode``.
     """
 
-    _STOP = re.compile(rb"([a-z])([.,])(?=[ \t-\r]|\Z)")
     #: A capital that a mark may follow.
     _BASE = re.compile(rb"[A-Z](?=[\x80-\xff])")
+    _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+    _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, path: str, limit: int = 500_000, longest: int = 64, folds: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self._folds = folds
-        self._tokenizer, self._known, self._limit, self._longest = Tokenizer.from_file(path), {}, limit, longest
+        self._folds, self._longest = folds, longest
+        self._tokenizer = Tokenizer.from_file(path)
+        self._known, self._pieces, self._model = Memory(limit), Memory(limit), self._tokenizer.model
 
     def _folded(self, text: bytes) -> bytes:
         low = text.lower()  # bytes: A-Z only
@@ -60,34 +86,76 @@ class SpacedTokenizer:
             for i in kept:
                 low[i] = text[i]
             low = bytes(low)
-        return self._STOP.sub(rb"\1 \2", low)
+        return low
 
     def ids(self, text: bytes) -> np.ndarray:
-        known = self._known
-        if self._folds and b"<|" not in text:
-            text = self._folded(text)
-        chunks = text.split()  # bytes: ASCII white space only
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            if len(known) > self._limit:
-                known.clear()
-            own = {}
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            for c, found in zip(new, self._encoded([c.decode() for c in new]), strict=True):
-                (known if len(c) <= self._longest else own)[c] = found
-            found = [known[c] if c in known else own[c] for c in chunks]
-        return np.frombuffer(b"".join(found), dtype="<u4")
-
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. Chunks are numbered over all texts first, so only different ones are looked up."""
+        texts = [self._folded(t) if self._folds and b"<|" not in t else t for t in texts]
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        chunks = parts.flatten().dictionary_encode()
+        names = chunks.dictionary.cast(pa.large_binary()).to_pylist()
+        found = list(map(self._known.young.get, names))
+        if None in found:
+            at = [i for i, f in enumerate(found) if f is None]
+            new = self._learned([names[i] for i in at])
+            for i in at:
+                found[i] = new[names[i]]
+        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.array(list(map(len, found)), dtype=np.int64) // 4
+        start = np.cumsum(size) - size
+        code = np.asarray(chunks.indices)
+        sizes = size[code] if len(code) else np.empty(0, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        ids = pool[np.repeat(start[code] - ends[:-1], sizes) + np.arange(ends[-1])] if len(code) else pool
+        cuts = ends[np.asarray(parts.offsets)].tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _parted(self, chunk: bytes) -> tuple[bytes, ...]:
+        """The chunk, or its part up to the last plain character and the marks behind it."""
+        head = chunk.rstrip(self._MARKS) if self._folds else chunk
+        if len(head) == len(chunk) or not head or head[-1] not in self._PLAIN or b"<|" in chunk:
+            return (chunk,)
+        return head, chunk[len(head) :]
+
+    def _learned(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        known, pieces = self._known, self._pieces
+        known.full()
+        pieces.full()
+        out, parts = {b"": b""}, {}
+        for c in filter(None, chunks):
+            if (e := known.recall(c)) is None:
+                parts[c] = self._parted(c)
+            else:
+                out[c] = e
+        young = pieces.young
+        need = {p for pair in parts.values() for p in pair if p not in young and pieces.recall(p) is None}
+        own = {}
+        rest = []
+        for p in need:
+            if self._folds and p.isalpha() and p.islower():  # bytes: ASCII letters only
+                own[p] = np.array([t.id for t in self._model.tokenize(p.decode())], dtype="<u4").tobytes()
+            else:
+                rest.append(p)
+        if rest:
+            own.update(zip(rest, self._encoded([p.decode() for p in rest]), strict=True))
+        for c, pair in parts.items():
+            e = out[c] = b"".join([own[p] if p in own else young[p] for p in pair])
+            if len(c) <= self._longest:
+                known.young[c] = e
+        young.update((p, e) for p, e in own.items() if len(p) <= self._longest)
+        return out
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk, from one call over all with a space between; a token belongs to the chunk it starts in."""
         done = self._tokenizer.encode(" ".join(chunks), add_special_tokens=False)
         starts = np.cumsum([0] + [len(c) + 1 for c in chunks])
         tokens = np.array([a for a, _ in done.offsets], dtype=np.int64)
-        ids = np.array(done.ids, dtype="<u4")
-        cuts = np.searchsorted(tokens, starts)
-        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        ids = np.array(done.ids, dtype="<u4").tobytes()
+        cuts = (4 * np.searchsorted(tokens, starts)).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -100,10 +168,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     """One row per piece: id, piece (from 0), start, length, ids_crc32 and, if asked for, ids."""
     names = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
+    def encoded(texts: Iterator[bytes]) -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= TEXT_BYTES:
+                yield from _loaded(tokenizer).ids_of(held)
+                held, size = [], 0
+        yield from _loaded(tokenizer).ids_of(held)
+
     def cut(cols: dict) -> dict:
         out = {k: [] for k in names}
-        for doc, words in zip(cols[id_col].to_pylist(), raw(cols[text]), strict=True):
-            ids = np.append(_loaded(tokenizer).ids(words), np.array([end_id], dtype="<u4"))
+        for doc, found in zip(cols[id_col].to_pylist(), encoded(raw(cols[text])), strict=True):
+            ids = np.append(found, np.array([end_id], dtype="<u4"))
             for k, at in enumerate(range(0, len(ids), capacity)):
                 part = ids[at : at + capacity]
                 for name, value in zip(names, (doc, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes()), part.astype("int64")), strict=False):
