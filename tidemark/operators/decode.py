@@ -124,15 +124,24 @@ def duplicate_signature() -> Column:
     return F.coalesce(F.expr("array_position(__sigs, signature) <= transaction_index"), F.lit(False))
 
 
-def explode_instructions(transactions: DataFrame) -> DataFrame:
-    """Outer and inner instructions of processed transactions with their positions (inner index null = outer)."""
+def explode_instructions(transactions: DataFrame, every: bool = False, carry=()) -> DataFrame:
+    """Outer and inner instructions of processed transactions with their positions (inner index null = outer).
+
+    ``every``: one pass over all transactions for accounting. Those without an instruction to show keep one row (its
+    instruction_index is null), ``first`` marks one row of each transaction, and ``transaction_status``, ``inner_coverage`` and the
+    columns of ``carry`` go along.
+    """
     rows = F.expr(
         "concat(transform(instructions, (x, i) -> named_struct('instruction_index', i, 'inner_instruction_index', cast(null as int), 'ix', x)),"
         " coalesce(flatten(transform(inner, g -> transform(g.instructions, (x, j) -> named_struct('instruction_index', g.index, 'inner_instruction_index', j, 'ix', x)))),"
         f" cast(array() as array<struct<instruction_index:int,inner_instruction_index:int,ix:{INSTRUCTION}>>)))")
-    return transactions.where(F.col("status") == "processed").select(
-        "slot", "blockhash", "transaction_index", "signature", "keys", F.inline(rows)
-    ).withColumn("program", F.get("keys", F.col("ix.programIdIndex")))
+    if every:
+        shown = F.when(F.col("status") == "processed", rows)
+        out = transactions.select("slot", "blockhash", "transaction_index", "signature", "keys", F.col("status").alias("transaction_status"), "inner_coverage", *carry, F.inline_outer(shown))
+        out = out.withColumn("first", F.col("instruction_index").isNull() | ((F.col("instruction_index") == 0) & F.col("inner_instruction_index").isNull()))
+    else:
+        out = transactions.where(F.col("status") == "processed").select("slot", "blockhash", "transaction_index", "signature", "keys", F.inline(rows))
+    return out.withColumn("program", F.get("keys", F.col("ix.programIdIndex")))
 
 
 def _account(i: int) -> Column:
@@ -229,10 +238,14 @@ def token_balance_delta(pre: DataFrame, post: DataFrame, keys=("tx", "account_in
 
 def balance_changes(transactions: DataFrame) -> DataFrame:
     """The same for nested transactions, inside the row: one struct per changed account and the balance status."""
+    return with_balance_status(transactions.where(F.col("status") == "processed"))
+
+
+def with_balance_status(transactions: DataFrame) -> DataFrame:
+    """All transactions with ``changes`` and ``token_balance_status``, both null but for processed ones."""
     bad = ("exists({0}, b -> not coalesce(b.accountIndex between 0 and size(keys) - 1, false) or b.mint is null or not coalesce(b.amount rlike '^[0-9]{{1,20}}$', false)"
            " or not coalesce(b.decimals between 0 and 255, false)) or size(array_distinct({0}.accountIndex)) < size({0})")
     invalid = F.coalesce(F.expr(bad.format("pre")), F.lit(False)) | F.coalesce(F.expr(bad.format("post")), F.lit(False))
-    side = "filter({0}, b -> b.accountIndex = i)[0]"
     pairs = F.expr(
         "transform(array_sort(array_union(pre.accountIndex, post.accountIndex)), i -> named_struct('account_index', i, 'account', get(keys, i),"
         " 'b', get(filter(pre, b -> b.accountIndex = i), 0), 'a', get(filter(post, b -> b.accountIndex = i), 0)))")
@@ -240,11 +253,12 @@ def balance_changes(transactions: DataFrame) -> DataFrame:
         "transform(__pairs, p -> named_struct('account_index', p.account_index, 'account', p.account, 'before', cast(p.b.amount as decimal(20,0)), 'after', cast(p.a.amount as decimal(20,0)),"
         " 'delta_raw', if(p.b.mint = p.a.mint and p.b.decimals = p.a.decimals and p.b.programId <=> p.a.programId,"
         " cast(p.a.amount as decimal(21,0)) - cast(p.b.amount as decimal(21,0)), null)))")
-    t = transactions.where(F.col("status") == "processed").withColumn("__bad", invalid)
+    processed = F.col("status") == "processed"
+    t = transactions.withColumn("__bad", F.when(processed, invalid))
     t = t.withColumn("__pairs", F.when(~F.col("__bad") & F.col("pre").isNotNull() & F.col("post").isNotNull(), pairs)).withColumn("__all", delta)
     return t.withColumns({
-        "token_balance_status": F.when(F.col("__bad"), "error").when(F.col("__all").isNull(), "not_recorded").when(
-            F.expr("exists(__all, c -> c.delta_raw is null)"), "partial").otherwise("recorded"),
+        "token_balance_status": F.when(processed, F.when(F.col("__bad"), "error").when(F.col("__all").isNull(), "not_recorded").when(
+            F.expr("exists(__all, c -> c.delta_raw is null)"), "partial").otherwise("recorded")),
         "changes": F.expr("filter(__all, c -> c.delta_raw is null or c.delta_raw <> 0)"),
     }).drop("__bad", "__pairs", "__all")
 
@@ -366,6 +380,28 @@ def dex_events(transactions: DataFrame) -> DataFrame:
         F.lit(DEX_VERSION), "slot", "blockhash", "signature", "instruction_index", "inner_instruction_index")))
 
 
+#: Fold over the inner calls of one instruction: ``open`` holds the index of the call open at each depth from 2 on.
+_PARENTS = (
+    "aggregate(inners, named_struct('open', cast(array() as array<int>), 'out', cast(array() as array<struct<parent:int,state:string>>)), (a, x) -> "
+    "if(x.stackHeight is null or x.stackHeight < 2 or x.stackHeight > size(a.open) + 2,"
+    " named_struct('open', cast(array() as array<int>), 'out', a.out || array(named_struct('parent', cast(null as int), 'state',"
+    " if(x.stackHeight is null or x.stackHeight < 2, 'depth_missing', 'parent_missing')))),"
+    " named_struct('open', slice(a.open, 1, x.stackHeight - 2) || array(size(a.out)),"
+    " 'out', a.out || array(named_struct('parent', if(x.stackHeight = 2, cast(null as int), a.open[x.stackHeight - 3]), 'state', 'ok')))), a -> a.out)")
+
+
+def inner_calls(transactions: DataFrame) -> DataFrame:
+    """Every inner call of processed transactions with the index of the call that made it, in one pass over its group.
+
+    parent_inner_index is null for calls made by the outer instruction (depth 2). A call without a depth, or deeper than any
+    open call allows, has state ``depth_missing`` or ``parent_missing``, and no call is known to be open after it.
+    """
+    calls = top_level_calls(transactions).withColumn("__p", F.expr(_PARENTS))
+    rows = F.expr("transform(inners, (x, i) -> named_struct('inner_instruction_index', i, 'inner_ix', x, 'parent_inner_index', __p[i].parent, 'state', __p[i].state))")
+    return calls.select("slot", "blockhash", "transaction_index", "signature", "instruction_index", "keys", F.inline(rows)).withColumn(
+        "program", F.get("keys", F.col("inner_ix.programIdIndex"))).withColumn("depth", F.col("inner_ix.stackHeight"))
+
+
 def routed_calls(transactions: DataFrame) -> DataFrame:
     """Calls of the program made inside other programs, each with the events one level below it.
 
@@ -397,20 +433,19 @@ def routed_calls(transactions: DataFrame) -> DataFrame:
     return done.unionByName(rest, allowMissingColumns=True)
 
 
-def decode_coverage(transactions: DataFrame, instructions: DataFrame, by=("slot",)) -> DataFrame:
-    """Per slot: transactions and instructions by status, accounting check, fully-decoded flag."""
+def decode_coverage(instructions: DataFrame, by=("slot",)) -> DataFrame:
+    """Per slot: transactions and instructions by status, accounting check, fully-decoded flag.
+
+    instructions: decoded rows of ``explode_instructions(..., every=True)``, so blocks are decoded once and nothing is joined back.
+    """
     by = list(by)
-    t = transactions.groupBy(*by).agg(
-        *[F.count_if(F.col("status") == s).alias(f"transactions_{s}") for s in ("processed", "failed", "unsupported", "error")],
-        F.count(F.lit(1)).alias("transactions_expected"),
-        F.count_if(F.col("inner_coverage") == "unavailable").alias("inner_coverage_unavailable"))
-    i = instructions.groupBy(*by).agg(
-        *[F.count_if(F.col("status") == s).alias(f"instructions_{s}") for s in ("decoded", "unsupported", "error")],
-        F.count(F.lit(1)).alias("instructions_observed"))
-    out = t.join(i, by, "left")
-    for c in i.columns:
-        if c not in by:
-            out = out.withColumn(c, F.coalesce(c, F.lit(0)))
+    tx, real = F.col("first"), F.col("instruction_index").isNotNull()
+    out = instructions.groupBy(*by).agg(
+        *[F.count_if(tx & (F.col("transaction_status") == s)).alias(f"transactions_{s}") for s in ("processed", "failed", "unsupported", "error")],
+        F.count_if(tx).alias("transactions_expected"),
+        F.count_if(tx & (F.col("inner_coverage") == "unavailable")).alias("inner_coverage_unavailable"),
+        *[F.count_if(real & (F.col("status") == s)).alias(f"instructions_{s}") for s in ("decoded", "unsupported", "error")],
+        F.count_if(real).alias("instructions_observed"))
     return out.withColumns({
         "accounting_ok": F.expr("transactions_expected = transactions_processed + transactions_failed + transactions_unsupported + transactions_error"
                                 " and instructions_observed = instructions_decoded + instructions_unsupported + instructions_error"),
@@ -422,25 +457,27 @@ PROVENANCE = ("attempt_id", "raw_sha256", "block_document_sha256", "source_obser
 
 
 def attach_event_provenance(events: DataFrame, publications: DataFrame) -> DataFrame:
-    """Put the evidence of the published block onto each event."""
+    """Put the evidence of the published block onto each event; an event without one keeps its place with a reason."""
     have = [c for c in PROVENANCE if c in publications.columns]
     ref = publications.select("slot", F.struct("slot", *have).alias("provenance"))
-    return events.join(ref, "slot")
+    return events.join(ref, "slot", "left").withColumn("provenance_reason", F.when(F.col("provenance").isNull(), "publication_missing").otherwise("ok"))
 
 
-def transaction_view(transactions: DataFrame, instructions: DataFrame | None = None) -> DataFrame:
-    """Signature, fee, status, balance status and the per-instruction results (at most one transaction's worth)."""
-    keys = ["slot", "transaction_index"]
+def transaction_view(instructions: DataFrame) -> DataFrame:
+    """Signature, fee, status, balance status and the per-instruction results (at most one transaction's worth).
+
+    instructions: decoded rows of ``explode_instructions(with_balance_status(transactions), every=True, carry=("fee", "token_balance_status"))``.
+    A transaction's rows are made in its own task, so they are combined before they are shuffled.
+    """
     fee = u64("fee")
-    bad_fee = F.col("fee").isNotNull() & fee.isNull()
-    base = transactions.select(*keys, "signature", fee.alias("fee_lamports"), F.when(bad_fee, "error").otherwise(F.col("status")).alias("status"))
-    bal = balance_changes(transactions).select(*keys, "token_balance_status")
-    out = base.join(bal, keys, "left").withColumn(
-        "token_balance_status", F.when(F.col("status") == "failed", "transaction_failed").otherwise(F.coalesce("token_balance_status", F.lit("unknown"))))
-    if instructions is None:
-        return out
-    results = instructions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("instruction_index", "program", "status"))).alias("instruction_results"))
-    return out.join(results, keys, "left")
+    status = F.when(F.col("fee").isNotNull() & fee.isNull(), "error").otherwise(F.col("transaction_status"))
+    balance = F.when(F.col("transaction_status") == "failed", "transaction_failed").otherwise(F.coalesce("token_balance_status", F.lit("unknown")))
+    result = F.when(F.col("instruction_index").isNotNull(), F.struct("instruction_index", "program", "status"))
+    first = F.col("first")
+    out = instructions.groupBy("slot", "transaction_index").agg(
+        *[F.max(F.when(first, c)).alias(n) for n, c in (("signature", F.col("signature")), ("fee_lamports", fee), ("status", status), ("token_balance_status", balance))],
+        F.array_sort(F.collect_list(result)).alias("instruction_results"))
+    return out.withColumn("instruction_results", F.when(F.size("instruction_results") > 0, F.col("instruction_results")))
 
 
 def duplicate_signatures(transactions: DataFrame) -> DataFrame:

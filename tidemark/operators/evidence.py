@@ -6,74 +6,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import WIDE, change_bps, haircut_output, price_key, return_bps, u64, wide
+from ..functions.jsonio import variant, variant_type
 from .features import flags, is_sample
 from .intervals import interval_extrema
 from .ordered import Ordered, Split
 from .rules import RiskPolicy, Thresholds, invalidation, risk_veto
-from .validate import TOKEN, TOKEN_2022, direct_route, first_reason, quote_valid
+from .validate import first_reason, mint_reason, quote_valid, unset, vault_reason
 
-ACCOUNT = ("struct<owner:string,executable:boolean,type:string,mint:string,account_owner:string,state:string,mint_authority:string,"
-           "freeze_authority:string,amount:string,extensions:array<string>>")
+def judged_accounts(accounts: DataFrame, program: str) -> DataFrame:
+    """Account frames -> what the frame alone says: ``verdict``, both reserves and token programs; the account documents stay behind.
 
-
-def _mint_reason(a: Column) -> Column:
-    ext = F.coalesce(F.array_sort(a["extensions"]), F.array().cast("array<string>"))
-    allowed = F.when(a["owner"] == TOKEN, F.size(ext) == 0).otherwise(ext == F.array(F.lit("metadataPointer"), F.lit("tokenMetadata")))
-    return F.when(~a["executable"].eqNullSafe(False), "executable_token_account").when(
-        ~F.coalesce(a["owner"].isin(TOKEN, TOKEN_2022), F.lit(False)), "unsupported_token_program").when(~a["type"].eqNullSafe("mint"), "not_mint").when(
-        a["mint_authority"].isNotNull() | a["freeze_authority"].isNotNull(), "mint_or_freeze_authority_present").when(
-        ~F.coalesce(allowed, F.lit(False)), "unsupported_mint_extensions")
-
-
-def _vault_reason(a: Column, program: Column, mint: Column, pool: Column) -> Column:
-    ext = F.coalesce(a["extensions"], F.array().cast("array<string>"))
-    allowed = F.when(program == TOKEN, F.size(ext) == 0).otherwise(ext == F.array(F.lit("immutableOwner")))
-    identity = (a["mint"] == mint) & (a["account_owner"] == pool) & (a["state"] == "initialized")
-    return F.when(~a["executable"].eqNullSafe(False), "executable_token_account").when(~a["owner"].eqNullSafe(program), "vault_mint_program_mismatch").when(
-        ~a["type"].eqNullSafe("account"), "not_token_account").when(~F.coalesce(allowed, F.lit(False)), "unsupported_vault_extensions").when(
-        ~F.coalesce(identity, F.lit(False)), "vault_identity_or_frozen").when(
-        ~F.coalesce(u64(a["amount"]) > 0, F.lit(False)), "invalid_reserve")
-
-
-def accounts_proof(df: DataFrame, program: str, ttl_ns: int = 5_000_000_000) -> DataFrame:
-    """Five bound accounts (base mint, quote mint, base vault, quote vault, pool) -> reserves or the first failing reason.
-
-    Columns: value (array of account structs), account_slot, account_ns, slot, pool, base_mint, quote_mint, now.
+    Columns: frame, request_method, request_keys (array), commitment, min_context_slot, slot, observed_ns, value (array of JSON
+    documents: base mint, quote mint, base vault, quote vault, pool). The accounts are judged under the keys they were asked for;
+    ``accounts_proof`` then binds these to the event.
+    """
+    df = accounts.withColumns({f"__v{i}": F.try_parse_json(F.get("value", F.lit(i))) for i in range(5)})
+    key = [F.get("request_keys", F.lit(i)) for i in range(5)]
+    missing = F.coalesce(F.size("value") != 5, F.lit(True)) | F.exists("value", lambda x: x.isNull() | F.trim(x).isin("null", "{}", ""))
+    steps = [F.when(missing, "account_missing")]
+    for i in (0, 1):
+        steps.append(F.nullif(mint_reason(f"__v{i}", key[i]), F.lit("ok")))
+    reserves = {}
+    for i, name in ((2, "base"), (3, "quote")):
+        v, info = f"__v{i}", "$.data.parsed.info"
+        own = (variant(v, f"{info}.mint") == key[i - 2]) & (variant(v, f"{info}.owner") == key[4]) & (variant(v, f"{info}.state") == "initialized")
+        amount = f"{info}.tokenAmount.amount"
+        held = F.when(variant_type(v, amount) == "STRING", u64(variant(v, amount)))
+        reserves[f"{name}_reserve_raw"] = held
+        steps += [
+            F.nullif(vault_reason(v, variant(f"__v{i - 2}", "$.owner")), F.lit("ok")),
+            F.when(~F.coalesce(own, F.lit(False)), "vault_identity_or_frozen"),
+            F.when(~(unset(v, f"{info}.delegate") & unset(v, f"{info}.closeAuthority")), "vault_authority_or_extensions"),
+            F.when(~F.coalesce(held > 0, F.lit(False)), "invalid_reserve"),
+        ]
+    steps.append(F.when(~F.coalesce((variant("__v4", "$.owner") == program) & (variant_type("__v4", "$.executable") == "BOOLEAN") & ~variant("__v4", "$.executable", "boolean"), F.lit(False)), "pool_program_mismatch"))
+    out = df.withColumns({"verdict": F.coalesce(*steps, F.lit("ok")), **reserves, "token_programs": F.array(*[variant(f"__v{i}", "$.owner") for i in (0, 1)])})
+    return out.select("frame", "request_method", "request_keys", "commitment", "min_context_slot", F.col("slot").alias("account_slot"), F.col("observed_ns").alias("account_ns"),
+                      "verdict", *reserves, "token_programs")
+
+
+def accounts_proof(df: DataFrame, ttl_ns: int = 5_000_000_000) -> DataFrame:
+    """Events beside their ``judged_accounts`` -> ``accounts_reason``: binding, commitment, freshness, slot, then the frame's own verdict.
+
+    Columns besides those of ``judged_accounts``: slot, pool, base_mint, quote_mint, base_vault, quote_vault, now.
     """
-    a = [F.get("value", F.lit(i)) for i in range(5)]
     late = ~((F.col("account_ns") <= F.col("now")) & (F.col("now") <= F.col("account_ns") + ttl_ns))
+    bound = (F.col("request_method") == "getMultipleAccounts") & (F.col("request_keys") == F.array("base_mint", "quote_mint", "base_vault", "quote_vault", "pool"))
     steps = [
+        F.when(F.col("account_ns").isNull(), "accounts_stale_or_future"),  # no such frame
+        F.when(~F.coalesce(bound, F.lit(False)), "accounts_binding_mismatch"),
+        F.when(~F.coalesce((F.col("commitment") == "confirmed") & (F.col("min_context_slot") >= F.col("slot")), F.lit(False)), "account_commitment_or_slot"),
         F.when(F.coalesce(late, F.lit(True)), "accounts_stale_or_future"),
         F.when(~F.coalesce(F.col("account_slot") >= F.col("slot"), F.lit(False)), "accounts_before_event"),
-        F.when(F.coalesce(F.size("value") != 5, F.lit(True)) | F.exists("value", lambda x: x.isNull()), "account_missing"),
-        _mint_reason(a[0]), _mint_reason(a[1]),
-        _vault_reason(a[2], a[0]["owner"], F.col("base_mint"), F.col("pool")),
-        _vault_reason(a[3], a[1]["owner"], F.col("quote_mint"), F.col("pool")),
-        F.when(~(a[4]["owner"].eqNullSafe(program) & a[4]["executable"].eqNullSafe(False)), "pool_program_mismatch"),
+        F.nullif(F.col("verdict"), F.lit("ok")),
     ]
-    return df.withColumns({
-        "accounts_reason": F.coalesce(*steps, F.lit("ok")),
-        "base_reserve_raw": u64(a[2]["amount"]), "quote_reserve_raw": u64(a[3]["amount"])})
+    return df.withColumn("accounts_reason", F.coalesce(*steps, F.lit("ok")))
 
 
 def evidence_join(events: DataFrame, quotes: DataFrame, accounts: DataFrame, native: str, program: str, policy: RiskPolicy = RiskPolicy(),
                   ttl_ns: int = 5_000_000_000, adverse_bps: int = 25) -> DataFrame:
     """Plans with their evidence -> opportunity columns, or the first failing reason.
 
-    events: plan_id, pool, base_mint, quote_mint, slot, availability_ns, side, amount, now, forward_frame, reverse_frame,
-    accounts_frame. quotes: frame and the ``quote_valid`` columns plus observed_ns. accounts: frame, slot, observed_ns, value.
-    All joins are on frame ids; ranges are checked on the joined row.
+    events: plan_id, pool, base_mint, quote_mint, base_vault, quote_vault, slot, availability_ns, side, amount, now, forward_frame,
+    reverse_frame, accounts_frame. quotes: frame and the ``quote_valid`` columns plus observed_ns. accounts: as in ``judged_accounts``.
+    Quotes and accounts are judged before they are joined, so routes and account documents are never shuffled: joins on frame ids move
+    verdicts, slots, times and amounts.
     """
+    leg = F.get("routes", F.lit(0))
+    fits = (leg["percent"] == 100) & (leg["input_mint"] == F.col("input_mint")) & (leg["output_mint"] == F.col("output_mint"))
     q = quote_valid(quotes).select(
         "frame", F.struct("input_mint", "output_mint", u64("in_amount").alias("input_raw"), u64("out_amount").alias("output_raw"), u64("threshold").alias("minimum_raw"),
-                          "slippage_bps", "slot", "observed_ns", F.expr("try_cast(impact as decimal(38,18))").alias("impact"), "routes", "reason").alias("q"))
+                          "slippage_bps", "slot", "observed_ns", F.expr("try_cast(impact as decimal(38,18))").alias("impact"), F.size("routes").alias("legs"),
+                          F.when(fits, leg["amm_key"]).alias("route_pool"), "reason").alias("q"))
+    judged = judged_accounts(accounts, program).withColumnRenamed("frame", "accounts_frame")
     df = (
         events.join(q.select(F.col("frame").alias("forward_frame"), F.col("q").alias("f")), "forward_frame", "left")
         .join(q.select(F.col("frame").alias("reverse_frame"), F.col("q").alias("r")), "reverse_frame", "left")
-        .join(accounts.select(F.col("frame").alias("accounts_frame"), F.col("slot").alias("account_slot"), F.col("observed_ns").alias("account_ns"), "value"),
-              "accounts_frame", "left")
+        .join(judged, "accounts_frame", "left")
     )
-    df = accounts_proof(df, program, ttl_ns)
+    df = accounts_proof(df, ttl_ns)
     now = F.col("now")
     buy = F.col("side") == "BUY"
     give, take = F.when(buy, F.lit(native)).otherwise(F.col("base_mint")), F.when(buy, F.col("base_mint")).otherwise(F.lit(native))
@@ -89,10 +100,10 @@ def evidence_join(events: DataFrame, quotes: DataFrame, accounts: DataFrame, nat
         reason = reason.when(F.col(s).isNull(), "quote_missing").when(F.col(f"{s}.reason") != "ok", F.col(f"{s}.reason"))
     reason = reason.when(F.col("accounts_reason") != "ok", F.col("accounts_reason"))
     for s in ("f", "r"):
-        route = direct_route(f"{s}.routes", "pool", f"{s}.input_mint", f"{s}.output_mint")
         seen, slot = F.col(f"{s}.observed_ns"), F.col(f"{s}.slot")
         reason = (
-            reason.when(route.isNotNull(), route)
+            reason.when(F.coalesce(F.col(f"{s}.legs") != 1, F.lit(True)), "split_route_unsupported")
+            .when(~F.col(f"{s}.route_pool").eqNullSafe(F.col("pool")), "route_pool_mismatch")
             .when(~F.coalesce((seen <= now) & (now <= seen + ttl_ns), F.lit(False)), "quote_stale_or_future")
             .when(~F.coalesce((F.col("slot") <= slot) & (slot <= F.col("slot") + 150), F.lit(False)), "quote_event_slot_divergence")
             .when(~F.coalesce(F.col(f"{s}.impact") * 10000 <= policy.max_slippage_bps, F.lit(False)), "price_impact_limit")
@@ -121,7 +132,8 @@ def evidence_join(events: DataFrame, quotes: DataFrame, accounts: DataFrame, nat
         "data_health": known(F.lit("OBSERVED")), "coverage": known(F.lit("OBSERVED")), "authority_state": known(F.lit("OBSERVED_SAFE")),
         "quote_status": known(F.lit("OBSERVED")), "exit_possible": known(F.lit(True)), "quote_provenance": known(F.col("forward_frame")),
         "observed_ns": known(F.col("f.observed_ns")), "expires_ns": known(F.col("f.observed_ns") + ttl_ns), "size_raw": known(F.col("amount")),
-        "slippage_bps": known(F.greatest(F.col("f.slippage_bps"), F.lit(adverse_bps))), "liquidity_quote_raw": known(quote)}).drop("value")
+        "slippage_bps": known(F.greatest(F.col("f.slippage_bps"), F.lit(adverse_bps))), "liquidity_quote_raw": known(quote)}).drop(
+            "request_method", "request_keys", "commitment", "min_context_slot", "verdict")
 
 
 def reassess(decisions: DataFrame, quotes: DataFrame, accounts: DataFrame, stored: DataFrame, native: str, program: str, policy: RiskPolicy,

@@ -186,9 +186,20 @@ def missing_census(plans: DataFrame, census: DataFrame, key: str = "plan_id") ->
     return plans.join(census.select(key).distinct(), key, "left_anti")
 
 
+def pair_class(native: str) -> Column:
+    return F.when(F.col("quote") == native, "SUPPORTED").when(F.col("token") == native, "POTENTIALLY_SUPPORTABLE").otherwise("REJECT")
+
+
+def pair_sources(decisions: DataFrame, native: str) -> DataFrame:
+    """The decisions behind each pair of ``pair_audit`` as rows, since a common pair may have any number of them."""
+    have = [c for c in ("pool", "provenance") if c in decisions.columns]
+    return decisions.select("token", "quote", pair_class(native).alias("classification"), F.col("id").alias("snapshot"), *have,
+                            F.coalesce(F.col("result_code") == "unsupported_quote_currency", F.lit(False)).alias("unsupported_quote_rejection"))
+
+
 def pair_audit(decisions: DataFrame, native: str) -> DataFrame:
-    """Decisions by (token, quote): frequency, unsupported-quote rejections, classification."""
-    kind = F.when(F.col("quote") == native, "SUPPORTED").when(F.col("token") == native, "POTENTIALLY_SUPPORTABLE").otherwise("REJECT")
+    """Decisions by (token, quote): frequency, unsupported-quote rejections, classification; ``pair_sources`` has the decisions."""
+    kind = pair_class(native)
     g = decisions.groupBy("token", "quote").agg(
         F.count(F.lit(1)).alias("frequency"), F.count_if(F.col("result_code") == "unsupported_quote_currency").alias("unsupported_quote_rejections"))
     return g.withColumn("classification", kind)

@@ -58,6 +58,27 @@ def settlement_check(reservations: DataFrame, settlements: DataFrame) -> DataFra
     return j.withColumn("fault", fault).where(F.col("fault").isNotNull()).select("key", "fault")
 
 
+def report_observation(reports: DataFrame, codes=ALERT_CODES) -> DataFrame:
+    """Run reports -> ``codes`` (sorted) and ``complete``: what a report says about alerts.
+
+    Columns: status, code, alerts (array, null: none stated), has_metrics, and requests, request_limit, charged_units, unit_limit
+    (all null: no quota figures). The report's own code counts if it is listed, otherwise any status but PASS and WAIT is an
+    unclassified failure; used-up quotas count; only a PASS that states its alerts and metrics is complete.
+    """
+    listed = F.array(*[F.lit(c) for c in codes])
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("code").isin(*codes), F.array("code")).when(~F.coalesce(F.col("status").isin("PASS", "WAIT"), F.lit(False)), F.array(F.lit("unclassified_failure"))).otherwise(none)
+    figures = F.coalesce("requests", "request_limit", "charged_units", "unit_limit").isNotNull()
+
+    def spent(used: str, limit: str) -> Column:
+        return F.coalesce(used, F.lit(0)) >= F.coalesce(limit, F.lit(1))
+
+    quota = F.when(figures & (spent("requests", "request_limit") | spent("charged_units", "unit_limit")), F.array(F.lit("quota_exhausted"))).otherwise(none)
+    said = F.array_intersect(F.coalesce("alerts", none), listed)
+    complete = F.coalesce((F.col("status") == "PASS") & F.col("alerts").isNotNull() & F.col("has_metrics"), F.lit(False))
+    return reports.withColumns({"codes": F.array_sort(F.array_distinct(F.concat(said, own, quota))), "complete": complete})
+
+
 def alert_marks(observations: DataFrame, codes=ALERT_CODES) -> DataFrame:
     """One row per (observation, code) it says something about: set when it lists the code, cleared when a
     complete snapshot does not. An incomplete report says nothing about codes it does not list; codes outside the fixed

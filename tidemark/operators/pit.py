@@ -7,6 +7,7 @@ the same id with other content a conflict that is reported and never merged.
 from __future__ import annotations
 
 import functools
+import hashlib
 import operator
 
 from pyspark.sql import Column, DataFrame
@@ -211,18 +212,27 @@ def _canonical_text(field: T.StructField) -> Column:
     return F.hex(field.name) if isinstance(field.dataType, T.BinaryType) else F.col(field.name).cast("string")
 
 
+def content_sums(df: DataFrame, columns=None) -> list[Column]:
+    """Aggregates ``rows`` and s0..s3 that add up over any parts of the rows: each row is hashed with the length of every field in front of
+    it (null: ``~``, which no length is), columns in the order of their names, and four 60-bit slices of the hashes are summed."""
+    fields = [_canonical_text(df.schema[c]) for c in sorted(columns or df.columns)]
+    h = sha256_hex(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in fields]))
+    parts = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast(WIDE)).cast(WIDE).alias(f"s{i}") for i in range(4)]
+    return [F.count(F.lit(1)).alias("rows"), *parts]
+
+
+def sums_digest(sums: dict) -> str:
+    """The hash of ``fingerprint`` from collected ``content_sums``."""
+    text = ":".join([str(sums["rows"]), *[str(int(sums[f"s{i}"] or 0)) for i in range(4)]])
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def fingerprint(df: DataFrame, columns=None) -> DataFrame:
     """One row: count and a hash that does not depend on row order or partitioning.
 
-    Each row is hashed with the length of every field in front of it (null: ``~``, which no
-    length is), columns in the order of their names. Four 60-bit slices of the hashes are summed, and the
-    sums are hashed. It shows a change of content; it is not a proof against a chosen collision.
+    The ``content_sums`` are hashed. It shows a change of content; it is not a proof against a chosen collision.
     """
-    fields = [_canonical_text(df.schema[c]) for c in sorted(columns or df.columns)]
-    text = F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in fields])
-    h = df.select(sha256_hex(text).alias("h"))
-    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast(WIDE)).cast(WIDE).alias(f"s{i}") for i in range(4)]
-    sums = h.agg(F.count(F.lit(1)).alias("rows"), *parts)
+    sums = df.agg(*content_sums(df, columns))
     joined = F.concat_ws(":", "rows", *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) for i in range(4)])
     return sums.select("rows", sha256_hex(joined).alias("dataset_sha256"))
 
@@ -232,10 +242,16 @@ def snapshot(published: DataFrame, at: int, columns=None) -> DataFrame:
     return fingerprint(published.where(F.col("available_at") <= F.lit(at)), columns).withColumn("cutoff", F.lit(at))
 
 
+def relative_name(path: Column, root: str) -> Column:
+    """The part of a file's path behind the folder ``root``."""
+    folder = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    return F.substring(path, F.locate(folder, path) + len(folder), F.lit(1 << 20))
+
+
 def file_hashes(spark, path: str) -> DataFrame:
-    """Per-file SHA-256 under a directory, read by the executors."""
+    """Per-file SHA-256 under a directory, read by the executors; ``name`` is relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", sha256_hex("content").alias("sha256"))
+    return files.select(relative_name(F.col("path"), path).alias("name"), "length", sha256_hex("content").alias("sha256"))
 
 
 def verify_manifest(manifest: DataFrame, actual: DataFrame, key: str = "name", value: str = "sha256") -> DataFrame:

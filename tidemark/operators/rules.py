@@ -116,13 +116,28 @@ def opportunity_scores(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame
 
 
 def context_score(df: DataFrame) -> DataFrame:
-    """Opportunity score with missing context blocking it."""
+    """Opportunity score with missing context blocking it, and its decomposition.
+
+    ``decomposition`` has the parts with their weights (market 50, execution 30, quality 20), the inputs that carry no weight of their own
+    (momentum, flow; liquidity is required evidence, risk an independent veto, so both weigh 0), and the final score.
+    """
     lacking = F.size("required_missing") > 0
-    return df.withColumns({
+    df = df.withColumns({
         "opportunity_score": F.when(~lacking, F.col("opportunity_score")),
         "score_missing": F.when(lacking, F.array_sort(F.array_distinct(F.concat("score_missing", "required_missing")))).otherwise(F.col("score_missing")),
     })
 
+    def part(value, weight: int | None = None) -> Column:
+        value = F.col(value).cast("bigint")
+        if weight is None:
+            return value
+        return F.struct(value.alias("value"), F.lit(weight).alias("weight"), (value * weight).alias("contribution_x100"))
+
+    return df.withColumn("decomposition", F.struct(
+        part("market_score", 50).alias("market"), part("execution_score", 30).alias("execution"), part("quality_score", 20).alias("quality"),
+        part("momentum_bps").alias("momentum_bps"), part("imbalance_bps").alias("flow_bps"), part("quote_reserve", 0).alias("liquidity"),
+        F.lit(0).alias("risk_weight"), part("opportunity_score").alias("final")))
+
 
 ENTRY = ("enough_samples", "positive_momentum", "nonnegative_flow", "quality_complete", "score_threshold", "regime_not_high_volatility")
 

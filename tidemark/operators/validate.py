@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import WIDE, _col, div_floor, u64
 from ..functions.jsonio import variant, variant_type
+from ..session import cut_lineage
 from .features import flags
 
 # Fixed values of the record contract.
@@ -232,6 +233,46 @@ def secret_echo(text, secrets: Sequence[str]) -> Column:
     return F.coalesce(F.exists(F.lit(forms), lambda s: t.contains(s) | canon.contains(s)), F.lit(False))
 
 
+#: (shortest form, characters of a seed, step between the seeds of a body, pattern of these): a form of n characters covers a whole seed at
+#: some step if n >= seed + step - 1.
+SEEDS = ((4, 4, 1, "(?s)(?=(.{4}))"), (12, 6, 7, "(?s)(.{6}).?"))
+
+
+def secret_forms(secrets: DataFrame, column: str = "secret") -> DataFrame:
+    """form: secrets of four or more characters, plain and URL-quoted, each once."""
+    s = F.col(column)
+    quoted = F.url_encode(s)
+    for found, put in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        quoted = F.replace(quoted, F.lit(found), F.lit(put))
+    return secrets.where(F.char_length(s) >= 4).select(F.explode(F.array_distinct(F.array(s, quoted))).alias("form")).distinct()
+
+
+def secret_echo_join(bodies: DataFrame, secrets: DataFrame, key: str = "id", text: str = "text", column: str = "secret", most_bytes: int = 32 << 20) -> DataFrame:
+    """``secret_echo`` for any number of secrets, which come as rows: key and secret_echo of every body; keys are unique.
+
+    Seeds of the forms (at every offset) meet seeds of the bodies (at every step); only candidates are compared in full. The
+    forms are broadcast if their measured size is at most ``most_bytes``, otherwise seeds are joined by shuffle.
+    """
+    forms = secret_forms(secrets, column)
+    forms = cut_lineage(forms)
+    size = forms.agg(F.sum(F.octet_length("form") * F.char_length("form"))).first()[0] or 0
+    whole = F.col(text)
+    canon = F.coalesce(F.to_json(F.try_parse_json(whole)), F.lit(""))
+    found = None
+    for i, (least, width, step, pattern) in enumerate(SEEDS):
+        upto = SEEDS[i + 1][0] if i + 1 < len(SEEDS) else None
+        mine = forms.where((F.char_length("form") >= least) & (F.lit(True) if upto is None else F.char_length("form") < upto))
+        # a body's seed at some step falls on one of the first ``step`` offsets of an occurrence
+        offsets = F.sequence(F.lit(1), F.lit(step))
+        seeds = mine.select("form", F.explode(F.transform(offsets, lambda k: F.substring("form", k, F.lit(width)))).alias("seed"))
+        grams = bodies.select(F.col(key).alias("__key"), F.explode(F.array_union(*[F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(pattern), F.lit(1)) for t in (whole, canon)])).alias("seed"))
+        pairs = grams.join(F.broadcast(seeds) if size <= most_bytes else seeds, "seed").select("__key", "form").distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+    hits = bodies.select(F.col(key).alias("__key"), whole.alias("__text"), canon.alias("__canon")).join(found, "__key")
+    hits = hits.where(F.contains("__text", "form") | F.contains("__canon", "form")).select("__key").distinct()
+    return bodies.select(key).join(hits.withColumn("__hit", F.lit(True)), F.col(key) == F.col("__key"), "left").select(key, F.coalesce("__hit", F.lit(False)).alias("secret_echo"))
+
+
 def quote_valid(df: DataFrame) -> DataFrame:
     """Quote rows with their request -> first failing reason ("ok" when valid).
 
@@ -286,10 +327,9 @@ def _no_extensions(v) -> Column:
     return t.isNull() | (t == "VOID") | (F.to_json(F.variant_get(_col(v), "$.data.parsed.info.extensions", "variant")) == "[]")
 
 
-def mint_profile(df: DataFrame, account: str = "account", mint: str = "mint") -> DataFrame:
-    """Mint account JSON -> ``profile`` or ``reason``; only authority-free mints with the known metadata extensions pass."""
-    df = df.withColumn("__v", F.try_parse_json(account))
-    v, info = "__v", "$.data.parsed.info"
+def mint_reason(v: str, mint) -> Column:
+    """"ok" or the first failing reason of a parsed mint account; only authority-free mints with the known metadata extensions pass."""
+    info = "$.data.parsed.info"
     owner = variant(v, "$.owner")
     pointer, meta = _state_of(v, "metadataPointer"), _state_of(v, "tokenMetadata")
     pv, mv = F.try_parse_json(pointer), F.try_parse_json(meta)
@@ -310,7 +350,7 @@ def mint_profile(df: DataFrame, account: str = "account", mint: str = "mint") ->
     def only_2022(cond):
         return ~classic & F.coalesce(cond, F.lit(True))
 
-    reason = first_reason(
+    return first_reason(
         [
             (~_is(v, "$.executable", "BOOLEAN") | variant(v, "$.executable", "boolean"), "executable_token_account"),
             (~owner.isin(TOKEN, TOKEN_2022), "unsupported_token_program"),
@@ -322,28 +362,31 @@ def mint_profile(df: DataFrame, account: str = "account", mint: str = "mint") ->
             (only_2022((n_ext != 2) | ~ext_keys | pointer.isNull() | meta.isNull()), "unsupported_mint_extensions"),
             (only_2022(~(keys_of(pointer).eqNullSafe(F.array(F.lit("authority"), F.lit("metadataAddress")))
                          & (F.schema_of_variant(F.variant_get(pv, "$.authority", "variant")) == "VOID")
-                         & F.try_variant_get(pv, "$.metadataAddress", "string").eqNullSafe(F.col(mint)))), "mutable_or_external_metadata_pointer"),
+                         & F.try_variant_get(pv, "$.metadataAddress", "string").eqNullSafe(_col(mint)))), "mutable_or_external_metadata_pointer"),
             (only_2022(~keys_of(meta).eqNullSafe(F.array(*[F.lit(k) for k in ("additionalMetadata", "mint", "name", "symbol", "updateAuthority", "uri")]))), "unsupported_metadata_layout"),
             (only_2022(~((F.schema_of_variant(F.variant_get(mv, "$.updateAuthority", "variant")) == "VOID")
-                         & F.try_variant_get(mv, "$.mint", "string").eqNullSafe(F.col(mint)))), "mutable_or_unbound_token_metadata"),
+                         & F.try_variant_get(mv, "$.mint", "string").eqNullSafe(_col(mint)))), "mutable_or_unbound_token_metadata"),
             (only_2022(~(string_meta & pairs & two)), "unsupported_metadata_layout"),
             (only_2022(~(_is(v, f"{info}.decimals", "BIGINT") & decimals.between(0, 255))), "invalid_mint_decimals"),
             (only_2022(~_is(v, f"{info}.supply", "STRING") | u64(supply).isNull()), "invalid_mint_supply"),
         ],
         "ok",
     )
-    df = df.withColumn("reason", reason)
-    profile = F.when(F.col("reason") == "ok", F.when(owner == TOKEN, "classic-spl-v1").otherwise("token2022-immutable-self-metadata-v1"))
-    return df.withColumn("profile", profile).drop("__v")
 
 
-def vault_profile(df: DataFrame, account: str = "account", mint_program: str = "mint_program") -> DataFrame:
-    """Vault account JSON -> ``reason``: same program as the mint and no extension but the immutable owner."""
+def mint_profile(df: DataFrame, account: str = "account", mint: str = "mint") -> DataFrame:
+    """Mint account JSON -> ``profile`` or ``reason`` (see ``mint_reason``)."""
     df = df.withColumn("__v", F.try_parse_json(account))
-    v, program = "__v", F.col(mint_program)
+    df = df.withColumn("reason", mint_reason("__v", mint))
+    profile = F.when(F.col("reason") == "ok", F.when(variant("__v", "$.owner") == TOKEN, "classic-spl-v1").otherwise("token2022-immutable-self-metadata-v1"))
+    return df.withColumn("profile", profile).drop("__v")
+
+
+def vault_reason(v: str, program: Column) -> Column:
+    """"ok" or the first failing reason of a parsed vault account: same program as the mint and no extension but the immutable owner."""
     ext = F.to_json(F.variant_get(F.col(v), "$.data.parsed.info.extensions", "variant"))
     new = program != TOKEN
-    reason = first_reason(
+    return first_reason(
         [
             (~_is(v, "$.executable", "BOOLEAN") | variant(v, "$.executable", "boolean"), "executable_token_account"),
             (variant(v, "$.owner") != program, "vault_mint_program_mismatch"),
@@ -355,7 +398,18 @@ def vault_profile(df: DataFrame, account: str = "account", mint_program: str = "
         ],
         "ok",
     )
-    return df.withColumn("reason", reason).drop("__v")
+
+
+def vault_profile(df: DataFrame, account: str = "account", mint_program: str = "mint_program") -> DataFrame:
+    """Vault account JSON -> ``reason`` (see ``vault_reason``)."""
+    df = df.withColumn("__v", F.try_parse_json(account))
+    return df.withColumn("reason", vault_reason("__v", F.col(mint_program))).drop("__v")
+
+
+def unset(v: str, path: str) -> Column:
+    """The field is missing, null, false, zero or empty."""
+    t = variant_type(v, path)
+    return t.isNull() | (t == "VOID") | F.coalesce(F.to_json(F.variant_get(F.col(v), path, "variant")).isin('""', "false", "0", "[]", "{}"), F.lit(False))
 
 
 def datum_status(value, at, now, ttl_ns: int = 5_000_000_000) -> Column:
@@ -416,3 +470,13 @@ def watch_stage(df: DataFrame) -> DataFrame:
         .when(F.col("new_signatures_found") > 0, "NEW_SIGNATURE_NOT_HYDRATED")
         .otherwise("NO_NEW_SIGNATURE"),
     )
+
+
+def watch_qualification(df: DataFrame) -> DataFrame:
+    """Finished watch sessions -> status and code: FAIL with the distinct source errors (a used-up quota is none), NOT_EXECUTED without a new
+    position observation, else PASS. Columns: position_observations, errors (array of codes)."""
+    errors = F.array_sort(F.array_distinct(F.filter(F.coalesce("errors", F.array().cast("array<string>")), lambda e: e != "quota_exhausted")))
+    seen = F.coalesce(F.col("position_observations"), F.lit(0)) > 0
+    case = F.when(F.size("source_error_codes") > 0, F.lit("FAIL|position_source_error")).when(~seen, F.lit("NOT_EXECUTED|no_new_position_observation")).otherwise(F.lit("PASS|position_bounded_observation"))
+    df = df.withColumn("source_error_codes", errors).withColumn("__q", F.split(case, "[|]"))
+    return df.withColumns({"status": F.col("__q")[0], "code": F.col("__q")[1]}).drop("__q")

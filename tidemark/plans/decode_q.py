@@ -80,8 +80,8 @@ AMOUNTS = f"""CASE WHEN {STATE} = 'decoded' THEN CASE WHEN instruction = 'sell'
  CASE WHEN {STATE} = 'decoded' THEN CASE WHEN instruction = 'sell' THEN quote_raw ELSE base_raw END END AS output_amount_raw"""
 
 
-def exchange_columns(df):
-    return df.select(F.col("slot").alias("seq"), "status", "reason", F.col("inner_instruction_index").cast("bigint").alias("inner_index"),
+def exchange_columns(df, *more):
+    return df.select(F.col("slot").alias("seq"), *more, "status", "reason", F.col("inner_instruction_index").cast("bigint").alias("inner_index"),
                      F.col("input_amount_raw").cast("bigint").alias("input_amount_raw"), F.col("output_amount_raw").cast("bigint").alias("output_amount_raw"),
                      F.lower(F.hex(base58_decode("pool"))).alias("pool"), F.try_element_at("fields", F.lit("virtual_quote_reserves")).alias("virtual"))
 
@@ -98,12 +98,25 @@ def protocol_event_calls(spark, sf):
     return D.decode_protocol_event(calls).select(F.col("slot").alias("seq"), "status", "kind", "instruction")
 
 
-@query("routed_events", f"""WITH {EV} SELECT seq, {STATE} AS status, {WHY.format(deep='subtree_depth_missing')} AS reason, CASE WHEN {STATE} = 'decoded' THEN CASE WHEN seq % 11 = 6 THEN 3 ELSE 2 END END AS inner_index,
- {AMOUNTS}, CASE WHEN {STATE} = 'decoded' THEN sha256('pool' || pool) END AS pool, CASE WHEN {STATE} = 'decoded' THEN '-12' END AS virtual FROM sw""")
+# a bare record that the program sends to itself without the event tag is a call of its own, below the routed one
+ROUTED = f"""SELECT seq, 1 AS parent_inner_index, {STATE} AS status, {WHY.format(deep='subtree_depth_missing')} AS reason, CASE WHEN {STATE} = 'decoded' THEN CASE WHEN seq % 11 = 6 THEN 3 ELSE 2 END END AS inner_index,
+ {AMOUNTS}, CASE WHEN {STATE} = 'decoded' THEN sha256('pool' || pool) END AS pool, CASE WHEN {STATE} = 'decoded' THEN '-12' END AS virtual FROM sw"""
+
+
+@query("routed_events", f"""WITH {EV} {ROUTED}
+UNION ALL SELECT seq, 2, 'unsupported', 'instruction_not_supported', NULL, NULL, NULL, NULL, NULL FROM sw WHERE seq % 11 IN (1, 6)""")
 def routed_events(spark, sf):
     r = D.routed_calls(exchange_transactions(spark, sf, routed=True))
-    # a bare self-emitted record that is not tagged as an event is a call of its own; keep the routed call
-    return exchange_columns(r.where("parent_inner_index = 1"))
+    return exchange_columns(r, "parent_inner_index")
+
+
+@query("inner_call_parents", f"""WITH {EV}, g AS (SELECT seq, CASE WHEN seq % 11 IN (2, 6) THEN 2 ELSE 1 END AS n FROM sw),
+i AS (SELECT seq, n, unnest(range(n + 3)) AS k FROM g)
+SELECT seq, k AS inner_index, CASE WHEN k >= 2 AND k < n + 2 THEN CASE WHEN seq % 11 = 3 THEN NULL ELSE 3 END ELSE 2 END AS depth,
+ CASE WHEN k >= 2 AND k < n + 2 AND seq % 11 <> 3 THEN 1 END AS parent, CASE WHEN seq % 11 = 3 AND k = 2 THEN 'depth_missing' ELSE 'ok' END AS state FROM i""")
+def inner_call_parents(spark, sf):
+    c = D.inner_calls(exchange_transactions(spark, sf, routed=True))
+    return c.select(F.col("slot").alias("seq"), F.col("inner_instruction_index").cast("bigint").alias("inner_index"), "depth", F.col("parent_inner_index").alias("parent"), "state")
 
 
 @query("routed_by_router", f"WITH {EV} SELECT seq, 'unsupported' AS status, 'routed_protocol_not_supported' AS reason FROM sw")
@@ -127,23 +140,23 @@ i AS (SELECT slot, count(*) FILTER (WHERE ist = 'decoded') AS de, count(*) FILTE
 SELECT t.*, coalesce(de, 0) AS instructions_decoded, coalesce(un, 0) AS instructions_unsupported, 0 AS instructions_error, coalesce(ob, 0) AS instructions_observed, true AS accounting_ok,
  transactions_error + transactions_unsupported + coalesce(un, 0) + inner_coverage_unavailable = 0 AS fully_decoded FROM t LEFT JOIN i USING (slot)""")
 def decode_coverage(spark, sf):
-    t = transactions(spark, sf)
-    return D.decode_coverage(t, D.decode_native_transfer(D.explode_instructions(t)))
+    return D.decode_coverage(D.decode_native_transfer(D.explode_instructions(transactions(spark, sf), every=True)))
 
 
-@query("event_provenance", f"""WITH {BLOCKS}, e AS (SELECT l_orderkey AS slot, count(*) AS n FROM lineitem GROUP BY 1) SELECT e.slot, n, attempt_id, document_hash AS block_document_sha256 FROM e JOIN pb USING (slot)""")
+@query("event_provenance", f"""WITH {BLOCKS}, e AS (SELECT l_orderkey AS slot, count(*) AS n FROM lineitem GROUP BY 1) SELECT e.slot, n, attempt_id, document_hash AS block_document_sha256,
+ CASE WHEN attempt_id IS NULL THEN 'publication_missing' ELSE 'ok' END AS provenance_reason FROM e LEFT JOIN pb USING (slot)""")
 def event_provenance(spark, sf):
     e = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     p = range_tables(spark, sf)["publications"].withColumnRenamed("document_hash", "block_document_sha256")
-    return D.attach_event_provenance(e, p).select("slot", "n", "provenance.attempt_id", "provenance.block_document_sha256")
+    return D.attach_event_provenance(e, p).select("slot", "n", "provenance.attempt_id", "provenance.block_document_sha256", "provenance_reason")
 
 
 @query("transaction_views", f"""WITH {NESTED} SELECT slot, ti AS transaction_index, CASE WHEN q <> 50 THEN x END AS fee_lamports, status,
  CASE WHEN status = 'failed' THEN 'transaction_failed' WHEN status <> 'processed' THEN 'unknown' WHEN q % 3 = 0 THEN 'not_recorded' WHEN q % 3 = 1 AND s % 5 = 0 THEN 'partial' ELSE 'recorded' END AS token_balance_status,
  CASE WHEN status = 'processed' THEN CASE WHEN f = 'N' AND q <> 7 THEN '0:decoded_native' WHEN f = 'R' THEN '0:decoded' ELSE '0:unsupported' END ELSE '' END AS results FROM tx""")
 def transaction_views(spark, sf):
-    t = transactions(spark, sf)
-    v = D.transaction_view(t, D.combine_events(D.explode_instructions(t)))
+    t = D.with_balance_status(transactions(spark, sf))
+    v = D.transaction_view(D.combine_events(D.explode_instructions(t, every=True, carry=("fee", "token_balance_status"))))
     return v.select("slot", "transaction_index", F.col("fee_lamports").cast("bigint").alias("fee_lamports"), "status", "token_balance_status",
                     F.expr("coalesce(array_join(transform(instruction_results, r -> concat(r.instruction_index, ':', r.status)), ','), '')").alias("results"))
 

@@ -173,6 +173,11 @@ def pair_audit(spark, sf):
     return L.pair_audit(decisions(spark, sf), "native")
 
 
+@query("pair_sources", DEC + " SELECT id AS snapshot, token, quote, CASE WHEN quote = 'native' THEN 'SUPPORTED' WHEN token = 'native' THEN 'POTENTIALLY_SUPPORTABLE' ELSE 'REJECT' END AS classification, result_code IS NOT NULL AS unsupported_quote_rejection FROM d")
+def pair_sources(spark, sf):
+    return L.pair_sources(decisions(spark, sf), "native")
+
+
 @query("evidence_proven", DEC + " SELECT id, token, quote, score, CASE WHEN id % 8 = 0 THEN 'momentum_bps' ELSE '' END AS missing, 'NO_TRADE' AS action FROM d WHERE id % 4 = 0")
 def evidence_proven(spark, sf):
     return L.evidence_proven_audit(decisions(spark, sf)).withColumn("missing", F.array_join("missing", ","))

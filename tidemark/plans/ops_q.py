@@ -151,3 +151,15 @@ def window_membership(spark, sf):
 def poll_budgets(spark, sf):
     ev = events(spark, sf).withColumn("window_id", F.col("pool"))
     return O.poll_budget(ev.select("window_id").distinct(), ev.where(SWAP), ev.where("kind = 'failed'"), 40, 15)
+
+
+@query("report_observations", f"""WITH {EV}, r AS (SELECT seq, CASE seq % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'WAIT' WHEN 2 THEN 'FAIL' END AS status, CASE WHEN seq % 7 = 1 THEN 'waiting_for_finality' WHEN seq % 7 = 2 THEN 'odd' END AS code,
+ CASE WHEN seq % 5 = 1 THEN ['decoder_errors', 'not_listed', 'slots_unresolved'] WHEN seq % 5 < 4 THEN []::VARCHAR[] END AS alerts, seq % 6 <> 1 AS has_metrics, CASE WHEN seq % 3 = 0 THEN base_raw END AS used FROM ev)
+SELECT seq, array_to_string(list_sort(list_distinct(list_filter(coalesce(alerts, []::VARCHAR[]), lambda a: a <> 'not_listed') || CASE WHEN code = 'waiting_for_finality' THEN [code] WHEN status IS NULL OR status = 'FAIL' THEN ['unclassified_failure'] ELSE [] END
+ || CASE WHEN used >= 50 THEN ['quota_exhausted'] ELSE [] END)), ',') AS codes, coalesce(status = 'PASS' AND alerts IS NOT NULL AND has_metrics, false) AS complete FROM r""")
+def report_observations(spark, sf):
+    r = events(spark, sf).selectExpr(
+        "seq", "case seq % 4 when 0 then 'PASS' when 1 then 'WAIT' when 2 then 'FAIL' end as status", "case when seq % 7 = 1 then 'waiting_for_finality' when seq % 7 = 2 then 'odd' end as code",
+        "case when seq % 5 = 1 then array('decoder_errors', 'not_listed', 'slots_unresolved') when seq % 5 < 4 then cast(array() as array<string>) end as alerts", "seq % 6 <> 1 as has_metrics",
+        "if(seq % 3 = 0, base_raw, null) as requests", "if(seq % 3 = 0, 50, null) as request_limit", "if(seq % 3 = 0, 0, null) as charged_units", "if(seq % 3 = 0, 10, null) as unit_limit")
+    return O.report_observation(r).select("seq", F.array_join("codes", ",").alias("codes"), "complete")

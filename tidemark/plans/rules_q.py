@@ -6,7 +6,7 @@ from ..functions.exact import haircut_output
 from ..operators import evidence as E
 from ..operators import rules as R
 from ..operators.ordered import Ordered
-from ..operators.validate import TOKEN
+from ..operators.validate import TOKEN, TOKEN_2022
 from .registry import query
 from .views import SWAP, EV, events, fills, FILLS
 
@@ -83,6 +83,14 @@ def context_scores(spark, sf):
     return R.context_score(R.opportunity_scores(features(spark, sf))).select("seq", "opportunity_score", join("score_missing"))
 
 
+@query("score_decompositions", SCORES + """ SELECT seq, market_score, market_score * 50 AS market_part, execution_score * 30 AS execution_part, quality_score * 20 AS quality_part, quote_reserve AS liquidity,
+ momentum_bps, imbalance_bps AS flow_bps, CASE WHEN seq % 4 <> 0 THEN opportunity_score END AS final FROM s3""")
+def score_decompositions(spark, sf):
+    d = R.context_score(R.opportunity_scores(features(spark, sf)))
+    parts = [F.col(f"decomposition.{p}.contribution_x100").alias(f"{p}_part") for p in ("market", "execution", "quality")]
+    return d.select("seq", F.col("decomposition.market.value").alias("market_score"), *parts, "decomposition.liquidity.value", "decomposition.momentum_bps", "decomposition.flow_bps", "decomposition.final").withColumnRenamed("value", "liquidity")
+
+
 ENTRY = ["CASE WHEN NOT coalesce(swaps >= 3, false) THEN 'enough_samples' END", "CASE WHEN NOT coalesce(momentum_bps > 0, false) THEN 'positive_momentum' END", "CASE WHEN NOT coalesce(imbalance_bps >= 0, false) THEN 'nonnegative_flow' END",
          "CASE WHEN nm > 0 THEN 'quality_complete' END", "CASE WHEN NOT coalesce({s} >= 6000, false) THEN 'score_threshold' END", "CASE WHEN volatility_mean_abs_return_bps >= 500 THEN 'regime_not_high_volatility' END"]
 
@@ -147,6 +155,20 @@ def haircut_outputs(spark, sf):
 NATIVE, PROGRAM = "native", "pool-program"
 
 
+def text(*parts):
+    return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+
+
+def mint_json(owner, authority):
+    return text('{"executable":false,"owner":"', owner, '","data":{"program":"spl-token","parsed":{"type":"mint","info":{"isInitialized":true,"mintAuthority":', authority,
+                ',"freezeAuthority":null,"decimals":6,"supply":"1000"}}}}')
+
+
+def vault_json(owner, mint, holder, amount):
+    return text('{"executable":false,"owner":"', owner, '","data":{"program":"spl-token","parsed":{"type":"account","info":{"mint":"', mint, '","owner":"', holder,
+                '","state":"initialized","tokenAmount":{"amount":"', amount.cast("string"), '"}}}}}')
+
+
 def evidence_tables(spark, sf):
     """A plan per swap with its own three evidence frames; ``seq % 23`` picks the fault."""
     ev = events(spark, sf).where(SWAP).withColumns({"fault": F.col("seq") % 23, "token": F.concat(F.lit("t"), F.col("pool")), "name": F.concat(F.lit("p"), F.col("pool"))})
@@ -155,6 +177,7 @@ def evidence_tables(spark, sf):
     cut = F.floor(out * 9975 / 10000).cast("bigint")
     plans = ev.select(
         F.col("seq").alias("plan_id"), F.col("name").alias("pool"), F.col("token").alias("base_mint"), F.when(F.col("fault") == 1, "usd").otherwise(NATIVE).alias("quote_mint"), "slot",
+        F.concat("name", F.lit("/b")).alias("base_vault"), F.concat("name", F.lit("/q")).alias("quote_vault"),
         (F.col("availability_ns") - F.when(F.col("fault") == 2, 6_000_000_000).otherwise(0)).alias("availability_ns"), F.lit("BUY").alias("side"), amount.alias("amount"), F.col("availability_ns").alias("now"),
         (F.col("seq") * 3).alias("forward_frame"), (F.col("seq") * 3 + 1).alias("reverse_frame"), F.when(F.col("fault") != 3, F.col("seq") * 3 + 2).alias("accounts_frame"))
 
@@ -174,17 +197,16 @@ def evidence_tables(spark, sf):
     fwd = quotes(0, native, F.col("token"), amount, out, F.col("slot") + F.when(F.col("fault") == 9, 200).otherwise(1))
     rev = quotes(1, F.col("token"), native, cut + F.when(F.col("fault") == 10, 1).otherwise(0), amount - 5, F.col("slot") + F.when(F.col("fault") == 11, 40).otherwise(2))
 
-    def account(owner, kind, mint, holder, amt, authority=F.lit(None)):
-        return F.struct(owner.alias("owner"), F.lit(False).alias("executable"), F.lit(kind).alias("type"), mint.cast("string").alias("mint"), holder.cast("string").alias("account_owner"), F.lit("initialized").alias("state"),
-                        authority.cast("string").alias("mint_authority"), F.lit(None).cast("string").alias("freeze_authority"), amt.cast("string").alias("amount"), F.array().cast("array<string>").alias("extensions"))
-
     tok = F.lit(TOKEN)
+    keys = F.array("token", F.when(F.col("fault") == 1, "usd").otherwise(NATIVE), F.concat("name", F.lit("/b")), F.concat("name", F.lit("/q")), "name")
     value = F.array(
-        account(tok, "mint", F.lit(None), F.lit(None), F.lit(None), F.when(F.col("fault") == 12, "k")), account(tok, "mint", F.lit(None), F.lit(None), F.lit(None)),
-        account(tok, "account", F.col("token"), F.when(F.col("fault") == 13, "x").otherwise(F.col("name")), F.when(F.col("fault") == 14, 5).otherwise(out * 100)),
-        account(tok, "account", native, F.col("name"), F.when(F.col("fault") == 15, amount - 6).otherwise(amount * 100)),
-        account(F.when(F.col("fault") == 16, "x").otherwise(PROGRAM), "pool", F.lit(None), F.lit(None), F.lit(None))).cast(f"array<{E.ACCOUNT}>")
-    accounts = ev.select((F.col("seq") * 3 + 2).alias("frame"), (F.col("slot") - F.when(F.col("fault") == 17, 1).otherwise(0)).alias("slot"), (F.col("availability_ns") - 7).alias("observed_ns"), value.alias("value"))
+        mint_json(tok, F.when(F.col("fault") == 12, '"k"').otherwise("null")), mint_json(tok, F.lit("null")),
+        vault_json(tok, F.col("token"), F.when(F.col("fault") == 13, "x").otherwise(F.col("name")), F.when(F.col("fault") == 14, 5).otherwise(out * 100)),
+        vault_json(tok, native, F.col("name"), F.when(F.col("fault") == 15, amount - 6).otherwise(amount * 100)),
+        text('{"executable":false,"owner":"', F.when(F.col("fault") == 16, "x").otherwise(PROGRAM), '"}'))
+    accounts = ev.select(
+        (F.col("seq") * 3 + 2).alias("frame"), F.lit("getMultipleAccounts").alias("request_method"), keys.alias("request_keys"), F.lit("confirmed").alias("commitment"), F.col("slot").alias("min_context_slot"),
+        (F.col("slot") - F.when(F.col("fault") == 17, 1).otherwise(0)).alias("slot"), (F.col("availability_ns") - 7).alias("observed_ns"), value.alias("value"))
     return plans, fwd.unionByName(rev), accounts
 
 
@@ -207,8 +229,75 @@ def evidence_join(spark, sf):
  WHEN 1 THEN 'vault_identity_or_frozen' ELSE 'ok' END AS accounts_reason, CASE WHEN seq % 23 = 14 THEN 5 ELSE base_raw * 100000 END AS base_reserve_raw FROM sw""")
 def accounts_proof(spark, sf):
     p, _, a = evidence_tables(spark, sf)
-    j = p.withColumn("frame", F.col("plan_id") * 3 + 2).join(a.select("frame", F.col("slot").alias("account_slot"), F.col("observed_ns").alias("account_ns"), "value"), "frame")
-    return E.accounts_proof(j, PROGRAM).select("plan_id", "accounts_reason", F.col("base_reserve_raw").cast("bigint").alias("base_reserve_raw"))
+    j = p.withColumn("frame", F.col("plan_id") * 3 + 2).join(E.judged_accounts(a, PROGRAM), "frame")
+    return E.accounts_proof(j).select("plan_id", "accounts_reason", F.col("base_reserve_raw").cast("bigint").alias("base_reserve_raw"))
+
+
+# every reason that accounts and sell quotes can give, picked by seq % 41
+SELL_FAULTS = {
+    1: "invalid_side", 2: "accounts_binding_mismatch", 3: "accounts_binding_mismatch", 4: "account_commitment_or_slot", 5: "account_commitment_or_slot", 6: "account_missing", 7: "executable_token_account",
+    8: "unsupported_token_program", 9: "not_mint", 10: "mint_or_freeze_authority_present", 11: "unsupported_mint_extensions", 12: "token2022_parser_mismatch", 13: "mutable_or_external_metadata_pointer",
+    14: "mutable_or_unbound_token_metadata", 15: "unsupported_metadata_layout", 16: "invalid_mint_decimals", 17: "invalid_mint_supply", 18: "vault_mint_program_mismatch", 19: "not_token_account",
+    20: "unsupported_vault_extensions", 21: "vault_identity_or_frozen", 22: "vault_authority_or_extensions", 23: "vault_authority_or_extensions", 24: "invalid_reserve", 25: "invalid_reserve", 26: "pool_program_mismatch",
+    27: "output_exceeds_observed_vault", 28: "exit_output_exceeds_observed_vault", 29: "quote_missing", 30: "forward_quote_mismatch", 31: "unsupported_vault_extensions", 32: "accounts_stale_or_future", 33: "accounts_before_event",
+    34: "executable_token_account", 35: "unsupported_mint_extensions", 36: "evidence_slot_divergence"}
+SELL_CODE = "CASE seq % 41 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in SELL_FAULTS.items()) + " ELSE 'ok' END"
+
+
+def sell_tables(spark, sf):
+    """A plan per swap that sells a Token-2022 token."""
+    ev = events(spark, sf).where(SWAP).withColumns({"fault": F.col("seq") % 41, "token": F.concat(F.lit("t"), F.col("pool")), "name": F.concat(F.lit("p"), F.col("pool"))})
+
+    def pick(default, **cases):
+        out = F.lit(default) if isinstance(default, str) else default
+        for k, v in cases.items():
+            out = F.when(F.col("fault") == int(k[1:]), F.lit(v) if isinstance(v, (str, int)) else v).otherwise(out)
+        return out
+
+    amount, o = F.col("base_raw") * 1000, F.col("quote_raw") * 10000
+    cut = F.floor(o * 9975 / 10000).cast("bigint")
+    native = F.lit(NATIVE)
+    vaults = F.concat("name", F.lit("/b")), F.concat("name", F.lit("/q"))
+    plans = ev.select(
+        F.col("seq").alias("plan_id"), F.col("name").alias("pool"), F.col("token").alias("base_mint"), native.alias("quote_mint"), vaults[0].alias("base_vault"), vaults[1].alias("quote_vault"), "slot", "availability_ns",
+        pick("SELL", _1="HOLD").alias("side"), amount.alias("amount"), F.col("availability_ns").alias("now"),
+        F.when(F.col("fault") != 29, F.col("seq") * 3).alias("forward_frame"), (F.col("seq") * 3 + 1).alias("reverse_frame"), (F.col("seq") * 3 + 2).alias("accounts_frame"))
+
+    def quote(offset, i, out_mint, a, b):
+        route = F.struct(F.lit(100).alias("percent"), F.col("name").alias("amm_key"), i.alias("input_mint"), out_mint.alias("output_mint"))
+        return ev.select(
+            (F.col("seq") * 3 + offset).alias("frame"), i.alias("input_mint"), out_mint.alias("output_mint"), F.lit("ExactIn").alias("mode"), a.cast("string").alias("in_amount"), b.cast("string").alias("out_amount"),
+            b.cast("string").alias("threshold"), F.lit(50).alias("slippage_bps"), (F.col("slot") + offset).alias("slot"), F.lit("0.001").alias("impact"), F.array(route).alias("routes"), i.alias("request_input"),
+            out_mint.alias("request_output"), a.alias("request_amount"), F.lit(50).alias("request_slippage_bps"), (F.col("availability_ns") - 5).alias("observed_ns"))
+
+    fwd = quote(0, F.col("token"), native, amount + pick(F.lit(0), _30=1), o)
+    rev = quote(1, native, F.col("token"), cut, amount - 5)
+    base = text(
+        '{"executable":', pick("false", _7="true"), ',"owner":"', pick(TOKEN_2022, _8="other"), '","data":{"program":"', pick("spl-token-2022", _12="spl-token"), '","parsed":{"type":"', pick("mint", _9="account"),
+        '","info":{"isInitialized":true,"mintAuthority":null,"freezeAuthority":', pick("null", _10='"k"'), ',"decimals":', pick("6", _16="256"), ',"supply":"', pick("1000", _17="1e3"),
+        '","extensions":[{"extension":"metadataPointer","state":{"authority":null,"metadataAddress":"', pick(F.col("token"), _13="elsewhere"), '"}},{"extension":"', pick("tokenMetadata", _35="transferHook"),
+        '","state":{"updateAuthority":', pick("null", _14='"k"'), ',"mint":"', F.col("token"), '","name":"n","symbol":"s","uri":"u","additionalMetadata":', pick("[]", _15='[["a"]]'), "}}", pick("", _11=',{"extension":"memo","state":{}}'), "]}}}}")
+    vault = text(
+        '{"executable":', pick("false", _34="true"), ',"owner":"', pick(TOKEN_2022, _18=TOKEN), '","data":{"program":"spl-token-2022","parsed":{"type":"', pick("account", _19="mint"), '","info":{"mint":"', F.col("token"), '","owner":"', F.col("name"),
+        '","state":"', pick("initialized", _21="frozen"), '","tokenAmount":{"amount":', pick(F.concat(F.lit('"'), (amount * pick(F.lit(100), _28=0) + pick(F.lit(0), _28=amount - 5)).cast("string"), F.lit('"')), _24='"0"', _25="5"), "}",
+        pick("", _22=',"delegate":"k"', _23=',"closeAuthority":"k"'), ',"extensions":[', pick('{"extension":"immutableOwner"}', _20='{"extension":"cpiGuard"}', _31=""), "]}}}}")
+    other = text(
+        '{"executable":false,"owner":"', F.lit(TOKEN), '","data":{"program":"spl-token","parsed":{"type":"account","info":{"mint":"', native, '","owner":"', F.col("name"),
+        '","state":"initialized","delegate":null,"tokenAmount":{"amount":"', pick((o * 100).cast("string"), _27=cut.cast("string")), '"}}}}}')
+    value = F.array(base, pick(mint_json(F.lit(TOKEN), F.lit("null")), _6="null"), vault, other, text('{"executable":', pick("false", _26="true"), ',"owner":"', F.lit(PROGRAM), '"}'))
+    keys = F.array(F.col("token"), native, pick(vaults[0], _3=vaults[1]), vaults[1], F.col("name"))
+    accounts = ev.select(
+        (F.col("seq") * 3 + 2).alias("frame"), pick("getMultipleAccounts", _2="getAccountInfo").alias("request_method"), keys.alias("request_keys"), pick("confirmed", _4="processed").alias("commitment"),
+        (F.col("slot") - pick(F.lit(0), _5=1)).alias("min_context_slot"), (F.col("slot") + pick(F.lit(1), _33=-1, _36=40)).alias("slot"), (F.col("availability_ns") - pick(F.lit(7), _32=6_000_000_000)).alias("observed_ns"), value.alias("value"))
+    return plans, fwd.unionByName(rev), accounts
+
+
+@query("sell_evidence", f"""WITH {EV}, r AS (SELECT *, {SELL_CODE} AS reason FROM sw) SELECT seq AS plan_id, reason, CASE WHEN reason = 'ok' THEN quote_raw * 1000000 END AS liquidity, CASE WHEN reason = 'ok' THEN base_raw * 1000 END AS size_raw FROM r""")
+def sell_evidence(spark, sf):
+    """Sales of Token-2022 tokens; every reason of the account and quote checks occurs."""
+    p, q, a = sell_tables(spark, sf)
+    e = E.evidence_join(p, q, a, NATIVE, PROGRAM, POLICY)
+    return e.select("plan_id", "reason", F.col("liquidity_quote_raw").cast("bigint").alias("liquidity"), "size_raw")
 
 
 @query("reassessed_decisions", f"""WITH {EV}, r AS (SELECT *, {CODE} AS reason FROM sw),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import pit as I
 from ..operators import validate as P
 from ..sources import files as S
 from ..streaming import pools as X
@@ -33,20 +34,23 @@ def request_provenance(spark, sf):
     return S.attach_provenance(o.select(F.col("o_orderkey").alias("capture_id")), req).select("capture_id", F.col("endpoint").alias("origin"), "request_params")
 
 
-@query("archive_tables", f"WITH {BLOCKS} SELECT 'attempts' AS name, count(*) AS rows, CAST(sum(length('raw' || id)) AS BIGINT) AS bytes FROM al UNION ALL SELECT 'outcomes', count(*), NULL FROM oc UNION ALL SELECT 'publications', count(*), NULL FROM pb UNION ALL SELECT 'slots', count(*), NULL FROM oc")
-def archive_tables(spark, sf):
+def archive(spark, sf):
     b = range_tables(spark, sf)
     none = F.lit(None).cast("string")
-    tables = {
+    return {
         "block_meta": spark.range(1).select("id", F.lit(1).alias("version"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("next_slot")),
-        "sessions": spark.range(3).select("id", F.lit("c").alias("context"), F.lit("h").alias("hash")),
+        "sessions": table(spark, sf, "events").select(F.pmod("user_id", F.lit(3)).alias("id")).distinct().select("id", F.lit("c").alias("context"), F.lit("h").alias("hash")),
         "attempts": b["attempts"].withColumns({"raw": F.col("raw").cast("binary"), "transport_error": none, "observed_at": F.lit(0), "evidence_hash": none}),
         "outcomes": b["outcomes"].withColumn("document", none),
         "slots": b["outcomes"].select(F.col("attempt_id").alias("slot"), "status", "reason", "attempt_id", F.col("attempt_id").alias("proof_slot")),
         "publications": b["publications"].withColumns({"document": none, "published_at": F.lit(0)}),
     }
+
+
+@query("archive_tables", f"WITH {BLOCKS} SELECT 'attempts' AS name, count(*) AS rows, CAST(sum(length('raw' || id)) AS BIGINT) AS bytes FROM al UNION ALL SELECT 'outcomes', count(*), NULL FROM oc UNION ALL SELECT 'publications', count(*), NULL FROM pb UNION ALL SELECT 'slots', count(*), NULL FROM oc")
+def archive_tables(spark, sf):
     path = f"{S.scratch(spark)}/archive"
-    back = S.read_archive_tables(spark, path, S.write_archive_tables(tables, path))
+    back = S.read_archive_tables(spark, path, S.write_archive_tables(archive(spark, sf), path))
     out = back["attempts"].agg(F.lit("attempts").alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("raw")).alias("bytes"))
     for name in ("outcomes", "publications", "slots"):
         out = out.unionByName(back[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.lit(None).cast("bigint").alias("bytes")))
@@ -72,6 +76,42 @@ def content_addressed_dataset(spark, sf):
     return S.read_dataset(spark, root, first)
 
 
+@query("checked_dataset", "SELECT o_orderkey, o_orderstatus, o_custkey FROM orders")
+def checked_dataset(spark, sf):
+    """A dataset copied while its content is summed: one scan, verified after it."""
+    root = f"{S.scratch(spark)}/datasets"
+    digest = S.write_content_addressed(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), root)
+    checked = S.CheckedDataset(spark, root, digest)
+    checked.rows.write.parquet(f"{root}/copy")
+    checked.verify()
+    return spark.read.parquet(f"{root}/copy")
+
+
+@query("file_hashes", "SELECT l_returnflag AS flag, count(*) AS rows, true AS same FROM lineitem GROUP BY 1")
+def file_hashes(spark, sf):
+    """A file a flag: the hashes of the bytes agree between two reads, and the rows with those of the table."""
+    path = f"{S.scratch(spark)}/hashed"
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_partkey")
+    li.repartition(3, "l_returnflag").write.partitionBy("l_returnflag").parquet(path)
+    hashes, again = (I.file_hashes(spark, path).where("name like '%.parquet'") for _ in range(2))
+    bad = I.verify_manifest(hashes, again)
+    rows = spark.read.parquet(path).withColumn("name", F.url_decode(I.relative_name(F.input_file_name(), path))).groupBy("l_returnflag", "name").agg(F.count(F.lit(1)).alias("rows"))
+    found = hashes.withColumn("name", F.url_decode("name")).join(rows, "name").join(bad.select("name", "state"), "name", "left")
+    return found.groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum("rows").alias("rows"), (F.count("state") == 0).alias("same"))
+
+
+@query("archive_snapshot", f"WITH {BLOCKS} SELECT name, rows FROM (SELECT 'attempts' AS name, count(*) AS rows FROM al UNION ALL SELECT 'outcomes', count(*) FROM oc UNION ALL SELECT 'publications', count(*) FROM pb UNION ALL SELECT 'slots', count(*) FROM oc UNION ALL SELECT 'sessions', count(DISTINCT user_id % 3) FROM events UNION ALL SELECT 'block_meta', 1)")
+def archive_snapshot(spark, sf):
+    """All six tables written as one snapshot and read back by their fixed columns."""
+    path = f"{S.scratch(spark)}/archive"
+    back = S.read_archive_tables(spark, path, S.write_archive_tables(archive(spark, sf), path), as_base64=True)
+    out = None
+    for name in S.ARCHIVE_TABLES:
+        rows = back[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def stream_events(spark, sf):
     """The events table as a stream of swaps."""
     schema = table(spark, sf, "events").schema

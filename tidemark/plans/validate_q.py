@@ -236,3 +236,23 @@ def watch_stages(spark, sf):
         F.expr("count_if(kind = 'pool_created')").alias("position_observations"), F.expr("count_if(kind = 'pool_created' and base_raw > 50)").alias("observations_accepted"),
         F.expr("count_if(instruction = 'buy')").alias("transactions_hydrated"), F.expr("count_if(base_raw > 20)").alias("new_signatures_found"), F.expr("max(base_raw) > 10").alias("network_attempted"))
     return P.watch_stage(c).select("pool", "win", "stage")
+
+
+@query("watch_qualifications", f"""WITH {EV}, c AS (SELECT pool, seq // 100 AS win, count(*) FILTER (WHERE kind = 'pool_created') AS po, list_sort(list_distinct(list(CASE WHEN base_raw = 17 THEN 'http_' || (400 + wallet) END) FILTER (WHERE base_raw = 17))) AS er FROM ev GROUP BY ALL)
+SELECT pool, win, CASE WHEN len(coalesce(er, [])) > 0 THEN 'FAIL' WHEN po = 0 THEN 'NOT_EXECUTED' ELSE 'PASS' END AS status,
+ CASE WHEN len(coalesce(er, [])) > 0 THEN 'position_source_error' WHEN po = 0 THEN 'no_new_position_observation' ELSE 'position_bounded_observation' END AS code, coalesce(array_to_string(er, ','), '') AS errors FROM c""")
+def watch_qualifications(spark, sf):
+    c = events(spark, sf).groupBy("pool", F.expr("seq div 100").alias("win")).agg(
+        F.expr("count_if(kind = 'pool_created')").alias("position_observations"),
+        F.expr("collect_set(case when base_raw = 17 then concat('http_', 400 + wallet) when base_raw = 18 then 'quota_exhausted' end)").alias("errors"))
+    return P.watch_qualification(c).select("pool", "win", "status", "code", F.array_join("source_error_codes", ",").alias("errors"))
+
+
+@query("secret_echo_joined", """WITH s AS (SELECT DISTINCT substr(text, 40, 6 + CAST(doc_id % 23 AS INTEGER)) AS secret FROM documents WHERE doc_id % 10 = 3 AND length(text) >= 70)
+SELECT d.doc_id, coalesce(bool_or(contains(d.text, s.secret)), false) AS secret FROM documents d LEFT JOIN s ON contains(d.text, s.secret) GROUP BY d.doc_id""")
+def secret_echo_joined(spark, sf):
+    """Documents that hold any of the secrets of a table; here pieces of some of the documents themselves."""
+    d = table(spark, sf, "documents")
+    piece = F.substring("text", F.lit(40), (6 + F.col("doc_id") % 23).cast("int"))
+    s = d.where((F.col("doc_id") % 10 == 3) & (F.char_length("text") >= 70)).select(piece.alias("secret"))
+    return P.secret_echo_join(d, s, "doc_id", "text").select("doc_id", F.col("secret_echo").alias("secret"))

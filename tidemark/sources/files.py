@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jsonio import canonical_json
-from ..operators.pit import fingerprint
+from ..operators.pit import content_sums, fingerprint, sums_digest, verify_manifest
 from ..session import shared_folder
 
 # Fixed column lists of the six archive tables.
@@ -98,38 +98,82 @@ def _folders(spark: SparkSession, *paths: str):
 def write_content_addressed(df: DataFrame, root: str) -> str:
     """Write under the content hash of the rows. The same content again is a no-op; other content there is an error.
 
-    The rows are written once, to a folder of their own; what was written is hashed and then moved to its name, so a
-    reader never sees half of it and two writers of the same content do not disturb each other.
+    The rows are written once, to a folder of their own; what was written is summed by file in one scan, which gives the name and the manifest,
+    and both are then moved to their names, so a reader never sees half of it and two writers of the same content do not disturb each other.
     """
     spark = df.sparkSession
-    staged = f"{root}/_staging-{uuid.uuid4().hex}"
+    staged, listed = f"{root}/_staging-{uuid.uuid4().hex}", f"{root}/_manifests/_staging-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    rows, digest = fingerprint(spark.read.schema(df.schema).parquet(staged)).first()
+    file_sums(spark.read.schema(df.schema).parquet(staged)).write.parquet(listed)
+    total = spark.read.parquet(listed).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(4)]).first()
+    digest = sums_digest(total.asDict())
     path = f"{root}/{digest}"
-    fs, src, dst, done = _folders(spark, staged, path, f"{path}/_SUCCESS")
+    fs, src, dst, done, manifest, named = _folders(spark, staged, path, f"{path}/_SUCCESS", listed, f"{root}/_manifests/{digest}")
     try:
         if not fs.exists(done):
             if fs.exists(dst):  # what a lost move left behind
                 fs.delete(dst, True)
             if fs.rename(src, dst) and not fs.exists(_folders(spark, f"{path}/{src.getName()}")[1]):
+                fs.delete(named, True)
+                fs.rename(manifest, named)
                 return digest
             # another writer was first, and the move may have gone into its folder
             fs.delete(_folders(spark, f"{path}/{src.getName()}")[1], True)
-        if tuple(fingerprint(spark.read.schema(df.schema).parquet(path)).first()) != (rows, digest):
+        if fingerprint(spark.read.schema(df.schema).parquet(path)).first()["dataset_sha256"] != digest:
             raise ValueError("existing dataset does not match its name")
         return digest
     finally:
         fs.delete(src, True)
+        fs.delete(manifest, True)
 
 
 def read_dataset(spark: SparkSession, root: str, digest: str, schema=None) -> DataFrame:
-    """A content-addressed dataset; every row carries the check that the whole content still has its hash."""
+    """A content-addressed dataset; every row carries the check that the whole content still has its hash (a scan before the scan)."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.parquet(f"{root}/{digest}")
     check = fingerprint(df).select((F.col("dataset_sha256") == digest).alias("__ok"))  # one row
     return df.join(F.broadcast(check), how="cross").where(F.assert_true("__ok", F.lit("dataset hash mismatch")).isNull()).drop("__ok")
 
 
+class CheckedDataset:
+    """Rows of a content-addressed dataset whose content is summed while they are read.
+
+    ``rows`` is read by one action that takes all of it (a write, a count); ``verify`` then compares what that scan summed with the name and
+    raises if they differ, naming the files that changed. Nothing is scanned a second time unless something is wrong.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, digest: str, schema=None):
+        self._spark, self._root, self._digest, self._schema = spark, root, digest, schema
+        df = (spark.read if schema is None else spark.read.schema(schema)).parquet(f"{root}/{digest}")
+        self._seen = Observation()
+        self.rows = df.observe(self._seen, *content_sums(df))
+
+    def verify(self) -> int:
+        """Number of rows, or an error with the changed files."""
+        found = self._seen.get
+        if sums_digest(found) != self._digest:
+            changed = changed_files(self._spark, self._root, self._digest, self._schema).limit(20).collect()
+            raise ValueError("dataset hash mismatch: " + ", ".join(f"{r['name']} {r['state']}" for r in changed))
+        return found["rows"]
+
+
+def file_sums(df: DataFrame) -> DataFrame:
+    """name, rows and the content sums of every file that a reader's rows come from, in one scan; they add up to those of the dataset."""
+    name = F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return df.withColumn("__file", name).groupBy(F.col("__file").alias("name")).agg(*content_sums(df))
+
+
+def _with_hash(sums: DataFrame) -> DataFrame:
+    text = F.concat_ws(":", "rows", *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) for i in range(4)])
+    return sums.select("name", "rows", F.sha2(text, 256).alias("sha256"))
+
+
+def changed_files(spark: SparkSession, root: str, digest: str, schema=None) -> DataFrame:
+    """Files of a dataset that its manifest does not know as they are: name and missing, unlisted or changed."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return verify_manifest(_with_hash(spark.read.parquet(f"{root}/_manifests/{digest}")), _with_hash(file_sums(reader.parquet(f"{root}/{digest}"))))
+
+
 def stream_frames(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
     """Landing folder of archived messages as a stream."""
     reader = spark.readStream.schema(schema)
