@@ -1,7 +1,7 @@
 """Documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 A stage is a function of (spark, docs, sf_dir) that works on all rows its predecessor kept. All but the last return the columns of
-``documents``. Rows with null or empty texts, null ids and repeated rows pass through each stage as its operator defines.
+``documents``; other columns of the input are not read, whatever their names. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality model scores below 0.3."""
+    """Drops the documents that the quality model scores below 0.3; null and empty texts are scored like any other, repeated rows stay."""
     from tidemark.llm.quality import score_documents, train
 
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,9 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked texts the row with the smallest (id, text hash), once."""
+    """Keeps of each group of linked texts the row with the smallest (id, text hash), once; null ids come first, null and empty texts are copies of each other."""
     from tidemark.llm.jaccard import one_of_each
 
+    docs = docs.select(*COLUMNS)
     keep = one_of_each(docs)
     tied = docs.withColumn("__tie", F.xxhash64("text"))
     kept = tied.join(keep.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("__tie") == F.col("rep_tie")))
@@ -34,14 +35,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the kind in brackets."""
+    """Replaces personal data by the kind in brackets; null texts stay null, no row is dropped."""
     from tidemark.llm.pii import mask_spans, train_field
 
     return mask_spans(docs.select(*COLUMNS), train_field(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats, keeps or drops whole documents toward the source targets; a row for every time a document is taken."""
+    """Repeats, keeps or drops whole documents toward the source targets; a row for every time a document is taken.
+
+    A null source is a source; documents without words (null, empty) stay once; equal rows are taken one by one.
+    """
     from tidemark.llm.mixing import mix_sources
 
     taken = mix_sources(docs, cut=False, carry=("text", "lang", "n_chars"))
@@ -51,7 +55,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their sequence and offset; a null or empty text is one end token, repeated rows are documents of their own."""
     import public_tokenizers
     from tidemark.llm.packing import pack_documents
 
