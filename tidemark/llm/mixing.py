@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACED_WORD, unit, written
 
-#: Rows of a source that share one key bucket, about; the bucket in which a budget ends is sorted by one task.
-BUCKET_ROWS = 4096
+#: Rows of a source that one task may put in order: those of the cell of keys in which its budget ends.
+CELL_ROWS = 4096
+#: A cell is cut into 2^CELL_BITS at a time, up to MOST_BITS in all; what is then still together has all but equal keys.
+CELL_BITS, MOST_BITS = 10, 50
 
 
 def word_count(text: str | Column) -> Column:
@@ -63,6 +65,26 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     )
 
 
+def _cell(bits: int) -> Column:
+    """Number of the cell of ``__x``; scaling by a power of two is exact, so cells of more bits lie inside those of fewer."""
+    return F.floor(F.col("__x") * float(1 << bits)).cast("long")
+
+
+def _edges(row: DataFrame, edge: DataFrame | None, bits: int) -> DataFrame:
+    """One row a source: the cell in which its budget ends, words before it and rows in it; only the rows of the coarser cell are looked at."""
+    if edge is None:
+        inside = row.withColumn("__from", F.lit(0).cast("long"))
+    else:
+        last = edge.select(F.col("__edge_of").alias("__s"), F.col("__edge").alias("__last"), F.col("__before").alias("__from"))
+        inside = row.join(last, F.col("__source").eqNullSafe(F.col("__s"))).where(_cell(bits) == F.col("__last"))
+    sums = inside.groupBy("__source", _cell(bits + CELL_BITS).alias("__cell")).agg(
+        F.sum("__size").alias("__words"), F.count(F.lit(1)).alias("__n"), F.first("__rest").alias("__r"), F.first("__from").alias("__f"))
+    ahead = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__f") + F.coalesce(F.sum("__words").over(ahead), F.lit(0))
+    found = sums.withColumn("__before", before).where((F.col("__before") < F.col("__r")) & (F.col("__before") + F.col("__words") >= F.col("__r")))
+    return written(found.select(F.col("__source").alias("__edge_of"), F.col("__cell").alias("__edge"), "__before", "__n"), "mix-edges")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None,
                 weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, cut: bool = True, carry=()) -> DataFrame:
     """One row per document: id, source, the columns of ``carry``, size, source_size, target and taken (words the mix takes).
@@ -70,9 +92,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     ``cut``: the document in which a budget ends gives the words that are left; otherwise it is taken whole or not at
     all, whichever comes nearer to the budget. No document exceeds ``most`` times its size.
 
-    Texts are read once, into a written table of sizes and keys. Nothing is sorted by source as a whole: keys are dealt into
-    buckets of about ``BUCKET_ROWS`` rows, word sums of the buckets are prefix-summed, and only the rows of the bucket in
-    which a budget ends are put in order. A hot source costs its share of a combinable sum and one small sort.
+    Texts are read once, into a written table of sizes and keys. Nothing is sorted by source as a whole: the range of keys is cut into
+    cells, their word sums are prefix-summed, and the cell in which a budget ends is cut again until it holds at most ``CELL_ROWS`` rows,
+    whatever the distribution of the weights. Only the rows of that cell are put in order. A hot source costs combinable sums and one small sort.
     """
     size = word_count(text)
     w = F.greatest(F.coalesce(weight if weight is not None else length_weight(text, F.col("__size")), F.lit(0.0)), F.lit(1e-6))
@@ -91,22 +113,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     # written once: both uses below must see the very same figures
     targets = written(
         targets.select(F.col("source").alias("__of"), "source_size", "target", "__mean", epochs.alias("__epochs"),
-                       (F.col("target") - epochs * F.col("source_size")).alias("__rest"), F.ceil(F.col("docs") / BUCKET_ROWS).alias("__buckets")),
+                       (F.col("target") - epochs * F.col("source_size")).alias("__rest")),
         "mix-targets",
     )
     row = keyed.join(targets, F.col("__source").eqNullSafe(F.col("__of")))
-    # mean weight times key is about exponential, so its distribution function spreads a source evenly over its buckets
-    row = row.withColumn("__bucket", F.floor((1.0 - F.exp(-F.col("__key") * F.col("__mean"))) * F.col("__buckets")).cast("long"))
-    sums = row.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words"), F.first("__rest").alias("__r"))
-    ahead = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        sums.withColumn("__before", F.coalesce(F.sum("__words").over(ahead), F.lit(0)))
-        .where((F.col("__before") < F.col("__r")) & (F.col("__before") + F.col("__words") >= F.col("__r")))
-        .select(F.col("__source").alias("__edge_of"), F.col("__bucket").alias("__edge"), "__before")
-    )
-    row = row.join(edge, F.col("__source").eqNullSafe(F.col("__edge_of")), "left")
-    at_edge = F.coalesce(F.col("__bucket") == F.col("__edge"), F.lit(False))
-    whole = F.when((F.col("__rest") > 0) & (F.col("__edge").isNull() | (F.col("__bucket") < F.col("__edge"))), F.col("__size")).otherwise(F.lit(0))
+    # mean weight times key is about exponential, so its distribution function spreads a source about evenly over (0, 1)
+    row = row.withColumn("__x", 1.0 - F.exp(-F.col("__key") * F.col("__mean")))
+    edge, bits = None, 0
+    while bits < MOST_BITS and (edge is None or not edge.where(F.col("__n") > CELL_ROWS).isEmpty()):
+        edge, bits = _edges(row, edge, bits), bits + CELL_BITS
+    row = row.join(edge.drop("__n"), F.col("__source").eqNullSafe(F.col("__edge_of")), "left").withColumn("__cell", _cell(bits))
+    at_edge = F.coalesce(F.col("__cell") == F.col("__edge"), F.lit(False))
+    whole = F.when((F.col("__rest") > 0) & (F.col("__edge").isNull() | (F.col("__cell") < F.col("__edge"))), F.col("__size")).otherwise(F.lit(0))
     inside = Window.partitionBy("__source").orderBy("__key", "__id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("__rest") - F.col("__before") - F.coalesce(F.sum("__size").over(inside), F.lit(0))
     some = F.least(F.greatest(F.round(left), F.lit(0)), F.col("__size")) if cut else F.when(left >= F.col("__size") / 2, F.col("__size")).otherwise(F.lit(0))

@@ -17,12 +17,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_notices(_table(spark, sf_dir, "documents"))
     base = F.filter("hits", lambda h: (h["edits"] == 0) & h["phrase"].isin([n.phrase for n in BASE]))
     starts = F.transform("base", lambda h: h["first_word"])
+    spans = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["label"], h["first_word"].cast("string"), h["words"].cast("string"), h["edits"].cast("string"))), ",")
     closeness = F.transform("hits", lambda h: 1.0 - h["edits"] / F.char_length(h["phrase"]))
     return found.withColumn("base", base).select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("base", lambda h: h["label"]))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["label"]))), ",").alias("labels"),
-        F.coalesce(F.array_max(closeness), F.lit(0.0)).alias("score"), F.size("hits").cast("long").alias("n_hits"),
+        F.coalesce(F.array_max(closeness), F.lit(0.0)).alias("score"), F.size("hits").cast("long").alias("n_hits"), spans.alias("spans"),
     )
 
 
