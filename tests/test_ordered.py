@@ -83,3 +83,36 @@ def test_key_longer_than_the_measured_key(spark):
     w = Window.partitionBy("k", "sub").orderBy("t")
     want = df.select("t", F.sum("t").over(w).alias("total"))
     assert sorted(map(tuple, out.select("t", "total").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_one_instant_is_cut_evenly(spark):
+    # all rows at one time: only the second column of the order tells them apart
+    df = spark.range(6000).select(F.lit(1).alias("k"), F.lit(7).alias("t"), F.col("id").alias("seq"), (F.col("id") % 11).alias("v"))
+    o = Ordered(df, ["k"], ["t", "seq"], Split(300))
+    sizes = o.df.where(HOME).groupBy(SEG).count().agg(F.max("count"), F.count("count")).first()
+    assert sizes[0] <= 600 and sizes[1] >= 10
+    out = o.running(total=("sum", F.lit(1)), hi=("max", F.col("v"))).last_seen("prev", F.col("seq")).result()
+    assert out.where((F.col("total") != F.col("seq") + 1) | ~F.col("prev").eqNullSafe(F.when(F.col("seq") > 0, F.col("seq") - 1))).isEmpty()
+
+
+def test_segments_beyond_the_sample(spark):
+    # segments longer than the sample taken for each: the cuts are random, the result is not
+    df = spark.range(40_000).select((F.col("id") % 10 == 0).cast("int").alias("k"), F.floor(F.sqrt("id")).alias("t"), F.col("id").alias("seq"))
+    o = Ordered(df, ["k"], ["t", "seq"], Split(3000))
+    assert o.df.where(HOME).groupBy("k", SEG).count().agg(F.max("count")).first()[0] <= 6000
+    w = Window.partitionBy("k").orderBy("t", "seq")
+    want = df.select("seq", F.count("seq").over(w).alias("n")).where("seq % 97 = 0")
+    got = o.running(n=("sum", F.lit(1))).result().select("seq", "n").where("seq % 97 = 0")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stacked_scans_read_the_source_once(spark, tmp_path):
+    spark.range(2000).select(F.lit(1).alias("k"), F.col("id").alias("t"), (F.col("id") % 7).alias("v")).write.parquet(f"{tmp_path}/source")
+    df = spark.read.parquet(f"{tmp_path}/source")
+    for rows in (100, 10_000):
+        o = Ordered(df, ["k"], ["t"], Split(rows)).running(a=("sum", F.col("v")))
+        o.add(b=F.col("a") % 5)
+        out = o.running(c=("max", F.col("b"))).running(descending=True, d=("min", F.col("c"))).result()
+        # the cut plan has written the rows with their segments and goes on from there
+        assert sum("/source/" in f for f in out.inputFiles()) == (0 if rows == 100 else len(df.inputFiles()))
+        assert out.count() == 2000

@@ -7,6 +7,8 @@ visibility. Every operator cuts hot pools into segments (see ``ordered``).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,23 +128,16 @@ def drawdown(events: DataFrame, split: Split = Split()) -> DataFrame:
 
 def horizon_outcomes(events: DataFrame, horizons=(60, 300, 1800, 3600, 86400), split: Split = Split()) -> DataFrame:
     """Per pool and horizon the first swap at or after first swap + horizon; null when none was seen."""
-    split = measured(events, ["pool"], "availability_ns", split)
+    split = measured(events, ["pool"], ORDER, split)
     swaps = drawdown(anchor_price(events, split), split)
-    hs = F.array(*[F.lit(int(h)).cast("bigint") for h in sorted(horizons)])
-    marks = (
-        swaps.select("pool", *ORDER, "anchor_ns", "anchor_seq", "anchor_quote", "anchor_base", "quote_raw", "base_raw",
-                     "drawdown_bps", F.explode(hs).alias("horizon_seconds"))
-        .withColumn("due_ns", F.col("anchor_ns") + F.col("horizon_seconds") * F.lit(SECOND))
-    )
-    hit = F.when(F.col("availability_ns") >= F.col("due_ns"),
-                 F.struct(*ORDER, "quote_raw", "base_raw", "drawdown_bps"))
-    out = marks.groupBy("pool", "horizon_seconds").agg(
-        F.min("due_ns").alias("due_ns"),
-        F.min("anchor_seq").alias("anchor_seq"),
-        F.min("anchor_quote").alias("aq"),
-        F.min("anchor_base").alias("ab"),
-        F.min(hit).alias("m"),
-    )
+    # one conditional minimum a horizon: a swap is one row, however many horizons there are
+    value = F.struct(*ORDER, "quote_raw", "base_raw", "drawdown_bps")
+    hs = sorted({int(h) for h in horizons})
+    due = {h: F.col("anchor_ns") + F.lit(h * SECOND) for h in hs}
+    first = [F.min(c).alias(c) for c in ("anchor_ns", "anchor_seq", "anchor_quote", "anchor_base")]
+    pools = swaps.groupBy("pool").agg(*first, *[F.min(F.when(F.col("availability_ns") >= due[h], value)).alias(f"__m{h}") for h in hs])
+    each = F.array(*[F.struct(F.lit(h).cast("bigint").alias("horizon_seconds"), due[h].alias("due_ns"), F.col(f"__m{h}").alias("m")) for h in hs])
+    out = pools.select("pool", "anchor_seq", F.col("anchor_quote").alias("aq"), F.col("anchor_base").alias("ab"), F.inline(each))
     return out.select(
         "pool",
         "horizon_seconds",
@@ -192,7 +187,10 @@ def decision_outcomes(decisions: DataFrame, marks: DataFrame, horizons=(5, 15, 3
             F.col("quote_raw").cast("decimal(20,0)").alias("q"), F.col("base_raw").cast("decimal(20,0)").alias("b"),
         ).alias("mark"),
     )
-    o = Ordered(due.unionByName(seen), ["pool"], ["t", "rank", "tie"], split)
+    # sizes are measured before a decision becomes a row for every horizon
+    base = decisions.select("pool", F.col("decision_ns").alias("t")).unionByName(marks.select("pool", F.col("availability_ns").alias("t")))
+    found = measured(base, ["pool"], "t", replace(split, rows=max(1, split.rows // (len(horizons) + 1))))
+    o = Ordered(due.unionByName(seen), ["pool"], ["t", "rank", "tie"], found)
     o.last_seen("next", F.col("mark"), F.col("rank") == 1, descending=True)
     out = o.result().where(F.col("rank") == 0)
     ret = return_bps("next.q", "next.b", "aq", "ab")

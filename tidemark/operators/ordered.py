@@ -3,18 +3,23 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. So the row counts
 per key are measured first (a map-side combined count over the key columns). Where no key has
 more than ``Split.rows`` rows, that plain window is the plan. Otherwise each hot key is cut
-along its order axis at quantiles, into segments of about that many rows however bursty the
-axis is (rows of one instant stay together); windows run per (key, segment) and what earlier
-segments know is carried over:
-
-* ``running`` keeps prefix max / min / sum. Each segment is aggregated once (map-side
-  combined), the per-segment results are scanned per key, and the prefix is joined back.
+into segments of about that many rows. The cuts are quantiles of the whole order tuple, taken from a
+random sample of ``SAMPLES`` rows a segment, so neither a bursty axis nor a crowd of rows at one instant
+makes a large segment; only rows equal in the whole order stay together. Windows run per (key, segment) and what
+earlier segments know is carried over:
+
+* ``running`` keeps prefix max / min / sum of any number of columns. Each segment is aggregated once
+  for all of them (map-side combined), the per-segment results are scanned per key, and the prefixes are
+  joined back at once.
 * ``lookback`` copies the last rows of earlier segments in front of the next one, so
   row frames of bounded length see the same rows as without the cut; ``lookback_range``
-  does the same for frames bounded on the order axis.
+  does the same for frames bounded on the order axis (its cuts are quantiles of the axis alone).
+
+The rows of a cut plan are written once with their segments, and once more between two scans of which the later one needs
+the earlier one's result, so the source is read by the plan once, as in the plain plan, however many scans are stacked.
 
-Two tables are broadcast. Hot keys with their segment starts: each key has more than
-``Split.rows`` rows, so there are fewer than total / rows keys and twice as many starts. Segment
+Two tables are broadcast. Hot keys with their cuts: each key has more than
+``Split.rows`` rows, so there are fewer than total / rows keys and twice as many cuts. Segment
 prefixes: one a segment of a hot key; under a longer key than the measured one their number has
 no such bound, and the join is left to Spark. With the default of four million, 10^12 rows give
 at most 250,000 hot keys.
@@ -23,65 +28,82 @@ at most 250,000 hot keys.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from math import ceil, isqrt
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 SEG, HOME, HOT = "__seg", "__home", "__hot"
+#: Rows sampled for each segment, where segments are longer.
+SAMPLES = 64
 
 
 @dataclass(frozen=True)
 class Split:
-    """Rows a key may have before it is cut; ``measured`` fills in which keys those are and where their later segments start."""
+    """Rows a key may have before it is cut; ``measured`` fills in which keys those are and where their later segments start.
+
+    ``order`` has the columns of a start; each entry of ``hot`` ends with the starts of its key.
+    """
 
     rows: int = 4_000_000
     keys: tuple[str, ...] | None = None
+    order: tuple[str, ...] | None = None
     hot: tuple[tuple, ...] | None = None
 
 
-def measured(df: DataFrame, keys, axis: str, split: Split = Split()) -> Split:
+def measured(df: DataFrame, keys, order, split: Split = Split()) -> Split:
     """The split with its hot keys found, to be shared by several scans over the same keys.
 
-    It may be used for any rows whose key includes ``keys`` and whose axis stays in about the
-    same range; counting a superset of the rows is fine.
+    ``order``: the columns that start a segment, the axis first. It may be used for any rows whose key includes ``keys``
+    and whose order begins with such columns in about the same range; counting a superset of the rows is fine.
     """
     if split.hot is not None:
         return split
+    order = (order,) if isinstance(order, str) else tuple(order)
+    split = replace(split, keys=tuple(keys), order=order, hot=())
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > split.rows)
-    hot = [tuple(r) for r in sizes.collect()]
+    hot = [tuple(r)[:-1] for r in sizes.collect()]
     if not hot:
-        return replace(split, keys=tuple(keys), hot=())
-    most = ceil(max(n for *_, n in hot) / split.rows)
+        return split
     fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
-    table = df.sparkSession.createDataFrame(hot, T.StructType([*fields, T.StructField("__n", T.LongType())]))
-    at = F.percentile_approx(F.col(axis).cast("double"), [k / most for k in range(1, most)], max(1000, 8 * most))
-    starts = _attach(df.select(*keys, axis), table, keys).where(F.col("__n").isNotNull()).groupBy(*keys).agg(F.first("__n").alias("__n"), at.alias("__at"))
-    out = []
-    for *key, n, cuts in starts.collect():
-        own = ceil(n / split.rows)
-        out.append((*key, tuple(sorted({cuts[round(most * k / own) - 1] for k in range(1, own)}))))
-    return replace(split, keys=tuple(keys), hot=tuple(out))
+    table = df.sparkSession.createDataFrame([(*k, True) for k in hot], T.StructType([*fields, T.StructField(HOT, T.BooleanType())]))
+    rate = max(1, split.rows // SAMPLES)
+    some = _attach(df.select(*keys, *[c for c in order if c not in keys]), table, keys).where(HOT)
+    if rate > 1:
+        some = some.where(F.rand(1) * rate < 1)
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    starts = some.withColumn("__r", at).where(F.col("__r") % max(1, split.rows // rate) == 0).select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    found: dict[tuple, list] = {k: [] for k in hot}
+    for row in starts.collect():
+        found[tuple(row)[: len(keys)]].append(tuple(row)[len(keys) :])
+    return replace(split, hot=tuple((*k, tuple(_sorted(v))) for k, v in found.items()))
+
+
+def _sorted(starts) -> list[tuple]:
+    """Distinct starts in order, nulls first."""
+    return sorted(set(starts), key=lambda s: [(x is not None, x) for x in s] if None in s else [(True, x) for x in s])
 
 
-def _apart(starts, least: float) -> list[float]:
+def _apart(starts, least: float) -> list[tuple]:
     """The starts without those closer than ``least`` to the one kept before."""
-    kept: list[float] = []
+    kept: list[tuple] = []
     for x in starts:
-        if not kept or x - kept[-1] >= least:
+        if not kept or x[0] - kept[-1][0] >= least:
             kept.append(x)
     return kept
 
 
-def _in_rows(starts: list[float]) -> list[list[float]]:
+def _in_rows(starts: list[tuple]) -> list[list[tuple]]:
     """The starts in rows of equal length, so that a segment is found by its row and then within it."""
     step = isqrt(len(starts)) + 1
     return [starts[i : i + step] for i in range(0, len(starts), step)]
 
 
 def _segment(x: Column) -> Column:
-    """Number of starts in ``__starts`` that are not above x."""
+    """Number of starts in ``__starts`` that are not above the struct x."""
     rows = F.col("__starts")
     row = F.size(F.filter(rows, lambda r: F.get(r, F.lit(0)) <= x)) - 1
     within = F.size(F.filter(F.get(rows, row), lambda b: b <= x))
@@ -102,42 +124,45 @@ class Ordered:
 
     def __init__(self, df: DataFrame, keys, order, split: Split = Split(), lookback: int = 0, lookback_range: int = 0):
         self.keys, self.order = list(keys), list(order)
-        axis = self.order[0]
-        split = measured(df, self.keys, axis, split)
+        split = measured(df, self.keys, self.order[:1] if lookback_range else self.order, split)
         self.cut = bool(split.hot)
         if not self.cut:
             self.df = df
             return
         self.measured = set(split.keys)
-        fields = [T.StructField(k, df.schema[k].dataType) for k in split.keys]
-        starts = T.StructField("__starts", T.ArrayType(T.ArrayType(T.DoubleType())))
+        by = self.order[: 1 if lookback_range else len(split.order)]
         # with a range in view segments are wider than it, so a row is needed by at most one later segment
-        least = 1.0 + lookback_range if lookback_range else 0.0
-        table = [(*key, _in_rows(_apart(cuts, least))) for *key, cuts in split.hot]
+        table = []
+        for *key, starts in split.hot:
+            own = _sorted(s[: len(by)] for s in starts)
+            table.append((*key, _in_rows(_apart(own, 1 + lookback_range) if lookback_range else own)))
+        one = T.StructType([T.StructField(c, df.schema[c].dataType) for c in by])
+        fields = [T.StructField(k, df.schema[k].dataType) for k in split.keys]
+        starts = T.StructField("__starts", T.ArrayType(T.ArrayType(one)))
         rows = _attach(df, df.sparkSession.createDataFrame(table, T.StructType([*fields, starts])), list(split.keys))
-        at = F.col(axis).cast("double")
         rows = (
             rows.withColumn(HOT, F.col("__starts").isNotNull())
-            .withColumn(SEG, F.when(F.col(HOT), _segment(at)).otherwise(F.lit(0).cast("bigint")))
+            .withColumn(SEG, F.when(F.col(HOT), _segment(F.struct(*by))).otherwise(F.lit(0).cast("bigint")))
             .withColumn(HOME, F.lit(True))
         )
         if lookback_range:
-            reach = _segment((F.col(axis) + lookback_range).cast("double"))
+            reach = _segment(F.struct((F.col(by[0]) + lookback_range).cast(one[0].dataType).alias(by[0])))
             rows = (
                 rows.withColumn("__own", F.col(SEG))
                 .withColumn(SEG, F.explode(F.sequence(F.col(SEG), F.when(F.col(HOT), reach).otherwise(F.col(SEG)))))
                 .withColumn(HOME, F.col(SEG) == F.col("__own"))
                 .drop("__own")
             )
-        rows = rows.drop("__starts")
+        rows = cut_lineage(rows.drop("__starts"))
         if lookback:
-            rows = rows.unionByName(self._tails(rows, lookback))
-        self.df = rows
+            rows = rows.unionByName(cut_lineage(self._tails(rows, lookback)))
+        self.df, self._ahead = rows, False
 
     def refine(self, *keys: str) -> "Ordered":
         """The same rows under a longer key: same segments, and no new shuffle."""
         out = object.__new__(Ordered)
-        out.keys, out.order, out.cut, out.df = [*self.keys, *keys], self.order, self.cut, self.df
+        out.__dict__.update(self.__dict__)
+        out.keys = [*self.keys, *keys]
         out.measured = self.measured if self.cut else set()
         return out
 
@@ -181,6 +206,9 @@ class Ordered:
         if not self.cut:
             self.df = self.df.select("*", *[funcs[fn](c).over(w).alias(name) for name, (fn, c) in specs.items()])
             return self
+        if self._ahead:  # the rows are read twice below
+            self.df = cut_lineage(self.df)
+        self._ahead = True
         df = self.df
         for name, (fn, c) in specs.items():
             # copies in front of a segment are already part of the carried sum
@@ -219,7 +247,7 @@ class Ordered:
         return self
 
     def add(self, **cols: Column) -> "Ordered":
-        self.df = self.df.withColumns(cols)
+        self.df, self._ahead = self.df.withColumns(cols), True
         return self
 
     def result(self) -> DataFrame:

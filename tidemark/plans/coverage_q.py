@@ -58,10 +58,10 @@ def range_checkpoint(spark, sf):
 
 
 @query("retry_queue", f"""WITH {BLOCKS} SELECT slot, reason, attempt_id, CASE reason WHEN 'rpc_-32015' THEN 'only_after_request_version_increase' ELSE 'bounded_backoff' END AS retry
-FROM st WHERE status IN ('unavailable', 'error') AND reason <> 'not_attempted' AND slot < 9000 AND (reason <> 'rpc_-32015' OR slot % 2 < 1)""")
+FROM st WHERE status IN ('unavailable', 'error') AND reason <> 'not_attempted' AND (reason <> 'rpc_-32015' OR slot % 2 < 1)""")
 def retry_queue(spark, sf):
     st, b = states(spark, sf)
-    return C.retry_queue(st, b["attempts"], 9000, 1).select("slot", "reason", "attempt_id", "retry")
+    return C.retry_queue(st, b["attempts"], top(spark, sf) + 1, 1).select("slot", "reason", "attempt_id", "retry")
 
 
 @query("coverage_report", f"""WITH {BLOCKS} SELECT count(*) FILTER (WHERE status = 'archived') AS archived, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'unavailable') AS unavailable,

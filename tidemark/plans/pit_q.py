@@ -78,9 +78,9 @@ def publication_regressions(spark, sf):
     return I.publication_regressions(p, Split(700))
 
 
-@query("publish_batch", f"""WITH {CAP} SELECT source, source_id, {CAP_ORDER.replace('available_at, ', '')}, 1700000000000000 AS available_at FROM cap WHERE document = 'N|O'""")
+@query("publish_batch", f"""WITH {CAP} SELECT source, source_id, {CAP_ORDER.replace('available_at, ', '')}, 1700000000000000 AS available_at FROM cap""")
 def publish_batch(spark, sf):
-    a = captures(spark, sf).where("document = 'N|O'").withColumnRenamed("available_at", "processed_at")
+    a = captures(spark, sf).withColumnRenamed("available_at", "processed_at")
     out = I.publish(a, 1_700_000_000_000_000, captures(spark, sf))
     return out.select("source", "source_id", "p", "s", "x", "q", "d", "a", "available_at")
 

@@ -157,6 +157,39 @@ def stream_published(spark, sf):
     return spark.read.parquet(f"{path}/table/published").select("id", "hash")
 
 
+ARRIVALS = """r AS (SELECT l_orderkey AS id, l_returnflag || l_linestatus AS hash, l_linenumber AS n, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 1000 + CAST(l_quantity AS BIGINT) AS ord FROM lineitem),
+f AS (SELECT id, arg_min(hash, {b: CASE WHEN n <= 2 THEN 1 WHEN n <= 4 THEN 2 ELSE 3 END, o: ord, h: hash}) AS first FROM r GROUP BY id)"""
+
+
+@query("stream_published_batches", f"""WITH {ARRIVALS} SELECT CAST(id AS VARCHAR) AS id, first AS content, 'new' AS action FROM f
+UNION ALL SELECT CAST(id AS VARCHAR), hash, 'conflict' FROM (SELECT DISTINCT r.id, hash, CASE WHEN n <= 2 THEN 1 WHEN n <= 4 THEN 2 ELSE 3 END AS b FROM r JOIN f ON r.id = f.id WHERE hash <> first)
+ JOIN (VALUES (1), (2), (2), (3)) v(d) ON b = d""")
+def stream_published_batches(spark, sf):
+    """Three batches, and the second one delivered again: known ids are looked up in keyed state, not in what was published."""
+    with_rocksdb(spark)
+    path = S.scratch(spark)
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("hash"), F.col("l_linenumber").alias("n"),
+                                             (F.col("l_linenumber").cast("bigint") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("bigint")).alias("ord"))
+    out = None
+    for part in ("n <= 2", "n between 3 and 4", "n > 4", "n between 3 and 4"):
+        li.where(part).drop("n").coalesce(1).write.mode("append").parquet(f"{path}/landing")
+        out = X.run_available(X.stream_known_ids(S.stream_frames(spark, f"{path}/landing", li.drop("n").schema), buckets=16), path)
+    return out
+
+
+@query("stream_closed_feed_windows", """WITH t AS (SELECT user_id, ts, epoch_us(ts) * 1000 AS ns, event_type, time_bucket(INTERVAL '1 day', ts) AS d FROM events), m AS (SELECT max(ts) - INTERVAL '2 days' AS w FROM t)
+SELECT user_id AS window_id, epoch_us(d) AS starts_us, min(ns) AS first_ns, max(ns) AS last_ns, count(*) AS messages, bool_or(event_type = 'signup') AS opened, bool_or(event_type = 'error') AS closed, 'PARTIAL' AS coverage
+FROM t, m WHERE d + INTERVAL '1 day' <= w GROUP BY user_id, d""")
+def stream_closed_feed_windows(spark, sf):
+    """Days of each feed that are over, two days after the newest message."""
+    schema = table(spark, sf, "events").schema
+    e = S.stream_frames(spark, sf, schema, glob="events.parquet")
+    m = e.select(F.col("user_id").alias("window_id"), (micros(e, "ts") * 1000).alias("observed_ns"), F.expr("case event_type when 'signup' then 'open' when 'error' then 'close' end").alias("marker"),
+                 F.timestamp_micros(micros(e, "ts")).alias("at"))
+    out = X.run_available(X.stream_closed_windows(m, "at", "1 day", "2 days"), S.scratch(spark))
+    return out.select("window_id", F.unix_micros("starts").alias("starts_us"), "first_ns", "last_ns", "messages", "opened", "closed", "coverage")
+
+
 @query("stream_feed_coverage", f"""WITH {EV} SELECT pool AS window_id, min(availability_ns) AS first_ns, max(availability_ns) AS last_ns, count(*) AS messages, bool_or(kind = 'pool_created') AS opened, bool_or(kind = 'failed') AS closed, 'PARTIAL' AS coverage FROM ev GROUP BY pool""")
 def stream_feed_coverage(spark, sf):
     m = stream_events(spark, sf).select(F.col("pool").alias("window_id"), "seq", F.col("availability_ns").alias("observed_ns"), F.expr("case kind when 'pool_created' then 'open' when 'failed' then 'close' end").alias("marker"))

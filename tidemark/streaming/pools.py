@@ -161,6 +161,62 @@ def stream_publish(stream: DataFrame, path: str, checkpoint: str, identity: str
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
 
 
+class KnownIds(StatefulProcessor):
+    """Content of every id of a bucket: the first content is new, the same again is dropped, another one is a conflict."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "id string", "content string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ord", "content"], kind="stable")
+        batch = batch.drop_duplicates(["id", "content"])
+        out = []
+        for id_, contents in batch.groupby("id", sort=False)["content"]:
+            contents = contents.tolist()
+            if self.known.containsKey((id_,)):
+                first = self.known.getValue((id_,))[0]
+            else:
+                first = contents[0]
+                self.known.updateValue((id_,), (first,))
+                out.append((id_, first, "new"))
+            out += [(id_, c, "conflict") for c in contents if c != first]
+        yield pd.DataFrame(out, columns=["id", "content", "action"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_known_ids(stream: DataFrame, identity: str = "id", content: str = "hash", order: str = "ord", buckets: int = 200, ttl_ms: int | None = None) -> DataFrame:
+    """id, content and action (new or conflict) of a stream; repeats of a known content are dropped.
+
+    State is keyed by id inside buckets, so a batch touches only its own ids however long the history is. Written by a file sink, each
+    batch is listed in one atomic step, so a batch that runs again adds nothing. ``ttl_ms`` forgets ids after that time; without it
+    ids are kept for ever, as exactly-once publication needs. In one batch the smallest (order, content) of an id comes first.
+    """
+    rows = stream.select(
+        F.pmod(F.xxhash64(identity), F.lit(buckets)).cast("int").alias("bucket"), F.col(identity).cast("string").alias("id"),
+        F.col(content).cast("string").alias("content"), F.col(order).cast("bigint").alias("ord"))
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=KnownIds(ttl_ms), outputStructType="id string, content string, action string", outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+
+
+def stream_closed_windows(messages: DataFrame, event_time: str, length: str, delay: str) -> DataFrame:
+    """Feed windows of fixed length, written once when the watermark has passed them; state of closed windows is dropped.
+
+    messages: window_id (the feed), observed_ns, marker and a timestamp.
+    """
+    return (
+        messages.withWatermark(event_time, delay)
+        .groupBy("window_id", F.window(event_time, length).alias("w"))
+        .agg(F.min("observed_ns").alias("first_ns"), F.max("observed_ns").alias("last_ns"), F.count(F.lit(1)).alias("messages"),
+             F.max(F.col("marker").eqNullSafe("open")).alias("opened"), F.max(F.col("marker").eqNullSafe("close")).alias("closed"))
+        .select("window_id", F.col("w.start").alias("starts"), "first_ns", "last_ns", "messages", "opened", "closed", F.lit("PARTIAL").alias("coverage"))
+    )
+
+
 def stream_coverage(messages: DataFrame) -> DataFrame:
     """Per feed window: bounds, messages, open and close markers; coverage stays PARTIAL by nature.
 
