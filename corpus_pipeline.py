@@ -59,7 +59,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from tidemark.llm.packing import pack_documents
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the workers still hold what the stages before remember, so this one remembers less
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=150_000, at_once=1 << 20)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
