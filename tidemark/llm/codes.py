@@ -2,8 +2,8 @@
 
 Integer k-means with the pivots of LAESA: distances from every part to a few fixed pivots are computed once and stored beside the
 vectors. Each round computes the distances from the pivots to the entries only; the largest difference of the two over all
-pivots is a lower bound of the distance from part to entry. Entries are visited in waves in the order of their bounds, exact integer
-distances are computed only while a bound stays within the best distance found, and ties go to the lower index.
+pivots is a lower bound of the distance from part to entry. The entries of the lowest bounds are evaluated first, in whole numbers; others
+only if their bound stays within the best distance found, and ties go to the lower index.
 
 Null and edge cases
 * vectors that are null, empty or hold null or non-finite components take no part, nor do vectors whose length is not that of
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import lookup, map_batches, written
 
-#: Pivots of each part position, and entries evaluated in each wave after the first.
-PIVOTS, WAVE = 8, 8
+#: Pivots of each part position, entries evaluated before the others, and the share (one in MANY) of open pairs above which a block is
+#: evaluated as a whole; parts in a block.
+PIVOTS, WAVE, MANY, BLOCK = 8, 8, 10, 256
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector: str, label: str, scale: int) -> DataFrame:
@@ -58,32 +59,54 @@ def spread_pivots(entries: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray, entry_to_pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(index of the nearest entry, its squared distance, exact distances computed) for each part; ties to the lower index."""
+    """(index of the nearest entry, its squared distance, pairs left open by the bounds) for each part; ties to the lower index.
+
+    The entries of the lowest bounds go first; of the others only those are evaluated whose bound stays within the best distance
+    found. Open pairs are evaluated one by one where they are few, and by a product of the whole block where they are many.
+    """
     n, k = len(x), len(entries)
-    bound = np.zeros((n, k))
-    for p in range(to_pivots.shape[1]):
-        np.maximum(bound, np.abs(to_pivots[:, p : p + 1] - entry_to_pivots[None, :, p]), out=bound)
+    far, near = to_pivots.astype(np.float32), entry_to_pivots.T.astype(np.float32)
+    bound, one = np.zeros((n, k), dtype=np.float32), np.empty((n, k), dtype=np.float32)
+    for p in range(far.shape[1]):
+        np.subtract(far[:, p : p + 1], near[p][None, :], out=one)
+        np.abs(one, out=one)
+        np.maximum(bound, one, out=bound)
     # distances are rounded square roots: a margin keeps the bound below the true distance
-    bound = np.maximum(bound * (1 - 1e-9) - 1e-12 * to_pivots.max(axis=1, initial=0)[:, None], 0) ** 2
-    order = np.argsort(bound, axis=1, kind="stable")
-    best, at, done = np.full(n, np.iinfo(np.int64).max), np.full(n, k, dtype=np.int64), 0
-    lo, rows = 0, np.arange(n)
-    while lo < k and len(rows):
-        hi = min(k, lo + (1 if lo == 0 else WAVE))
-        some = order[rows, lo:hi]
-        open_ = bound[rows[:, None], some] <= best[rows, None]
-        r, c = np.nonzero(open_)
+    bound -= np.float32(1e-6) * (far.max(initial=0) + near.max(initial=0))
+    np.maximum(bound, 0, out=bound)
+    bound *= bound
+    best, at = np.full(n, np.iinfo(np.int64).max), np.full(n, k, dtype=np.int64)
+
+    def visit(r: np.ndarray, e: np.ndarray) -> None:
         if len(r):
-            e = some[r, c]
-            d = ((x[rows[r]] - entries[e]) ** 2).sum(axis=1)
-            done += len(d)
-            first = np.lexsort((e, d, r))
-            lead = first[np.unique(r[first], return_index=True)[1]]
-            who = rows[r[lead]]
+            d = ((x[r] - entries[e]) ** 2).sum(axis=1)
+            order = np.lexsort((e, d, r))
+            lead = order[np.concatenate([[True], r[order][1:] != r[order][:-1]])]
+            who = r[lead]
             better = (d[lead] < best[who]) | ((d[lead] == best[who]) & (e[lead] < at[who]))
             best[who[better]], at[who[better]] = d[lead][better], e[lead][better]
-        rows = rows[open_[:, -1]] if lo else rows  # bounds rise along the order, so a row whose last entry is cut off is done
-        lo = hi
+
+    def within() -> np.ndarray:
+        return best.astype(np.float32)[:, None] * np.float32(1.000001)
+
+    if not n:
+        return at, best, 0
+    every = np.arange(n)
+    ahead = np.argpartition(bound, WAVE, axis=1)[:, :WAVE] if k > WAVE else np.broadcast_to(np.arange(k), (n, k))
+    lowest = bound[every[:, None], ahead].argmin(axis=1)
+    visit(every, ahead[every, lowest])
+    rest = bound[every[:, None], ahead] <= within()
+    r, c = np.nonzero(rest)
+    visit(r, ahead[r, c])
+    open_ = bound <= within()
+    done = int(open_.sum())
+    if done > n * k // MANY and x.shape[1] * float(max(np.abs(x).max(), np.abs(entries).max())) ** 2 < 2**50:
+        a, b = x.astype(float), entries.astype(float)  # whole numbers below 2^53: exact
+        d = (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+        at = d.argmin(axis=1)  # the first of equal distances
+        best = (d[every, at] + (a * a).sum(axis=1)).astype(np.int64)
+    else:
+        visit(*np.nonzero(open_))
     return at, best, done
 
 
@@ -116,11 +139,11 @@ def _unpacked(cols: dict, parts: int, width: int, pivots: list[np.ndarray]):
 
 
 def _assigned(cols: dict, books: list[np.ndarray], pivots: list[np.ndarray], to_entries: list[np.ndarray], parts: int, width: int):
-    """Per part position (parts, entry of each, squared distance), a few thousand rows at a time inside."""
+    """Per part position (parts, entry of each, squared distance)."""
     for p, (x, far) in enumerate(_unpacked(cols, parts, width, pivots)):
         at, best = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(0, len(x), 2048):
-            a, b, _ = nearest(x[i : i + 2048], far[i : i + 2048], books[p], to_entries[p])
+        for i in range(0, len(x), BLOCK):
+            a, b, _ = nearest(x[i : i + BLOCK], far[i : i + BLOCK], books[p], to_entries[p])
             at.append(a)
             best.append(b)
         yield x, np.concatenate(at), np.concatenate(best)

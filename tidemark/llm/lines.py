@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, map_batches, raw, written
+from .common import lookup, map_batches, raw, sized, written
 
 #: Bits of a slice of the filters; the share of a filter that one task folds at a time.
 SLICE = 1 << 20
@@ -172,7 +172,9 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     counted = found.select("key", id_col).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("held_by"), F.max(id_col).alias("keeper"))
     common = written(counted.where(F.col("held_by") >= documents), "line-repeats")
     spread = lookup(found, common, "key", "held_by", "inner").where(~F.col(id_col).eqNullSafe(F.col("keeper")))
-    drops = spread.groupBy(F.col(id_col).alias("__of")).agg(F.collect_set("key").alias("__drop"))
+    drops = written(spread.groupBy(F.col(id_col).alias("__of")).agg(F.collect_set("key").alias("__drop")), "line-drops")
+    # texts are shuffled only if the lists of their lines are too large to be sent to them
+    drops = sized(drops, drops.agg(F.sum(F.size("__drop") * 24 + 40)).first()[0] or 0)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(cols: dict) -> dict:

@@ -34,8 +34,8 @@ from .common import map_batches, raw, written
 
 #: Pieces of one length that one task ranks, about.
 RANK_ROWS = 50_000
-#: Bytes of texts that are encoded together, about.
-TEXT_BYTES = 16 << 20
+#: Bytes of texts that are encoded together, about, and chunks whose ids a worker remembers.
+TEXT_BYTES, REMEMBER = 8 << 20, 500_000
 
 
 class Memory:
@@ -158,14 +158,18 @@ class SpacedTokenizer:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-@functools.lru_cache(maxsize=2)
-def _loaded(path: str) -> SpacedTokenizer:
-    return SpacedTokenizer(path)
+@functools.lru_cache(maxsize=1)
+def _loaded(path: str, remember: int) -> SpacedTokenizer:
+    return SpacedTokenizer(path, remember)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text: str = "text",
-                 with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece (from 0), start, length, ids_crc32 and, if asked for, ids."""
+                 with_ids: bool = False, remember: int = REMEMBER, at_once: int = TEXT_BYTES) -> DataFrame:
+    """One row per piece: id, piece (from 0), start, length, ids_crc32 and, if asked for, ids.
+
+    ``remember``: chunks, and pieces of chunks, that a worker keeps the ids of; ``at_once``: bytes of texts that it encodes together. Both trade
+    memory for time only.
+    """
     names = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def encoded(texts: Iterator[bytes]) -> Iterator[np.ndarray]:
@@ -173,10 +177,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
         for t in texts:
             held.append(t)
             size += len(t)
-            if size >= TEXT_BYTES:
-                yield from _loaded(tokenizer).ids_of(held)
+            if size >= at_once:
+                yield from _loaded(tokenizer, remember).ids_of(held)
                 held, size = [], 0
-        yield from _loaded(tokenizer).ids_of(held)
+        yield from _loaded(tokenizer, remember).ids_of(held)
 
     def cut(cols: dict) -> dict:
         out = {k: [] for k in names}
@@ -298,7 +302,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, length: str = "length", order=
     return map_batches(ranked, place, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text: str = "text",
+                   remember: int = REMEMBER, at_once: int = TEXT_BYTES) -> DataFrame:
     """Token pieces of all documents with their places; texts are encoded once, into a written table."""
-    pieces = written(token_pieces(docs, tokenizer, capacity, end_id, id_col, text), "pieces")
+    pieces = written(token_pieces(docs, tokenizer, capacity, end_id, id_col, text, remember=remember, at_once=at_once), "pieces")
     return pack(pieces, capacity, order=(id_col, "piece", "ids_crc32"))
