@@ -185,12 +185,12 @@ def test_many_clashes_in_a_few_waves(spark):
 def test_clashes_that_depend_on_each_other(spark):
     """A refused row frees the id that refused the next one, along a staircase of chains."""
     rows, c = [], 0
-    for k in range(12):
+    for k in range(5):
         for own, rev, sup in ((f"a{k}", 0, None), (f"a{k + 1}", 1, f"a{k}")):
             rows.append((c, "s", own, f"l{k}", "swap", rev, sup, False, f"d{k}"))
             c += 1
     r = Random(2)
-    for c in range(100, 500):
+    for c in range(100, 260):
         rev = r.randint(0, 3)
         rows.append((c, r.choice("tu"), f"x{r.randint(0, 25)}", r.choice("abcdef"), "swap", rev, f"x{r.randint(0, 25)}" if rev else None, False, f"d{r.randint(0, 1)}"))
     df = spark.createDataFrame(rows, REC).repartition(5)
