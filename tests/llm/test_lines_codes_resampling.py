@@ -205,7 +205,7 @@ def test_ranks_of_regular_samples(spark):
     """Many segments, very unequal runs and one value for half of the rows."""
     r = random.Random(3)
     rows = [(5 if i % 2 else r.randint(-1000, 1000), r.randint(0, 50)) for i in range(4000)] + [(None, 1), (None, None)]
-    df = spark.createDataFrame(rows, "a long, b long").repartition(7, F.col("a"))
+    df = spark.createDataFrame(rows, "a long, b long").repartition(7, "a")
     got = resampling.ranked(df, ["a", "b"], segment_rows=20).collect()
     first = [(x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0) for x in sorted(got, key=lambda x: x["rank"])]
     assert [x["rank"] for x in sorted(got, key=lambda x: x["rank"])] == list(range(1, len(rows) + 1))
