@@ -21,6 +21,8 @@ from .common import SPACED_WORD, unit, written
 
 #: Rows of a source that one task may put in order: those of the cell of keys in which its budget ends.
 CELL_ROWS = 4096
+#: The same limit under its earlier name; the smaller of the two holds.
+BUCKET_ROWS = 4096
 #: A cell is cut into 2^CELL_BITS at a time, up to MOST_BITS in all; what is then still together has all but equal keys.
 CELL_BITS, MOST_BITS = 10, 50
 
@@ -120,7 +122,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     # mean weight times key is about exponential, so its distribution function spreads a source about evenly over (0, 1)
     row = row.withColumn("__x", 1.0 - F.exp(-F.col("__key") * F.col("__mean")))
     edge, bits = None, 0
-    while bits < MOST_BITS and (edge is None or not edge.where(F.col("__n") > CELL_ROWS).isEmpty()):
+    while bits < MOST_BITS and (edge is None or not edge.where(F.col("__n") > min(CELL_ROWS, BUCKET_ROWS)).isEmpty()):
         edge, bits = _edges(row, edge, bits), bits + CELL_BITS
     row = row.join(edge.drop("__n"), F.col("__source").eqNullSafe(F.col("__edge_of")), "left").withColumn("__cell", _cell(bits))
     at_edge = F.coalesce(F.col("__cell") == F.col("__edge"), F.lit(False))

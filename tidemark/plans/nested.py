@@ -9,12 +9,13 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import protocol
-from ..functions.codecs import base58_encode, checked_transfer_payload, from_base58, to_base58, transfer_payload
+from ..functions.codecs import as_lists, base58_encode, each_distinct, encode_batch, from_base58, to_base58
 from ..operators import decode as D
 from ..operators.validate import TOKEN
 from .views import SWAP, events, landed, micros, table
@@ -33,58 +34,72 @@ def fixed_key(text: str) -> str:
     return to_base58(hashlib.sha256(text.encode()).digest())
 
 
-def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return landed(spark, sf, "blocks", lambda: _blocks(spark, sf))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def hashed_keys(prefix: pa.Array, numbers: pa.Array) -> pa.Array:
+    """The keys of the prefix with each number of a list."""
+    p = prefix[0].as_py() if len(prefix) else ""
+    return each_distinct(numbers, lambda found: encode_batch([hashlib.sha256(f"{p}{x}".encode()).digest() for x in found]), pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def signatures(texts: pa.Array) -> pa.Array:
+    """Signatures made of two hashes of each text of a list."""
+    def work(found):
+        return encode_batch([hashlib.sha256(f"x{t}".encode()).digest() + hashlib.sha256(f"y{t}".encode()).digest() for t in found])
+    return each_distinct(texts, work, pa.string())
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """A block per order, a transaction per lineitem row (sorted by all its columns)."""
-    # partitioned by block before the encoding, so the grouping below needs no second shuffle
-    li = table(spark, sf, "lineitem").repartition(wide(spark), "l_orderkey")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def payloads(amounts: pa.Array, decimals: pa.Array) -> pa.Array:
+    """Transfer data of the lists: opcode 2 (u32) and amount (u64), or tag 12, amount and decimals (u8) where these are given; little-endian."""
+    raw = [None if a is None else (b"\2\0\0\0" if d is None else b"\x0c") + a.to_bytes(8, "little") + (b"" if d is None else bytes([d]))
+           for a, d in zip(amounts.flatten().to_pylist(), decimals.flatten().to_pylist())]
+    return as_lists(amounts, pa.array(encode_batch(raw), pa.string()))
+
+
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """A block per order, a transaction per lineitem row (sorted by all its columns).
+
+    Rows meet while they are narrow: the one shuffle and the grouping carry numbers, and keys, signatures and payloads are encoded from the
+    lists of a block afterwards. A query reads its blocks once, so they are not written down first.
+    """
+    li = table(spark, sf, "lineitem")
     r = li.select(
         F.col("l_orderkey").alias("slot"), F.col("l_linenumber").cast("bigint").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("x"), F.col("l_quantity").cast("bigint").alias("q"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("d"), F.round(F.col("l_tax") * 100).cast("bigint").alias("a"),
-        micros(li, "l_shipdate").alias("t"), F.col("l_returnflag").alias("f"))
-    sig = F.concat(F.sha2(F.concat_ws("|", F.lit("x"), "slot", "n"), 256), F.sha2(F.concat_ws("|", F.lit("y"), "slot", "n"), 256))
-    r = r.withColumns({
-        "ka": key_of(F.concat(F.lit("p"), F.col("p").cast("string"))), "ks": key_of(F.concat(F.lit("s"), F.col("s").cast("string"))),
-        "km": key_of(F.concat(F.lit("m"), F.col("n").cast("string"))), "sig": base58_encode(F.unhex(sig)),
-        "dn": base58_encode(transfer_payload("x")), "dr": base58_encode(checked_transfer_payload("x", "n")),
-    })
-    prog = F.expr(f"case f when 'N' then '{D.SYSTEM}' when 'R' then '{TOKEN}' else '{fixed_key('other')}' end")
-    data = F.expr("case when f = 'A' then 'abc' when f = 'R' or q = 7 then dr else dn end")
-    ix = F.struct(F.lit(4).alias("programIdIndex"), F.when(F.col("f") == "N", F.array(F.lit(0), F.lit(1))).otherwise(F.array(*[F.lit(i) for i in range(4)])).alias("accounts"),
-                  data.alias("data"), F.lit(None).cast("int").alias("stackHeight"))
-    deep = F.struct(F.lit(4).alias("programIdIndex"), F.array(F.lit(0), F.lit(1)).alias("accounts"), F.col("dn").alias("data"), F.lit(2).alias("stackHeight"))
-    group = f"array<struct<index:int,instructions:array<{D.INSTRUCTION}>>>"
-    inner = F.when(F.col("q") % 2 == 1, F.lit(None)).when(F.col("a") == 1, F.array(F.struct(F.lit(0).alias("index"), F.array(deep).alias("instructions")))).otherwise(F.array()).cast(group)
+        micros(li, "l_shipdate").alias("t"), F.col("l_returnflag").alias("f")).repartition(wide(spark), "slot")
+    g = r.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("n", "p", "s", "x", "q", "d", "a", "t", "f"))).alias("l"))
+
+    deep = F.expr("transform(l, e -> if(e.q % 2 = 0 and e.a = 1, e.x, null))")
+    paid = F.expr("transform(l, e -> if(e.f <=> 'A', null, e.x))")
+    checked = F.expr("transform(l, e -> if(e.f = 'R' or e.q = 7, e.n, null))")
+    g = g.select(
+        "slot", "l", hashed_keys(F.lit("p"), "l.p").alias("ka"), hashed_keys(F.lit("s"), "l.s").alias("ks"), hashed_keys(F.lit("m"), "l.n").alias("km"),
+        signatures(F.expr("transform(l, e -> concat_ws('|', '', slot, e.n))")).alias("sig"), payloads(paid, checked).alias("data"),
+        payloads(deep, F.expr("transform(l, e -> cast(null as bigint))")).alias("dn"))
 
-    def balance(amount):
-        return F.struct(F.lit(0).alias("accountIndex"), F.col("km").alias("mint"), F.lit(None).cast("string").alias("owner"), F.lit(TOKEN).alias("programId"),
-                        amount.cast("string").alias("amount"), F.lit(6).alias("decimals"))
+    def instruction(accounts: str, data: str, depth: str) -> str:
+        return f"named_struct('programIdIndex', 4, 'accounts', {accounts}, 'data', {data}, 'stackHeight', {depth})"
 
-    before, after = F.col("q") * 100, F.col("q") * 100 + F.col("x") % 7 - 3
+    def balance(units: str) -> str:
+        return f"array(named_struct('accountIndex', 0, 'mint', km[i], 'owner', cast(null as string), 'programId', '{TOKEN}', 'amount', cast({units} as string), 'decimals', 6))"
+
+    ix = instruction("if(e.f = 'N', array(0, 1), array(0, 1, 2, 3))", "if(e.f = 'A', 'abc', data[i])", "cast(null as int)")
+    group = f"array<struct<index:int,instructions:array<{D.INSTRUCTION}>>>"
+    inner = (f"case when e.q % 2 = 1 then cast(null as {group}) when e.a = 1 then array(named_struct('index', 0, 'instructions', array({instruction('array(0, 1)', 'dn[i]', '2')})))"
+             f" else cast(array() as {group}) end")
     bal = f"array<{D.BALANCE}>"
-    meta = F.struct(
-        F.lit(True).alias("errPresent"), F.when(F.col("d") == 10, "boom").alias("err"), F.col("x").cast("string").alias("fee"),
-        F.lit(None).cast("struct<writable:array<string>,readonly:array<string>>").alias("loadedAddresses"), inner.alias("innerInstructions"),
-        F.when(F.col("q") % 3 != 0, F.array(balance(before))).cast(bal).alias("preTokenBalances"),
-        F.when((F.col("q") % 3 == 1) & (F.col("s") % 5 == 0), F.array().cast(bal)).otherwise(F.array(balance(after))).cast(bal).alias("postTokenBalances"))
-    tx = F.struct(
-        F.expr("case when a = 8 then '5' when s % 2 = 0 then '0' else 'legacy' end").alias("version"), F.array("sig").alias("signatures"),
-        F.array("ka", "ks", "km", "ka", prog).alias("accountKeys"), F.lit(0).alias("lookups"), F.array(ix).alias("instructions"),
-        F.when(F.col("q") != 50, meta).alias("meta")).cast(D.TRANSACTION)
-    r = r.select("slot", "n", "p", "s", "x", "q", "d", "a", "t", tx.alias("tx"))
-    order = ("n", "p", "s", "x", "q", "d", "a", "t")
-    sorted_tx = F.array_sort(F.collect_list(F.struct(*order, "tx")), lambda u, v: _compare(u, v, order))
-    return r.groupBy("slot").agg(sorted_tx.alias("l")).select(
-        "slot", F.concat(F.lit("b"), F.col("slot").cast("string")).alias("blockhash"), F.expr("transform(l, e -> e.tx)").alias("transactions"))
-
-
-def _compare(u, v, order):
-    a, b = F.struct(*[u[c] for c in order]), F.struct(*[v[c] for c in order])
-    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+    meta = (
+        "named_struct('errPresent', true, 'err', if(e.d = 10, 'boom', null), 'fee', cast(e.x as string), 'loadedAddresses', cast(null as struct<writable:array<string>,readonly:array<string>>),"
+        f" 'innerInstructions', {inner}, 'preTokenBalances', if(e.q % 3 <> 0, {balance('e.q * 100')}, cast(null as {bal})),"
+        f" 'postTokenBalances', if(e.q % 3 = 1 and e.s % 5 = 0, cast(array() as {bal}), {balance('e.q * 100 + e.x % 7 - 3')}))")
+    prog = f"case e.f when 'N' then '{D.SYSTEM}' when 'R' then '{TOKEN}' else '{fixed_key('other')}' end"
+    tx = (
+        "named_struct('version', case when e.a = 8 then '5' when e.s % 2 = 0 then '0' else 'legacy' end, 'signatures', array(sig[i]), 'accountKeys', array(ka[i], ks[i], km[i], ka[i], "
+        f"{prog}), 'lookups', 0, 'instructions', array({ix}), 'meta', if(e.q <> 50, {meta}, null))")
+    made = F.expr(f"transform(l, (e, i) -> {tx})").cast(f"array<{D.TRANSACTION}>")
+    return D.settle(g, blockhash=F.concat(F.lit("b"), F.col("slot").cast("string")), transactions=made).select("slot", "blockhash", "transactions")
 
 
 NESTED = """nt AS (SELECT l_orderkey AS slot, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS p, l_suppkey AS s, CAST(round(l_extendedprice * 100) AS BIGINT) AS x, CAST(l_quantity AS BIGINT) AS q,
