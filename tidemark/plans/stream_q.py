@@ -172,7 +172,7 @@ def stream_published_batches(spark, sf):
                                              (F.col("l_linenumber").cast("bigint") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("bigint")).alias("ord"))
     out = None
     for part in ("n <= 2", "n between 3 and 4", "n > 4", "n between 3 and 4"):
-        li.where(part).drop("n").coalesce(1).write.mode("append").parquet(f"{path}/landing")
+        li.where(part).drop("n").write.mode("append").parquet(f"{path}/landing")
         out = X.run_available(X.stream_known_ids(S.stream_frames(spark, f"{path}/landing", li.drop("n").schema), buckets=16), path)
     return out
 

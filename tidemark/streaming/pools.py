@@ -161,28 +161,40 @@ def stream_publish(stream: DataFrame, path: str, checkpoint: str, identity: str
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
 
 
+#: Shelves of ids in a bucket: what one state entry holds is one of these.
+SHELVES = 4096
+
+
 class KnownIds(StatefulProcessor):
-    """Content of every id of a bucket: the first content is new, the same again is dropped, another one is a conflict."""
+    """Content of every id of a bucket: the first content is new, the same again is dropped, another one is a conflict.
+
+    Ids lie on shelves, a map from id to content each, so a batch reads and writes its shelves once instead of every id by itself. With
+    a time to live an id is a shelf of its own, as it is forgotten by itself.
+    """
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "id string", "content string", self.ttl_ms)
+        self.known = handle.getMapState("known", "shelf string", "ids array<string>, contents array<string>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ord", "content"], kind="stable")
         batch = batch.drop_duplicates(["id", "content"])
+        batch = batch[batch["id"].notna()]
         out = []
-        for id_, contents in batch.groupby("id", sort=False)["content"]:
-            contents = contents.tolist()
-            if self.known.containsKey((id_,)):
-                first = self.known.getValue((id_,))[0]
-            else:
-                first = contents[0]
-                self.known.updateValue((id_,), (first,))
-                out.append((id_, first, "new"))
-            out += [(id_, c, "conflict") for c in contents if c != first]
+        for shelf, some in batch.groupby("shelf" if self.ttl_ms is None else "id", sort=False):
+            shelf = (str(shelf),)
+            known = dict(zip(*self.known.getValue(shelf))) if self.known.containsKey(shelf) else {}
+            before = len(known)
+            for id_, content in zip(some["id"], some["content"]):
+                if id_ not in known:
+                    known[id_] = content
+                    out.append((id_, content, "new"))
+                elif known[id_] != content:
+                    out.append((id_, content, "conflict"))
+            if len(known) > before:
+                self.known.updateValue(shelf, (list(known), list(known.values())))
         yield pd.DataFrame(out, columns=["id", "content", "action"])
 
     def close(self) -> None:
@@ -192,12 +204,13 @@ class KnownIds(StatefulProcessor):
 def stream_known_ids(stream: DataFrame, identity: str = "id", content: str = "hash", order: str = "ord", buckets: int = 200, ttl_ms: int | None = None) -> DataFrame:
     """id, content and action (new or conflict) of a stream; repeats of a known content are dropped.
 
-    State is keyed by id inside buckets, so a batch touches only its own ids however long the history is. Written by a file sink, each
+    State is keyed by shelves of ids inside buckets, so a batch touches the shelves of its own ids, a small part of a long history if it is small itself. Written by a file sink, each
     batch is listed in one atomic step, so a batch that runs again adds nothing. ``ttl_ms`` forgets ids after that time; without it
     ids are kept for ever, as exactly-once publication needs. In one batch the smallest (order, content) of an id comes first.
     """
     rows = stream.select(
-        F.pmod(F.xxhash64(identity), F.lit(buckets)).cast("int").alias("bucket"), F.col(identity).cast("string").alias("id"),
+        F.pmod(F.xxhash64(identity), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(identity, F.lit("shelf")), F.lit(SHELVES)).alias("shelf"), F.col(identity).cast("string").alias("id"),
         F.col(content).cast("string").alias("content"), F.col(order).cast("bigint").alias("ord"))
     return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=KnownIds(ttl_ms), outputStructType="id string, content string, action string", outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
