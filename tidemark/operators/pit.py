@@ -10,6 +10,7 @@ import functools
 import hashlib
 import operator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -248,10 +249,24 @@ def relative_name(path: Column, root: str) -> Column:
     return F.substring(path, F.locate(folder, path) + len(folder), F.lit(1 << 20))
 
 
+@F.pandas_udf(T.StringType())
+def _streamed_sha256(path: pd.Series) -> pd.Series:
+    """SHA-256 of files that are mounted on the executors, read piece by piece."""
+    def one(name):
+        with open(name.removeprefix("file:"), "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+    return path.map(one)
+
+
 def file_hashes(spark, path: str) -> DataFrame:
-    """Per-file SHA-256 under a directory, read by the executors; ``name`` is relative to it."""
+    """Per-file SHA-256 under a directory, read by the executors; ``name`` is relative to it.
+
+    Files of a mounted file system are read piece by piece, whatever their size; those of other file systems come as whole values.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(relative_name(F.col("path"), path).alias("name"), "length", sha256_hex("content").alias("sha256"))
+    mounted = files.select(F.col("path").startswith("file:/").alias("m")).first()
+    sha256 = _streamed_sha256("path") if mounted and mounted["m"] else sha256_hex("content")
+    return files.select(relative_name(F.col("path"), path).alias("name"), "length", sha256.alias("sha256"))
 
 
 def verify_manifest(manifest: DataFrame, actual: DataFrame, key: str = "name", value: str = "sha256") -> DataFrame:
