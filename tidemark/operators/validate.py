@@ -6,13 +6,17 @@ JSON fields are read from a variant, whose stored type tells a boolean from an i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exact import WIDE, _col, div_floor, u64
 from ..functions.jsonio import variant, variant_type
+from ..functions.search import Needles, needles_of
 from ..session import cut_lineage
 from .features import flags
 
@@ -233,11 +237,6 @@ def secret_echo(text, secrets: Sequence[str]) -> Column:
     return F.coalesce(F.exists(F.lit(forms), lambda s: t.contains(s) | canon.contains(s)), F.lit(False))
 
 
-#: (shortest form, characters of a seed, step between the seeds of a body, pattern of these): a form of n characters covers a whole seed at
-#: some step if n >= seed + step - 1.
-SEEDS = ((4, 4, 1, "(?s)(?=(.{4}))"), (12, 6, 7, "(?s)(.{6}).?"))
-
-
 def secret_forms(secrets: DataFrame, column: str = "secret") -> DataFrame:
     """form: secrets of four or more characters, plain and URL-quoted, each once."""
     s = F.col(column)
@@ -250,26 +249,32 @@ def secret_forms(secrets: DataFrame, column: str = "secret") -> DataFrame:
 def secret_echo_join(bodies: DataFrame, secrets: DataFrame, key: str = "id", text: str = "text", column: str = "secret", most_bytes: int = 32 << 20) -> DataFrame:
     """``secret_echo`` for any number of secrets, which come as rows: key and secret_echo of every body; keys are unique.
 
-    Seeds of the forms (at every offset) meet seeds of the bodies (at every step); only candidates are compared in full. The
-    forms are broadcast if their measured size is at most ``most_bytes``, otherwise seeds are joined by shuffle.
+    Every body is searched for all forms in one pass (``functions.search``), so no pieces of bodies are shuffled. Forms of a measured
+    size of at most ``most_bytes`` are known to every task, which compares them there. Of more forms the tasks know bitmaps of bounded size; what
+    these let pass is joined with the forms.
     """
-    forms = secret_forms(secrets, column)
-    forms = cut_lineage(forms)
-    size = forms.agg(F.sum(F.octet_length("form") * F.char_length("form"))).first()[0] or 0
+    forms = cut_lineage(secret_forms(secrets, column))
+    size, total = forms.agg(F.coalesce(F.sum(F.octet_length("form") + 16), F.lit(0)), F.count(F.lit(1))).first()
+    few = size <= most_bytes
+    needles = Needles.of(forms.select(F.col("form").cast("binary")).toArrow().column(0).combine_chunks()) if few else needles_of(forms, "form", total)
+    known = bodies.sparkSession.sparkContext.broadcast(needles)
     whole = F.col(text)
     canon = F.coalesce(F.to_json(F.try_parse_json(whole)), F.lit(""))
-    found = None
-    for i, (least, width, step, pattern) in enumerate(SEEDS):
-        upto = SEEDS[i + 1][0] if i + 1 < len(SEEDS) else None
-        mine = forms.where((F.char_length("form") >= least) & (F.lit(True) if upto is None else F.char_length("form") < upto))
-        # a body's seed at some step falls on one of the first ``step`` offsets of an occurrence
-        offsets = F.sequence(F.lit(1), F.lit(step))
-        seeds = mine.select("form", F.explode(F.transform(offsets, lambda k: F.substring("form", k, F.lit(width)))).alias("seed"))
-        grams = bodies.select(F.col(key).alias("__key"), F.explode(F.array_union(*[F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(pattern), F.lit(1)) for t in (whole, canon)])).alias("seed"))
-        pairs = grams.join(F.broadcast(seeds) if size <= most_bytes else seeds, "seed").select("__key", "form").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-    hits = bodies.select(F.col(key).alias("__key"), whole.alias("__text"), canon.alias("__canon")).join(found, "__key")
-    hits = hits.where(F.contains("__text", "form") | F.contains("__canon", "form")).select("__key").distinct()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for side in (1, 2):
+                for rows, at, n, data in known.value.found(batch.column(side)):
+                    if few:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.unique(rows)))], names=["__key"])
+                    else:
+                        pieces = sorted({(r, data[p : p + n].tobytes()) for r, p in zip(rows.tolist(), at.tolist())})
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in pieces])), pa.array([x for _, x in pieces], pa.binary())], names=["__key", "__form"])
+
+    fields = [T.StructField("__key", bodies.schema[key].dataType)] + ([] if few else [T.StructField("__form", T.BinaryType())])
+    hits = bodies.select(F.col(key).alias("__key"), whole, canon).mapInArrow(search, T.StructType(fields)).distinct()
+    if not few:
+        hits = hits.join(forms.select(F.col("form").cast("binary").alias("__form")), "__form", "left_semi").select("__key").distinct()
     return bodies.select(key).join(hits.withColumn("__hit", F.lit(True)), F.col(key) == F.col("__key"), "left").select(key, F.coalesce("__hit", F.lit(False)).alias("secret_echo"))
 
 
