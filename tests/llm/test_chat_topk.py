@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, topk
@@ -96,3 +97,29 @@ def test_top_k_of_huge_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(df, query_every=5, k=9).collect())
     assert got == brute(rows, 9, 5)
+
+
+def test_blocks_are_not_copied_for_every_pair(spark, monkeypatch):
+    """The rows that meet in cells are a few copies of each block, narrow, and results do not depend on the cells."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    r = random.Random(6)
+    rows = [(i, [r.uniform(-0.9, 0.9) for _ in range(20)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 6, 4)
+    for held, cells in ((1 << 21, 1), (200, 1), (1 << 21, 50)):
+        monkeypatch.setattr(topk, "HELD", held)
+        monkeypatch.setattr(topk, "CELLS", cells)
+        out = topk.top_k(df, query_every=4, k=6)
+        assert Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in out.collect()) == want
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    kind, body = topk._packed(np.array([[1.0, -64.0], [3.0, 63.0]]))
+    assert kind == "<i1" and len(body) == 4 and topk._columns(2, kind, body).tolist() == [[1.0, -64.0], [3.0, 63.0]]
+    assert [topk._packed(np.array([[x]]))[0] for x in (200.0, 1e5, 1e12)] == ["<i2", "<i4", "<f8"]
+
+
+def test_bound_is_carried_to_the_next_block():
+    asked = topk._Asked(0, [0], [0], np.array([[1.0], [0.0]] * 16), 2)
+    asked.meet(1, np.array([5, 6, 7]), np.tile([[9.0, 8.0, 1.0], [0.0, 0.0, 0.0]], (16, 1)))
+    assert asked.floors[0] == 128.0 and asked.best[0][0].tolist() == [5, 6]
+    asked.meet(2, np.array([3, 4]), np.tile([[8.0, 2.0], [0.0, 0.0]], (16, 1)))
+    assert asked.best[0][0].tolist() == [5, 3] and not list(topk.best_in_block(asked.columns, np.tile([[2.0], [0.0]], (16, 1)), np.array([9]), np.array([-1]), 2, asked.floors))[0][1].size

@@ -5,7 +5,10 @@ scores grow a block of dimensions at a time, and after each the candidates are c
 bound of what is left (norm of the rest of the query times norm of the rest of the candidate, Cauchy-Schwarz) still reaches the
 query's k-th best score so far. What is left at the end is exact; nothing is approximated.
 
-Each pair of blocks is one row's work; the k best of every pair meet in a top-k per query, so no task sees all rows.
+Groups of query blocks meet groups of candidate blocks. Such a cell is one task's work: it holds its queries, takes its candidate blocks one
+after another and carries the k best so far, and with them the bound, from one to the next. A block is sent once for each group of the
+other side, in the narrowest integers that hold it, so no copy of a block is made for every pair; the k best of
+all cells meet in a top-k per query, and no task sees all rows.
 
 Null and edge cases
 * vectors that are null or empty, or hold null or non-finite components, and null ids take no part.
@@ -26,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import written
 
 #: Vectors in a candidate block, and queries in a query block.
 BLOCK, QUERIES = 4096, 512
 #: Dimensions added between two compactions.
 STEP = 16
+#: Components of the queries, and of the candidates, that a cell holds at most (but for one block); cells for each core where these allow fewer.
+HELD, CELLS = 1 << 21, 4
 _LONG = (1 << 63) - 1
 
 
@@ -49,7 +54,7 @@ def blocks(vectors: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame:
     good = vectors.where(F.col(id_col).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))))
     n = good.count()
     dealt = good.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).repartition(max(1, -(-n // BLOCK)))
-    schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("wide", pa.bool_()), ("data", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("kind", pa.string()), ("data", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
@@ -59,29 +64,36 @@ def blocks(vectors: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame:
                 at = np.nonzero(lengths == dim)[0]
                 for k in range(0, len(at), BLOCK):
                     part = batch.take(pa.array(at[k : k + BLOCK]))
-                    data = _quantised(part.column(1), scale)
-                    wide = data.dtype == object
                     # vertical layout: all first components, all second components, ...
-                    body = "\n".join(map(str, data.T.ravel().tolist())).encode() if wide else np.ascontiguousarray(data.T).astype("<f8").tobytes()
+                    kind, body = _packed(_quantised(part.column(1), scale).T)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number], pa.int64()), pa.array([int(dim)], pa.int32()), pa.array([part.column(0).to_pylist()], schema.field("ids").type), pa.array([wide]), pa.array([body], pa.binary())],
+                        [pa.array([number], pa.int64()), pa.array([int(dim)], pa.int32()), pa.array([part.column(0).to_pylist()], schema.field("ids").type), pa.array([kind]), pa.array([body], pa.binary())],
                         schema=schema,
                     )
                     number += 1
 
-    return written(dealt.mapInArrow(pack, "block long, dim int, ids array<long>, wide boolean, data binary"), "vector-blocks")
+    return written(dealt.mapInArrow(pack, "block long, dim int, ids array<long>, kind string, data binary"), "vector-blocks")
 
 
-def _columns(dim: int, wide: bool, data: bytes) -> np.ndarray:
-    if wide:
+def _packed(matrix: np.ndarray) -> tuple[str, bytes]:
+    """Kind and bytes of a matrix of integers, in the narrowest kind that holds all of them."""
+    if matrix.dtype == object:
+        return "text", "\n".join(map(str, matrix.ravel().tolist())).encode()
+    most = np.abs(matrix).max(initial=0)
+    kind = next((k for k, top in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1)) if most <= top), "<f8")
+    return kind, np.ascontiguousarray(matrix).astype(kind).tobytes()
+
+
+def _columns(dim: int, kind: str, data: bytes) -> np.ndarray:
+    if kind == "text":
         return np.array([int(x) for x in data.split(b"\n")], dtype=object).reshape(dim, -1)
-    return np.frombuffer(data, dtype="<f8").reshape(dim, -1)
+    return np.frombuffer(data, dtype=kind).reshape(dim, -1).astype(np.float64)
 
 
-def best_in_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def best_in_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (a column of ``q``) the k best candidates (columns of ``c``): (query, candidate indices, scores).
 
-    own: the query's own column among the candidates, -1 if it isn't there.
+    own: the query's own column among the candidates, -1 if it isn't there. floors: scores below which a query needs no candidate.
     """
     dims, n = c.shape
     exact = q.dtype != object and c.dtype != object
@@ -106,7 +118,7 @@ def best_in_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray
         if own[i] >= 0:
             left = np.delete(left, own[i])
             score = score[left]
-        floor = -np.inf
+        floor = -np.inf if floors is None else floors[i]
         for step in range(1, len(edges)):
             if step > 1:
                 a, b = edges[step - 1], edges[step]
@@ -115,61 +127,106 @@ def best_in_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray
             if len(left) > k:
                 # the k-th best of what every candidate reaches for sure bounds the k-th best score from below
                 floor = max(floor, np.partition(score - slack, len(left) - k)[len(left) - k])
+            if floor > -np.inf:
                 keep = score + slack >= floor - 1e-6 * (1 + abs(floor))
                 if not keep.all():
                     left, score = left[keep], score[keep]
+            if not len(left):
+                break
         order = np.lexsort((ids[left], -score))[:k]
         yield i, left[order], score[order].astype(np.int64)
 
 
+class _Asked:
+    """A query block in a cell, with the k best candidates of each query so far."""
+
+    def __init__(self, block: int, at: list, ids: list, columns: np.ndarray, k: int):
+        self.block, self.at, self.ids, self.columns, self.k = block, np.array(at, dtype=np.int64), ids, columns, k
+        none = np.empty(0, dtype=np.int64)
+        self.best = [(none, none) for _ in ids]
+        self.floors = np.full(len(ids), -np.inf)
+
+    def meet(self, block: int, ids: np.ndarray, columns: np.ndarray) -> None:
+        own = self.at if block == self.block else np.full(len(self.at), -1)
+        for i, found, scores in best_in_block(self.columns, columns, ids, own, self.k, self.floors):
+            if len(found):
+                all_ids, all_scores = (np.concatenate(x) for x in zip(self.best[i], (ids[found], scores)))
+                # the complement orders as the negative does, and has no overflow
+                order = np.lexsort((all_ids, ~all_scores))[: self.k]
+                self.best[i] = all_ids[order], all_scores[order]
+                if len(order) == self.k:
+                    self.floors[i] = float(all_scores[order[-1]])
+
+    def rows(self) -> pa.RecordBatch:
+        sizes = [len(ids) for ids, _ in self.best]
+        query, row = (np.repeat(np.array(x, dtype=np.int64), sizes) for x in (self.ids, (self.block << 13) + self.at))
+        ids, scores = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in ([b[j] for b in self.best] for j in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (query, row, ids, scores)], names=["query_id", "q_row", "vec_id", "score"])
+
+
+def _cells(stored: DataFrame, asked: DataFrame) -> tuple[int, int]:
+    """Groups of query blocks and of candidate blocks."""
+    size = F.sum(F.size("ids").cast("long") * F.col("dim"))
+    (n_stored, stored_size), (n_asked, asked_size) = ((r[0], r[1] or 0) for r in (x.agg(F.count(F.lit(1)), size).first() for x in (stored, asked)))
+    queries = max(1, min(n_asked, -(-asked_size // HELD)))
+    wanted = CELLS * stored.sparkSession.sparkContext.defaultParallelism
+    return queries, max(1, min(n_stored, max(-(-stored_size // (4 * HELD)), -(-wanted // queries))))
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding", query_every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), the candidate's id and score: every row whose id is divisible by ``query_every`` against all rows.
 
     The score is the inner product of floor(scale * x). Query blocks visit every candidate block of their dimension.
     """
-    spark = vectors.sparkSession
     stored = blocks(vectors, id_col, vec, scale)
+    kinds = "block long, dim int, at array<long>, ids array<long>, kind string, data binary"
+    schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("at", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("kind", pa.string()), ("data", pa.binary())])
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.array(row["ids"], dtype=np.int64)
                 at = np.nonzero(ids % query_every == 0)[0]
-                columns = _columns(row["dim"], row["wide"], row["data"])
+                columns = _columns(row["dim"], row["kind"], row["data"])
                 for j in range(0, len(at), QUERIES):
                     own = at[j : j + QUERIES]
-                    part = columns[:, own]
-                    body = "\n".join(map(str, part.ravel().tolist())).encode() if row["wide"] else np.ascontiguousarray(part).tobytes()
-                    yield pa.RecordBatch.from_pydict(
-                        {"q_block": [row["block"]], "dim": [row["dim"]], "q_at": [own.tolist()], "q_ids": [ids[own].tolist()], "q_wide": [row["wide"]], "q_data": [body]},
-                        schema=pa.schema([("q_block", pa.int64()), ("dim", pa.int32()), ("q_at", pa.list_(pa.int64())), ("q_ids", pa.list_(pa.int64())), ("q_wide", pa.bool_()), ("q_data", pa.binary())]),
-                    )
+                    kind, body = _packed(columns[:, own])
+                    yield pa.RecordBatch.from_pydict({"block": [row["block"]], "dim": [row["dim"]], "at": [own.tolist()], "ids": [ids[own].tolist()], "kind": [kind], "data": [body]}, schema=schema)
+
+    asked = written(stored.mapInArrow(queries, kinds), "query-blocks")
+    # every query block against every candidate block of its dimension: a stated query set against all rows, in cells of groups of blocks
+    of_asked, of_stored = _cells(stored, asked)
+
+    def group(n: int, *by: str):
+        return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
 
-    asked = stored.mapInArrow(queries, "q_block long, dim int, q_at array<long>, q_ids array<long>, q_wide boolean, q_data binary")
-    asked = written(asked.withColumn("q_key", F.col("q_block") * BLOCK + F.col("q_at")[0]), "query-blocks")
-    # every query block against every candidate block of its dimension: a stated query set against all rows, in blocks.
-    # The pairs are made of block numbers alone, salted as most blocks have one dimension; the vectors join by block.
-    salts = max(1, spark.sparkContext.defaultParallelism)
-    left = asked.select("q_key", "dim", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = stored.select("block", "dim", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = left.join(right, ["dim", "salt"]).select("q_key", "block").join(stored, "block").join(asked.drop("dim"), "q_key")
-    pairs = pairs.repartition(max(salts, min(stored.count() * asked.count(), 100_000)), "q_key", "block")
-
-    def search(cols: dict) -> dict:
-        out: dict[str, list] = {"query_id": [], "q_row": [], "vec_id": [], "score": []}
-        rows = {n: c.to_pylist() for n, c in cols.items()}
-        for r in range(len(rows["dim"])):
-            q, c = _columns(rows["dim"][r], rows["q_wide"][r], rows["q_data"][r]), _columns(rows["dim"][r], rows["wide"][r], rows["data"][r])
-            ids = np.array(rows["ids"][r], dtype=np.int64)
-            at = np.array(rows["q_at"][r], dtype=np.int64)
-            same = rows["q_block"][r] == rows["block"][r]
-            for i, best, scores in best_in_block(q, c, ids, at if same else np.full(len(at), -1), k):
-                out["query_id"] += [rows["q_ids"][r][i]] * len(best)
-                out["q_row"] += [(rows["q_block"][r] << 13) + int(at[i])] * len(best)
-                out["vec_id"] += ids[best].tolist()
-                out["score"] += scores.tolist()
-        return out
-
-    found = map_batches(pairs, search, "query_id long, q_row long, vec_id long, score long")
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = asked.withColumn("q", group(of_asked, "block", "at")).withColumn("c", every(of_stored)).withColumn("side", F.lit(0))
+    right = stored.withColumn("c", group(of_stored, "block")).withColumn("q", every(of_asked)).withColumns({"side": F.lit(1), "at": F.lit(None).cast("array<long>")})
+    cells = left.unionByName(right).repartition(max(1, of_asked * of_stored), "dim", "q", "c").sortWithinPartitions("dim", "q", "c", "side")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(j)[r] for j, name in enumerate(batch.schema.names)}
+                now = tuple(row[x].as_py() for x in ("dim", "q", "c"))
+                if now != cell:
+                    yield from (x.rows() for x in held)
+                    cell, held = now, []
+                if row["side"].as_py() == 1 and not held:
+                    continue
+                columns = _columns(now[0], row["kind"].as_py(), row["data"].as_py())
+                if row["side"].as_py() == 0:
+                    held.append(_Asked(row["block"].as_py(), row["at"].as_py(), row["ids"].as_py(), columns, k))
+                    continue
+                ids = np.array(row["ids"].as_py(), dtype=np.int64)
+                for x in held:
+                    x.meet(row["block"].as_py(), ids, columns)
+        yield from (x.rows() for x in held)
+
+    found = cells.mapInArrow(search, "query_id long, q_row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
