@@ -197,5 +197,6 @@ def stream_feed_coverage(spark, sf):
 
 
 def with_rocksdb(spark):
-    """Keyed state with lists and maps needs the RocksDB store."""
+    """Keyed state with lists and maps needs the RocksDB store; its stores share one bounded memory an executor, however many they are."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")

@@ -1,14 +1,17 @@
 """Stateful streams: pool features, alert lifecycle, exactly-once publication, feed coverage.
 
 State is keyed and bounded: per pool the last ``window`` swaps, one anchor and peak, one mark per
-horizon, and the wallets and event ids seen (both with an optional time to live). The batch
+horizon, and the wallets and event ids seen, in shelves (both with an optional time to live). The batch
 operators give the same rows; the tests compare them.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,73 +34,135 @@ def _bps(q, b, q0, b0):
     return top // bottom if top >= 0 else -(-top // bottom)
 
 
+#: Ids of a key that share a state entry, about.
+SHELF = 256
+
+
+class Shelves:
+    """Contents by id of one key, ``SHELF`` ids to a state entry: a batch reads and writes the entries of its ids once, and none of a new key is read.
+
+    ``size``: ids held and entries, a power of two that grows with them; it is kept by the caller. With a time to live an id is an
+    entry of its own, as it is forgotten by itself.
+    """
+
+    def __init__(self, state, size: list[int], ttl: bool):
+        self.state, self.size, self.ttl = state, size, ttl
+        self.new, self.held, self.changed = not size[0], {}, set()
+
+    def _shelf(self, id_: str) -> str:
+        return f"={id_}" if self.ttl else str(crc32(id_.encode("utf-8", "surrogatepass")) & (self.size[1] - 1))
+
+    def _load(self, shelf: str) -> dict:
+        if shelf not in self.held:
+            found = None if self.new else self.state.getValue((shelf,))
+            self.held[shelf] = {} if found is None else dict(zip(*found))
+        return self.held[shelf]
+
+    def get(self, id_: str) -> str | None:
+        return self._load(self._shelf(id_)).get(id_)
+
+    def put(self, id_: str, content: str) -> None:
+        shelf = self._shelf(id_)
+        self._load(shelf)[id_] = content
+        self.changed.add(shelf)
+        self.size[0] += 1
+
+    def write(self) -> None:
+        if not self.ttl and self.size[0] > SHELF * self.size[1]:
+            every = [x for k in range(self.size[1]) for x in self._load(str(k)).items()]
+            while self.size[0] > SHELF * self.size[1]:
+                self.size[1] *= 2
+            self.held = {}
+            for id_, content in every:
+                self.held.setdefault(self._shelf(id_), {})[id_] = content
+            self.changed = set(self.held)
+        for shelf in self.changed:
+            self.state.updateValue((shelf,), (list(self.held[shelf]), list(self.held[shelf].values())))
+
+
 class PoolFeatures(StatefulProcessor):
-    """Swap features in arrival order for one pool; repeats are dropped, arrival regressions are reported."""
+    """Swap features in arrival order for one pool; repeats are dropped, arrival regressions are reported.
+
+    A call reads the pool once and its ids by shelves; sums over the last swaps are differences of running sums.
+    """
 
     def __init__(self, window: int = 64, horizons=(60, 300, 1800, 3600, 86400), ttl_ms: int | None = None):
         self.window, self.horizons, self.ttl_ms = window, sorted(horizons), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.pool = handle.getValueState("pool", "doc string")
-        self.recent = handle.getListState("recent", "q bigint, b bigint, wallet string, buy boolean")
-        self.wallets = handle.getMapState("wallets", "wallet string", "seen boolean", self.ttl_ms)
-        self.events = handle.getMapState("events", "id string", "content string", self.ttl_ms)
+        self.wallets = handle.getMapState("wallets", "shelf string", "ids array<string>, contents array<string>", self.ttl_ms)
+        self.events = handle.getMapState("events", "shelf string", "ids array<string>, contents array<string>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["availability_ns", "seq"], kind="stable")
-        s = json.loads(self.pool.get()[0]) if self.pool.exists() else {"slot": None, "ns": None, "anchor": None, "peak": None, "fall": 0, "due": []}
-        last = [tuple(r) for r in self.recent.get()]
+        held = self.pool.get()
+        s = json.loads(held[0]) if held is not None else {
+            "slot": None, "ns": None, "anchor": None, "peak": None, "fall": 0, "due": [], "recent": [], "events": [0, 1], "wallets": [0, 1]}
+        events, wallets = (Shelves(state, s[name], self.ttl_ms is not None) for state, name in ((self.events, "events"), (self.wallets, "wallets")))
+        quotes, bases, who, bought = (list(x) for x in zip(*s["recent"])) if s["recent"] else ([], [], [], [])
+        volume, buys = [0, *accumulate(quotes)], [0, *accumulate(bought)]
+        inside = Counter(who)
+        pool, window, last_slot, last_ns = key[0], self.window, s["slot"], s["ns"]
         out = []
 
-        def emit(**kw):
-            out.append({c: kw.get(c) for c in _COLUMNS})
-
-        for r in batch.itertuples(index=False):
-            seq, ns, slot = int(r.seq), int(r.availability_ns), int(r.slot)
-            content = f"{r.kind}|{r.instruction}|{r.wallet}|{slot}|{r.quote_raw}|{r.base_raw}"
-            if self.events.containsKey((str(r.id),)):
-                if self.events.getValue((str(r.id),))[0] != content:
-                    emit(pool=key[0], seq=seq, entry="identity_conflict")
+        def reject(seq, why):
+            out.append((pool, seq, why, *[None] * 14))
+
+        for seq, ns, slot, id_, kind, instruction, wallet, quote, base in zip(
+                *(batch[c].tolist() for c in ("seq", "availability_ns", "slot", "id", "kind", "instruction", "wallet", "quote_raw", "base_raw"))):
+            seq, ns, slot, id_ = int(seq), int(ns), int(slot), str(id_)
+            content = f"{kind}|{instruction}|{wallet}|{slot}|{quote}|{base}"
+            known = events.get(id_)
+            if known is not None:
+                if known != content:
+                    reject(seq, "identity_conflict")
                 continue
-            if s["ns"] is not None and ns < s["ns"]:
-                emit(pool=key[0], seq=seq, entry="availability_clock_regression")
+            if last_ns is not None and ns < last_ns:
+                reject(seq, "availability_clock_regression")
                 continue
-            self.events.updateValue((str(r.id),), (content,))
-            late = s["slot"] is not None and slot < s["slot"]
-            s["slot"], s["ns"] = max(slot, s["slot"] if s["slot"] is not None else slot), ns
-            if r.kind != "swap":
+            events.put(id_, content)
+            late = last_slot is not None and slot < last_slot
+            last_slot, last_ns = slot if last_slot is None else max(slot, last_slot), ns
+            if kind != "swap":
                 continue
-            q, b, wallet, buy = int(r.quote_raw), int(r.base_raw), str(r.wallet), r.instruction != "sell"
+            q, b, wallet, buy = int(quote), int(base), str(wallet), instruction != "sell"
             if q <= 0 or b <= 0:
-                emit(pool=key[0], seq=seq, entry="zero_swap_amount")
+                reject(seq, "zero_swap_amount")
                 continue
-            fresh = not self.wallets.containsKey((wallet,))
+            fresh = wallets.get(wallet) is None
             if fresh:
-                self.wallets.updateValue((wallet,), (True,))
-            last = (last + [(q, b, wallet, buy)])[-self.window:]
+                wallets.put(wallet, "")
             if s["anchor"] is None:
                 s["anchor"], s["peak"] = [q, b, ns], [q, b]
                 s["due"] = [[h, ns + h * 1_000_000_000] for h in self.horizons]
             if q * s["peak"][1] > s["peak"][0] * b:
                 s["peak"] = [q, b]
             s["fall"] = min(s["fall"], _bps(q, b, *s["peak"]))
-            mid = len(last) // 2
-            early, rest = sum(x[0] for x in last[:mid]), sum(x[0] for x in last[mid:])
-            buys = sum(x[3] for x in last)
-            emit(pool=key[0], seq=seq, entry="feature", late=late, new_wallet=fresh, swaps_observed=len(last), volume_quote_raw=early + rest,
-                 half_window_volume_change_raw=rest - early, buy_count=buys, sell_count=len(last) - buys, wallets_unique=len({x[2] for x in last}),
-                 price_change_bps=_bps(q, b, last[0][0], last[0][1]), drawdown_bps=s["fall"])
-            for h, due in [d for d in s["due"] if d[1] <= ns]:
-                emit(pool=key[0], seq=seq, entry="outcome", drawdown_bps=s["fall"], horizon_seconds=h, due_ns=due, observed_ns=ns, return_bps=_bps(q, b, *s["anchor"][:2]))
-            s["due"] = [d for d in s["due"] if d[1] > ns]
+            quotes.append(q), bases.append(b), who.append(wallet), bought.append(buy)
+            volume.append(volume[-1] + q), buys.append(buys[-1] + buy)
+            inside[wallet] += 1
+            n = len(quotes)
+            if n > window:
+                gone = who[n - window - 1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+            first = max(0, n - window)
+            mid = first + (n - first) // 2
+            early, rest, bought_now = volume[mid] - volume[first], volume[n] - volume[mid], buys[n] - buys[first]
+            out.append((pool, seq, "feature", late, fresh, n - first, early + rest, rest - early, bought_now, n - first - bought_now, len(inside),
+                        _bps(q, b, quotes[first], bases[first]), s["fall"], None, None, None, None))
+            if s["due"] and min(d[1] for d in s["due"]) <= ns:
+                for h, due in [d for d in s["due"] if d[1] <= ns]:
+                    out.append((pool, seq, "outcome", *[None] * 9, s["fall"], h, due, ns, _bps(q, b, *s["anchor"][:2])))
+                s["due"] = [d for d in s["due"] if d[1] > ns]
+        events.write()
+        wallets.write()
+        s |= {"slot": last_slot, "ns": last_ns, "recent": list(zip(quotes, bases, who, bought))[-window:]}
         self.pool.update((json.dumps(s),))
-        if last:
-            self.recent.put(last)
-        frame = pd.DataFrame(out, columns=_COLUMNS)
-        for c in _COLUMNS:
-            if c not in ("entry", "late", "new_wallet"):
-                frame[c] = frame[c].astype("Int64")
-        yield frame
+        columns = zip(*out) if out else [[]] * len(_COLUMNS)
+        yield pd.DataFrame({c: list(x) if c in ("entry", "late", "new_wallet") else pd.array(list(x), dtype="Int64") for c, x in zip(_COLUMNS, columns)})
 
     def close(self) -> None:
         pass
@@ -161,12 +226,12 @@ def stream_publish(stream: DataFrame, path: str, checkpoint: str, identity: str
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
 
 
-#: Shelves of ids in a bucket: what one state entry holds is one of these.
-SHELVES = 4096
+#: Shelves of ids in a bucket: what one state entry holds is one of these. Parts of a bucket: what one call of the processor sees is one of these.
+SHELVES, PARTS = 4096, 64
 
 
 class KnownIds(StatefulProcessor):
-    """Content of every id of a bucket: the first content is new, the same again is dropped, another one is a conflict.
+    """Content of every id of a part of a bucket: the first content is new, the same again is dropped, another one is a conflict.
 
     Ids lie on shelves, a map from id to content each, so a batch reads and writes its shelves once instead of every id by itself. With
     a time to live an id is a shelf of its own, as it is forgotten by itself.
@@ -204,7 +269,7 @@ class KnownIds(StatefulProcessor):
 def stream_known_ids(stream: DataFrame, identity: str = "id", content: str = "hash", order: str = "ord", buckets: int = 200, ttl_ms: int | None = None) -> DataFrame:
     """id, content and action (new or conflict) of a stream; repeats of a known content are dropped.
 
-    State is keyed by shelves of ids inside buckets, so a batch touches the shelves of its own ids, a small part of a long history if it is small itself. Written by a file sink, each
+    State is keyed by shelves of ids inside parts of buckets, so a task holds the rows of one part at a time and a batch touches the shelves of its own ids, a small part of a long history if it is small itself. Written by a file sink, each
     batch is listed in one atomic step, so a batch that runs again adds nothing. ``ttl_ms`` forgets ids after that time; without it
     ids are kept for ever, as exactly-once publication needs. In one batch the smallest (order, content) of an id comes first.
     """
@@ -212,7 +277,7 @@ def stream_known_ids(stream: DataFrame, identity: str = "id", content: str = "ha
         F.pmod(F.xxhash64(identity), F.lit(buckets)).cast("int").alias("bucket"),
         F.pmod(F.xxhash64(identity, F.lit("shelf")), F.lit(SHELVES)).alias("shelf"), F.col(identity).cast("string").alias("id"),
         F.col(content).cast("string").alias("content"), F.col(order).cast("bigint").alias("ord"))
-    return rows.groupBy("bucket").transformWithStateInPandas(
+    return rows.withColumn("part", F.col("shelf") % PARTS).groupBy("bucket", "part").transformWithStateInPandas(
         statefulProcessor=KnownIds(ttl_ms), outputStructType="id string, content string, action string", outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
