@@ -425,12 +425,18 @@ def routed_calls(transactions: DataFrame) -> DataFrame:
     positions = F.expr("transform(filter(transform(__sub, (x, i) -> struct(x as x, i as i)), y -> y.x.stackHeight = call_depth + 1), y -> parent_inner_index + 1 + y.i)")
     children = F.expr("transform(filter(__sub, x -> x.stackHeight = call_depth + 1),"
                       " x -> named_struct('programIdIndex', x.programIdIndex, 'accounts', x.accounts, 'data', x.data, 'stackHeight', 2))")
-    ready = p.where(F.col("__state").isNull()).withColumns({"__pos": positions, "inners": children, "ix": F.col("ix2")})
-    drop = ("ix2", "__tag", "__rest", "__stop", "__sub", "__state")
-    done = decode_protocol_event(ready.drop(*drop))
-    done = done.withColumn("inner_instruction_index", F.get("__pos", F.col("inner_instruction_index"))).drop("__pos")
-    rest = p.where(F.col("__state").isNotNull()).withColumns({"status": F.split("__state", ":")[0], "reason": F.split("__state", ":")[1]}).drop(*drop)
-    return done.unionByName(rest, allowMissingColumns=True)
+    # calls that are not ready pass by the byte codecs in the same scan
+    ready = F.col("__state").isNull()
+    p = settle(p, __ready=ready, __pos=F.when(ready, positions), __why=F.split("__state", ":"), __below=F.when(ready, children).otherwise(F.col("inners")))
+    p = p.withColumns({"inners": F.col("__below"), "ix": F.when(F.col("__ready"), F.col("ix2")).otherwise(F.col("ix"))})
+    p = p.drop("ix2", "__tag", "__rest", "__stop", "__sub", "__state", "__below")
+    out = decode_protocol_event(p, F.col("__ready"))
+    ready = F.col("__ready")
+    out = out.withColumns({
+        **{c: F.when(ready, F.col(c)) for c in out.columns if c not in p.columns},
+        "status": F.when(ready, F.col("status")).otherwise(F.col("__why")[0]), "reason": F.when(ready, F.col("reason")).otherwise(F.col("__why")[1]),
+        "inner_instruction_index": F.when(ready, F.get("__pos", F.col("inner_instruction_index")))})
+    return out.drop("__ready", "__pos", "__why")
 
 
 def decode_coverage(instructions: DataFrame, by=("slot",)) -> DataFrame:

@@ -7,7 +7,9 @@ give back the row.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import protocol
-from ..functions.codecs import as_lists, base58_encode, each_distinct, encode_batch, from_base58, to_base58
+from ..functions.codecs import as_lists, base58_encode, decode_batch, each_distinct, encode_batch, from_base58, to_base58
 from ..operators import decode as D
 from ..operators.validate import TOKEN
 from .views import SWAP, events, landed, micros, table
@@ -131,9 +133,49 @@ def _pack(instruction: str, base: int, quote: int, pool: str, user: str, at: int
     return out
 
 
+@lru_cache
+def _event_layout(instruction: str) -> tuple[np.ndarray, dict[str, int]]:
+    """An event with zeros for amounts, keys and time, and where each of its fields begins."""
+    raw = np.frombuffer(_pack(instruction, 0, 0, "", "", 0), dtype=np.uint8)
+    at, places = 16, {}
+    for name, kind in protocol.FIELDS[protocol.EVENT_OF[instruction]]:
+        places[name] = at
+        at += 32 if kind == "pubkey" else 1 if kind == "bool" else 4 + len(instruction) if kind == "string" else int(kind[1:]) // 8
+    return raw, places
+
+
+def _pack_all(instruction: str, base: np.ndarray, quote: np.ndarray, pool: list, user: list, at: np.ndarray) -> list[bytes]:
+    """``_pack`` for many rows of an instruction at once."""
+    raw, places = _event_layout(instruction)
+    out = np.tile(raw, (len(base), 1))
+
+    def put(name: str, values: np.ndarray, width: int) -> None:
+        if name in places:
+            out[:, places[name]:places[name] + width] = np.ascontiguousarray(values).view(np.uint8).reshape(len(base), width)
+
+    for name in ("base_amount_out", "base_amount_in"):
+        put(name, base.astype("<u8"), 8)
+    for name in ("user_quote_amount_in", "user_quote_amount_out"):
+        put(name, quote.astype("<u8"), 8)
+    put("timestamp", at.astype("<i8"), 8)
+    for name, keys in (("pool", pool), ("user", user)):
+        known = decode_batch([k or fixed_key(name) for k in keys])
+        put(name, np.frombuffer(b"".join(known), dtype=np.uint8), 32)
+    whole, size = out.tobytes(), out.shape[1]
+    return [whole[k:k + size] for k in range(0, len(whole), size)]
+
+
 @F.pandas_udf(T.BinaryType())
 def packed_event(instruction: pd.Series, base: pd.Series, quote: pd.Series, pool: pd.Series, user: pd.Series, at: pd.Series) -> pd.Series:
-    return pd.Series([_pack(*row) for row in zip(instruction, base, quote, pool, user, at)])
+    numbers = [x.to_numpy() for x in (base, quote, at)]
+    if any(x.dtype != np.int64 for x in numbers) or min(x.min(initial=0) for x in numbers[:2]) < 0:
+        return pd.Series([_pack(*row) for row in zip(instruction, base, quote, pool, user, at)])
+    out = pd.Series([None] * len(base), dtype=object)
+    for name in instruction.unique():
+        here = np.nonzero((instruction == name).to_numpy())[0]
+        made = _pack_all(name, *(x[here] for x in numbers[:2]), *(x.iloc[here].tolist() for x in (pool, user)), numbers[2][here])
+        out.iloc[here] = np.fromiter(made, dtype=object, count=len(made))
+    return out
 
 
 def exchange_transactions(spark: SparkSession, sf: str, routed: bool = False) -> DataFrame:
