@@ -168,8 +168,8 @@ def _cells(stored: DataFrame, asked: DataFrame) -> tuple[int, int]:
     """Groups of query blocks and of candidate blocks."""
     size = F.sum(F.size("ids").cast("long") * F.col("dim"))
     (n_stored, stored_size), (n_asked, asked_size) = ((r[0], r[1] or 0) for r in (x.agg(F.count(F.lit(1)), size).first() for x in (stored, asked)))
-    queries = max(1, min(n_asked, -(-asked_size // HELD)))
     wanted = CELLS * stored.sparkSession.sparkContext.defaultParallelism
+    queries = max(1, min(n_asked, max(-(-asked_size // HELD), -(-wanted // max(1, n_stored)))))
     return queries, max(1, min(n_stored, max(-(-stored_size // (4 * HELD)), -(-wanted // queries))))
 
 
@@ -197,15 +197,16 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding", qu
     # every query block against every candidate block of its dimension: a stated query set against all rows, in cells of groups of blocks
     of_asked, of_stored = _cells(stored, asked)
 
-    def group(n: int, *by: str):
-        return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    def group(n: int):
+        # blocks are numbered by the task that made them, nearly always one, so their groups are even
+        return F.pmod(F.shiftright("block", 20) + F.col("block").bitwiseAND(F.lit((1 << 20) - 1)), F.lit(n)).cast("int")
 
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = asked.withColumn("q", group(of_asked, "block", "at")).withColumn("c", every(of_stored)).withColumn("side", F.lit(0))
-    right = stored.withColumn("c", group(of_stored, "block")).withColumn("q", every(of_asked)).withColumns({"side": F.lit(1), "at": F.lit(None).cast("array<long>")})
-    cells = left.unionByName(right).repartition(max(1, of_asked * of_stored), "dim", "q", "c").sortWithinPartitions("dim", "q", "c", "side")
+    left = asked.withColumn("q", group(of_asked)).withColumn("c", every(of_stored)).withColumn("side", F.lit(0))
+    right = stored.withColumn("c", group(of_stored)).withColumn("q", every(of_asked)).withColumns({"side": F.lit(1), "at": F.lit(None).cast("array<long>")})
+    cells = left.unionByName(right).repartition(3 * of_asked * of_stored, "dim", "q", "c").sortWithinPartitions("dim", "q", "c", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
