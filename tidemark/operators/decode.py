@@ -275,16 +275,17 @@ def named_accounts(instruction: Column, accounts: Column, keys: Column) -> Colum
 AGREE = ("pool", "user", "creator", "base_mint", "quote_mint", "user_base_token_account", "user_quote_token_account", "lp_mint")
 
 
-def decode_protocol_event(calls: DataFrame, only: Column | None = None) -> DataFrame:
+def decode_protocol_event(calls: DataFrame, only: Column | None = None, decoded: bool = False) -> DataFrame:
     """Instruction calls of the exchange program -> the one authenticated event each of them emitted.
 
     calls: keys, ix (the call), inners (array of the instructions it may have emitted, in order).
     Adds status decoded / unsupported / unresolved / error, reason, instruction, accounts (name -> key),
     fields (name -> text), inner_instruction_index and the typed swap columns. Rows where ``only``
-    does not hold pass by with nulls instead of their bytes.
+    does not hold pass by with nulls instead of their bytes. ``decoded``: the bytes of the call and of the inners are there, as __call and __inner.
     """
     here = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
-    df = calls.withColumn("__tag", F.lower(F.hex(F.substring(base58_decode(F.when(here, F.col("ix.data"))), 1, 8))))
+    call = F.when(here, F.col("__call")) if decoded else base58_decode(F.when(here, F.col("ix.data")))
+    df = calls.withColumn("__tag", F.lower(F.hex(F.substring(call, 1, 8))))
     name = None
     for k, tag in protocol.INSTRUCTION_TAGS.items():
         name = F.when(F.col("__tag") == tag, k) if name is None else name.when(F.col("__tag") == tag, k)
@@ -296,8 +297,8 @@ def decode_protocol_event(calls: DataFrame, only: Column | None = None) -> DataF
         event_name = hit
     # what the program emitted below the call, with its position
     df = settle(df, __want=event_name, __own=F.when(here, F.expr(
-        f"filter(transform(inners, (x, i) -> struct(i as pos, x as x)), y -> get(keys, y.x.programIdIndex) = '{protocol.PROGRAM}')")))
-    df = df.withColumn("__raw", base58_decode_all(F.expr("transform(__own, y -> y.x.data)")))
+        f"filter(transform(inners, (x, i) -> struct(i as pos, x as x{', get(__inner, i) as raw' if decoded else ''})), y -> get(keys, y.x.programIdIndex) = '{protocol.PROGRAM}')")))
+    df = df.withColumn("__raw", F.expr("transform(__own, y -> y.raw)") if decoded else base58_decode_all(F.expr("transform(__own, y -> y.x.data)")))
     df = df.withColumn("__fields", protocol.unpack_events(F.expr("transform(__raw, r -> substring(r, 9))")))
     df = settle(df, __maps=F.expr("transform(__fields, t -> from_json(t, 'map<string,string>'))"))
     agree = " and ".join(f"(not map_contains_key(f, '{k}') or not map_contains_key(accounts, '{k}') or f['{k}'] = accounts['{k}'])" for k in AGREE)
@@ -351,7 +352,7 @@ def decode_protocol_event(calls: DataFrame, only: Column | None = None) -> DataF
         "output_mint": F.when(done & swap, F.when(buy, a["base_mint"]).otherwise(a["quote_mint"])),
         "input_amount_raw": F.when(done & swap, u64(F.when(buy, F.try_element_at(f, F.lit("user_quote_amount_in"))).otherwise(F.try_element_at(f, F.lit("base_amount_in"))))),
         "output_amount_raw": F.when(done & swap, u64(F.when(buy, F.try_element_at(f, F.lit("base_amount_out"))).otherwise(F.try_element_at(f, F.lit("user_quote_amount_out"))))),
-    }).drop("__tag", "__want", "__own", "__raw", "__fields", "__maps", "__v", "__stop", "__found", "__s")
+    }).drop("__tag", "__call", "__inner", "__want", "__own", "__raw", "__fields", "__maps", "__v", "__stop", "__found", "__s")
 
 
 def top_level_calls(transactions: DataFrame) -> DataFrame:
@@ -409,11 +410,13 @@ def routed_calls(transactions: DataFrame) -> DataFrame:
     depth + 1. A missing depth anywhere in the subtree leaves the call unresolved.
     """
     calls = top_level_calls(transactions).where(F.col("program") != protocol.PROGRAM)
-    parents = F.expr(f"filter(transform(inners, (x, i) -> named_struct('parent_inner_index', i, 'ix2', x)), y -> get(keys, y.ix2.programIdIndex) = '{protocol.PROGRAM}')")
-    p = calls.withColumn("__p", parents).where(F.size("__p") > 0).select("*", F.inline("__p")).drop("__p")
+    own = f"exists(inners, x -> get(keys, x.programIdIndex) = '{protocol.PROGRAM}')"
+    # the bytes of all inner calls of the program, decoded once, before the calls are told from their events
+    calls = calls.where(own).withColumn("__data", base58_decode_all(F.expr(f"transform(inners, x -> if(get(keys, x.programIdIndex) = '{protocol.PROGRAM}', x.data, null))")))
     # events the program emits to itself are not calls
-    tag = F.lower(F.hex(F.substring(base58_decode("ix2.data"), 1, 8)))
-    p = p.withColumn("__tag", tag).where(~F.col("__tag").eqNullSafe(protocol.EVENT_TAG))
+    parents = F.expr("filter(transform(inners, (x, i) -> named_struct('parent_inner_index', i, 'ix2', x, '__tag', lower(hex(substring(get(__data, i), 1, 8))))),"
+                     f" y -> get(keys, y.ix2.programIdIndex) = '{protocol.PROGRAM}' and not (y.__tag <=> '{protocol.EVENT_TAG}'))")
+    p = calls.select("*", F.inline(parents))
     p = p.withColumn("call_depth", F.col("ix2.stackHeight"))
     p = p.withColumn("__rest", F.expr("slice(inners, parent_inner_index + 2, greatest(size(inners) - parent_inner_index - 1, 0))"))
     p = p.withColumn("__stop", F.expr("cast(array_position(transform(__rest, x -> coalesce(x.stackHeight < 2 or x.stackHeight <= call_depth, true)), true) as int)"))
@@ -427,10 +430,10 @@ def routed_calls(transactions: DataFrame) -> DataFrame:
                       " x -> named_struct('programIdIndex', x.programIdIndex, 'accounts', x.accounts, 'data', x.data, 'stackHeight', 2))")
     # calls that are not ready pass by the byte codecs in the same scan
     ready = F.col("__state").isNull()
-    p = settle(p, __ready=ready, __pos=F.when(ready, positions), __why=F.split("__state", ":"), __below=F.when(ready, children).otherwise(F.col("inners")))
-    p = p.withColumns({"inners": F.col("__below"), "ix": F.when(F.col("__ready"), F.col("ix2")).otherwise(F.col("ix"))})
-    p = p.drop("ix2", "__tag", "__rest", "__stop", "__sub", "__state", "__below")
-    out = decode_protocol_event(p, F.col("__ready"))
+    p = settle(p, __ready=ready, __call=F.expr("get(__data, parent_inner_index)"), __pos=F.when(ready, positions), __why=F.split("__state", ":"), __below=F.when(ready, children).otherwise(F.col("inners")))
+    p = p.withColumns({"__inner": F.expr("transform(__pos, k -> get(__data, k))"), "inners": F.col("__below"), "ix": F.when(F.col("__ready"), F.col("ix2")).otherwise(F.col("ix"))})
+    p = p.drop("ix2", "__tag", "__rest", "__stop", "__sub", "__state", "__below", "__data")
+    out = decode_protocol_event(p, F.col("__ready"), decoded=True)
     ready = F.col("__ready")
     out = out.withColumns({
         **{c: F.when(ready, F.col(c)) for c in out.columns if c not in p.columns},
