@@ -125,3 +125,12 @@ def test_intents_are_dealt_out_once(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
         assert len(dealt) <= most and sum("__i#" in line for line in dealt) == 1
+
+
+def test_segments_are_found_by_halving(spark):
+    for n in (0, 1, 2, 3, 7, 8, 100, 1000):
+        starts = list(range(5, 5 + 3 * n, 3))
+        df = spark.range(0, 3 * n + 12).select("id", F.array(*[F.struct(F.lit(x).cast("bigint").alias("id")) for x in starts]).cast("array<struct<id:bigint>>").alias("__starts"),
+                                               F.array(*[F.lit(x) for x in ordered._steps(n)]).cast("array<int>").alias("__steps"))
+        got = {r[0]: r[1] for r in df.select("id", ordered._segment(F.struct("id"))).collect()}
+        assert got == {i: sum(x <= i for x in starts) for i in range(3 * n + 12)} and len(ordered._steps(n)) <= 10
